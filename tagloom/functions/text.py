@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 # Word token: two or more letters, digits or underscores (the Unicode form of
 # "\b\w\w+\b"). Written with property classes so the JVM and RE2 agree.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-# Token used for vocabulary limits: ASCII letters only, two or more.
-ALPHA_TOKEN_PATTERN = r"[a-zA-Z]{2,}"
+# A maximal run of word characters (used to emulate word boundaries).
+WORD_RUN_PATTERN = r"[\p{L}\p{N}_]+"
+# Vocabulary-limit token: a whole word of two or more ASCII letters.
+ALPHA_WORD = r"^[a-z]{2,}$"
 
 # Spark's default English stop-word list (StopWordsRemover, "english"),
 # in its own order.
@@ -46,6 +48,14 @@ def tokens(text, pattern: str = TOKEN_PATTERN, lowercase: bool = True) -> Column
     return F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(pattern), 0)
 
 
+def alpha_tokens(text) -> Column:
+    """Lower-cased whole words made only of ASCII letters (two or more):
+    word runs are cut first, so a letter run inside a longer word with
+    accents or digits is not a token (word-boundary semantics)."""
+    runs = F.regexp_extract_all(F.lower(F.coalesce(col_of(text), F.lit(""))), F.lit(WORD_RUN_PATTERN), 0)
+    return F.filter(runs, lambda t: t.rlike(ALPHA_WORD))
+
+
 def drop_words(arr, words) -> Column:
     """Remove the given words from a token array, keeping order and repeats.
 
@@ -79,9 +89,13 @@ def clean_newlines_lower(text) -> Column:
     return F.lower(F.replace(col_of(text), F.lit("\n"), F.lit(" ")))
 
 
+# Fixed value: the white-space class of Python's str.isspace()/re "\s".
+WHITESPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
+
+
 def squash_whitespace(text) -> Column:
     """Collapse every run of white space to one space."""
-    return F.regexp_replace(col_of(text), r"\s+", " ")
+    return F.regexp_replace(col_of(text), WHITESPACE + "+", " ")
 
 
 def sql_string_list(words) -> str:

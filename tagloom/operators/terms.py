@@ -15,9 +15,11 @@ from ..functions.text import ENGLISH_STOP_WORDS, TOKEN_PATTERN, drop_words, ngra
 
 
 def doc_terms(df: DataFrame, key: str, text: str, stop_words=ENGLISH_STOP_WORDS,
-              ngram_max: int = 1, pattern: str = TOKEN_PATTERN) -> DataFrame:
-    """(key, term) one row per occurrence, after stop words, then n-grams."""
-    arr = ngrams(drop_words(tokens(text, pattern), stop_words), ngram_max)
+              ngram_max: int = 1, pattern: str = TOKEN_PATTERN, tokenizer=None) -> DataFrame:
+    """(key, term) one row per occurrence, after stop words, then n-grams.
+    ``tokenizer`` (text column -> array column) overrides ``pattern``."""
+    toks = tokenizer(text) if tokenizer is not None else tokens(text, pattern)
+    arr = ngrams(drop_words(toks, stop_words), ngram_max)
     return df.select(F.col(key), F.explode(arr).alias("term"))
 
 

@@ -34,3 +34,210 @@ SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, term AS wor
        round(weight, 6) AS weight
 FROM ranked WHERE rank <= 10
 """
+
+# -- sources, augmentation, cleaning, filters --------------------------------
+
+WS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
+NL2 = "chr(10) || chr(10)"
+
+
+def strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '\A{WS}+|{WS}+\z', '', 'g')"
+
+
+def html_text_sql(h: str) -> str:
+    x = rf"regexp_replace({h}, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g')"
+    x = rf"regexp_replace({x}, '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g')"
+    x = rf"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    x = rf"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    x = f"regexp_replace({x}, '{WS}+', ' ', 'g')"
+    return strip_sql(x)
+
+
+CATALOGUE = """catalogue AS (
+    SELECT doc_id AS dataset_id, source || '-' || CAST(doc_id AS VARCHAR) AS name,
+           coalesce(text, '') AS description, lang, source,
+           string_split(coalesce(text, ''), ' ')[1:12] AS feature_names
+    FROM documents)"""
+
+SCRAPED = f"""scraped AS (
+    SELECT page_id AS dataset_id, {html_text_sql('html')} AS scraped_data FROM pages)"""
+
+REMOVALS = """removals AS (
+    SELECT doc_id AS dataset_id, list(source) AS rm FROM documents
+    WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1)"""
+
+ORACLE["catalogue_load"] = f"""
+WITH {CATALOGUE}
+SELECT dataset_id, name, description, concat_ws(',', lang, source) AS tags,
+       CAST(len(feature_names) AS BIGINT) AS n_features FROM catalogue
+"""
+
+ORACLE["exclude_ids"] = f"""
+WITH {CATALOGUE}
+SELECT dataset_id, name FROM catalogue WHERE dataset_id NOT IN (4537, 4546, 4562)
+"""
+
+ORACLE["augment_name"] = f"""
+WITH {CATALOGUE}
+SELECT dataset_id, 'Name: ' || name || {NL2} || description AS augmented_description FROM catalogue
+"""
+
+TAGS_EXPR = (f"'Tags: ' || array_to_string(list_filter([c.lang, c.source], "
+             f"lambda t: NOT coalesce(list_contains(r.rm, t), false)), ', ') || {NL2}")
+
+ORACLE["augment_tags"] = f"""
+WITH {CATALOGUE}, {REMOVALS}
+SELECT c.dataset_id, {TAGS_EXPR} || c.description AS augmented_description
+FROM catalogue c LEFT JOIN removals r USING (dataset_id)
+"""
+
+FEATURES_EXPR = (f"{NL2} || 'Features: ' || array_to_string(CASE WHEN len(c.feature_names) > 10 "
+                 f"THEN list_concat(c.feature_names[1:10], ['and ' || CAST(len(c.feature_names) - 10 AS VARCHAR) "
+                 f"|| ' more...']) ELSE c.feature_names END, ', ')")
+
+ORACLE["augment_features"] = f"""
+WITH {CATALOGUE}
+SELECT c.dataset_id, c.description || {FEATURES_EXPR} AS augmented_description FROM catalogue c
+"""
+
+ORACLE["augment_id"] = f"""
+WITH {CATALOGUE}
+SELECT dataset_id, 'ID: ' || CAST(dataset_id AS VARCHAR) || {NL2} || description AS augmented_description
+FROM catalogue
+"""
+
+ORACLE["augment_scraped"] = f"""
+WITH {CATALOGUE}, {SCRAPED}
+SELECT c.dataset_id, coalesce(s.scraped_data, '') AS scraped_data,
+       CASE WHEN coalesce(s.scraped_data, '') <> ''
+            THEN c.description || {NL2} || 'Scraped Data: ' || s.scraped_data
+            ELSE c.description END AS augmented_description
+FROM catalogue c LEFT JOIN scraped s USING (dataset_id)
+"""
+
+ORACLE["augment_all"] = f"""
+WITH {CATALOGUE}, {SCRAPED}, {REMOVALS},
+  a AS (
+    SELECT c.dataset_id,
+           ({TAGS_EXPR} || 'Name: ' || c.name || {NL2} || 'ID: ' || CAST(c.dataset_id AS VARCHAR) || {NL2}
+            || c.description || {FEATURES_EXPR}) AS base
+    FROM catalogue c LEFT JOIN removals r USING (dataset_id))
+SELECT a.dataset_id,
+       CASE WHEN coalesce(s.scraped_data, '') <> '' THEN a.base || {NL2} || 'Scraped Data: ' || s.scraped_data
+            ELSE a.base END AS augmented_description
+FROM a LEFT JOIN scraped s USING (dataset_id)
+"""
+
+ORACLE["attach_rewrites"] = """
+SELECT doc_id AS dataset_id, 'Rewritten: ' || text AS prompt_description FROM documents
+WHERE doc_id IN (SELECT doc_id FROM labels)
+"""
+
+ORACLE["rewrite_prompts"] = f"""
+WITH {CATALOGUE}
+SELECT dataset_id, description || {NL2} || 'Rewrite the description above as one clear paragraph that states what '
+       || 'the data is about, how it was collected and what it can be used for.' AS rewrite_prompt
+FROM catalogue
+"""
+
+ORACLE["repair_urls"] = """
+WITH m AS (SELECT DISTINCT url AS from_url, regexp_replace(url, '#.*$', '') AS to_url FROM pages WHERE contains(url, '#'))
+SELECT p.page_id, coalesce(m.to_url, p.url) AS url FROM pages p LEFT JOIN m ON p.url = m.from_url
+"""
+
+ORACLE["clean_text"] = """
+SELECT doc_id, lower(replace(text, chr(10), ' ')) AS clean FROM documents
+"""
+
+ORACLE["squash_whitespace"] = f"""
+SELECT doc_id, regexp_replace(text, '{WS}+', ' ', 'g') AS squashed FROM documents
+"""
+
+PARA = "text"
+for a, b in (("'Mr.' || chr(10)", "'Mr. '"), ("'.' || chr(10)", r"' \p '"), ("'. ' || chr(10) || ' '", r"' \p '"),
+             ("'. ' || chr(10)", r"' \p '"), ("chr(10)", "' '")):
+    PARA = f"replace({PARA}, {a}, {b})"
+
+ORACLE["paragraphs"] = f"""
+WITH p AS (SELECT doc_id, string_split({PARA}, '\\p') AS parts FROM documents),
+  u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, lower({strip_sql('part')}) AS paragraph FROM u
+"""
+
+ORACLE["html_text"] = f"""
+SELECT page_id, {html_text_sql('html')} AS text FROM pages
+"""
+
+ORACLE["route_by_domain"] = """
+SELECT page_id, CASE WHEN contains(url, '.example.com') THEN 'com' WHEN contains(url, '.example.net') THEN 'net'
+                     WHEN contains(url, '.example.org') THEN 'org' END AS site FROM pages
+"""
+
+ORACLE["drop_short"] = """
+SELECT doc_id, CAST(CASE WHEN text IS NULL OR length(text) <= 2 THEN 0 ELSE 1 END AS BIGINT) AS kept FROM documents
+"""
+
+ORACLE["drop_flagged"] = """
+SELECT event_id FROM events WHERE event_type <> 'error' AND props <> '' AND length(props) > 2
+"""
+
+ORACLE["min_length"] = """
+SELECT doc_id AS dataset_id FROM documents WHERE coalesce(text, '') <> '' AND length(coalesce(text, '')) >= 100
+"""
+
+ORACLE["keep_domains"] = """
+SELECT page_id, url FROM pages WHERE url IS NOT NULL AND (contains(url, '.example.com') OR contains(url, '.example.org'))
+"""
+
+ORACLE["align_embeddings"] = """
+SELECT vec_id AS doc_id, CAST(label AS BIGINT) AS label FROM embeddings
+WHERE vec_id IN (SELECT doc_id FROM documents WHERE coalesce(text, '') <> '' AND length(coalesce(text, '')) >= 100)
+"""
+
+ORACLE["backlog"] = """
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
+"""
+
+ALPHA_TOKENS = (r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), "
+                r"lambda t: regexp_full_match(t, '[a-z]{2,}'))")
+
+DOC_TOKENS = f"""doc_tokens AS (
+    SELECT doc_id, term FROM (SELECT doc_id, unnest({ALPHA_TOKENS}) AS term FROM documents)
+    WHERE term NOT IN ({STOP}))"""
+
+ORACLE["limit_vocabulary"] = f"""
+WITH {DOC_TOKENS},
+  freq AS (SELECT term, count(*) AS n FROM doc_tokens GROUP BY 1),
+  top AS (SELECT term FROM freq ORDER BY n DESC, term LIMIT 2000)
+SELECT doc_id, count(*) AS n_tokens FROM doc_tokens WHERE term IN (SELECT term FROM top) GROUP BY 1
+"""
+
+ORACLE["min_count"] = f"""
+WITH {DOC_TOKENS}
+SELECT term, count(*) AS n FROM doc_tokens GROUP BY 1 HAVING count(*) > 50
+"""
+
+ORACLE["remove_stopwords"] = f"""
+WITH {DOC_TOKENS}
+SELECT doc_id, count(*) AS n_tokens FROM doc_tokens GROUP BY 1
+"""
+
+ORACLE["fill_oov"] = f"""
+WITH {TOPIC_TERMS}, {DOC_TOKENS},
+  vocab AS (SELECT term FROM doc_tokens GROUP BY 1 HAVING count(*) > 50),
+  firstw AS (
+    SELECT t AS term FROM (
+      SELECT doc_id, unnest(list_filter({ALPHA_TOKENS}, lambda x: x NOT IN ({STOP}))) AS t,
+             generate_subscripts(list_filter({ALPHA_TOKENS}, lambda x: x NOT IN ({STOP})), 1) AS i
+      FROM documents) ORDER BY doc_id, i LIMIT 1)
+SELECT CAST(r.topic AS BIGINT) AS topic, CAST(r.rank AS BIGINT) AS rank,
+       CASE WHEN r.term IN (SELECT term FROM vocab) THEN r.term ELSE (SELECT term FROM firstw) END AS term
+FROM ranked r WHERE r.rank <= 10
+"""
+
+ORACLE["exact_dedupe"] = """
+SELECT DISTINCT sha256(text) AS text_hash FROM documents
+"""

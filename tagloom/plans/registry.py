@@ -40,3 +40,218 @@ def q_ctfidf_top_words(spark, sf):
     top = terms.top_words(_topic_weights(spark, sf), k=10)
     return top.select(F.col("topic").cast("bigint").alias("topic"), "rank",
                       F.col("term").alias("word"), r6("weight").alias("weight"))
+
+
+# -- sources, augmentation, cleaning, filters --------------------------------
+
+from ..operators import augment as AU  # noqa: E402
+from ..operators import clean as CL  # noqa: E402
+
+EXCLUDED_IDS = (4537, 4546, 4562)  # fixed values: known non-dataset ids
+
+
+def _catalogue(spark, sf):
+    return T.load_catalogue(spark, sf)
+
+
+def _scraped(spark, sf):
+    pages = T.table(spark, sf, "pages")
+    src = pages.select(F.col("page_id").alias("dataset_id"), CL.html_text("html").alias("scraped_data"),
+                       F.col("page_id").alias("ord"))
+    return AU.latest_scraped([src], order="ord")
+
+
+def _desc(df):
+    return df.select("dataset_id", "augmented_description")
+
+
+@query("catalogue_load")
+def q_catalogue_load(spark, sf):
+    c = _catalogue(spark, sf)
+    return c.select("dataset_id", "name", "description", F.array_join("tag", ",").alias("tags"),
+                    F.size("features").cast("bigint").alias("n_features"))
+
+
+@query("exclude_ids")
+def q_exclude_ids(spark, sf):
+    c = _catalogue(spark, sf)
+    return c.filter(~F.col("dataset_id").isin(list(EXCLUDED_IDS))).select("dataset_id", "name")
+
+
+@query("augment_name")
+def q_augment_name(spark, sf):
+    return _desc(_catalogue(spark, sf).transform(AU.with_name()))
+
+
+@query("augment_tags")
+def q_augment_tags(spark, sf):
+    rm = T.tag_removals(spark, sf)
+    return _desc(_catalogue(spark, sf).transform(AU.with_tags(removals=rm)))
+
+
+@query("augment_features")
+def q_augment_features(spark, sf):
+    return _desc(_catalogue(spark, sf).transform(AU.with_features(max_features=10)))
+
+
+@query("augment_id")
+def q_augment_id(spark, sf):
+    return _desc(_catalogue(spark, sf).transform(AU.with_id()))
+
+
+@query("augment_scraped")
+def q_augment_scraped(spark, sf):
+    d = _catalogue(spark, sf).transform(AU.with_scraped(_scraped(spark, sf)))
+    return d.select("dataset_id", "scraped_data", "augmented_description")
+
+
+@query("augment_all")
+def q_augment_all(spark, sf):
+    rm = T.tag_removals(spark, sf)
+    steps = [AU.with_id(), AU.with_name(), AU.with_tags(removals=rm),
+             AU.with_features(max_features=10), AU.with_scraped(_scraped(spark, sf))]
+    return _desc(AU.augment(_catalogue(spark, sf), steps))
+
+
+@query("attach_rewrites")
+def q_attach_rewrites(spark, sf):
+    d = _catalogue(spark, sf).transform(AU.with_rewrites(T.rewrites(spark, sf)))
+    return d.select("dataset_id", "prompt_description")
+
+
+@query("rewrite_prompts")
+def q_rewrite_prompts(spark, sf):
+    d = AU.rewrite_prompts(_catalogue(spark, sf))
+    return d.select("dataset_id", "rewrite_prompt")
+
+
+@query("repair_urls")
+def q_repair_urls(spark, sf):
+    pages = T.table(spark, sf, "pages").select("page_id", "url")
+    mapping = (pages.filter(F.col("url").contains("#"))
+                    .select(F.col("url").alias("from_url"),
+                            F.regexp_replace("url", "#.*$", "").alias("to_url")))
+    return AU.repair_urls(pages, mapping)
+
+
+@query("clean_text")
+def q_clean_text(spark, sf):
+    d = T.table(spark, sf, "documents")
+    return d.select("doc_id", CL.clean_newlines_lower("text").alias("clean"))
+
+
+@query("squash_whitespace")
+def q_squash_ws(spark, sf):
+    d = T.table(spark, sf, "documents")
+    return d.select("doc_id", CL.squash_whitespace("text").alias("squashed"))
+
+
+@query("paragraphs")
+def q_paragraphs(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id", "text")
+    return CL.paragraphs(d).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "paragraph")
+
+
+@query("chunks")
+def q_chunks(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id", CL.squash_whitespace("text").alias("text"))
+    return d.select("doc_id", F.posexplode(CL.chunks("text", 500)).alias("pos", "chunk")) \
+            .select("doc_id", F.col("pos").cast("bigint").alias("pos"), "chunk")
+
+
+@query("html_text")
+def q_html_text(spark, sf):
+    p = T.table(spark, sf, "pages")
+    return p.select("page_id", CL.html_text("html").alias("text"))
+
+
+@query("route_by_domain")
+def q_route_by_domain(spark, sf):
+    from ..sources import files as SF
+    p = T.table(spark, sf, "pages").select("page_id", "url")
+    return SF.route_by_domain(p, "url", {"com": ".example.com", "net": ".example.net",
+                                         "org": ".example.org"}).select("page_id", "site")
+
+
+@query("drop_short")
+def q_drop_short(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id", "text")
+    kept, dropped = CL.drop_short(d, "text", 2)
+    return kept.select("doc_id", F.lit(1).cast("bigint").alias("kept")).unionByName(
+        dropped.select("doc_id", F.lit(0).cast("bigint").alias("kept")))
+
+
+@query("drop_flagged")
+def q_drop_flagged(spark, sf):
+    e = T.table(spark, sf, "events").select("event_id", "event_type", "props")
+    return CL.drop_flagged(e, "event_type", "error", "props").select("event_id")
+
+
+@query("min_length")
+def q_min_length(spark, sf):
+    return CL.min_length(_catalogue(spark, sf), "description", 100).select("dataset_id")
+
+
+@query("keep_domains")
+def q_keep_domains(spark, sf):
+    p = T.table(spark, sf, "pages").select("page_id", "url")
+    return CL.keep_domains(p, "url", [".example.com", ".example.org"]).select("page_id", "url")
+
+
+@query("align_embeddings")
+def q_align_embeddings(spark, sf):
+    kept = CL.min_length(_catalogue(spark, sf), "description", 100).select(F.col("dataset_id").alias("doc_id"))
+    return CL.align(T.vectors(spark, sf), kept, "doc_id").select("doc_id", F.col("label").cast("bigint").alias("label"))
+
+
+@query("backlog")
+def q_backlog(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id")
+    e = T.vectors(spark, sf).select("doc_id")
+    return CL.align(d, e, "doc_id", keep=False)
+
+
+def _doc_tokens(spark, sf, stop=True):
+    from ..functions.text import ENGLISH_STOP_WORDS, alpha_tokens
+    d = T.table(spark, sf, "documents").select("doc_id", "text")
+    return terms.doc_terms(d, "doc_id", "text", ENGLISH_STOP_WORDS if stop else (), tokenizer=alpha_tokens)
+
+
+@query("limit_vocabulary")
+def q_limit_vocabulary(spark, sf):
+    t = CL.limit_vocabulary(_doc_tokens(spark, sf), 2000)
+    return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+
+
+@query("min_count")
+def q_min_count(spark, sf):
+    t = CL.min_count(_doc_tokens(spark, sf), 50)
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("remove_stopwords")
+def q_remove_stopwords(spark, sf):
+    from ..functions.text import ENGLISH_STOP_WORDS
+    raw = _doc_tokens(spark, sf, stop=False)
+    sw = spark.createDataFrame([(w,) for w in ENGLISH_STOP_WORDS], "term string")
+    return CL.remove_stopwords(raw, sw).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+
+
+@query("fill_oov")
+def q_fill_oov(spark, sf):
+    from ..functions.text import ENGLISH_STOP_WORDS
+    top = terms.top_words(_topic_weights(spark, sf), k=10)
+    vocab = CL.min_count(_doc_tokens(spark, sf), 50).select("term").distinct()
+    d = T.table(spark, sf, "documents").select("doc_id", "text")
+    from ..functions.text import alpha_tokens, drop_words
+    first = (d.select("doc_id", F.posexplode(drop_words(alpha_tokens("text"), ENGLISH_STOP_WORDS))
+                       .alias("pos", "term"))
+              .transform(CL.first_token).first()[0])
+    out = CL.fill_oov(top, vocab, first)
+    return out.select(F.col("topic").cast("bigint").alias("topic"), "rank", "term")
+
+
+@query("exact_dedupe")
+def q_exact_dedupe(spark, sf):
+    d = T.table(spark, sf, "documents").select("text")
+    return CL.exact_dedupe(d, ["text"]).select(F.sha2("text", 256).alias("text_hash"))
