@@ -30,24 +30,25 @@ def term_counts(df: DataFrame, key: str, text: str, stop_words=ENGLISH_STOP_WORD
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n")))
 
 
-def tfidf(counts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A2: smoothed TF-IDF, L2-normalised per key.
+def tfidf(counts: DataFrame, key: str = "doc_id", n_docs: int | None = None) -> DataFrame:
+    """A2: smoothed TF-IDF, L2-normalised per key -> (key, term, weight, df).
 
     w = n * (ln((1+N)/(1+df)) + 1), then divided by the key's L2 norm.
-    N = number of keys with at least one term, df = keys containing the term.
-    Keys without terms have no rows (their vector is zero).
+    N = ``n_docs`` (all documents, also those without terms) or, when not
+    given, the number of keys with terms. Keys without terms have no rows.
     """
-    # one scalar through the driver: the number of keys
-    n_docs = counts.select(F.countDistinct(key)).first()[0]
+    if n_docs is None:
+        # one scalar through the driver: the number of keys
+        n_docs = counts.select(F.countDistinct(key)).first()[0]
     # df per term via partial aggregation; the join back is skew-split by AQE
     # when one term sits in a large share of the documents
     dfreq = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = (counts.join(dfreq, "term")
-                 .select(key, "term",
-                         (F.col("n") * (F.log((F.lit(1 + n_docs)) / (F.lit(1) + F.col("df"))) + 1))
+                 .select(key, "term", "df",
+                         (F.col("n") * (F.log(F.lit(1.0 + n_docs) / (F.lit(1) + F.col("df"))) + 1))
                          .alias("w")))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"), "df")
 
 
 def ctfidf(counts: DataFrame, cls: str = "topic", l1: bool = True,

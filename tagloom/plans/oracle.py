@@ -241,3 +241,83 @@ FROM ranked r WHERE r.rank <= 10
 ORACLE["exact_dedupe"] = """
 SELECT DISTINCT sha256(text) AS text_hash FROM documents
 """
+
+# -- TF-IDF, similarity join, near-duplicate removal --------------------------
+
+TFIDF = f"""
+  toks AS (SELECT doc_id, list_filter({tok('text')}, lambda t: t NOT IN ({STOP})) AS t FROM documents),
+  occ2 AS (SELECT doc_id, unnest(t) AS term FROM toks),
+  cnt2 AS (SELECT doc_id, term, count(*) AS n FROM occ2 GROUP BY 1, 2),
+  ndoc AS (SELECT count(*) AS N FROM documents),
+  dfq AS (SELECT term, count(*) AS df FROM cnt2 GROUP BY 1),
+  raw AS (SELECT c.doc_id, c.term, d.df, c.n * (ln((1.0 + ndoc.N) / (1 + d.df)) + 1) AS w
+          FROM cnt2 c JOIN dfq d USING (term) CROSS JOIN ndoc),
+  nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY 1),
+  tw AS (SELECT r.doc_id, r.term, r.w / nrm.norm AS weight FROM raw r JOIN nrm USING (doc_id)),
+  grp AS (SELECT doc_id, sha256(array_to_string(list_sort(t), ' ')) AS fp FROM toks WHERE len(t) > 0),
+  grp2 AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS rep FROM grp),
+  reps AS (SELECT doc_id FROM grp2 WHERE doc_id = rep),
+  rw AS (SELECT * FROM tw WHERE doc_id IN (SELECT doc_id FROM reps))
+"""
+
+
+def pairs_sql(t: float) -> str:
+    return f"""
+  pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.weight * y.weight) AS cosine
+            FROM rw x JOIN rw y ON x.term = y.term AND x.doc_id < y.doc_id
+            GROUP BY 1, 2 HAVING sum(x.weight * y.weight) > {t})"""
+
+
+ORACLE["tfidf_weights"] = f"""
+WITH {TFIDF}
+SELECT doc_id, term, round(weight, 6) AS weight FROM tw
+"""
+
+ORACLE["twin_groups"] = f"""
+WITH {TFIDF}
+SELECT doc_id, rep FROM grp2
+"""
+
+ORACLE["similar_pairs"] = f"""
+WITH {TFIDF}, {pairs_sql(0.9)}
+SELECT a, b, round(cosine, 6) AS cosine FROM pairs
+"""
+
+GREEDY = f"""
+WITH RECURSIVE {TFIDF}, {pairs_sql(0.99)},
+  nodes AS (SELECT a AS node FROM pairs UNION SELECT b FROM pairs),
+  x AS (SELECT a AS src, b AS dst FROM pairs UNION ALL SELECT node, node FROM nodes),
+  st(it, node, kept, und) AS (
+    SELECT 0, node, CASE WHEN node NOT IN (SELECT b FROM pairs) THEN 1 END, 1 FROM nodes
+    UNION ALL
+    SELECT it, node, kept, sum(CASE WHEN kept IS NULL THEN 1 ELSE 0 END) OVER () FROM (
+      SELECT max(s.it) + 1 AS it, x.dst AS node,
+             CASE WHEN max(CASE WHEN x.src = x.dst THEN s.kept END) IS NOT NULL
+                    THEN max(CASE WHEN x.src = x.dst THEN s.kept END)
+                  WHEN max(CASE WHEN x.src <> x.dst AND s.kept = 1 THEN 1 ELSE 0 END) = 1 THEN 0
+                  WHEN min(CASE WHEN x.src <> x.dst THEN CASE WHEN s.kept = 0 THEN 1 ELSE 0 END ELSE 1 END) = 1
+                    THEN 1 END AS kept
+      FROM st s JOIN x ON s.node = x.src
+      WHERE s.und > 0
+      GROUP BY x.dst)),
+  final AS (SELECT node, kept FROM st WHERE it = (SELECT max(it) FROM st)),
+  rep_kept AS (SELECT r.rep, coalesce(f.kept, 1) AS kept FROM (SELECT DISTINCT rep FROM grp2) r
+               LEFT JOIN final f ON f.node = r.rep),
+  member AS (SELECT g.doc_id, g.rep, k.kept FROM grp2 g JOIN rep_kept k USING (rep)),
+  dropped AS (SELECT doc_id FROM member WHERE kept = 0 OR doc_id <> rep),
+  sim AS (
+    SELECT rep AS kept_id, doc_id AS similar_id FROM member WHERE kept = 1 AND doc_id <> rep
+    UNION ALL
+    SELECT adj.rep AS kept_id, m.doc_id AS similar_id
+    FROM (SELECT a AS rep, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs) adj
+    JOIN rep_kept k ON k.rep = adj.rep AND k.kept = 1
+    JOIN grp2 m ON m.rep = adj.other)
+"""
+
+ORACLE["drop_similar_kept"] = GREEDY + """
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dropped)
+"""
+
+ORACLE["drop_similar_pairs"] = GREEDY + """
+SELECT kept_id, similar_id FROM sim
+"""

@@ -255,3 +255,48 @@ def q_fill_oov(spark, sf):
 def q_exact_dedupe(spark, sf):
     d = T.table(spark, sf, "documents").select("text")
     return CL.exact_dedupe(d, ["text"]).select(F.sha2("text", 256).alias("text_hash"))
+
+
+# -- TF-IDF, similarity join, near-duplicate removal --------------------------
+
+from ..operators import dedupe as DD  # noqa: E402
+
+DEDUPE_T = 0.99
+PAIRS_T = 0.9
+
+
+def _docs(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", "text")
+
+
+@query("tfidf_weights")
+def q_tfidf_weights(spark, sf):
+    w = DD.vectors(_docs(spark, sf))
+    return w.select("doc_id", "term", r6("weight").alias("weight"))
+
+
+@query("twin_groups")
+def q_twin_groups(spark, sf):
+    return DD.twin_groups(_docs(spark, sf))
+
+
+@query("similar_pairs")
+def q_similar_pairs(spark, sf):
+    pairs, _ = DD.representative_pairs(_docs(spark, sf), PAIRS_T)
+    return pairs.select("a", "b", r6("cosine").alias("cosine"))
+
+
+def _dedupe(spark, sf):
+    return DD.drop_similar(_docs(spark, sf), DEDUPE_T)
+
+
+@query("drop_similar_kept")
+def q_drop_similar_kept(spark, sf):
+    kept, _ = _dedupe(spark, sf)
+    return kept.select("doc_id")
+
+
+@query("drop_similar_pairs")
+def q_drop_similar_pairs(spark, sf):
+    _, similar = _dedupe(spark, sf)
+    return similar.select("kept_id", "similar_id")
