@@ -67,9 +67,9 @@ def ctfidf(counts: DataFrame, cls: str = "topic", l1: bool = True,
     tf = F.col("n") / F.col("total") if l1 else F.col("n").cast("double")
     if reduce_frequent:
         tf = F.sqrt(tf)
+    idf = F.log(F.col("A") / F.col("f") + F.lit(1))
     return (per_term.join(totals, cls)
-                    .select(cls, "term", "n",
-                            (tf * F.log(F.col("A") / F.col("f") + F.lit(1))).alias("weight")))
+                    .select(cls, "term", "n", idf.alias("idf"), (tf * idf).alias("weight")))
 
 
 def top_words(weights: DataFrame, cls: str = "topic", k: int = 10,
@@ -78,6 +78,13 @@ def top_words(weights: DataFrame, cls: str = "topic", k: int = 10,
     return top_k(weights, [cls], [F.col(weight).desc(), F.col("term").asc()], k)
 
 
+def positions(df: DataFrame, key: str, text: str, stop_words=ENGLISH_STOP_WORDS,
+              pattern: str = TOKEN_PATTERN) -> DataFrame:
+    """(key, pos, term): token positions (from 0) after stop-word removal."""
+    arr = drop_words(tokens(text, pattern), stop_words)
+    return df.select(F.col(key), F.posexplode(arr).alias("pos", "term"))
+
+
 def vocabulary(counts: DataFrame) -> DataFrame:
     """(term, n, docs) corpus counts from per-document counts."""
     return counts.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))

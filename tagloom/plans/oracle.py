@@ -321,3 +321,192 @@ SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dropped)
 ORACLE["drop_similar_pairs"] = GREEDY + """
 SELECT kept_id, similar_id FROM sim
 """
+
+# -- topic quality and topic tables ------------------------------------------
+
+QUALITY = f"""
+  tw AS (SELECT topic, term, rank FROM ranked WHERE rank <= 10 AND topic <> -1),
+  words AS (SELECT DISTINCT term FROM tw),
+  ptoks AS (SELECT doc_id, list_filter({tok('text')}, lambda t: t NOT IN ({STOP})) AS t FROM documents),
+  lens AS (SELECT doc_id, len(t) AS L FROM ptoks),
+  occp AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM ptoks),
+  occw AS (SELECT o.doc_id, o.term, o.pos, l.L FROM occp o JOIN lens l USING (doc_id)
+           WHERE o.term IN (SELECT term FROM words)),
+  tpairs AS (SELECT a.topic, a.term AS w1, b.term AS w2 FROM tw a JOIN tw b ON a.topic = b.topic AND a.term < b.term)
+"""
+
+
+def npmi_sql(mode: str) -> str:
+    if mode == "window":
+        units = """units AS (SELECT DISTINCT doc_id, u, term FROM (
+            SELECT doc_id, term, unnest(CASE WHEN L > 10 THEN range(greatest(0, pos - 9), least(pos, L - 10) + 1)
+                                             ELSE [0] END) AS u FROM occw)),
+          nunits AS (SELECT sum(CASE WHEN L > 10 THEN L - 9 ELSE 1 END) AS N FROM lens)"""
+    else:
+        units = """units AS (SELECT DISTINCT doc_id, 0 AS u, term FROM occw),
+          nunits AS (SELECT count(*) AS N FROM lens)"""
+    return f"""
+  {units},
+  wc AS (SELECT term, count(*) AS c FROM units GROUP BY 1),
+  pc AS (SELECT x.term AS w1, y.term AS w2, count(*) AS c12 FROM units x
+         JOIN units y ON x.doc_id = y.doc_id AND x.u = y.u AND x.term < y.term GROUP BY 1, 2),
+  j AS (SELECT p.topic, coalesce(c1.c, 0) AS c1, coalesce(c2.c, 0) AS c2, coalesce(pc.c12, 0) AS c12
+        FROM tpairs p LEFT JOIN wc c1 ON c1.term = p.w1 LEFT JOIN wc c2 ON c2.term = p.w2
+        LEFT JOIN pc ON pc.w1 = p.w1 AND pc.w2 = p.w2),
+  per_topic AS (SELECT topic, avg(ln((c12 / N + 1e-12) / ((c1 / N) * (c2 / N))) / (-ln(c12 / N + 1e-12))) AS npmi
+                FROM j CROSS JOIN nunits GROUP BY topic)"""
+
+
+ORACLE["npmi_window"] = f"""
+WITH {TOPIC_TERMS}, {QUALITY}, {npmi_sql('window')}
+SELECT CAST(topic AS BIGINT) AS topic, round(npmi, 6) AS npmi FROM per_topic
+"""
+
+ORACLE["npmi_document"] = f"""
+WITH {TOPIC_TERMS}, {QUALITY}, {npmi_sql('document')}
+SELECT CAST(topic AS BIGINT) AS topic, round(npmi, 6) AS npmi FROM per_topic
+"""
+
+ORACLE["diversity"] = f"""
+WITH {TOPIC_TERMS}, {QUALITY}
+SELECT round(count(DISTINCT term) / (10 * count(DISTINCT topic)), 6) AS diversity FROM tw
+"""
+
+ORACLE["weighted_quality"] = f"""
+WITH {TOPIC_TERMS}, {QUALITY}, {npmi_sql('window')},
+  c AS (SELECT avg(npmi) AS npmi FROM per_topic),
+  d AS (SELECT count(DISTINCT term) / (10 * count(DISTINCT topic)) AS diversity FROM tw)
+SELECT round(npmi, 6) AS npmi, round(diversity, 6) AS diversity,
+       round(ln((npmi + 1) / 2 + 1e-10), 6) AS log_coherence, round(ln(diversity + 1e-10), 6) AS log_diversity,
+       round(ln((npmi + 1) / 2 + 1e-10) + ln(diversity + 1e-10), 6) AS weighted
+FROM c CROSS JOIN d
+"""
+
+SIL = """
+  p AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label <> -1),
+  d AS (SELECT a.id, a.label AS la, b.label AS lb, list_distance(a.v, b.v) AS dist FROM p a JOIN p b ON a.id <> b.id),
+  m AS (SELECT id, la, lb, avg(dist) AS md FROM d GROUP BY 1, 2, 3),
+  sa AS (SELECT id, md AS a FROM m WHERE la = lb),
+  sb AS (SELECT id, min(md) AS b FROM m WHERE la <> lb GROUP BY 1),
+  s AS (SELECT p.id, p.label, CASE WHEN sa.a IS NOT NULL AND sb.b IS NOT NULL AND greatest(sa.a, sb.b) > 0
+                                  THEN (sb.b - sa.a) / greatest(sa.a, sb.b) ELSE 0 END AS s
+        FROM p LEFT JOIN sa ON sa.id = p.id LEFT JOIN sb ON sb.id = p.id)
+"""
+
+ORACLE["silhouette_samples"] = f"""
+WITH {SIL}
+SELECT id AS doc_id, CAST(label AS BIGINT) AS label, round(s, 6) AS s FROM s
+"""
+
+ORACLE["silhouette"] = f"""
+WITH {SIL}
+SELECT round(avg(s), 6) AS silhouette FROM s
+"""
+
+CENT = """
+  ex AS (SELECT vec_id AS doc_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+  cm AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM ex GROUP BY 1, 2),
+  cn AS (SELECT label, i, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS c FROM cm),
+  xn AS (SELECT doc_id, sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS nx FROM ex GROUP BY 1),
+  cos AS (SELECT e.doc_id, c.label AS topic, sum(CAST(e.x AS DOUBLE) * c.c) / any_value(xn.nx) AS cosine
+          FROM ex e JOIN cn c ON c.i = e.i JOIN xn ON xn.doc_id = e.doc_id GROUP BY 1, 2)
+"""
+
+ORACLE["centroids"] = f"""
+WITH {CENT}
+SELECT CAST(label AS BIGINT) AS topic, CAST(i AS BIGINT) AS i, round(c, 6) AS value FROM cn
+"""
+
+ORACLE["simplified_silhouette"] = f"""
+WITH {CENT},
+  dist AS (SELECT e.doc_id, e.label AS own, c.label AS other,
+                  sqrt(sum((CAST(e.x AS DOUBLE) - c.m) * (CAST(e.x AS DOUBLE) - c.m))) AS d
+           FROM ex e JOIN cm c ON c.i = e.i WHERE e.label <> -1 GROUP BY 1, 2, 3),
+  ab AS (SELECT doc_id, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b
+         FROM dist GROUP BY 1)
+SELECT round(avg(CASE WHEN b IS NOT NULL AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6)
+       AS silhouette FROM ab
+"""
+
+ORACLE["nearest_topic"] = f"""
+WITH {CENT},
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, topic) AS rn FROM cos)
+SELECT doc_id, CAST(topic AS BIGINT) AS topic, round(cosine, 6) AS cosine FROM r WHERE rn = 1
+"""
+
+MEMB = f"""{CENT},
+  memb AS (SELECT doc_id, topic, exp(cosine) / sum(exp(cosine)) OVER (PARTITION BY doc_id) AS prob FROM cos)
+"""
+
+ORACLE["membership"] = f"""
+WITH {MEMB}
+SELECT doc_id, CAST(topic AS BIGINT) AS topic, round(prob, 6) AS prob FROM memb
+"""
+
+ORACLE["top_topics"] = f"""
+WITH {MEMB},
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY prob DESC, topic) AS rank FROM memb WHERE topic <> -1)
+SELECT doc_id, CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 2
+"""
+
+ORACLE["topic_info"] = f"""
+WITH {TOPIC_TERMS},
+  sizes AS (SELECT topic, count(*) AS count FROM assign GROUP BY 1),
+  wl AS (SELECT topic, string_agg(term, '_' ORDER BY rank) FILTER (WHERE rank <= 3) AS lab,
+                string_agg(term, ', ' ORDER BY rank) AS rep FROM ranked WHERE rank <= 10 GROUP BY 1)
+SELECT CAST(s.topic AS BIGINT) AS topic, s.count, CAST(s.topic AS VARCHAR) || '_' || wl.lab AS name,
+       wl.rep AS representation
+FROM sizes s LEFT JOIN wl USING (topic)
+"""
+
+ORACLE["rank_topics"] = """
+WITH assign AS (SELECT d.doc_id, CAST(coalesce(e.label, -1) AS INTEGER) AS topic
+                FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
+  sizes AS (SELECT topic, count(*) AS count FROM assign GROUP BY 1)
+SELECT CAST(topic AS BIGINT) AS topic, count,
+       CAST(CASE WHEN topic = -1 THEN -1 ELSE row_number() OVER (ORDER BY count DESC, topic) - 1 END AS BIGINT)
+       AS new_topic
+FROM sizes WHERE topic <> -1
+UNION ALL
+SELECT CAST(topic AS BIGINT), count, CAST(-1 AS BIGINT) FROM sizes WHERE topic = -1
+"""
+
+DOCVEC = f"""
+  dtok AS (SELECT doc_id, unnest({tok('text')}) AS term FROM documents),
+  dcnt AS (SELECT doc_id, term, count(*) AS n FROM dtok WHERE term NOT IN ({STOP}) GROUP BY 1, 2),
+  dtot AS (SELECT doc_id, sum(n) AS tot FROM dcnt GROUP BY 1),
+  idf AS (SELECT DISTINCT w.term, ln(aa.A / tf.f + 1) AS idf FROM cnt w JOIN tf USING (term) CROSS JOIN aa),
+  dv AS (SELECT c.doc_id, c.term, c.n / t.tot * i.idf AS weight FROM dcnt c JOIN dtot t USING (doc_id) JOIN idf i USING (term)),
+  dn AS (SELECT doc_id, sqrt(sum(weight * weight)) AS dn FROM dv GROUP BY 1),
+  tn AS (SELECT topic, sqrt(sum(weight * weight)) AS tn FROM w GROUP BY 1)
+"""
+
+ORACLE["representative_docs"] = f"""
+WITH {TOPIC_TERMS}, {DOCVEC},
+  sims AS (SELECT a.doc_id, a.topic, sum(dv.weight * w.weight) / (any_value(dn.dn) * any_value(tn.tn)) AS cosine
+           FROM assign a JOIN dv USING (doc_id) JOIN w ON w.topic = a.topic AND w.term = dv.term
+           JOIN dn ON dn.doc_id = a.doc_id JOIN tn ON tn.topic = a.topic GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY cosine DESC, doc_id) AS rank FROM sims)
+SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, doc_id, round(cosine, 6) AS cosine
+FROM r WHERE rank <= 4
+"""
+
+ORACLE["reassign_outliers"] = f"""
+WITH {TOPIC_TERMS}, {DOCVEC},
+  sims AS (SELECT a.doc_id, w.topic, sum(dv.weight * w.weight) / (any_value(dn.dn) * any_value(tn.tn)) AS score
+           FROM assign a JOIN dv USING (doc_id) JOIN w ON w.term = dv.term AND w.topic <> -1
+           JOIN dn ON dn.doc_id = a.doc_id JOIN tn ON tn.topic = w.topic WHERE a.topic = -1 GROUP BY 1, 2),
+  best AS (SELECT doc_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic) AS rn
+                                      FROM sims) WHERE rn = 1 AND score > 0)
+SELECT a.doc_id, CAST(CASE WHEN a.topic = -1 AND b.topic IS NOT NULL THEN b.topic ELSE a.topic END AS BIGINT) AS topic
+FROM assign a LEFT JOIN best b USING (doc_id)
+"""
+
+ORACLE["topic_similarity"] = f"""
+WITH {TOPIC_TERMS},
+  tn AS (SELECT topic, sqrt(sum(weight * weight)) AS tn FROM w GROUP BY 1),
+  dots AS (SELECT a.topic AS t1, b.topic AS t2, sum(a.weight * b.weight) AS dot FROM w a JOIN w b
+           ON a.term = b.term AND a.topic < b.topic GROUP BY 1, 2)
+SELECT CAST(t1 AS BIGINT) AS t1, CAST(t2 AS BIGINT) AS t2, round(dot / (n1.tn * n2.tn), 6) AS cosine
+FROM dots JOIN tn n1 ON n1.topic = t1 JOIN tn n2 ON n2.topic = t2
+"""

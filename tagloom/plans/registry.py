@@ -300,3 +300,149 @@ def q_drop_similar_kept(spark, sf):
 def q_drop_similar_pairs(spark, sf):
     _, similar = _dedupe(spark, sf)
     return similar.select("kept_id", "similar_id")
+
+
+# -- topic quality and topic tables ------------------------------------------
+
+from ..operators import quality as QU  # noqa: E402
+from ..operators import topics as TP  # noqa: E402
+
+
+def _topic_words(spark, sf, k=10):
+    top = terms.top_words(_topic_weights(spark, sf), k=k)
+    return top.filter(F.col("topic") != -1)
+
+
+def _positions(spark, sf):
+    return terms.positions(_docs(spark, sf), "doc_id", "text")
+
+
+def _lengths(spark, sf):
+    from ..functions.text import ENGLISH_STOP_WORDS, drop_words, tokens
+    return _docs(spark, sf).select("doc_id", F.size(drop_words(tokens("text"), ENGLISH_STOP_WORDS)).alias("L"))
+
+
+@query("npmi_window")
+def q_npmi_window(spark, sf):
+    s = QU.npmi(_topic_words(spark, sf), _positions(spark, sf), mode="window", window=10,
+                lengths=_lengths(spark, sf))
+    return s.select(F.col("topic").cast("bigint").alias("topic"), r6("npmi").alias("npmi"))
+
+
+@query("npmi_document")
+def q_npmi_document(spark, sf):
+    s = QU.npmi(_topic_words(spark, sf), _positions(spark, sf), mode="document",
+                lengths=_lengths(spark, sf))
+    return s.select(F.col("topic").cast("bigint").alias("topic"), r6("npmi").alias("npmi"))
+
+
+@query("diversity")
+def q_diversity(spark, sf):
+    return QU.diversity(_topic_words(spark, sf), k=10).select(r6("diversity").alias("diversity"))
+
+
+@query("weighted_quality")
+def q_weighted_quality(spark, sf):
+    coh = QU.npmi(_topic_words(spark, sf), _positions(spark, sf), mode="window",
+                  lengths=_lengths(spark, sf)).agg(F.avg("npmi").alias("npmi"))
+    div = QU.diversity(_topic_words(spark, sf), k=10)
+    # two one-row results side by side: union + max, no join needed
+    both = (coh.select("npmi", F.lit(None).cast("double").alias("diversity"))
+               .unionByName(div.select(F.lit(None).cast("double").alias("npmi"), "diversity"))
+               .agg(F.max("npmi").alias("npmi"), F.max("diversity").alias("diversity")))
+    lc, ld, w = QU.weighted_quality_cols("npmi", "diversity")
+    return both.select(r6("npmi").alias("npmi"), r6("diversity").alias("diversity"),
+                       r6(lc).alias("log_coherence"), r6(ld).alias("log_diversity"), r6(w).alias("weighted"))
+
+
+def _vectors(spark, sf):
+    return T.vectors(spark, sf)
+
+
+@query("silhouette_samples")
+def q_silhouette_samples(spark, sf):
+    s = QU.silhouette_samples(_vectors(spark, sf), block_rows=128)
+    return s.select("doc_id", F.col("label").cast("bigint").alias("label"), r6("s").alias("s"))
+
+
+@query("silhouette")
+def q_silhouette(spark, sf):
+    return QU.silhouette(_vectors(spark, sf), block_rows=128).select(r6("silhouette").alias("silhouette"))
+
+
+def _centroids(spark, sf):
+    return TP.centroids(_vectors(spark, sf), cls="label")
+
+
+@query("centroids")
+def q_centroids(spark, sf):
+    c = _centroids(spark, sf)
+    return c.select(F.col("label").cast("bigint").alias("topic"), F.posexplode("centroid").alias("i", "value")) \
+            .select("topic", F.col("i").cast("bigint").alias("i"), r6("value").alias("value"))
+
+
+@query("simplified_silhouette")
+def q_simplified_silhouette(spark, sf):
+    c = TP.centroids(_vectors(spark, sf), cls="label", normalize=False)
+    s = QU.simplified_silhouette(_vectors(spark, sf), c)
+    return s.agg(F.avg("s").alias("s")).select(r6("s").alias("silhouette"))
+
+
+@query("nearest_topic")
+def q_nearest_topic(spark, sf):
+    n = TP.nearest(_vectors(spark, sf), _centroids(spark, sf), cls="label")
+    return n.select("doc_id", F.col("label").cast("bigint").alias("topic"), r6("cosine").alias("cosine"))
+
+
+def _membership(spark, sf):
+    return TP.membership(_vectors(spark, sf), _centroids(spark, sf), cls="label").withColumnRenamed("label", "topic")
+
+
+@query("membership")
+def q_membership(spark, sf):
+    m = _membership(spark, sf)
+    return m.select("doc_id", F.col("topic").cast("bigint").alias("topic"), r6("prob").alias("prob"))
+
+
+@query("top_topics")
+def q_top_topics(spark, sf):
+    t = TP.top_topics(_membership(spark, sf), k=2)
+    return t.select("doc_id", F.col("topic").cast("bigint").alias("topic"), "rank")
+
+
+@query("topic_info")
+def q_topic_info(spark, sf):
+    info = TP.topic_info(T.topic_assignments(spark, sf), terms.top_words(_topic_weights(spark, sf), k=10))
+    return info.select(F.col("topic").cast("bigint").alias("topic"), "count", "name", "representation")
+
+
+@query("rank_topics")
+def q_rank_topics(spark, sf):
+    r = TP.rank_topics(TP.topic_sizes(T.topic_assignments(spark, sf)))
+    return r.select(F.col("topic").cast("bigint").alias("topic"), "count", F.col("new_topic").cast("bigint").alias("new_topic"))
+
+
+def _doc_vec(spark, sf):
+    counts = terms.term_counts(_docs(spark, sf), "doc_id", "text")
+    return TP.doc_class_vectors(counts, _topic_weights(spark, sf))
+
+
+@query("representative_docs")
+def q_representative_docs(spark, sf):
+    r = TP.representative_docs(_doc_vec(spark, sf), _topic_weights(spark, sf), T.topic_assignments(spark, sf), n=4)
+    return r.select(F.col("topic").cast("bigint").alias("topic"), "rank", "doc_id", r6("cosine").alias("cosine"))
+
+
+@query("reassign_outliers")
+def q_reassign_outliers(spark, sf):
+    assign = T.topic_assignments(spark, sf)
+    cand = TP.ctfidf_candidates(_doc_vec(spark, sf), _topic_weights(spark, sf), assign.filter("topic = -1"))
+    out = TP.reassign_outliers(assign, cand)
+    return out.select("doc_id", F.col("topic").cast("bigint").alias("topic"))
+
+
+@query("topic_similarity")
+def q_topic_similarity(spark, sf):
+    s = TP.topic_similarity(_topic_weights(spark, sf))
+    return s.select(F.col("t1").cast("bigint").alias("t1"), F.col("t2").cast("bigint").alias("t2"),
+                    r6("cosine").alias("cosine"))
