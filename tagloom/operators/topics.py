@@ -124,7 +124,9 @@ def representative_docs(doc_vec: DataFrame, ctfidf_w: DataFrame, assign: DataFra
     dn = doc_vec.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("dn"))
     tn = tv.groupBy(cls).agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
     sims = dots.join(dn, key).join(tn, cls).select(key, cls, (F.col("dot") / (F.col("dn") * F.col("tn"))).alias("cosine"))
-    return top_k(sims, [cls], [F.col("cosine").desc(), F.col(key).asc()], n)
+    # cosines equal to 12 digits are ties (exact copies differ only by float
+    # summation order); ties go to the smaller id
+    return top_k(sims, [cls], [F.round("cosine", 12).desc(), F.col(key).asc()], n)
 
 
 def reassign_outliers(assign: DataFrame, candidates: DataFrame, threshold: float = 0.0,

@@ -486,7 +486,7 @@ WITH {TOPIC_TERMS}, {DOCVEC},
   sims AS (SELECT a.doc_id, a.topic, sum(dv.weight * w.weight) / (any_value(dn.dn) * any_value(tn.tn)) AS cosine
            FROM assign a JOIN dv USING (doc_id) JOIN w ON w.topic = a.topic AND w.term = dv.term
            JOIN dn ON dn.doc_id = a.doc_id JOIN tn ON tn.topic = a.topic GROUP BY 1, 2),
-  r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY cosine DESC, doc_id) AS rank FROM sims)
+  r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(cosine, 12) DESC, doc_id) AS rank FROM sims)
 SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, doc_id, round(cosine, 6) AS cosine
 FROM r WHERE rank <= 4
 """
@@ -510,3 +510,188 @@ WITH {TOPIC_TERMS},
 SELECT CAST(t1 AS BIGINT) AS t1, CAST(t2 AS BIGINT) AS t2, round(dot / (n1.tn * n2.tn), 6) AS cosine
 FROM dots JOIN tn n1 ON n1.topic = t1 JOIN tn n2 ON n2.topic = t2
 """
+
+# -- prompts, payloads and tags ------------------------------------------------
+
+from .fixtures import DIRTY_PAYLOADS  # noqa: E402
+
+DIRTY_VALUES = ", ".join(f"({t}, '{r}')" for t, r in DIRTY_PAYLOADS)
+
+REPDOCS = f"""
+  sims_r AS (SELECT a.doc_id, a.topic, sum(dv.weight * w.weight) / (any_value(dn.dn) * any_value(tn.tn)) AS cosine
+             FROM assign a JOIN dv USING (doc_id) JOIN w ON w.topic = a.topic AND w.term = dv.term
+             JOIN dn ON dn.doc_id = a.doc_id JOIN tn ON tn.topic = a.topic GROUP BY 1, 2),
+  rep_all AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(cosine, 12) DESC, doc_id) AS rank FROM sims_r)
+"""
+
+PAYLOAD = f"""
+  rep AS (SELECT topic, rank AS drank, doc_id FROM rep_all WHERE rank <= 4 AND topic <> -1),
+  tt AS (SELECT topic, term, rank AS trank FROM ranked WHERE rank <= 10 AND topic <> -1),
+  sc AS (SELECT r.topic, r.drank, r.doc_id, t.term, t.trank, least(1.0, coalesce(c.n, 0) / 10.0) AS score
+         FROM rep r JOIN tt t ON t.topic = r.topic LEFT JOIN dcnt c ON c.doc_id = r.doc_id AND c.term = t.term),
+  dj AS (SELECT topic, drank, '"' || CAST(doc_id AS VARCHAR) || '": {{' ||
+                string_agg('"' || term || '": ' || printf('%.1f', score), ', ' ORDER BY trank) || '}}' AS dj
+         FROM sc GROUP BY topic, drank, doc_id),
+  tx AS (SELECT topic, string_agg(dj, ', ' ORDER BY drank) AS tx FROM dj GROUP BY 1),
+  lists AS (SELECT topic,
+                   coalesce(string_agg('"' || term || '"', ', ' ORDER BY trank) FILTER (WHERE trank <= 7), '') AS th,
+                   coalesce(string_agg('"' || term || '"', ', ' ORDER BY trank) FILTER (WHERE trank > 7), '') AS ov
+            FROM tt GROUP BY 1),
+  praw AS (SELECT CAST(l.topic AS INTEGER) AS topic_id,
+                 '{{"topic": {{"themes": [' || l.th || '], "overarching_themes": [' || l.ov || ']}}, "texts": {{' ||
+                 x.tx || '}}}}' AS raw
+          FROM lists l JOIN tx x USING (topic)
+          UNION ALL SELECT * FROM (VALUES {DIRTY_VALUES}) v(topic_id, raw)),
+  parsed AS (SELECT topic_id, CASE WHEN json_valid(raw) THEN json_transform(raw,
+               '{{"topic": {{"themes": ["VARCHAR"], "overarching_themes": ["VARCHAR"]}},
+                 "texts": "MAP(VARCHAR, MAP(VARCHAR, JSON))"}}') END AS p FROM praw),
+  okp AS (SELECT * FROM parsed WHERE p IS NOT NULL AND p.texts IS NOT NULL),
+  ent0 AS (SELECT topic_id AS topic, unnest(map_keys(p.texts)) AS doc_key, unnest(map_values(p.texts)) AS tags FROM okp),
+  ent1 AS (SELECT topic, TRY_CAST(doc_key AS BIGINT) AS dataset_id, unnest(map_keys(tags)) AS tag,
+                  unnest(map_values(tags)) AS value FROM ent0 WHERE TRY_CAST(doc_key AS BIGINT) IS NOT NULL),
+  entries AS (
+    SELECT topic, dataset_id, tag, TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS nested_kind
+    FROM ent1 WHERE tag NOT IN ('themes', 'overarching_themes')
+    UNION ALL
+    SELECT topic, dataset_id, unnest(map_keys(m)) AS tag, unnest(map_values(m)) AS score, nested_kind FROM (
+      SELECT topic, dataset_id, tag AS nested_kind,
+             json_transform(value, '"MAP(VARCHAR, DOUBLE)"') AS m
+      FROM ent1 WHERE tag IN ('themes', 'overarching_themes'))),
+  tl0 AS (SELECT topic_id AS topic, unnest(p.topic.themes) AS tag, 2 AS k FROM okp
+          UNION ALL SELECT topic_id, unnest(p.topic.overarching_themes), 1 FROM okp),
+  tlists AS (SELECT topic, tag, CASE WHEN max(k) = 2 THEN 'themes' ELSE 'overarching_themes' END AS listed_kind
+             FROM tl0 GROUP BY 1, 2),
+  classified AS (
+    SELECT e.dataset_id, coalesce(e.nested_kind, l.listed_kind, 'themes') AS kind, e.tag, max(e.score) AS score
+    FROM entries e LEFT JOIN tlists l ON l.topic = e.topic AND l.tag = e.tag GROUP BY 1, 2, 3)
+"""
+
+TAGBASE = f"WITH {TOPIC_TERMS}, {DOCVEC}, {REPDOCS}, {PAYLOAD}"
+
+ORACLE["payload_parse"] = TAGBASE + """
+SELECT CAST(topic_id AS BIGINT) AS topic_id, CAST(CASE WHEN p IS NOT NULL AND p.texts IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS ok
+FROM parsed
+"""
+
+ORACLE["classify_tags"] = TAGBASE + """
+SELECT dataset_id, kind, tag, round(score, 6) AS score FROM classified
+"""
+
+ORACLE["missing_ids"] = TAGBASE + """
+SELECT doc_id AS dataset_id FROM documents
+WHERE doc_id NOT IN (SELECT DISTINCT TRY_CAST(k AS BIGINT) FROM (SELECT unnest(map_keys(p.texts)) AS k FROM okp)
+                     WHERE TRY_CAST(k AS BIGINT) IS NOT NULL)
+"""
+
+ORACLE["threshold_tags"] = TAGBASE + """
+SELECT dataset_id, kind, tag, round(score, 6) AS score FROM classified
+WHERE (kind = 'themes' AND score > 0.7) OR (kind = 'overarching_themes' AND score > 0.5)
+   OR kind NOT IN ('themes', 'overarching_themes')
+"""
+
+ORACLE["select_labels"] = TAGBASE + """,
+  s AS (SELECT dataset_id AS doc_id, tag AS label, score FROM classified WHERE score IS NOT NULL),
+  best AS (SELECT doc_id, label, score FROM (
+             SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS rn FROM s) WHERE rn = 1)
+SELECT doc_id, label, round(score, 6) AS score FROM s WHERE score > 0.5
+UNION ALL
+SELECT doc_id, label, round(score, 6) FROM best WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE score > 0.5)
+"""
+
+ORACLE["select_label_single"] = TAGBASE + """,
+  s AS (SELECT dataset_id AS doc_id, tag AS label, score FROM classified WHERE score IS NOT NULL)
+SELECT doc_id, label, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS rn FROM s) WHERE rn = 1
+"""
+
+ORACLE["propagate_tags"] = GREEDY.replace("WITH RECURSIVE", f"WITH RECURSIVE {DOCVEC.strip()},", 1) \
+    .replace("WITH RECURSIVE", f"WITH RECURSIVE {TOPIC_TERMS.strip()},", 1) + "," + REPDOCS + "," + PAYLOAD + """,
+  spread AS (
+    SELECT topic, dataset_id, tag, score, nested_kind FROM entries
+    UNION ALL
+    SELECT e.topic, s.similar_id, e.tag, e.score, e.nested_kind FROM sim s JOIN entries e ON e.dataset_id = s.kept_id)
+SELECT e.dataset_id, coalesce(e.nested_kind, l.listed_kind, 'themes') AS kind, e.tag, round(max(e.score), 6) AS score
+FROM spread e LEFT JOIN tlists l ON l.topic = e.topic AND l.tag = e.tag GROUP BY 1, 2, 3
+"""
+
+TOPTAGS = f"""{MEMB},
+  dtop AS (SELECT doc_id, topic, rank AS topic_rank FROM (
+             SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY prob DESC, topic) AS rank
+             FROM memb WHERE topic <> -1) WHERE rank <= 2),
+  ttag AS (SELECT topic, term AS tag, rank AS tag_rank FROM ranked WHERE rank <= 10 AND topic <> -1)
+"""
+
+ORACLE["candidate_tags"] = f"""
+WITH {TOPIC_TERMS}, {TOPTAGS}
+SELECT DISTINCT d.doc_id, t.tag FROM dtop d JOIN ttag t USING (topic)
+"""
+
+ORACLE["ordered_distinct_tags"] = f"""
+WITH {TOPIC_TERMS}, {TOPTAGS},
+  seq AS (SELECT d.doc_id, t.tag, min(d.topic_rank * 100 + t.tag_rank) AS pos FROM dtop d JOIN ttag t USING (topic)
+          GROUP BY 1, 2)
+SELECT doc_id, string_agg(tag, ',' ORDER BY pos) AS tags FROM seq GROUP BY 1
+"""
+
+ORACLE["common_tags"] = f"""
+WITH {TOPIC_TERMS}, {DOCVEC}, {REPDOCS}, {PAYLOAD}, {TOPTAGS.replace(CENT.strip() + ",", "", 0)}
+SELECT DISTINCT d.doc_id, t.tag FROM dtop d JOIN ttag t USING (topic)
+WHERE (d.doc_id, t.tag) IN (SELECT dataset_id, tag FROM classified)
+"""
+
+ORACLE["tag_shares"] = TAGBASE + """,
+  f AS (SELECT kind, tag, count(*) AS n FROM classified GROUP BY 1, 2),
+  t AS (SELECT kind, count(*) AS tot FROM classified GROUP BY 1)
+SELECT f.kind, f.tag, f.n, round(f.n * 100.0 / t.tot, 6) AS share FROM f JOIN t USING (kind)
+"""
+
+ORACLE["score_histogram"] = TAGBASE + """
+SELECT kind, CAST(least(floor(score * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM classified
+WHERE score IS NOT NULL GROUP BY 1, 2
+"""
+
+WC = r"CASE WHEN regexp_replace({x}, '^\s+|\s+$', '', 'g') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '\s+')) END"
+
+
+def wc_sql(x):
+    return WC.format(x=x)
+
+
+def trunc_sql(x, n):
+    return (f"CASE WHEN {wc_sql(x)} <= {n} THEN {x} ELSE array_to_string(regexp_split_to_array("
+            rf"regexp_replace({x}, '^\s+|\s+$', '', 'g'), '\s+')[1:{n}], ' ') END")
+
+
+ORACLE["truncate_docs"] = f"""
+SELECT doc_id, {trunc_sql('text', 50)} AS truncated, CAST({wc_sql('text')} AS BIGINT) AS words FROM documents
+"""
+
+BUDGET = f"""
+  bd0 AS (SELECT r.topic, r.rank, r.doc_id,
+                 'ID: ' || CAST(r.doc_id AS VARCHAR) || chr(10) || chr(10) || {trunc_sql('d.text', 50)} AS doc
+          FROM rep_all r JOIN documents d USING (doc_id) WHERE r.rank <= 10),
+  bd1 AS (SELECT *, {wc_sql('doc')} AS tokens FROM bd0),
+  bd AS (SELECT * FROM (SELECT *, sum(tokens) OVER (PARTITION BY topic ORDER BY rank
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM bd1)
+         WHERE run <= 300)
+"""
+
+ORACLE["fit_budget"] = f"""
+WITH {TOPIC_TERMS}, {DOCVEC}, {REPDOCS}, {BUDGET}
+SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, doc_id, CAST(tokens AS BIGINT) AS tokens FROM bd
+"""
+
+ORACLE["build_prompts"] = f"""
+WITH {TOPIC_TERMS}, {DOCVEC}, {REPDOCS}, {BUDGET},
+  kw AS (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS kw FROM ranked WHERE rank <= 10 GROUP BY 1),
+  dd AS (SELECT topic, string_agg('- ' || doc || chr(10) || '---' || chr(10), '' ORDER BY rank) AS docs,
+                string_agg(string_split(string_split(doc, chr(10))[1], ': ')[2], ', ' ORDER BY rank) AS ids
+         FROM bd GROUP BY 1),
+  j AS (SELECT coalesce(kw.topic, dd.topic) AS topic, kw.kw, dd.docs, dd.ids FROM kw FULL JOIN dd USING (topic))
+SELECT CAST(topic AS BIGINT) AS topic,
+       replace(replace(replace('I have a topic that contains the following documents:' || chr(10) || '[DOCUMENTS]' || chr(10)
+         || 'The topic is described by the following keywords: [KEYWORDS]' || chr(10)
+         || 'The documents have these ids: [IDS]' || chr(10),
+         '[KEYWORDS]', coalesce(kw, '')), '[DOCUMENTS]', coalesce(docs, '')), '[IDS]', coalesce(ids, '')) AS prompt
+FROM j
+"""

@@ -446,3 +446,157 @@ def q_topic_similarity(spark, sf):
     s = TP.topic_similarity(_topic_weights(spark, sf))
     return s.select(F.col("t1").cast("bigint").alias("t1"), F.col("t2").cast("bigint").alias("t2"),
                     r6("cosine").alias("cosine"))
+
+
+# -- prompts, payloads and tags ------------------------------------------------
+
+from ..operators import tags as TG  # noqa: E402
+from ..sources import files as SF  # noqa: E402
+from . import fixtures as FX  # noqa: E402
+
+
+def _payloads(spark, sf):
+    raw = FX.payload_texts(spark, sf)
+    parsed = raw.withColumn("payload", SF.parse_payload("raw"))
+    ok = F.col("payload").isNotNull() & F.col("payload.texts").isNotNull()
+    return parsed.filter(ok).select("topic_id", "payload"), parsed.filter(~ok).select("topic_id", "raw")
+
+
+@query("payload_parse")
+def q_payload_parse(spark, sf):
+    ok, bad = _payloads(spark, sf)
+    return ok.select("topic_id", F.lit(1).cast("bigint").alias("ok")).unionByName(
+        bad.select("topic_id", F.lit(0).cast("bigint").alias("ok"))).select(
+        F.col("topic_id").cast("bigint").alias("topic_id"), "ok")
+
+
+def _classified(spark, sf):
+    ok, _ = _payloads(spark, sf)
+    return TG.classify_tags(ok)
+
+
+def _tags_out(df):
+    return df.select("dataset_id", "kind", "tag", r6("score").alias("score"))
+
+
+@query("classify_tags")
+def q_classify_tags(spark, sf):
+    return _tags_out(_classified(spark, sf))
+
+
+@query("missing_ids")
+def q_missing_ids(spark, sf):
+    ok, _ = _payloads(spark, sf)
+    found = TG.doc_topics(ok)
+    return TG.missing_ids(T.load_catalogue(spark, sf), found)
+
+
+@query("propagate_tags")
+def q_propagate_tags(spark, sf):
+    ok, _ = _payloads(spark, sf)
+    entries = TG.payload_entries(ok)
+    _, similar = _dedupe(spark, sf)
+    spread = DD.propagate_tags(entries, similar)
+    lists = TG.topic_lists(ok)
+    kind = F.coalesce(F.col("nested_kind"), F.col("listed_kind"), F.lit("themes"))
+    out = (spread.join(lists, ["topic", "tag"], "left")
+                 .groupBy("dataset_id", kind.alias("kind"), "tag").agg(F.max("score").alias("score")))
+    return _tags_out(out)
+
+
+@query("threshold_tags")
+def q_threshold_tags(spark, sf):
+    return _tags_out(TG.threshold_tags(_classified(spark, sf), {"themes": 0.7, "overarching_themes": 0.5}))
+
+
+@query("select_labels")
+def q_select_labels(spark, sf):
+    s = _classified(spark, sf).select(F.col("dataset_id").alias("doc_id"), F.col("tag").alias("label"), "score")
+    out = TG.select_labels(s.filter(F.col("score").isNotNull()), 0.5, True)
+    return out.select("doc_id", "label", r6("score").alias("score"))
+
+
+@query("select_label_single")
+def q_select_label_single(spark, sf):
+    s = _classified(spark, sf).select(F.col("dataset_id").alias("doc_id"), F.col("tag").alias("label"), "score")
+    out = TG.select_labels(s.filter(F.col("score").isNotNull()), 0.5, False)
+    return out.select("doc_id", "label", r6("score").alias("score"))
+
+
+def _topic_tag_table(spark, sf):
+    top = terms.top_words(_topic_weights(spark, sf), k=10).filter(F.col("topic") != -1)
+    return top.select("topic", F.col("term").alias("tag"), F.col("rank").alias("tag_rank"))
+
+
+@query("candidate_tags")
+def q_candidate_tags(spark, sf):
+    dt = TP.top_topics(_membership(spark, sf), k=2)
+    return TG.candidate_tags(dt, _topic_tag_table(spark, sf))
+
+
+@query("ordered_distinct_tags")
+def q_ordered_distinct(spark, sf):
+    dt = TP.top_topics(_membership(spark, sf), k=2).select("doc_id", "topic", F.col("rank").alias("topic_rank"))
+    seq = dt.join(_topic_tag_table(spark, sf), "topic").select(
+        "doc_id", "tag", (F.col("topic_rank") * 100 + F.col("tag_rank")).alias("pos"))
+    od = TG.ordered_distinct(seq)
+    return od.select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("common_tags")
+def q_common_tags(spark, sf):
+    """U4 predicted vs actual: candidate tags (from each document's top-2
+    topics) that the payload also gives the document."""
+    dt = TP.top_topics(_membership(spark, sf), k=2)
+    predicted = TG.candidate_tags(dt, _topic_tag_table(spark, sf))
+    actual = _classified(spark, sf).select(F.col("dataset_id").alias("doc_id"), "tag")
+    return TG.shared_tags(predicted, actual)
+
+
+@query("tag_shares")
+def q_tag_shares(spark, sf):
+    s = TG.tag_shares(_classified(spark, sf))
+    return s.select("kind", "tag", "n", r6("share").alias("share"))
+
+
+@query("score_histogram")
+def q_score_histogram(spark, sf):
+    h = TG.score_histogram(_classified(spark, sf).filter(F.col("score").isNotNull()))
+    return h.select("kind", F.col("bin").cast("bigint").alias("bin"), "n")
+
+
+PROMPT_TEMPLATE = ("I have a topic that contains the following documents:\n[DOCUMENTS]\n"
+                   "The topic is described by the following keywords: [KEYWORDS]\n"
+                   "The documents have these ids: [IDS]\n")
+
+
+def _budgeted_docs(spark, sf, n_docs=10, words=50, budget=300):
+    docs, assign, doc_counts, weights, top = FX.topic_model(spark, sf)
+    rep = TP.representative_docs(TP.doc_class_vectors(doc_counts, weights), weights, assign, n=n_docs)
+    d = rep.join(docs, "doc_id").select(
+        "topic", "rank", "doc_id",
+        F.concat(F.lit("ID: "), F.col("doc_id").cast("string"), F.lit("\n\n"),
+                 TG.truncate_words("text", words)).alias("doc"))
+    d = d.withColumn("tokens", TG.word_count("doc"))
+    return TG.fit_budget(d, budget), top
+
+
+@query("truncate_docs")
+def q_truncate_docs(spark, sf):
+    d = _docs(spark, sf)
+    return d.select("doc_id", TG.truncate_words("text", 50).alias("truncated"),
+                    TG.word_count("text").cast("bigint").alias("words"))
+
+
+@query("fit_budget")
+def q_fit_budget(spark, sf):
+    d, _ = _budgeted_docs(spark, sf)
+    return d.select(F.col("topic").cast("bigint").alias("topic"), "rank", "doc_id",
+                    F.col("tokens").cast("bigint").alias("tokens"))
+
+
+@query("build_prompts")
+def q_build_prompts(spark, sf):
+    d, top = _budgeted_docs(spark, sf)
+    p = TG.build_prompts(top, d, PROMPT_TEMPLATE)
+    return p.select(F.col("topic").cast("bigint").alias("topic"), "prompt")
