@@ -695,3 +695,212 @@ SELECT CAST(topic AS BIGINT) AS topic,
          '[KEYWORDS]', coalesce(kw, '')), '[DOCUMENTS]', coalesce(docs, '')), '[IDS]', coalesce(ids, '')) AS prompt
 FROM j
 """
+
+# -- experiment runs and statistics -------------------------------------------
+
+RUNS = """runs AS (
+    SELECT o_orderkey AS run_id, o_orderpriority AS Model, CAST(month(o_orderdate) AS INTEGER) AS nr_topics,
+           o_orderstatus AS Dataset, o_totalprice / 1000000.0::DOUBLE AS npmi,
+           CAST(o_orderkey % 100 AS DOUBLE) / 100.0::DOUBLE AS diversity, o_orderdate AS ts
+    FROM orders)"""
+
+ORACLE["mean_by_model"] = f"""
+WITH {RUNS}
+SELECT Model, round(avg(npmi), 6) AS npmi, round(avg(diversity), 6) AS diversity FROM runs GROUP BY 1
+"""
+
+BOARD = """board AS (
+    SELECT Model,
+      avg(npmi) FILTER (WHERE Dataset = 'F') AS F_npmi, avg(diversity) FILTER (WHERE Dataset = 'F') AS F_diversity,
+      avg(npmi) FILTER (WHERE Dataset = 'O') AS O_npmi, avg(diversity) FILTER (WHERE Dataset = 'O') AS O_diversity,
+      avg(npmi) FILTER (WHERE Dataset = 'P') AS P_npmi, avg(diversity) FILTER (WHERE Dataset = 'P') AS P_diversity
+    FROM runs GROUP BY 1)"""
+
+ORACLE["leaderboard"] = f"""
+WITH {RUNS}, {BOARD}
+SELECT Model, CAST(row_number() OVER (ORDER BY F_npmi ASC NULLS LAST, Model) AS BIGINT) AS position,
+       round(F_npmi, 6) AS F_npmi, round(F_diversity, 6) AS F_diversity, round(O_npmi, 6) AS O_npmi,
+       round(O_diversity, 6) AS O_diversity, round(P_npmi, 6) AS P_npmi, round(P_diversity, 6) AS P_diversity
+FROM board
+"""
+
+ORACLE["topic_quality"] = f"""
+WITH {RUNS}
+SELECT Model, Dataset, round(avg(npmi) * avg(diversity), 6) AS quality FROM runs GROUP BY 1, 2
+"""
+
+ORACLE["flatten_runs"] = f"""
+WITH {RUNS}, ds AS (SELECT Dataset, row_number() OVER (ORDER BY Dataset) - 1 AS fi FROM (SELECT DISTINCT Dataset FROM runs))
+SELECT run_id, Model || '_' || CAST(fi AS VARCHAR) AS Model, CAST(nr_topics AS BIGINT) AS nr_topics
+FROM runs JOIN ds USING (Dataset)
+"""
+
+ORACLE["flatten_slices"] = f"""
+WITH {RUNS}
+SELECT Model, Dataset, CAST(year(ts) AS VARCHAR) AS slice, round(avg(npmi), 6) AS npmi,
+       round(avg(diversity), 6) AS diversity FROM runs GROUP BY 1, 2, 3
+"""
+
+ORACLE["band"] = f"""
+WITH {RUNS}, g AS (SELECT Model, nr_topics, avg(npmi) AS m, stddev_samp(npmi) AS s FROM runs GROUP BY 1, 2)
+SELECT Model, CAST(nr_topics AS BIGINT) AS nr_topics, round(m, 6) AS mean, round(s, 6) AS std,
+       round(m - 0.5 * s, 6) AS lower, round(m + 0.5 * s, 6) AS upper FROM g
+"""
+
+ORACLE["run_summary"] = f"""
+WITH {RUNS}
+SELECT Model, CAST(nr_topics AS BIGINT) AS nr_topics, count(*) AS runs, round(avg(npmi), 6) AS mean,
+       round(stddev_samp(npmi), 6) AS std, round(median(npmi), 6) AS median FROM runs GROUP BY 1, 2
+"""
+
+ORACLE["grid"] = f"""
+WITH {RUNS}
+SELECT m.Model, CAST(t.nr_topics AS BIGINT) AS nr_topics
+FROM (SELECT DISTINCT Model FROM runs) m CROSS JOIN (SELECT DISTINCT nr_topics FROM runs) t
+"""
+
+ORACLE["best_run"] = f"""
+WITH {RUNS}, g AS (SELECT Model, nr_topics, avg(npmi) AS mean FROM runs GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (ORDER BY mean DESC, Model, nr_topics) AS place FROM g)
+SELECT Model, CAST(nr_topics AS BIGINT) AS nr_topics, round(mean, 6) AS mean, CAST(place AS BIGINT) AS place
+FROM r WHERE place <= 3
+"""
+
+ORACLE["top3_marks"] = f"""
+WITH {RUNS}, {BOARD},
+  l AS (SELECT 'F_npmi' AS "column", Model, round(F_npmi, 3) AS value FROM board
+        UNION ALL SELECT 'F_diversity', Model, round(F_diversity, 3) FROM board
+        UNION ALL SELECT 'O_npmi', Model, round(O_npmi, 3) FROM board
+        UNION ALL SELECT 'O_diversity', Model, round(O_diversity, 3) FROM board
+        UNION ALL SELECT 'P_npmi', Model, round(P_npmi, 3) FROM board
+        UNION ALL SELECT 'P_diversity', Model, round(P_diversity, 3) FROM board),
+  r AS (SELECT *, dense_rank() OVER (PARTITION BY "column" ORDER BY value DESC) AS mark FROM l WHERE value IS NOT NULL)
+SELECT "column", Model, round(value, 6) AS value, CAST(mark AS BIGINT) AS mark FROM r WHERE mark <= 3
+"""
+
+
+def one_way_sql(src: str, value: str, by: str) -> str:
+    """ANOVA parts per stratum ``by`` (may be empty) over groups Model."""
+    bsel = f"{by}, " if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return f"""
+  gm AS (SELECT {bsel}Model, avg({value}) AS m FROM {src} GROUP BY {bsel}Model),
+  gs AS (SELECT {('s.' + by + ', ') if by else ''}s.Model, count(*) AS n, any_value(g.m) AS m, sum(({value} - g.m) * ({value} - g.m)) AS ssw_g
+         FROM {src} s JOIN gm g ON g.Model = s.Model {'AND g.' + by + ' = s.' + by if by else ''}
+         GROUP BY {('s.' + by + ', ') if by else ''}s.Model),
+  gs2 AS (SELECT *, sum(n) OVER ({part}) AS NN, sum(n * m) OVER ({part}) / sum(n) OVER ({part}) AS MM FROM gs),
+  aov AS (SELECT {bsel}sum(n * (m - MM) * (m - MM)) AS ssb, sum(ssw_g) AS ssw, count(*) AS k, any_value(NN) AS NN
+          FROM gs2 {grp})"""
+
+
+ORACLE["levene"] = f"""
+WITH {RUNS}, med AS (SELECT nr_topics, Model, median(npmi) AS md FROM runs GROUP BY 1, 2),
+  zt AS (SELECT r.nr_topics, r.Model, abs(r.npmi - m.md) AS z FROM runs r JOIN med m USING (nr_topics, Model)),
+  {one_way_sql('zt', 'z', 'nr_topics').lstrip().rstrip()}
+SELECT CAST(nr_topics AS BIGINT) AS nr_topics, round((ssb / (k - 1)) / (ssw / (NN - k)), 6) AS W FROM aov
+"""
+
+ORACLE["anova"] = f"""
+WITH {RUNS}, {one_way_sql('runs', 'npmi', 'nr_topics').lstrip()}
+SELECT CAST(nr_topics AS BIGINT) AS nr_topics, round((ssb / (k - 1)) / (ssw / (NN - k)), 6) AS F_stat,
+       round(ssb / (ssb + ssw), 6) AS np2 FROM aov
+"""
+
+ORACLE["bartlett"] = f"""
+WITH {RUNS}, gs AS (SELECT nr_topics, Model, count(*) AS n, var_samp(npmi) AS v FROM runs GROUP BY 1, 2),
+  a AS (SELECT nr_topics, count(*) AS k, sum(n) AS NN, sum((n - 1) * v) AS sv, sum((n - 1) * ln(v)) AS slv,
+               sum(1.0 / (n - 1)) AS sinv FROM gs GROUP BY 1)
+SELECT CAST(nr_topics AS BIGINT) AS nr_topics,
+       round(((NN - k) * ln(sv / (NN - k)) - slv) / (1.0 + (1.0 / (3 * (k - 1))) * (sinv - 1.0 / (NN - k))), 6) AS T
+FROM a
+"""
+
+ORACLE["cell_residuals"] = f"""
+WITH {RUNS}
+SELECT run_id, round(npmi - avg(npmi) OVER (PARTITION BY Model, nr_topics), 6) AS residual FROM runs
+"""
+
+GSTATS = """gst AS (SELECT Model, count(*) AS n, avg(npmi) AS mean, var_samp(npmi) AS v FROM runs GROUP BY 1)"""
+
+ORACLE["welch_anova"] = f"""
+WITH {RUNS}, {GSTATS},
+  w1 AS (SELECT *, n / v AS w FROM gst),
+  w2 AS (SELECT *, sum(w) OVER () AS WW, count(*) OVER () AS k, sum(w * mean) OVER () / sum(w) OVER () AS mp FROM w1),
+  t AS (SELECT any_value(k) AS k, sum(w * (mean - mp) * (mean - mp)) AS A0,
+               sum((1 - w / WW) * (1 - w / WW) / (n - 1)) AS lam FROM w2),
+  {one_way_sql('runs', 'npmi', '').lstrip()}
+SELECT round((A0 / (k - 1)) / (1.0 + 2 * (k - 2) / (k * k - 1) * lam), 6) AS F_stat, round(CAST(k - 1 AS DOUBLE), 6) AS df1,
+       round((k * k - 1) / (3 * lam), 6) AS df2, round((SELECT ssb / (ssb + ssw) FROM aov), 6) AS np2 FROM t
+"""
+
+PAIRS_G = """pg AS (SELECT a.Model AS A, b.Model AS B, a.n AS na, b.n AS nb, a.mean AS ma, b.mean AS mb, a.v AS va,
+                          b.v AS vb FROM gst a JOIN gst b ON a.Model < b.Model)"""
+
+ORACLE["games_howell"] = f"""
+WITH {RUNS}, {GSTATS}, {PAIRS_G},
+  x AS (SELECT *, va / na AS qa, vb / nb AS qb,
+               (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d FROM pg)
+SELECT A, B, round(ma - mb, 6) AS diff, round(sqrt(qa + qb), 6) AS se, round((ma - mb) / sqrt(qa + qb), 6) AS T,
+       round(abs((ma - mb) / sqrt(qa + qb)) * sqrt(2.0), 6) AS q,
+       round((qa + qb) * (qa + qb) / (qa * qa / (na - 1) + qb * qb / (nb - 1)), 6) AS df,
+       round(d * (1.0 - 3.0 / (4 * (na + nb) - 9)), 6) AS hedges
+FROM x
+"""
+
+ORACLE["cohens_d"] = f"""
+WITH {RUNS}, {GSTATS}, {PAIRS_G}
+SELECT A, B, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS d FROM pg
+"""
+
+ORACLE["correlation"] = f"""
+WITH {RUNS},
+  r AS (SELECT Model, npmi, diversity,
+               rank() OVER (PARTITION BY Model ORDER BY npmi) + (count(*) OVER (PARTITION BY Model, npmi) - 1) / 2.0 AS rx,
+               rank() OVER (PARTITION BY Model ORDER BY diversity)
+                 + (count(*) OVER (PARTITION BY Model, diversity) - 1) / 2.0 AS ry FROM runs)
+SELECT Model, count(*) AS n, round(corr(npmi, diversity), 6) AS pearson, round(corr(rx, ry), 6) AS spearman
+FROM r GROUP BY 1
+"""
+
+MIDRANK = """mr AS (SELECT Model, npmi,
+                rank() OVER (ORDER BY npmi) + (count(*) OVER (PARTITION BY npmi) - 1) / 2.0 AS rk FROM runs),
+  ties AS (SELECT sum(c * c * c - c) AS tt, sum(c) AS NN FROM (SELECT count(*) AS c FROM runs GROUP BY npmi))"""
+
+ORACLE["kruskal"] = f"""
+WITH {RUNS}, {MIDRANK},
+  g AS (SELECT Model, count(*) AS n, sum(rk) AS R FROM mr GROUP BY 1),
+  s AS (SELECT sum(R * R / n) AS sr, count(*) AS k FROM g),
+  h AS (SELECT (12.0 / (NN * (NN + 1)) * sr - 3 * (NN + 1)) / (1.0 - tt / (NN * NN * NN - NN)) AS H, k, NN FROM s, ties)
+SELECT round(H, 6) AS H, round(CAST(k - 1 AS DOUBLE), 6) AS df, round((H - k + 1) / (NN - k), 6) AS eta2 FROM h
+"""
+
+ORACLE["dunn"] = f"""
+WITH {RUNS}, {MIDRANK},
+  g AS (SELECT Model, count(*) AS n, avg(rk) AS rb FROM mr GROUP BY 1)
+SELECT a.Model AS A, b.Model AS B,
+       round((a.rb - b.rb) / sqrt((NN * (NN + 1) / 12.0 - tt / (12.0 * (NN - 1))) * (1.0 / a.n + 1.0 / b.n)), 6) AS z
+FROM g a JOIN g b ON a.Model < b.Model CROSS JOIN ties
+"""
+
+ORACLE["cliffs_delta"] = f"""
+WITH {RUNS}, vc AS (SELECT Model, diversity AS v, count(*) AS c FROM runs GROUP BY 1, 2),
+  n AS (SELECT Model, sum(c) AS n FROM vc GROUP BY 1)
+SELECT a.Model AS A, b.Model AS B,
+       round(sum(a.c * b.c * sign(a.v - b.v)) / (any_value(na.n) * any_value(nb.n)), 6) AS delta
+FROM vc a JOIN vc b ON a.Model < b.Model JOIN n na ON na.Model = a.Model JOIN n nb ON nb.Model = b.Model
+GROUP BY 1, 2
+"""
+
+ORACLE["describe_scores"] = f"""
+WITH {RUNS}, m AS (SELECT Model, count(*) AS n, avg(diversity) AS mean, stddev_samp(diversity) AS sd,
+                         median(diversity) AS median FROM runs GROUP BY 1),
+  mo AS (SELECT Model, avg((diversity - mean) ^ 2) AS m2, avg((diversity - mean) ^ 3) AS m3,
+                avg((diversity - mean) ^ 4) AS m4 FROM runs JOIN m USING (Model) GROUP BY 1),
+  vc AS (SELECT Model, diversity, count(*) AS c FROM runs GROUP BY 1, 2),
+  md AS (SELECT Model, diversity AS mode FROM (
+           SELECT *, row_number() OVER (PARTITION BY Model ORDER BY c DESC, diversity) AS r FROM vc) WHERE r = 1)
+SELECT m.Model, m.n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(m3 / (m2 ^ 1.5), 6) AS skewness,
+       round(m4 / (m2 * m2) - 3, 6) AS kurtosis, round(mode, 6) AS mode, round(median, 6) AS median
+FROM m JOIN mo USING (Model) JOIN md USING (Model)
+"""

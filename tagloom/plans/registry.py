@@ -600,3 +600,209 @@ def q_build_prompts(spark, sf):
     d, top = _budgeted_docs(spark, sf)
     p = TG.build_prompts(top, d, PROMPT_TEMPLATE)
     return p.select(F.col("topic").cast("bigint").alias("topic"), "prompt")
+
+
+# -- experiment runs -----------------------------------------------------------
+
+from ..operators import runs as RU  # noqa: E402
+from ..operators import stats as ST  # noqa: E402
+
+DATASETS = ["F", "O", "P"]
+
+
+def _runs(spark, sf):
+    return T.experiment_runs(spark, sf)
+
+
+@query("mean_by_model")
+def q_mean_by_model(spark, sf):
+    m = RU.mean_by_model(_runs(spark, sf))
+    return m.select("Model", r6("npmi").alias("npmi"), r6("diversity").alias("diversity"))
+
+
+@query("leaderboard")
+def q_leaderboard(spark, sf):
+    b = RU.leaderboard(_runs(spark, sf), DATASETS, digits=None)
+    cols = [r6(c).alias(c) for c in b.columns if c not in ("Model", "position")]
+    return b.select("Model", F.col("position").cast("bigint").alias("position"), *cols)
+
+
+@query("topic_quality")
+def q_topic_quality(spark, sf):
+    q = RU.topic_quality(_runs(spark, sf))
+    return q.select("Model", "Dataset", r6("quality").alias("quality"))
+
+
+def _run_records(spark, sf):
+    r = _runs(spark, sf)
+    params = (F.when(F.col("Model").isin("1-URGENT", "2-HIGH"),
+                     F.create_map(F.lit("num_topics"), F.col("nr_topics").cast("string")))
+               .when(F.col("Model") == "5-LOW",
+                     F.create_map(F.lit("nr_topics"), F.lit("0"), F.lit("n_components"), F.col("nr_topics").cast("string")))
+               .otherwise(F.create_map(F.lit("nr_topics"), F.col("nr_topics").cast("string"))))
+    # file index = position of the dataset among the distinct datasets (bounded)
+    from pyspark.sql import Window
+    ds = r.select("Dataset").distinct().withColumn("file_index", F.row_number().over(Window.orderBy("Dataset")) - 1)
+    return r.select("run_id", "Model", "Dataset", params.alias("Params")).join(ds, "Dataset")
+
+
+@query("flatten_runs")
+def q_flatten_runs(spark, sf):
+    f = RU.flatten_runs(_run_records(spark, sf))
+    return f.select("run_id", "Model", F.col("nr_topics").cast("bigint").alias("nr_topics"))
+
+
+@query("flatten_slices")
+def q_flatten_slices(spark, sf):
+    r = _runs(spark, sf).withColumn("slice", F.year("ts").cast("string"))
+    per = r.groupBy("Model", "Dataset", "slice").agg(F.avg("npmi").alias("npmi"), F.avg("diversity").alias("diversity"))
+    # one map per (model, dataset), bounded by the number of time slices
+    dtm = per.groupBy("Model", "Dataset").agg(F.map_from_entries(F.collect_list(
+        F.struct("slice", F.struct("npmi", "diversity")))).alias("Scores"))
+    f = RU.flatten_slices(dtm)
+    return f.select("Model", "Dataset", "slice", r6("npmi").alias("npmi"), r6("diversity").alias("diversity"))
+
+
+@query("band")
+def q_band(spark, sf):
+    b = RU.band(_runs(spark, sf))
+    return b.select("Model", F.col("nr_topics").cast("bigint").alias("nr_topics"),
+                    *[r6(c).alias(c) for c in ("mean", "std", "lower", "upper")])
+
+
+@query("run_summary")
+def q_run_summary(spark, sf):
+    s = RU.run_summary(_runs(spark, sf))
+    return s.select("Model", F.col("nr_topics").cast("bigint").alias("nr_topics"), "runs",
+                    *[r6(c).alias(c) for c in ("mean", "std", "median")])
+
+
+@query("grid")
+def q_grid(spark, sf):
+    r = _runs(spark, sf)
+    params = r.agg(F.array_sort(F.collect_set("Model")).alias("Model"),
+                   F.array_sort(F.collect_set("nr_topics")).alias("nr_topics"))
+    g = RU.grid(params)
+    return g.select("Model", F.col("nr_topics").cast("bigint").alias("nr_topics"))
+
+
+@query("best_run")
+def q_best_run(spark, sf):
+    r = _runs(spark, sf)
+    out = None
+    for k in (1, 2, 3):
+        b = RU.best_run(r, rank=k)
+        out = b if out is None else out.unionByName(b)
+    return out.select("Model", F.col("nr_topics").cast("bigint").alias("nr_topics"), r6("mean").alias("mean"),
+                      F.col("place").cast("bigint").alias("place"))
+
+
+@query("top3_marks")
+def q_top3_marks(spark, sf):
+    b = RU.leaderboard(_runs(spark, sf), DATASETS, digits=3)
+    cols = [c for c in b.columns if c not in ("Model", "position")]
+    t = RU.top3_marks(b, cols)
+    return t.select("column", "Model", r6("value").alias("value"), F.col("mark").cast("bigint").alias("mark"))
+
+
+# -- statistics ---------------------------------------------------------------
+
+def _nt(df):
+    return df.withColumn("nr_topics", F.col("nr_topics").cast("bigint"))
+
+
+@query("levene")
+def q_levene(spark, sf):
+    t = ST.levene(_runs(spark, sf), "npmi", "Model", ["nr_topics"])
+    return _nt(t).select("nr_topics", r6("W").alias("W"))
+
+
+@query("bartlett")
+def q_bartlett(spark, sf):
+    t = ST.bartlett(_runs(spark, sf), "npmi", "Model", ["nr_topics"])
+    return _nt(t).select("nr_topics", r6("T").alias("T"))
+
+
+@query("cell_residuals")
+def q_cell_residuals(spark, sf):
+    t = ST.cell_residuals(_runs(spark, sf), "npmi", ["Model", "nr_topics"], "run_id")
+    return t.select("run_id", r6("residual").alias("residual"))
+
+
+@query("welch_anova")
+def q_welch_anova(spark, sf):
+    t = ST.welch_anova(_runs(spark, sf), "npmi", "Model")
+    return t.select(r6("F_stat").alias("F_stat"), r6("df1").alias("df1"), r6("df2").alias("df2"), r6("np2").alias("np2"))
+
+
+@query("games_howell")
+def q_games_howell(spark, sf):
+    t = ST.games_howell(_runs(spark, sf), "npmi", "Model")
+    return t.select("A", "B", *[r6(c).alias(c) for c in ("diff", "se", "T", "q", "df", "hedges")])
+
+
+@query("anova")
+def q_anova(spark, sf):
+    t = ST.anova(_runs(spark, sf), "npmi", "Model", ["nr_topics"])
+    return _nt(t).select("nr_topics", r6("F_stat").alias("F_stat"), r6("np2").alias("np2"))
+
+
+@query("correlation")
+def q_correlation(spark, sf):
+    t = ST.correlation(_runs(spark, sf), "npmi", "diversity", ["Model"])
+    return t.select("Model", "n", r6("pearson").alias("pearson"), r6("spearman").alias("spearman"))
+
+
+@query("kruskal")
+def q_kruskal(spark, sf):
+    t = ST.kruskal(_runs(spark, sf), "npmi", "Model")
+    return t.select(r6("H").alias("H"), r6("df").alias("df"), r6("eta2").alias("eta2"))
+
+
+@query("dunn")
+def q_dunn(spark, sf):
+    t = ST.dunn(_runs(spark, sf), "npmi", "Model")
+    return t.select("A", "B", r6("z").alias("z"))
+
+
+@query("cliffs_delta")
+def q_cliffs_delta(spark, sf):
+    t = ST.cliffs_delta(_runs(spark, sf), "diversity", "Model")
+    return t.select("A", "B", r6("delta").alias("delta"))
+
+
+@query("cohens_d")
+def q_cohens_d(spark, sf):
+    t = ST.cohens_d(_runs(spark, sf), "npmi", "Model")
+    return t.select("A", "B", r6("d").alias("d"))
+
+
+@query("describe_scores")
+def q_describe(spark, sf):
+    t = ST.describe(_runs(spark, sf), "diversity", ["Model"])
+    return t.select("Model", "n", *[r6(c).alias(c) for c in ("mean", "sd", "skewness", "kurtosis", "mode", "median")])
+
+
+@query("anderson_darling")
+def q_anderson(spark, sf):
+    t = ST.anderson_darling(_runs(spark, sf), "npmi", ["Model"])
+    return t.select("Model", "n", r6("A2").alias("A2"), r6("A2_star").alias("A2_star"))
+
+
+@query("test_pvalues")
+def q_test_pvalues(spark, sf):
+    r = _runs(spark, sf)
+    parts = [
+        ST.welch_anova(r, "npmi", "Model").select(F.lit("welch_anova").alias("test"), F.lit("").alias("key"), "p"),
+        ST.kruskal(r, "npmi", "Model").select(F.lit("kruskal").alias("test"), F.lit("").alias("key"), "p"),
+        ST.levene(r, "npmi", "Model", ["nr_topics"]).select(F.lit("levene").alias("test"),
+                                                             F.col("nr_topics").cast("string").alias("key"), "p"),
+        ST.bartlett(r, "npmi", "Model", ["nr_topics"]).select(F.lit("bartlett").alias("test"),
+                                                               F.col("nr_topics").cast("string").alias("key"), "p"),
+        ST.dunn(r, "npmi", "Model").select(F.lit("dunn").alias("test"), F.concat_ws("|", "A", "B").alias("key"),
+                                           F.col("p_bonf").alias("p")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("test", "key", r6("p").alias("p"))
