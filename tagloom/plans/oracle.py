@@ -904,3 +904,215 @@ SELECT m.Model, m.n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(m3 / (m2
        round(m4 / (m2 * m2) - 3, 6) AS kurtosis, round(mode, 6) AS mode, round(median, 6) AS median
 FROM m JOIN mo USING (Model) JOIN md USING (Model)
 """
+
+# -- agreement, time, profiles -------------------------------------------------
+
+RATINGS = """ratings AS (
+    SELECT user_id % 7 AS rater, event_id % 50 AS item, event_type AS model,
+           CAST(1 + floor(value) % 5 AS INTEGER) AS rating, event_id FROM events),
+  one AS (SELECT rater, item, arg_max(rating, event_id) AS rating FROM ratings GROUP BY 1, 2)"""
+
+ORACLE["fleiss_kappa"] = f"""
+WITH {RATINGS},
+  nij AS (SELECT item, rating, count(*) AS nij FROM one WHERE rating IS NOT NULL GROUP BY 1, 2),
+  pi AS (SELECT item, sum(nij) AS ni, sum(nij * nij) AS sq FROM nij GROUP BY 1 HAVING sum(nij) >= 2),
+  pb AS (SELECT avg((sq - ni) / (ni * (ni - 1))) AS pbar, sum(ni) AS total FROM pi),
+  pj AS (SELECT rating, sum(nij) AS nj FROM nij WHERE item IN (SELECT item FROM pi) GROUP BY 1),
+  pe AS (SELECT sum((nj / (SELECT total FROM pb)) ^ 2) AS pe FROM pj)
+SELECT round(pbar, 6) AS p_bar, round(pe, 6) AS pe, round((pbar - pe) / (1 - pe), 6) AS kappa FROM pb, pe
+"""
+
+KRIPP = f"""
+WITH {RATINGS},
+  nuc AS (SELECT item, rating, count(*) AS nuc FROM one WHERE rating IS NOT NULL GROUP BY 1, 2),
+  mu AS (SELECT item, sum(nuc) AS mu FROM nuc GROUP BY 1 HAVING sum(nuc) >= 2),
+  u AS (SELECT n.*, m.mu FROM nuc n JOIN mu m USING (item)),
+  o AS (SELECT a.rating AS c, b.rating AS k, sum(a.nuc * (b.nuc - CASE WHEN a.rating = b.rating THEN 1 ELSE 0 END)
+                                              / (a.mu - 1)) AS o
+        FROM u a JOIN u b USING (item) GROUP BY 1, 2),
+  marg AS (SELECT c, sum(o) AS nc FROM o GROUP BY 1),
+  cum AS (SELECT c, nc, sum(nc) OVER (ORDER BY c) AS cum FROM marg),
+  pairs AS (SELECT a.c, b.c AS k, a.nc, b.nc AS nk, a.cum AS cum_c, b.cum AS cum_k FROM cum a CROSS JOIN cum b),
+  d AS (SELECT c, k, nc, nk,
+          CASE WHEN c = k THEN 0.0 ELSE 1.0 END AS d_nom,
+          CAST((c - k) * (c - k) AS DOUBLE) AS d_int,
+          CASE WHEN c = k THEN 0.0 ELSE
+            (greatest(cum_c, cum_k) - CASE WHEN c <= k THEN cum_c - nc ELSE cum_k - nk END - (nc + nk) / 2.0) ^ 2 END AS d_ord
+        FROM pairs),
+  agg AS (SELECT (SELECT sum(nc) FROM marg) AS n,
+                 sum(coalesce(o.o, 0) * d_nom) AS do_nom, sum(nc * nk * d_nom) AS de_nom,
+                 sum(coalesce(o.o, 0) * d_ord) AS do_ord, sum(nc * nk * d_ord) AS de_ord,
+                 sum(coalesce(o.o, 0) * d_int) AS do_int, sum(nc * nk * d_int) AS de_int
+          FROM d LEFT JOIN o USING (c, k))
+SELECT 'nominal' AS level, round(1 - (n - 1) * do_nom / de_nom, 6) AS alpha FROM agg
+UNION ALL SELECT 'ordinal', round(1 - (n - 1) * do_ord / de_ord, 6) FROM agg
+UNION ALL SELECT 'interval', round(1 - (n - 1) * do_int / de_int, 6) FROM agg
+"""
+
+ORACLE["krippendorff_alpha"] = KRIPP
+
+ORACLE["icc"] = f"""
+WITH {RATINGS},
+  r AS (SELECT rater, item, CAST(rating AS DOUBLE) AS x FROM one WHERE rating IS NOT NULL),
+  kk AS (SELECT count(DISTINCT rater) AS k FROM r),
+  full_items AS (SELECT item FROM r GROUP BY 1 HAVING count(*) = (SELECT k FROM kk)),
+  f AS (SELECT * FROM r WHERE item IN (SELECT item FROM full_items)),
+  g AS (SELECT avg(x) AS gm, count(DISTINCT item) AS n, (SELECT k FROM kk) AS k FROM f),
+  ss AS (SELECT (SELECT sum((x - gm) ^ 2) FROM f, g) AS sst,
+                (SELECT sum((m - gm) ^ 2) FROM (SELECT avg(x) AS m FROM f GROUP BY item), g) * (SELECT k FROM g) AS ssr,
+                (SELECT sum((m - gm) ^ 2) FROM (SELECT avg(x) AS m FROM f GROUP BY rater), g) * (SELECT n FROM g) AS ssc),
+  ms AS (SELECT ssr / (n - 1) AS msr, ssc / (k - 1) AS msc, (sst - ssr - ssc) / ((n - 1) * (k - 1)) AS mse,
+                (sst - ssr) / (n * (k - 1)) AS msw, n, k FROM ss, g)
+SELECT 'ICC1' AS type, round((msr - msw) / (msr + (k - 1) * msw), 6) AS icc FROM ms
+UNION ALL SELECT 'ICC2', round((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n), 6) FROM ms
+UNION ALL SELECT 'ICC3', round((msr - mse) / (msr + (k - 1) * mse), 6) FROM ms
+UNION ALL SELECT 'ICC1k', round((msr - msw) / msr, 6) FROM ms
+UNION ALL SELECT 'ICC2k', round((msr - mse) / (msr + (msc - mse) / n), 6) FROM ms
+UNION ALL SELECT 'ICC3k', round((msr - mse) / msr, 6) FROM ms
+"""
+
+ORACLE["confusion"] = """
+WITH j AS (SELECT CAST(d.n_chars >= 2000 AS INTEGER) AS pred, l.quality AS truth
+           FROM documents d JOIN labels l USING (doc_id)),
+  c AS (SELECT sum(CASE WHEN pred = 1 AND truth = 1 THEN 1 ELSE 0 END) AS tp,
+               sum(CASE WHEN pred = 1 AND truth <> 1 THEN 1 ELSE 0 END) AS fp,
+               sum(CASE WHEN pred <> 1 AND truth = 1 THEN 1 ELSE 0 END) AS fn,
+               sum(CASE WHEN pred <> 1 AND truth <> 1 THEN 1 ELSE 0 END) AS tn FROM j)
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn,
+       round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall,
+       round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END, 6) AS specificity,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM c
+"""
+
+INTRUDER = f"""{TOPTAGS},
+  tags5 AS (SELECT * FROM ttag WHERE tag_rank <= 5),
+  shown AS (SELECT d.doc_id, t.tag FROM dtop d JOIN tags5 t USING (topic) WHERE d.topic_rank = 1),
+  alien AS (SELECT d.doc_id, t.tag FROM dtop d JOIN tags5 t USING (topic) WHERE d.topic_rank = 2),
+  cand AS (SELECT * FROM alien f WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.doc_id = f.doc_id AND s.tag = f.tag)),
+  tasks AS (SELECT doc_id, arg_min(tag, md5(CAST(doc_id AS VARCHAR) || '|' || tag)) AS intruder FROM cand GROUP BY 1)
+"""
+
+ORACLE["intruder_tasks"] = f"""
+WITH {TOPIC_TERMS}, {INTRUDER}
+SELECT doc_id, intruder FROM tasks
+"""
+
+ORACLE["intruder_rate"] = f"""
+WITH {TOPIC_TERMS}, {INTRUDER},
+  opts AS (SELECT doc_id, tag FROM shown UNION ALL SELECT doc_id, intruder FROM tasks),
+  first AS (SELECT doc_id, topic FROM dtop WHERE topic_rank = 1),
+  sc AS (SELECT o.doc_id, o.tag, coalesce(w.weight, 0.0) AS weight FROM opts o JOIN first f USING (doc_id)
+         LEFT JOIN w ON w.topic = f.topic AND w.term = o.tag),
+  ans AS (SELECT doc_id, arg_min(tag, (weight, tag)) AS answer FROM sc GROUP BY 1)
+SELECT CAST(5 AS BIGINT) AS n_tags, round(avg(CASE WHEN a.answer = t.intruder THEN 1.0 ELSE 0.0 END), 6) AS rate,
+       count(*) AS tasks FROM tasks t JOIN ans a USING (doc_id)
+"""
+
+ORACLE["rating_means"] = f"""
+WITH {RATINGS}
+SELECT model, round(avg(rating), 6) AS mean, count(rating) AS rated, count(*) - count(rating) AS na FROM ratings GROUP BY 1
+"""
+
+ORACLE["label_agreement"] = f"""
+WITH {CENT},
+  nr AS (SELECT doc_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, topic) AS rn
+                                    FROM cos) WHERE rn = 1),
+  j AS (SELECT n.doc_id, n.topic, e.label FROM nr n JOIN embeddings e ON e.vec_id = n.doc_id),
+  cnt AS (SELECT topic, label, count(*) AS c FROM j GROUP BY 1, 2),
+  maj AS (SELECT topic, arg_max(label, (c, -label)) AS maj, max(c) AS cmax FROM cnt WHERE topic <> -1 GROUP BY 1),
+  tot AS (SELECT count(*) AS n FROM j)
+SELECT round((SELECT sum(cmax) FROM maj) / n, 6) AS purity,
+       round((SELECT count(DISTINCT maj) FROM maj) / (SELECT count(DISTINCT label) FROM embeddings), 6) AS topic_recall,
+       round((SELECT count(*) FROM j WHERE topic <> -1) / n, 6) AS coverage,
+       round((SELECT sum(cmax) FROM maj) / n, 6) AS accuracy FROM tot
+"""
+
+
+def bins_sql(src: str, ts: str, n: int = 10) -> str:
+    return f"""
+  mm AS (SELECT CAST(min(epoch_us({ts})) AS DOUBLE) AS mn, CAST(max(epoch_us({ts})) AS DOUBLE) AS mx FROM {src}),
+  binned AS (SELECT s.*, CAST(least({n}, greatest(1, ceil((CAST(epoch_us(s.{ts}) AS DOUBLE) - mn) / ((mx - mn) / {n}))))
+                         AS INTEGER) AS bin, mn, mx FROM {src} s, mm)"""
+
+
+def bin_start_sql(k: str, n: int = 10) -> str:
+    return (f"make_timestamp(CAST(floor(CASE WHEN {k} = 1 THEN mn - 0.001 * (mx - mn) "
+            f"ELSE mn + CAST({k} - 1 AS DOUBLE) * ((mx - mn) / {n}) END) AS BIGINT))")
+
+
+ORACLE["equal_bins"] = f"""
+WITH {bins_sql('events', 'ts')}
+SELECT event_id, CAST(bin AS BIGINT) AS bin, {bin_start_sql('bin')} AS bin_start FROM binned
+"""
+
+ORACLE["slice_sizes"] = f"""
+WITH {bins_sql('events', 'ts')},
+  allb AS (SELECT CAST(range AS INTEGER) AS bin, mn, mx FROM range(1, 11), mm),
+  c AS (SELECT bin, count(*) AS size FROM binned GROUP BY 1)
+SELECT CAST(a.bin AS BIGINT) AS bin, {bin_start_sql('a.bin')} AS bin_start, coalesce(c.size, 0) AS size
+FROM allb a LEFT JOIN c USING (bin)
+"""
+
+ORACLE["topics_over_time"] = f"""
+WITH {TOPIC_TERMS},
+  timed0 AS (SELECT d.doc_id, d.text, e.ts FROM documents d JOIN events e ON e.event_id = d.doc_id),
+  {bins_sql('timed0', 'ts').lstrip()},
+  tocc AS (SELECT b.doc_id, b.bin, a.topic, unnest(list_filter({tok('b.text')}, lambda t: t NOT IN ({STOP}))) AS term
+           FROM binned b JOIN assign a USING (doc_id)),
+  tcnt AS (SELECT bin, topic, term, count(*) AS n FROM tocc WHERE topic <> -1 GROUP BY 1, 2, 3),
+  ttot AS (SELECT bin, topic, sum(n) AS tot FROM tcnt GROUP BY 1, 2),
+  gidf AS (SELECT DISTINCT c.term, ln(aa.A / tf.f + 1) AS idf FROM cnt c JOIN tf USING (term) CROSS JOIN aa),
+  tw2 AS (SELECT c.bin, c.topic, c.term, c.n / t.tot * g.idf AS weight FROM tcnt c JOIN ttot t USING (bin, topic)
+          JOIN gidf g USING (term)),
+  tr AS (SELECT *, row_number() OVER (PARTITION BY bin, topic ORDER BY weight DESC, term) AS rk FROM tw2),
+  wl AS (SELECT bin, topic, string_agg(term, ', ' ORDER BY rk) AS words FROM tr WHERE rk <= 5 GROUP BY 1, 2),
+  fq AS (SELECT bin, topic, count(DISTINCT doc_id) AS frequency FROM tocc WHERE topic <> -1 GROUP BY 1, 2)
+SELECT CAST(f.bin AS BIGINT) AS bin, CAST(f.topic AS BIGINT) AS topic, f.frequency, w.words
+FROM fq f LEFT JOIN wl w USING (bin, topic)
+"""
+
+
+def hist_sql(src: str, col: str, bins: int = 100) -> str:
+    return f"""
+WITH s AS ({src}),
+  mm AS (SELECT CAST(min({col}) AS DOUBLE) AS mn, CAST(max({col}) AS DOUBLE) AS mx FROM s),
+  ww AS (SELECT mn, CASE WHEN mx > mn THEN (mx - mn) / {bins} ELSE 1.0 END AS w FROM mm),
+  c AS (SELECT CAST(least({bins - 1}, floor((CAST({col} AS DOUBLE) - mn) / w)) AS INTEGER) AS bin, count(*) AS count
+        FROM s, ww WHERE {col} IS NOT NULL GROUP BY 1),
+  allb AS (SELECT CAST(range AS INTEGER) AS bin FROM range(0, {bins}))
+SELECT CAST(a.bin AS BIGINT) AS bin, round(mn + CAST(a.bin AS DOUBLE) * w, 6) AS "left", coalesce(c.count, 0) AS count
+FROM allb a CROSS JOIN ww LEFT JOIN c USING (bin)
+"""
+
+
+ORACLE["histogram_length"] = hist_sql("SELECT n_chars FROM documents", "n_chars")
+ORACLE["histogram_words"] = hist_sql(
+    r"SELECT len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words FROM documents", "words")
+
+ORACLE["availability"] = r"""
+WITH c AS (SELECT 2 AS n_tags, len(string_split(coalesce(text, ''), ' ')[1:12]) AS n_features,
+                  CAST(contains(coalesce(text, ''), 'http') AS INTEGER) AS has_url FROM documents)
+SELECT 'n_tags' AS measure, CAST(n_tags AS BIGINT) AS value, count(*) AS count FROM c GROUP BY 1, 2
+UNION ALL SELECT 'n_features', CAST(n_features AS BIGINT), count(*) FROM c GROUP BY 1, 2
+UNION ALL SELECT 'has_url', CAST(has_url AS BIGINT), count(*) FROM c GROUP BY 1, 2
+"""
+
+ORACLE["versions"] = f"""
+WITH {TFIDF}, {pairs_sql(0.9)},
+  v AS (SELECT source AS name, count(*) AS versions FROM documents GROUP BY 1),
+  w AS (SELECT da.source AS name, count(*) AS similar_pairs FROM pairs p JOIN documents da ON da.doc_id = p.a
+        JOIN documents db ON db.doc_id = p.b WHERE da.source = db.source GROUP BY 1)
+SELECT v.name, v.versions, coalesce(w.similar_pairs, 0) AS similar_pairs FROM v LEFT JOIN w USING (name)
+"""
+
+ORACLE["reading_ease"] = r"""
+WITH r AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words,
+                  greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS sentences,
+                  len(regexp_extract_all(lower(text), '[aeiouyàâäéèêëîïôöùûüÿæœáíóúñ]+')) AS v FROM documents)
+SELECT doc_id, CAST(words AS BIGINT) AS words, CAST(sentences AS BIGINT) AS sentences,
+       CAST(greatest(words, v) AS BIGINT) AS syllables,
+       round(CASE WHEN words > 0 THEN 206.835 - 1.015 * words / sentences - 84.6 * greatest(words, v) / words END, 6)
+       AS ease FROM r
+"""

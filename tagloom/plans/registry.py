@@ -806,3 +806,149 @@ def q_test_pvalues(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("test", "key", r6("p").alias("p"))
+
+
+# -- agreement, time, profiles -------------------------------------------------
+
+from ..operators import agreement as AG  # noqa: E402
+from ..operators import overtime as OT  # noqa: E402
+from ..operators import profile as PR  # noqa: E402
+
+
+def _ratings(spark, sf):
+    return AG.one_rating(T.ratings(spark, sf))
+
+
+@query("fleiss_kappa")
+def q_fleiss(spark, sf):
+    k = AG.fleiss_kappa(_ratings(spark, sf))
+    return k.select(r6("p_bar").alias("p_bar"), r6("pe").alias("pe"), r6("kappa").alias("kappa"))
+
+
+@query("krippendorff_alpha")
+def q_kripp(spark, sf):
+    r = _ratings(spark, sf)
+    out = None
+    for lev in ("nominal", "ordinal", "interval"):
+        a = AG.krippendorff_alpha(r, lev)
+        out = a if out is None else out.unionByName(a)
+    return out.select("level", r6("alpha").alias("alpha"))
+
+
+@query("icc")
+def q_icc(spark, sf):
+    return AG.icc(_ratings(spark, sf)).select("type", r6("icc").alias("icc"))
+
+
+@query("confusion")
+def q_confusion(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id", "n_chars")
+    lab = T.table(spark, sf, "labels").select("doc_id", "quality")
+    j = d.join(lab, "doc_id").select((F.col("n_chars") >= 2000).cast("int").alias("pred"),
+                                     F.col("quality").alias("truth"))
+    c = AG.confusion(j)
+    return c.select(*[F.col(x).cast("bigint").alias(x) for x in ("tp", "fp", "fn", "tn")],
+                    *[r6(x).alias(x) for x in ("accuracy", "precision", "recall", "specificity", "f1")])
+
+
+def _intruders(spark, sf):
+    dt = TP.top_topics(_membership(spark, sf), k=2)
+    tags = _topic_tag_table(spark, sf).filter(F.col("tag_rank") <= 5)
+    shown = dt.filter("rank = 1").join(tags, "topic").select("doc_id", "tag")
+    foreign = dt.filter("rank = 2").join(tags, "topic").select("doc_id", "tag")
+    return dt, shown, AG.intruder_tasks(shown, foreign)
+
+
+@query("intruder_tasks")
+def q_intruder_tasks(spark, sf):
+    _, _, t = _intruders(spark, sf)
+    return t.select("doc_id", "intruder")
+
+
+@query("intruder_rate")
+def q_intruder_rate(spark, sf):
+    dt, shown, tasks = _intruders(spark, sf)
+    first = dt.filter("rank = 1").select("doc_id", "topic")
+    options = shown.unionByName(tasks.select("doc_id", F.col("intruder").alias("tag")))
+    wts = _topic_weights(spark, sf).select("topic", F.col("term").alias("tag"), "weight")
+    # simulated judge: the option least typical of the document's own topic
+    scored = options.join(first, "doc_id").join(wts, ["topic", "tag"], "left") \
+                    .withColumn("weight", F.coalesce(F.col("weight"), F.lit(0.0)))
+    answers = scored.groupBy("doc_id").agg(F.min_by(F.col("tag"), F.struct(F.col("weight"), F.col("tag"))).alias("answer"))
+    r = AG.intruder_rate(tasks.withColumn("n_tags", F.lit(5)), answers)
+    return r.select(F.col("n_tags").cast("bigint").alias("n_tags"), r6("rate").alias("rate"), "tasks")
+
+
+@query("rating_means")
+def q_rating_means(spark, sf):
+    m = AG.rating_means(T.ratings(spark, sf))
+    return m.select("model", r6("mean").alias("mean"), "rated", "na")
+
+
+@query("label_agreement")
+def q_label_agreement(spark, sf):
+    n = TP.nearest(_vectors(spark, sf), _centroids(spark, sf), cls="label").withColumnRenamed("label", "topic")
+    a = AG.label_agreement(n, _vectors(spark, sf))
+    return a.select(*[r6(c).alias(c) for c in a.columns])
+
+
+@query("equal_bins")
+def q_equal_bins(spark, sf):
+    e = T.table(spark, sf, "events").select("event_id", "ts")
+    b = OT.equal_bins(e, "ts", 10)
+    return b.select("event_id", F.col("bin").cast("bigint").alias("bin"), "bin_start")
+
+
+@query("slice_sizes")
+def q_slice_sizes(spark, sf):
+    e = T.table(spark, sf, "events").select("event_id", "ts")
+    s = OT.slice_sizes(e, "ts", 10)
+    return s.select(F.col("bin").cast("bigint").alias("bin"), "bin_start", "size")
+
+
+@query("topics_over_time")
+def q_topics_over_time(spark, sf):
+    docs = _docs(spark, sf)
+    ev = T.table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    timed = OT.equal_bins(docs.join(ev, "doc_id"), "ts", 10)
+    assign = T.topic_assignments(spark, sf)
+    occ = terms.doc_terms(timed.select("doc_id", "text"), "doc_id", "text")
+    counts = (occ.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+                 .join(timed.select("doc_id", "bin"), "doc_id").join(assign, "doc_id"))
+    idf = _topic_weights(spark, sf).select("term", "idf").distinct()
+    t = OT.topics_over_time(counts, idf, top=5)
+    return t.select(F.col("bin").cast("bigint").alias("bin"), F.col("topic").cast("bigint").alias("topic"),
+                    "frequency", "words")
+
+
+@query("histogram_length")
+def q_hist_len(spark, sf):
+    h = PR.histogram(T.table(spark, sf, "documents").select("n_chars"), "n_chars", 100)
+    return h.select(F.col("bin").cast("bigint").alias("bin"), r6("left").alias("left"), "count")
+
+
+@query("histogram_words")
+def q_hist_words(spark, sf):
+    d = T.table(spark, sf, "documents").select(PR.word_count("text").alias("words"))
+    h = PR.histogram(d, "words", 100)
+    return h.select(F.col("bin").cast("bigint").alias("bin"), r6("left").alias("left"), "count")
+
+
+@query("availability")
+def q_availability(spark, sf):
+    return PR.availability(T.load_catalogue(spark, sf))
+
+
+@query("versions")
+def q_versions(spark, sf):
+    cat = T.load_catalogue(spark, sf).select("dataset_id", F.col("source").alias("name"))
+    pairs, _ = DD.representative_pairs(_docs(spark, sf), PAIRS_T)
+    return PR.versions(cat, pairs)
+
+
+@query("reading_ease")
+def q_reading_ease(spark, sf):
+    r = PR.reading_ease(_docs(spark, sf))
+    return r.select("doc_id", F.col("words").cast("bigint").alias("words"),
+                    F.col("sentences").cast("bigint").alias("sentences"),
+                    F.col("syllables").cast("bigint").alias("syllables"), r6("ease").alias("ease"))
