@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a table that several branches of one plan read (memory, then
+    local disk), so the expensive part (tokenising, exploding) runs once.
+    Lost blocks are recomputed from lineage; nothing goes to the driver."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
           rank_col: str = "rank") -> DataFrame:
     """Keep the first ``k`` rows per group by ``order`` and number them 1..k.

@@ -34,6 +34,8 @@ def npmi(topic_words: DataFrame, tokens: DataFrame, mode: str = "window", window
     every document, also empty ones (each empty document is one unit); by
     default it is derived from ``tokens``.
     """
+    from ..functions.frames import reuse
+    tokens = reuse(tokens)
     words = topic_words.select(F.col(term).alias("term")).distinct()
     if lengths is None:
         lengths = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("L"))
@@ -49,6 +51,7 @@ def npmi(topic_words: DataFrame, tokens: DataFrame, mode: str = "window", window
         units = occ.select(key, F.explode(F.sequence(lo, hi)).alias("u"), "term").distinct()
     else:
         raise ValueError("mode is 'document' or 'window'")
+    units = reuse(units)
     n_units = float(n_units or 0)
     word_counts = units.groupBy("term").agg(F.count(F.lit(1)).alias("c"))
     ua = units.select(key, "u", F.col("term").alias("w1"))

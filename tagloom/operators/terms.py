@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import top_k
+from ..functions.frames import reuse, top_k
 from ..functions.text import ENGLISH_STOP_WORDS, TOKEN_PATTERN, drop_words, ngrams, tokens
 
 
@@ -37,6 +37,7 @@ def tfidf(counts: DataFrame, key: str = "doc_id", n_docs: int | None = None) ->
     N = ``n_docs`` (all documents, also those without terms) or, when not
     given, the number of keys with terms. Keys without terms have no rows.
     """
+    counts = reuse(counts)
     if n_docs is None:
         # one scalar through the driver: the number of keys
         n_docs = counts.select(F.countDistinct(key)).first()[0]
@@ -59,6 +60,7 @@ def ctfidf(counts: DataFrame, cls: str = "topic", l1: bool = True,
     (optional), optionally square-rooted, f(t) the term's frequency over all
     classes and A the integer part of the mean number of words per class.
     """
+    counts = reuse(counts)
     totals = counts.groupBy(cls).agg(F.sum("n").alias("total"))
     # one row per class; the global window is bounded by the number of classes
     totals = totals.withColumn("A", F.floor(F.avg("total").over(Window.partitionBy())))

@@ -35,8 +35,9 @@ def topic_model(spark: SparkSession, sf: str):
     """(docs, assign, doc_counts, weights, top10) of the base topic model."""
     docs = T.table(spark, sf, "documents").select("doc_id", "text")
     assign = T.topic_assignments(spark, sf)
-    weights = terms.ctfidf(terms.class_counts(docs, assign))
-    doc_counts = terms.term_counts(docs, "doc_id", "text")
+    from ..functions.frames import reuse
+    weights = reuse(terms.ctfidf(terms.class_counts(docs, assign)))
+    doc_counts = reuse(terms.term_counts(docs, "doc_id", "text"))
     top = terms.top_words(weights, k=10)
     return docs, assign, doc_counts, weights, top
 

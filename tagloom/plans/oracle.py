@@ -1116,3 +1116,55 @@ SELECT doc_id, CAST(words AS BIGINT) AS words, CAST(sentences AS BIGINT) AS sent
        round(CASE WHEN words > 0 THEN 206.835 - 1.015 * words / sentences - 84.6 * greatest(words, v) / words END, 6)
        AS ease FROM r
 """
+
+# -- clustering and topic models ------------------------------------------------
+
+ORACLE["knn"] = """
+WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  d AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS dist FROM p a JOIN p b ON a.id <> b.id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rank FROM d)
+SELECT a, b, round(dist, 6) AS dist, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5
+"""
+
+ORACLE["vector_topic_words"] = f"""
+WITH {CENT},
+  dterm AS (SELECT DISTINCT doc_id, term FROM (
+              SELECT doc_id, unnest(list_filter({tok('text')}, lambda t: t NOT IN ({STOP}))) AS term FROM documents)),
+  wv AS (SELECT t.term, e.i, avg(CAST(e.x AS DOUBLE)) AS m FROM dterm t JOIN ex e USING (doc_id) GROUP BY 1, 2),
+  wn AS (SELECT term, sqrt(sum(m * m)) AS nrm FROM wv GROUP BY 1),
+  sc AS (SELECT w.term, c.label AS topic, sum(w.m * c.c) / any_value(wn.nrm) AS cosine
+         FROM wv w JOIN cn c ON c.i = w.i JOIN wn USING (term) GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(cosine, 12) DESC, term) AS rank FROM sc)
+SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, term, round(cosine, 6) AS cosine
+FROM r WHERE rank <= 10
+"""
+
+ORACLE["baseline_tags"] = f"""
+WITH {TOPIC_TERMS}
+SELECT CAST(topic AS BIGINT) AS topic, term AS tag, CAST(rank AS BIGINT) AS tag_rank FROM ranked
+WHERE rank <= 10 AND topic <> -1
+"""
+
+# -- streaming (batch equivalents) -----------------------------------------------
+
+ORACLE["stream_counts"] = """
+WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type FROM events),
+  c AS (SELECT window_start, event_type, count(*) AS n FROM w GROUP BY 1, 2),
+  wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
+SELECT window_start, event_type, n FROM c, wm WHERE window_start + INTERVAL 1 DAY <= wm.wm
+"""
+
+ORACLE["stream_assign"] = f"""
+WITH {CENT},
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, topic) AS rn FROM cos)
+SELECT doc_id, CAST(topic AS BIGINT) AS topic, round(cosine, 6) AS cosine FROM r WHERE rn = 1
+"""
+
+ORACLE["stream_dedupe"] = """
+SELECT DISTINCT sha256(d.text) AS text_hash FROM documents d JOIN events e ON e.event_id = d.doc_id
+"""
+
+ORACLE["stream_centroids"] = f"""
+WITH {CENT}
+SELECT CAST(label AS BIGINT) AS topic, CAST(i AS BIGINT) AS i, round(m, 6) AS value FROM cm
+"""

@@ -952,3 +952,137 @@ def q_reading_ease(spark, sf):
     return r.select("doc_id", F.col("words").cast("bigint").alias("words"),
                     F.col("sentences").cast("bigint").alias("sentences"),
                     F.col("syllables").cast("bigint").alias("syllables"), r6("ease").alias("ease"))
+
+
+# -- clustering and topic models ------------------------------------------------
+
+from ..operators import cluster as CU  # noqa: E402
+from ..operators import models as MO  # noqa: E402
+
+
+@query("knn")
+def q_knn(spark, sf):
+    k = CU.knn(_vectors(spark, sf), 5, block_rows=128)
+    return k.select("a", "b", r6("dist").alias("dist"), "rank")
+
+
+@query("density_clusters")
+def q_density_clusters(spark, sf):
+    c = CU.density_clusters(_vectors(spark, sf), min_samples=5, min_cluster_size=5, block_rows=128)
+    return c.select("doc_id", F.col("cluster").cast("bigint").alias("cluster"))
+
+
+@query("reduce_dims")
+def q_reduce_dims(spark, sf):
+    r = CU.reduce_dims(_vectors(spark, sf), 5)
+    return r.select("doc_id", F.posexplode("reduced").alias("i", "x")).select(
+        "doc_id", F.col("i").cast("bigint").alias("i"), r6(F.abs("x")).alias("abs_x"))
+
+
+@query("kmeans")
+def q_kmeans(spark, sf):
+    return CU.kmeans(_vectors(spark, sf), 10).select("doc_id", F.col("cluster").cast("bigint").alias("cluster"))
+
+
+@query("lda")
+def q_lda(spark, sf):
+    from ..functions.text import ENGLISH_STOP_WORDS, alpha_tokens, drop_words
+    d = _docs(spark, sf).select("doc_id", drop_words(alpha_tokens("text"), ENGLISH_STOP_WORDS).alias("tokens"))
+    t = MO.lda(d, 10, vocab_size=2000, max_iter=10)
+    return t.select(F.col("topic").cast("bigint").alias("topic"), "rank", "term", r6("weight").alias("weight"))
+
+
+@query("nmf")
+def q_nmf(spark, sf):
+    w = DD.vectors(_docs(spark, sf)).select("doc_id", "term", "weight")
+    _, H, _ = MO.nmf(w, 10, iters=5)
+    t = MO.nmf_topics(H)
+    return t.select(F.col("topic").cast("bigint").alias("topic"), "rank", "term", r6("weight").alias("weight"))
+
+
+@query("reduce_topics")
+def q_reduce_topics(spark, sf):
+    docs = _docs(spark, sf)
+    assign = T.topic_assignments(spark, sf)
+    mapping, _ = MO.reduce_topics(terms.class_counts(docs, assign), assign, 5)
+    return mapping.select(F.col("old").cast("bigint").alias("old"), F.col("new").cast("bigint").alias("new"))
+
+
+@query("vector_topic_words")
+def q_vector_topic_words(spark, sf):
+    occ = terms.doc_terms(_docs(spark, sf), "doc_id", "text")
+    wv = CU.word_vectors(occ, _vectors(spark, sf))
+    t = CU.topic_words_by_vector(wv, _centroids(spark, sf), k=10, cls="label")
+    return t.select(F.col("label").cast("bigint").alias("topic"), "rank", "term", r6("cosine").alias("cosine"))
+
+
+@query("baseline_tags")
+def q_baseline_tags(spark, sf):
+    t = _topic_tag_table(spark, sf)
+    return t.select(F.col("topic").cast("bigint").alias("topic"), "tag",
+                    F.col("tag_rank").cast("bigint").alias("tag_rank"))
+
+
+# -- streaming ----------------------------------------------------------------
+
+from ..session import scratch_table  # noqa: E402
+from ..streaming import jobs as SJ  # noqa: E402
+
+
+def _run_stream(df_stream, path, mode="append", fmt="parquet"):
+    q = (df_stream.writeStream.format(fmt).outputMode(mode)
+                  .option("checkpointLocation", path + "/_checkpoint").option("path", path + "/out")
+                  .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return path + "/out"
+
+
+def _events_stream(spark, sf):
+    schema = T.table(spark, sf, "events").schema
+    return SJ.file_stream(spark, sf, "events", schema)
+
+
+@query("stream_counts")
+def q_stream_counts(spark, sf):
+    s = _events_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch_table(spark, "stream_counts")
+    out = _run_stream(SJ.stream_counts(s, "ts", "event_type", "1 day", "1 hour"), path)
+    r = spark.read.parquet(out)
+    return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("stream_assign")
+def q_stream_assign(spark, sf):
+    from ..functions.vectors import collect_matrix
+    keys, mat = collect_matrix(_centroids(spark, sf), "label", "centroid")
+    schema = T.table(spark, sf, "embeddings").schema
+    s = SJ.file_stream(spark, sf, "embeddings", schema).withColumnRenamed("vec_id", "doc_id")
+    path = scratch_table(spark, "stream_assign")
+    out = _run_stream(SJ.stream_assign(s, keys, mat), path)
+    r = spark.read.parquet(out)
+    return r.select("doc_id", F.col("topic").cast("bigint").alias("topic"), r6("cosine").alias("cosine"))
+
+
+@query("stream_dedupe")
+def q_stream_dedupe(spark, sf):
+    schema = T.table(spark, sf, "documents").schema
+    s = SJ.file_stream(spark, sf, "documents", schema)
+    ev = T.table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
+    # stream-static join gives each arriving document its event time
+    s = s.join(ev, "doc_id")
+    path = scratch_table(spark, "stream_dedupe")
+    out = _run_stream(SJ.stream_dedupe(s).select("doc_id", "text_hash"), path)
+    return spark.read.parquet(out).select("text_hash").distinct()
+
+
+@query("stream_centroids")
+def q_stream_centroids(spark, sf):
+    schema = T.table(spark, sf, "embeddings").schema
+    s = SJ.file_stream(spark, sf, "embeddings", schema)
+    path = scratch_table(spark, "stream_centroids")
+    q = (s.writeStream.foreachBatch(SJ.stream_centroids(s, path + "/state"))
+          .option("checkpointLocation", path + "/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    c = SJ.read_centroids(spark, path + "/state")
+    return c.select(F.col("label").cast("bigint").alias("topic"), F.col("i").cast("bigint").alias("i"),
+                    r6("mean").alias("value"))

@@ -14,7 +14,19 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that arrives in fewer splits than the cluster has
+    cores (e.g. one file with one row group) round-robin over the default
+    parallelism. Large inputs already have many splits and are left alone,
+    so no shuffle is added at scale. Column pruning and filters still reach
+    the scan (they are pushed below the repartition)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def load_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
