@@ -23,8 +23,10 @@ def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
         return df.join(small, by)
     row = small.first()
     out = df
-    for c in small.columns:
-        out = out.withColumn(c, F.lit(row[c]))
+    for c, t in small.dtypes:
+        # integer aggregates come back as 64-bit numbers
+        v = F.lit(row[c]).cast("bigint") if t in ("int", "bigint") else F.lit(row[c])
+        out = out.withColumn(c, v)
     return out
 
 
@@ -177,7 +179,7 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     ties = mr.agg(F.sum(F.col("cnt") ** 3 - F.col("cnt")).alias("tt"), F.sum("cnt").alias("n_all"))
     s = g.agg(F.sum(F.col("rank_sum") ** 2 / F.col("n")).alias("sr"), F.count(F.lit(1)).alias("k"))
     j = attach(s, ties, [])
-    N = F.col("n_all")
+    N = F.col("n_all").cast("double")
     H0 = 12.0 / (N * (N + 1)) * F.col("sr") - 3 * (N + 1)
     H = H0 / (F.lit(1.0) - F.col("tt") / (N ** 3 - N))
     out = j.select(H.alias("H"), (F.col("k") - 1).cast("double").alias("df"),
@@ -194,7 +196,7 @@ def dunn(df: DataFrame, value: str, group: str) -> DataFrame:
     p = _pairs(g, group, [])
     m = g.count() * (g.count() - 1) / 2
     j = attach(p, ties, [])
-    N = F.col("n_all")
+    N = F.col("n_all").cast("double")
     var = (N * (N + 1) / 12.0 - F.col("tt") / (12.0 * (N - 1))) * (F.lit(1.0) / F.col("n_a") + F.lit(1.0) / F.col("n_b"))
     z = (F.col("rbar_a") - F.col("rbar_b")) / F.sqrt(var)
     out = j.select(F.col(group + "_a").alias("A"), F.col(group + "_b").alias("B"), z.alias("z"))

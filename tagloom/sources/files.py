@@ -31,7 +31,7 @@ def write_docs_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_text_by_id(spark: SparkSession, path_glob: str, id_col: str = "dataset_id",
                     text: str = "prompt_description", name_pattern: str = r"dataset_(\d+)\.txt$") -> DataFrame:
     """One whole text per file; the id is parsed from the file name."""
-    df = spark.read.option("wholetext", True).text(path_glob)
+    df = spark.read.text(path_glob, wholetext=True)
     return df.select(
         F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1).cast("bigint").alias(id_col),
         F.col("value").alias(text))
@@ -46,7 +46,7 @@ def write_text_by_id(df: DataFrame, path: str, id_col: str = "dataset_id",
 
 def read_text_partitioned(spark: SparkSession, path: str, id_col: str = "dataset_id",
                           text: str = "prompt_description") -> DataFrame:
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     return df.select(F.col(id_col).cast("bigint").alias(id_col), F.col("value").alias(text))
 
 
@@ -98,7 +98,7 @@ def read_topic_payloads(spark: SparkSession, folder: str, pattern: str = r"(-?\d
     ok: (topic_id, payload struct); corrupt: (topic_id, raw). A file is
     corrupt when it does not parse as a JSON object.
     """
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    raw = (spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
                 .select(F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("int").alias("topic_id"),
                         F.col("value").alias("raw")))
     parsed = raw.withColumn("payload", parse_payload("raw"))
@@ -145,12 +145,13 @@ RUN_SCHEMA = T.ArrayType(T.StructType([
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Every *.json in the folder whose name lacks 'metadata'; each holds one
     array of run records. file_index = dense rank of the file name."""
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    raw = (spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
                 .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
                 .filter(~F.col("file").contains("metadata")))
     runs = raw.select("file", F.posexplode(F.from_json("raw", RUN_SCHEMA)).alias("pos", "r"))
-    runs = runs.withColumn("file_index", F.dense_rank().over(Window.orderBy("file")) - 1)
-    return runs.select("file", "file_index", "pos", "r.*")
+    # one row per file: the ordering window is bounded by the file count
+    idx = raw.select("file").distinct().withColumn("file_index", F.row_number().over(Window.orderBy("file")) - 1)
+    return runs.join(idx, "file").select("file", "file_index", "pos", "r.*")
 
 
 # S10 --------------------------------------------------------------------------
