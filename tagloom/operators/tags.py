@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import top_k
+from ..functions.frames import reuse, top_k
 
 # Template placeholders and the document bullet format.
 KEYWORDS = "[KEYWORDS]"
@@ -119,6 +119,7 @@ def classify_tags(payloads: DataFrame, topic: str = "topic_id", payload: str = "
     keeps the largest score (``duplicate='max'``) or the one from the largest
     topic id (``'last'``).
     """
+    payloads = reuse(payloads)  # one row per topic, read by two branches
     e = payload_entries(payloads, topic, payload)
     lists = topic_lists(payloads, topic, payload)
     j = e.join(lists, ["topic", "tag"], "left")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import top_k
+from ..functions.frames import reuse, top_k
 from ..functions.vectors import collect_matrix
 
 
@@ -147,6 +147,7 @@ def ctfidf_candidates(doc_vec: DataFrame, ctfidf_w: DataFrame, outliers: DataFra
                       cls: str = "topic", key: str = "doc_id") -> DataFrame:
     """M5 'c-tf-idf' strategy scores: cosine of each outlier document with
     every topic's c-TF-IDF vector (joined on shared terms only)."""
+    doc_vec, ctfidf_w = reuse(doc_vec), reuse(ctfidf_w)
     dv = doc_vec.join(outliers.select(key), key, "left_semi")
     tv = ctfidf_w.filter(F.col(cls) != -1).select(cls, "term", F.col("weight").alias("tw"))
     dots = dv.join(tv, "term").groupBy(key, cls).agg(F.sum(F.col("weight") * F.col("tw")).alias("dot"))
@@ -158,6 +159,7 @@ def ctfidf_candidates(doc_vec: DataFrame, ctfidf_w: DataFrame, outliers: DataFra
 def topic_similarity(ctfidf_w: DataFrame, cls: str = "topic") -> DataFrame:
     """Cosine between topics' c-TF-IDF vectors, (t1, t2, cosine), t1 < t2,
     joined on shared terms (one row per term per topic pair sharing it)."""
+    ctfidf_w = reuse(ctfidf_w)
     a = ctfidf_w.select(F.col(cls).alias("t1"), "term", F.col("weight").alias("w1"))
     b = ctfidf_w.select(F.col(cls).alias("t2"), "term", F.col("weight").alias("w2"))
     dots = a.join(b, "term").filter(F.col("t1") < F.col("t2")).groupBy("t1", "t2") \

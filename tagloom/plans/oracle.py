@@ -893,13 +893,13 @@ GROUP BY 1, 2
 """
 
 ORACLE["describe_scores"] = f"""
-WITH {RUNS}, m AS (SELECT Model, count(*) AS n, avg(diversity) AS mean, stddev_samp(diversity) AS sd,
-                         median(diversity) AS median FROM runs GROUP BY 1),
-  mo AS (SELECT Model, avg((diversity - mean) ^ 2) AS m2, avg((diversity - mean) ^ 3) AS m3,
-                avg((diversity - mean) ^ 4) AS m4 FROM runs JOIN m USING (Model) GROUP BY 1),
-  vc AS (SELECT Model, diversity, count(*) AS c FROM runs GROUP BY 1, 2),
-  md AS (SELECT Model, diversity AS mode FROM (
-           SELECT *, row_number() OVER (PARTITION BY Model ORDER BY c DESC, diversity) AS r FROM vc) WHERE r = 1)
+WITH {RUNS}, m AS (SELECT Model, count(*) AS n, avg(npmi) AS mean, stddev_samp(npmi) AS sd,
+                         median(npmi) AS median FROM runs GROUP BY 1),
+  mo AS (SELECT Model, avg((npmi - mean) ^ 2) AS m2, avg((npmi - mean) ^ 3) AS m3,
+                avg((npmi - mean) ^ 4) AS m4 FROM runs JOIN m USING (Model) GROUP BY 1),
+  vc AS (SELECT Model, npmi, count(*) AS c FROM runs GROUP BY 1, 2),
+  md AS (SELECT Model, npmi AS mode FROM (
+           SELECT *, row_number() OVER (PARTITION BY Model ORDER BY c DESC, npmi) AS r FROM vc) WHERE r = 1)
 SELECT m.Model, m.n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(m3 / (m2 ^ 1.5), 6) AS skewness,
        round(m4 / (m2 * m2) - 3, 6) AS kurtosis, round(mode, 6) AS mode, round(median, 6) AS median
 FROM m JOIN mo USING (Model) JOIN md USING (Model)
@@ -1168,3 +1168,9 @@ ORACLE["stream_centroids"] = f"""
 WITH {CENT}
 SELECT CAST(label AS BIGINT) AS topic, CAST(i AS BIGINT) AS i, round(m, 6) AS value FROM cm
 """
+
+ORACLE["tag_pipeline"] = ORACLE["propagate_tags"].replace(
+    "FROM spread e LEFT JOIN tlists l ON l.topic = e.topic AND l.tag = e.tag GROUP BY 1, 2, 3",
+    "FROM spread e LEFT JOIN tlists l ON l.topic = e.topic AND l.tag = e.tag GROUP BY 1, 2, 3\n"
+    "HAVING (coalesce(e.nested_kind, l.listed_kind, 'themes') = 'themes' AND max(e.score) > 0.7)\n"
+    "    OR (coalesce(e.nested_kind, l.listed_kind, 'themes') = 'overarching_themes' AND max(e.score) > 0.5)")

@@ -456,8 +456,9 @@ from . import fixtures as FX  # noqa: E402
 
 
 def _payloads(spark, sf):
+    from ..functions.frames import reuse
     raw = FX.payload_texts(spark, sf)
-    parsed = raw.withColumn("payload", SF.parse_payload("raw"))
+    parsed = reuse(raw.withColumn("payload", SF.parse_payload("raw")))
     ok = F.col("payload").isNotNull() & F.col("payload.texts").isNotNull()
     return parsed.filter(ok).select("topic_id", "payload"), parsed.filter(~ok).select("topic_id", "raw")
 
@@ -779,7 +780,7 @@ def q_cohens_d(spark, sf):
 
 @query("describe_scores")
 def q_describe(spark, sf):
-    t = ST.describe(_runs(spark, sf), "diversity", ["Model"])
+    t = ST.describe(_runs(spark, sf), "npmi", ["Model"])
     return t.select("Model", "n", *[r6(c).alias(c) for c in ("mean", "sd", "skewness", "kurtosis", "mode", "median")])
 
 
@@ -1086,3 +1087,15 @@ def q_stream_centroids(spark, sf):
     c = SJ.read_centroids(spark, path + "/state")
     return c.select(F.col("label").cast("bigint").alias("topic"), F.col("i").cast("bigint").alias("i"),
                     r6("mean").alias("value"))
+
+
+# -- end to end -------------------------------------------------------------------
+
+from . import tag_pipeline as PL  # noqa: E402
+
+
+@query("tag_pipeline")
+def q_tag_pipeline(spark, sf):
+    ok, _ = _payloads(spark, sf)
+    out = PL.run(_docs(spark, sf), T.topic_assignments(spark, sf), ok)
+    return _tags_out(out["selected"])
