@@ -30,9 +30,19 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
               .withColumn(rank_col, F.col(rank_col).cast("bigint")))
 
 
+def round_half_up(x: Column, digits: int) -> Column:
+    """Round half-up in exact decimal after snapping to 9 digits (see r6)."""
+    return F.round(F.round(x, 9).cast("decimal(38,9)"), digits).cast("double")
+
+
 def r6(c) -> Column:
-    """Round a double to 6 digits (the comparison precision)."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Round a double to 6 digits (the comparison precision).
+
+    The value is first snapped to 9 digits and then rounded half-up in exact
+    decimal arithmetic, so values that differ only by floating-point
+    summation order (1e-16) round the same way even on a decimal tie."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.round(F.round(x, 9).cast("decimal(38,9)"), 6).cast("double")
 
 
 def pick(df: DataFrame, *names: str) -> Column:

@@ -19,6 +19,17 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+MAX_BUCKETS = 256
+
+
+def _bucket_of(v, bounds, lo, hi):
+    """Number of bounds <= v, as a balanced CASE tree (log2 comparisons)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(v >= F.lit(bounds[mid]), _bucket_of(v, bounds, mid + 1, hi)).otherwise(_bucket_of(v, bounds, lo, mid))
+
+
 def cumulative_counts(vc: DataFrame, group: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """Add ``before`` = number of rows of the same group with a smaller value.
 
@@ -29,13 +40,9 @@ def cumulative_counts(vc: DataFrame, group: Sequence[str], value: str, buckets:
     buckets (a table of one row per group and bucket).
     """
     spark = vc.sparkSession
-    nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nb = buckets or min(MAX_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted(set(vc.approxQuantile(value, [i / nb for i in range(1, nb)], 0.001))) if nb > 1 else []
-    if bounds:
-        arr = F.array(*[F.lit(float(x)) for x in bounds])
-        bucket = F.size(F.filter(arr, lambda x: x <= F.col(value).cast("double")))
-    else:
-        bucket = F.lit(0)
+    bucket = _bucket_of(F.col(value).cast("double"), [float(b) for b in bounds], 0, len(bounds))
     r = vc.withColumn("__b", bucket)
     w_local = Window.partitionBy(*group, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("__local", F.coalesce(F.sum("cnt").over(w_local), F.lit(0)))

@@ -35,9 +35,9 @@ def npmi(topic_words: DataFrame, tokens: DataFrame, mode: str = "window", window
     default it is derived from ``tokens``.
     """
     from ..functions.frames import reuse
-    tokens = reuse(tokens)
     words = topic_words.select(F.col(term).alias("term")).distinct()
     if lengths is None:
+        tokens = reuse(tokens)  # read twice only when lengths come from it
         lengths = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("L"))
     if mode == "document":
         n_units = lengths.agg(F.count(F.lit(1)).alias("N")).first()["N"]

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import round_half_up
 from ..functions.ranks import medians
 
 
@@ -30,7 +31,7 @@ def leaderboard(runs: DataFrame, datasets: Sequence[str], metrics: Sequence[str]
     if digits is not None:
         for c in wide.columns:
             if c not in (model, "position"):
-                wide = wide.withColumn(c, F.round(c, digits))
+                wide = wide.withColumn(c, round_half_up(F.col(c), digits))
     return wide
 
 

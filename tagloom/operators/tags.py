@@ -159,6 +159,7 @@ def select_labels(scores: DataFrame, min_prob: float = 0.5, multi_label: bool =
                   key: str = "doc_id", label: str = "label", score: str = "score") -> DataFrame:
     """multi-label: every label above ``min_prob``, or the best one when
     none is; single-label: the best one. Ties by label."""
+    scores = reuse(scores)  # read by the best-label and the above-threshold branches
     best = top_k(scores, [key], [F.col(score).desc(), F.col(label).asc()], 1, "__rn").drop("__rn")
     if not multi_label:
         return best

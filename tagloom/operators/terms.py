@@ -48,8 +48,9 @@ def tfidf(counts: DataFrame, key: str = "doc_id", n_docs: int | None = None) ->
                  .select(key, "term", "df",
                          (F.col("n") * (F.log(F.lit(1.0 + n_docs) / (F.lit(1) + F.col("df"))) + 1))
                          .alias("w")))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"), "df")
+    # the norm window holds one document's distinct terms (bounded by its length)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"), "df")
 
 
 def ctfidf(counts: DataFrame, cls: str = "topic", l1: bool = True,

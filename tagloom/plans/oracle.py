@@ -31,7 +31,7 @@ ORACLE: dict[str, str] = {}
 ORACLE["ctfidf_top_words"] = f"""
 WITH {TOPIC_TERMS}
 SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, term AS word,
-       round(weight, 6) AS weight
+       CAST(round(CAST(round(weight, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS weight
 FROM ranked WHERE rank <= 10
 """
 
@@ -270,7 +270,7 @@ def pairs_sql(t: float) -> str:
 
 ORACLE["tfidf_weights"] = f"""
 WITH {TFIDF}
-SELECT doc_id, term, round(weight, 6) AS weight FROM tw
+SELECT doc_id, term, CAST(round(CAST(round(weight, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS weight FROM tw
 """
 
 ORACLE["twin_groups"] = f"""
@@ -280,7 +280,7 @@ SELECT doc_id, rep FROM grp2
 
 ORACLE["similar_pairs"] = f"""
 WITH {TFIDF}, {pairs_sql(0.9)}
-SELECT a, b, round(cosine, 6) AS cosine FROM pairs
+SELECT a, b, CAST(round(CAST(round(cosine, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS cosine FROM pairs
 """
 
 GREEDY = f"""
@@ -359,26 +359,26 @@ def npmi_sql(mode: str) -> str:
 
 ORACLE["npmi_window"] = f"""
 WITH {TOPIC_TERMS}, {QUALITY}, {npmi_sql('window')}
-SELECT CAST(topic AS BIGINT) AS topic, round(npmi, 6) AS npmi FROM per_topic
+SELECT CAST(topic AS BIGINT) AS topic, CAST(round(CAST(round(npmi, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS npmi FROM per_topic
 """
 
 ORACLE["npmi_document"] = f"""
 WITH {TOPIC_TERMS}, {QUALITY}, {npmi_sql('document')}
-SELECT CAST(topic AS BIGINT) AS topic, round(npmi, 6) AS npmi FROM per_topic
+SELECT CAST(topic AS BIGINT) AS topic, CAST(round(CAST(round(npmi, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS npmi FROM per_topic
 """
 
 ORACLE["diversity"] = f"""
 WITH {TOPIC_TERMS}, {QUALITY}
-SELECT round(count(DISTINCT term) / (10 * count(DISTINCT topic)), 6) AS diversity FROM tw
+SELECT CAST(round(CAST(round(count(DISTINCT term) / (10 * count(DISTINCT topic)), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS diversity FROM tw
 """
 
 ORACLE["weighted_quality"] = f"""
 WITH {TOPIC_TERMS}, {QUALITY}, {npmi_sql('window')},
   c AS (SELECT avg(npmi) AS npmi FROM per_topic),
   d AS (SELECT count(DISTINCT term) / (10 * count(DISTINCT topic)) AS diversity FROM tw)
-SELECT round(npmi, 6) AS npmi, round(diversity, 6) AS diversity,
-       round(ln((npmi + 1) / 2 + 1e-10), 6) AS log_coherence, round(ln(diversity + 1e-10), 6) AS log_diversity,
-       round(ln((npmi + 1) / 2 + 1e-10) + ln(diversity + 1e-10), 6) AS weighted
+SELECT CAST(round(CAST(round(npmi, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS npmi, CAST(round(CAST(round(diversity, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS diversity,
+       CAST(round(CAST(round(ln((npmi + 1) / 2 + 1e-10), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS log_coherence, CAST(round(CAST(round(ln(diversity + 1e-10), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS log_diversity,
+       CAST(round(CAST(round(ln((npmi + 1) / 2 + 1e-10) + ln(diversity + 1e-10), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS weighted
 FROM c CROSS JOIN d
 """
 
@@ -395,12 +395,12 @@ SIL = """
 
 ORACLE["silhouette_samples"] = f"""
 WITH {SIL}
-SELECT id AS doc_id, CAST(label AS BIGINT) AS label, round(s, 6) AS s FROM s
+SELECT id AS doc_id, CAST(label AS BIGINT) AS label, CAST(round(CAST(round(s, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS s FROM s
 """
 
 ORACLE["silhouette"] = f"""
 WITH {SIL}
-SELECT round(avg(s), 6) AS silhouette FROM s
+SELECT CAST(round(CAST(round(avg(s), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS silhouette FROM s
 """
 
 CENT = """
@@ -414,7 +414,7 @@ CENT = """
 
 ORACLE["centroids"] = f"""
 WITH {CENT}
-SELECT CAST(label AS BIGINT) AS topic, CAST(i AS BIGINT) AS i, round(c, 6) AS value FROM cn
+SELECT CAST(label AS BIGINT) AS topic, CAST(i AS BIGINT) AS i, CAST(round(CAST(round(c, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS value FROM cn
 """
 
 ORACLE["simplified_silhouette"] = f"""
@@ -424,14 +424,14 @@ WITH {CENT},
            FROM ex e JOIN cm c ON c.i = e.i WHERE e.label <> -1 GROUP BY 1, 2, 3),
   ab AS (SELECT doc_id, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b
          FROM dist GROUP BY 1)
-SELECT round(avg(CASE WHEN b IS NOT NULL AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6)
+SELECT CAST(round(CAST(round(avg(CASE WHEN b IS NOT NULL AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE)
        AS silhouette FROM ab
 """
 
 ORACLE["nearest_topic"] = f"""
 WITH {CENT},
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, topic) AS rn FROM cos)
-SELECT doc_id, CAST(topic AS BIGINT) AS topic, round(cosine, 6) AS cosine FROM r WHERE rn = 1
+SELECT doc_id, CAST(topic AS BIGINT) AS topic, CAST(round(CAST(round(cosine, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS cosine FROM r WHERE rn = 1
 """
 
 MEMB = f"""{CENT},
@@ -440,7 +440,7 @@ MEMB = f"""{CENT},
 
 ORACLE["membership"] = f"""
 WITH {MEMB}
-SELECT doc_id, CAST(topic AS BIGINT) AS topic, round(prob, 6) AS prob FROM memb
+SELECT doc_id, CAST(topic AS BIGINT) AS topic, CAST(round(CAST(round(prob, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS prob FROM memb
 """
 
 ORACLE["top_topics"] = f"""
@@ -487,7 +487,7 @@ WITH {TOPIC_TERMS}, {DOCVEC},
            FROM assign a JOIN dv USING (doc_id) JOIN w ON w.topic = a.topic AND w.term = dv.term
            JOIN dn ON dn.doc_id = a.doc_id JOIN tn ON tn.topic = a.topic GROUP BY 1, 2),
   r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(cosine, 12) DESC, doc_id) AS rank FROM sims)
-SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, doc_id, round(cosine, 6) AS cosine
+SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, doc_id, CAST(round(CAST(round(cosine, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS cosine
 FROM r WHERE rank <= 4
 """
 
@@ -507,7 +507,7 @@ WITH {TOPIC_TERMS},
   tn AS (SELECT topic, sqrt(sum(weight * weight)) AS tn FROM w GROUP BY 1),
   dots AS (SELECT a.topic AS t1, b.topic AS t2, sum(a.weight * b.weight) AS dot FROM w a JOIN w b
            ON a.term = b.term AND a.topic < b.topic GROUP BY 1, 2)
-SELECT CAST(t1 AS BIGINT) AS t1, CAST(t2 AS BIGINT) AS t2, round(dot / (n1.tn * n2.tn), 6) AS cosine
+SELECT CAST(t1 AS BIGINT) AS t1, CAST(t2 AS BIGINT) AS t2, CAST(round(CAST(round(dot / (n1.tn * n2.tn), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS cosine
 FROM dots JOIN tn n1 ON n1.topic = t1 JOIN tn n2 ON n2.topic = t2
 """
 
@@ -574,7 +574,7 @@ FROM parsed
 """
 
 ORACLE["classify_tags"] = TAGBASE + """
-SELECT dataset_id, kind, tag, round(score, 6) AS score FROM classified
+SELECT dataset_id, kind, tag, CAST(round(CAST(round(score, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS score FROM classified
 """
 
 ORACLE["missing_ids"] = TAGBASE + """
@@ -584,7 +584,7 @@ WHERE doc_id NOT IN (SELECT DISTINCT TRY_CAST(k AS BIGINT) FROM (SELECT unnest(m
 """
 
 ORACLE["threshold_tags"] = TAGBASE + """
-SELECT dataset_id, kind, tag, round(score, 6) AS score FROM classified
+SELECT dataset_id, kind, tag, CAST(round(CAST(round(score, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS score FROM classified
 WHERE (kind = 'themes' AND score > 0.7) OR (kind = 'overarching_themes' AND score > 0.5)
    OR kind NOT IN ('themes', 'overarching_themes')
 """
@@ -593,14 +593,14 @@ ORACLE["select_labels"] = TAGBASE + """,
   s AS (SELECT dataset_id AS doc_id, tag AS label, score FROM classified WHERE score IS NOT NULL),
   best AS (SELECT doc_id, label, score FROM (
              SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS rn FROM s) WHERE rn = 1)
-SELECT doc_id, label, round(score, 6) AS score FROM s WHERE score > 0.5
+SELECT doc_id, label, CAST(round(CAST(round(score, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS score FROM s WHERE score > 0.5
 UNION ALL
-SELECT doc_id, label, round(score, 6) FROM best WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE score > 0.5)
+SELECT doc_id, label, CAST(round(CAST(round(score, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) FROM best WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE score > 0.5)
 """
 
 ORACLE["select_label_single"] = TAGBASE + """,
   s AS (SELECT dataset_id AS doc_id, tag AS label, score FROM classified WHERE score IS NOT NULL)
-SELECT doc_id, label, round(score, 6) AS score FROM (
+SELECT doc_id, label, CAST(round(CAST(round(score, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS rn FROM s) WHERE rn = 1
 """
 
@@ -610,7 +610,7 @@ ORACLE["propagate_tags"] = GREEDY.replace("WITH RECURSIVE", f"WITH RECURSIVE {DO
     SELECT topic, dataset_id, tag, score, nested_kind FROM entries
     UNION ALL
     SELECT e.topic, s.similar_id, e.tag, e.score, e.nested_kind FROM sim s JOIN entries e ON e.dataset_id = s.kept_id)
-SELECT e.dataset_id, coalesce(e.nested_kind, l.listed_kind, 'themes') AS kind, e.tag, round(max(e.score), 6) AS score
+SELECT e.dataset_id, coalesce(e.nested_kind, l.listed_kind, 'themes') AS kind, e.tag, CAST(round(CAST(round(max(e.score), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS score
 FROM spread e LEFT JOIN tlists l ON l.topic = e.topic AND l.tag = e.tag GROUP BY 1, 2, 3
 """
 
@@ -642,7 +642,7 @@ WHERE (d.doc_id, t.tag) IN (SELECT dataset_id, tag FROM classified)
 ORACLE["tag_shares"] = TAGBASE + """,
   f AS (SELECT kind, tag, count(*) AS n FROM classified GROUP BY 1, 2),
   t AS (SELECT kind, count(*) AS tot FROM classified GROUP BY 1)
-SELECT f.kind, f.tag, f.n, round(f.n * 100.0 / t.tot, 6) AS share FROM f JOIN t USING (kind)
+SELECT f.kind, f.tag, f.n, CAST(round(CAST(round(f.n * 100.0 / t.tot, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS share FROM f JOIN t USING (kind)
 """
 
 ORACLE["score_histogram"] = TAGBASE + """
@@ -706,7 +706,7 @@ RUNS = """runs AS (
 
 ORACLE["mean_by_model"] = f"""
 WITH {RUNS}
-SELECT Model, round(avg(npmi), 6) AS npmi, round(avg(diversity), 6) AS diversity FROM runs GROUP BY 1
+SELECT Model, CAST(round(CAST(round(avg(npmi), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS npmi, CAST(round(CAST(round(avg(diversity), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS diversity FROM runs GROUP BY 1
 """
 
 BOARD = """board AS (
@@ -719,14 +719,14 @@ BOARD = """board AS (
 ORACLE["leaderboard"] = f"""
 WITH {RUNS}, {BOARD}
 SELECT Model, CAST(row_number() OVER (ORDER BY F_npmi ASC NULLS LAST, Model) AS BIGINT) AS position,
-       round(F_npmi, 6) AS F_npmi, round(F_diversity, 6) AS F_diversity, round(O_npmi, 6) AS O_npmi,
-       round(O_diversity, 6) AS O_diversity, round(P_npmi, 6) AS P_npmi, round(P_diversity, 6) AS P_diversity
+       CAST(round(CAST(round(F_npmi, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS F_npmi, CAST(round(CAST(round(F_diversity, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS F_diversity, CAST(round(CAST(round(O_npmi, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS O_npmi,
+       CAST(round(CAST(round(O_diversity, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS O_diversity, CAST(round(CAST(round(P_npmi, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS P_npmi, CAST(round(CAST(round(P_diversity, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS P_diversity
 FROM board
 """
 
 ORACLE["topic_quality"] = f"""
 WITH {RUNS}
-SELECT Model, Dataset, round(avg(npmi) * avg(diversity), 6) AS quality FROM runs GROUP BY 1, 2
+SELECT Model, Dataset, CAST(round(CAST(round(avg(npmi) * avg(diversity), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS quality FROM runs GROUP BY 1, 2
 """
 
 ORACLE["flatten_runs"] = f"""
@@ -737,20 +737,20 @@ FROM runs JOIN ds USING (Dataset)
 
 ORACLE["flatten_slices"] = f"""
 WITH {RUNS}
-SELECT Model, Dataset, CAST(year(ts) AS VARCHAR) AS slice, round(avg(npmi), 6) AS npmi,
-       round(avg(diversity), 6) AS diversity FROM runs GROUP BY 1, 2, 3
+SELECT Model, Dataset, CAST(year(ts) AS VARCHAR) AS slice, CAST(round(CAST(round(avg(npmi), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS npmi,
+       CAST(round(CAST(round(avg(diversity), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS diversity FROM runs GROUP BY 1, 2, 3
 """
 
 ORACLE["band"] = f"""
 WITH {RUNS}, g AS (SELECT Model, nr_topics, avg(npmi) AS m, stddev_samp(npmi) AS s FROM runs GROUP BY 1, 2)
-SELECT Model, CAST(nr_topics AS BIGINT) AS nr_topics, round(m, 6) AS mean, round(s, 6) AS std,
-       round(m - 0.5 * s, 6) AS lower, round(m + 0.5 * s, 6) AS upper FROM g
+SELECT Model, CAST(nr_topics AS BIGINT) AS nr_topics, CAST(round(CAST(round(m, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS mean, CAST(round(CAST(round(s, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS std,
+       CAST(round(CAST(round(m - 0.5 * s, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS lower, CAST(round(CAST(round(m + 0.5 * s, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS upper FROM g
 """
 
 ORACLE["run_summary"] = f"""
 WITH {RUNS}
-SELECT Model, CAST(nr_topics AS BIGINT) AS nr_topics, count(*) AS runs, round(avg(npmi), 6) AS mean,
-       round(stddev_samp(npmi), 6) AS std, round(median(npmi), 6) AS median FROM runs GROUP BY 1, 2
+SELECT Model, CAST(nr_topics AS BIGINT) AS nr_topics, count(*) AS runs, CAST(round(CAST(round(avg(npmi), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS mean,
+       CAST(round(CAST(round(stddev_samp(npmi), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS std, CAST(round(CAST(round(median(npmi), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS median FROM runs GROUP BY 1, 2
 """
 
 ORACLE["grid"] = f"""
@@ -762,20 +762,20 @@ FROM (SELECT DISTINCT Model FROM runs) m CROSS JOIN (SELECT DISTINCT nr_topics F
 ORACLE["best_run"] = f"""
 WITH {RUNS}, g AS (SELECT Model, nr_topics, avg(npmi) AS mean FROM runs GROUP BY 1, 2),
   r AS (SELECT *, row_number() OVER (ORDER BY mean DESC, Model, nr_topics) AS place FROM g)
-SELECT Model, CAST(nr_topics AS BIGINT) AS nr_topics, round(mean, 6) AS mean, CAST(place AS BIGINT) AS place
+SELECT Model, CAST(nr_topics AS BIGINT) AS nr_topics, CAST(round(CAST(round(mean, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS mean, CAST(place AS BIGINT) AS place
 FROM r WHERE place <= 3
 """
 
 ORACLE["top3_marks"] = f"""
 WITH {RUNS}, {BOARD},
-  l AS (SELECT 'F_npmi' AS "column", Model, round(F_npmi, 3) AS value FROM board
-        UNION ALL SELECT 'F_diversity', Model, round(F_diversity, 3) FROM board
-        UNION ALL SELECT 'O_npmi', Model, round(O_npmi, 3) FROM board
-        UNION ALL SELECT 'O_diversity', Model, round(O_diversity, 3) FROM board
-        UNION ALL SELECT 'P_npmi', Model, round(P_npmi, 3) FROM board
-        UNION ALL SELECT 'P_diversity', Model, round(P_diversity, 3) FROM board),
+  l AS (SELECT 'F_npmi' AS "column", Model, CAST(round(CAST(round(F_npmi, 9) AS DECIMAL(38, 9)), 3) AS DOUBLE) AS value FROM board
+        UNION ALL SELECT 'F_diversity', Model, CAST(round(CAST(round(F_diversity, 9) AS DECIMAL(38, 9)), 3) AS DOUBLE) FROM board
+        UNION ALL SELECT 'O_npmi', Model, CAST(round(CAST(round(O_npmi, 9) AS DECIMAL(38, 9)), 3) AS DOUBLE) FROM board
+        UNION ALL SELECT 'O_diversity', Model, CAST(round(CAST(round(O_diversity, 9) AS DECIMAL(38, 9)), 3) AS DOUBLE) FROM board
+        UNION ALL SELECT 'P_npmi', Model, CAST(round(CAST(round(P_npmi, 9) AS DECIMAL(38, 9)), 3) AS DOUBLE) FROM board
+        UNION ALL SELECT 'P_diversity', Model, CAST(round(CAST(round(P_diversity, 9) AS DECIMAL(38, 9)), 3) AS DOUBLE) FROM board),
   r AS (SELECT *, dense_rank() OVER (PARTITION BY "column" ORDER BY value DESC) AS mark FROM l WHERE value IS NOT NULL)
-SELECT "column", Model, round(value, 6) AS value, CAST(mark AS BIGINT) AS mark FROM r WHERE mark <= 3
+SELECT "column", Model, CAST(round(CAST(round(value, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS value, CAST(mark AS BIGINT) AS mark FROM r WHERE mark <= 3
 """
 
 
@@ -798,13 +798,13 @@ ORACLE["levene"] = f"""
 WITH {RUNS}, med AS (SELECT nr_topics, Model, median(npmi) AS md FROM runs GROUP BY 1, 2),
   zt AS (SELECT r.nr_topics, r.Model, abs(r.npmi - m.md) AS z FROM runs r JOIN med m USING (nr_topics, Model)),
   {one_way_sql('zt', 'z', 'nr_topics').lstrip().rstrip()}
-SELECT CAST(nr_topics AS BIGINT) AS nr_topics, round((ssb / (k - 1)) / (ssw / (NN - k)), 6) AS W FROM aov
+SELECT CAST(nr_topics AS BIGINT) AS nr_topics, CAST(round(CAST(round((ssb / (k - 1)) / (ssw / (NN - k)), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS W FROM aov
 """
 
 ORACLE["anova"] = f"""
 WITH {RUNS}, {one_way_sql('runs', 'npmi', 'nr_topics').lstrip()}
-SELECT CAST(nr_topics AS BIGINT) AS nr_topics, round((ssb / (k - 1)) / (ssw / (NN - k)), 6) AS F_stat,
-       round(ssb / (ssb + ssw), 6) AS np2 FROM aov
+SELECT CAST(nr_topics AS BIGINT) AS nr_topics, CAST(round(CAST(round((ssb / (k - 1)) / (ssw / (NN - k)), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS F_stat,
+       CAST(round(CAST(round(ssb / (ssb + ssw), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS np2 FROM aov
 """
 
 ORACLE["bartlett"] = f"""
@@ -812,13 +812,13 @@ WITH {RUNS}, gs AS (SELECT nr_topics, Model, count(*) AS n, var_samp(npmi) AS v
   a AS (SELECT nr_topics, count(*) AS k, sum(n) AS NN, sum((n - 1) * v) AS sv, sum((n - 1) * ln(v)) AS slv,
                sum(1.0 / (n - 1)) AS sinv FROM gs GROUP BY 1)
 SELECT CAST(nr_topics AS BIGINT) AS nr_topics,
-       round(((NN - k) * ln(sv / (NN - k)) - slv) / (1.0 + (1.0 / (3 * (k - 1))) * (sinv - 1.0 / (NN - k))), 6) AS T
+       CAST(round(CAST(round(((NN - k) * ln(sv / (NN - k)) - slv) / (1.0 + (1.0 / (3 * (k - 1))) * (sinv - 1.0 / (NN - k))), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS T
 FROM a
 """
 
 ORACLE["cell_residuals"] = f"""
 WITH {RUNS}
-SELECT run_id, round(npmi - avg(npmi) OVER (PARTITION BY Model, nr_topics), 6) AS residual FROM runs
+SELECT run_id, CAST(round(CAST(round(npmi - avg(npmi) OVER (PARTITION BY Model, nr_topics), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS residual FROM runs
 """
 
 GSTATS = """gst AS (SELECT Model, count(*) AS n, avg(npmi) AS mean, var_samp(npmi) AS v FROM runs GROUP BY 1)"""
@@ -830,8 +830,8 @@ WITH {RUNS}, {GSTATS},
   t AS (SELECT any_value(k) AS k, sum(w * (mean - mp) * (mean - mp)) AS A0,
                sum((1 - w / WW) * (1 - w / WW) / (n - 1)) AS lam FROM w2),
   {one_way_sql('runs', 'npmi', '').lstrip()}
-SELECT round((A0 / (k - 1)) / (1.0 + 2 * (k - 2) / (k * k - 1) * lam), 6) AS F_stat, round(CAST(k - 1 AS DOUBLE), 6) AS df1,
-       round((k * k - 1) / (3 * lam), 6) AS df2, round((SELECT ssb / (ssb + ssw) FROM aov), 6) AS np2 FROM t
+SELECT CAST(round(CAST(round((A0 / (k - 1)) / (1.0 + 2 * (k - 2) / (k * k - 1) * lam), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS F_stat, CAST(round(CAST(round(CAST(k - 1 AS DOUBLE), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS df1,
+       CAST(round(CAST(round((k * k - 1) / (3 * lam), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS df2, CAST(round(CAST(round((SELECT ssb / (ssb + ssw) FROM aov), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS np2 FROM t
 """
 
 PAIRS_G = """pg AS (SELECT a.Model AS A, b.Model AS B, a.n AS na, b.n AS nb, a.mean AS ma, b.mean AS mb, a.v AS va,
@@ -841,16 +841,16 @@ ORACLE["games_howell"] = f"""
 WITH {RUNS}, {GSTATS}, {PAIRS_G},
   x AS (SELECT *, va / na AS qa, vb / nb AS qb,
                (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d FROM pg)
-SELECT A, B, round(ma - mb, 6) AS diff, round(sqrt(qa + qb), 6) AS se, round((ma - mb) / sqrt(qa + qb), 6) AS T,
-       round(abs((ma - mb) / sqrt(qa + qb)) * sqrt(2.0), 6) AS q,
-       round((qa + qb) * (qa + qb) / (qa * qa / (na - 1) + qb * qb / (nb - 1)), 6) AS df,
-       round(d * (1.0 - 3.0 / (4 * (na + nb) - 9)), 6) AS hedges
+SELECT A, B, CAST(round(CAST(round(ma - mb, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS diff, CAST(round(CAST(round(sqrt(qa + qb), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS se, CAST(round(CAST(round((ma - mb) / sqrt(qa + qb), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS T,
+       CAST(round(CAST(round(abs((ma - mb) / sqrt(qa + qb)) * sqrt(2.0), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS q,
+       CAST(round(CAST(round((qa + qb) * (qa + qb) / (qa * qa / (na - 1) + qb * qb / (nb - 1)), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS df,
+       CAST(round(CAST(round(d * (1.0 - 3.0 / (4 * (na + nb) - 9)), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS hedges
 FROM x
 """
 
 ORACLE["cohens_d"] = f"""
 WITH {RUNS}, {GSTATS}, {PAIRS_G}
-SELECT A, B, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS d FROM pg
+SELECT A, B, CAST(round(CAST(round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS d FROM pg
 """
 
 ORACLE["correlation"] = f"""
@@ -859,7 +859,7 @@ WITH {RUNS},
                rank() OVER (PARTITION BY Model ORDER BY npmi) + (count(*) OVER (PARTITION BY Model, npmi) - 1) / 2.0 AS rx,
                rank() OVER (PARTITION BY Model ORDER BY diversity)
                  + (count(*) OVER (PARTITION BY Model, diversity) - 1) / 2.0 AS ry FROM runs)
-SELECT Model, count(*) AS n, round(corr(npmi, diversity), 6) AS pearson, round(corr(rx, ry), 6) AS spearman
+SELECT Model, count(*) AS n, CAST(round(CAST(round(corr(npmi, diversity), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS pearson, CAST(round(CAST(round(corr(rx, ry), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS spearman
 FROM r GROUP BY 1
 """
 
@@ -872,14 +872,14 @@ WITH {RUNS}, {MIDRANK},
   g AS (SELECT Model, count(*) AS n, sum(rk) AS R FROM mr GROUP BY 1),
   s AS (SELECT sum(R * R / n) AS sr, count(*) AS k FROM g),
   h AS (SELECT (12.0 / (NN * (NN + 1)) * sr - 3 * (NN + 1)) / (1.0 - tt / (NN * NN * NN - NN)) AS H, k, NN FROM s, ties)
-SELECT round(H, 6) AS H, round(CAST(k - 1 AS DOUBLE), 6) AS df, round((H - k + 1) / (NN - k), 6) AS eta2 FROM h
+SELECT CAST(round(CAST(round(H, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS H, CAST(round(CAST(round(CAST(k - 1 AS DOUBLE), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS df, CAST(round(CAST(round((H - k + 1) / (NN - k), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS eta2 FROM h
 """
 
 ORACLE["dunn"] = f"""
 WITH {RUNS}, {MIDRANK},
   g AS (SELECT Model, count(*) AS n, avg(rk) AS rb FROM mr GROUP BY 1)
 SELECT a.Model AS A, b.Model AS B,
-       round((a.rb - b.rb) / sqrt((NN * (NN + 1) / 12.0 - tt / (12.0 * (NN - 1))) * (1.0 / a.n + 1.0 / b.n)), 6) AS z
+       CAST(round(CAST(round((a.rb - b.rb) / sqrt((NN * (NN + 1) / 12.0 - tt / (12.0 * (NN - 1))) * (1.0 / a.n + 1.0 / b.n)), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS z
 FROM g a JOIN g b ON a.Model < b.Model CROSS JOIN ties
 """
 
@@ -887,7 +887,7 @@ ORACLE["cliffs_delta"] = f"""
 WITH {RUNS}, vc AS (SELECT Model, diversity AS v, count(*) AS c FROM runs GROUP BY 1, 2),
   n AS (SELECT Model, sum(c) AS n FROM vc GROUP BY 1)
 SELECT a.Model AS A, b.Model AS B,
-       round(sum(a.c * b.c * sign(a.v - b.v)) / (any_value(na.n) * any_value(nb.n)), 6) AS delta
+       CAST(round(CAST(round(sum(a.c * b.c * sign(a.v - b.v)) / (any_value(na.n) * any_value(nb.n)), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS delta
 FROM vc a JOIN vc b ON a.Model < b.Model JOIN n na ON na.Model = a.Model JOIN n nb ON nb.Model = b.Model
 GROUP BY 1, 2
 """
@@ -900,8 +900,8 @@ WITH {RUNS}, m AS (SELECT Model, count(*) AS n, avg(npmi) AS mean, stddev_samp(n
   vc AS (SELECT Model, npmi, count(*) AS c FROM runs GROUP BY 1, 2),
   md AS (SELECT Model, npmi AS mode FROM (
            SELECT *, row_number() OVER (PARTITION BY Model ORDER BY c DESC, npmi) AS r FROM vc) WHERE r = 1)
-SELECT m.Model, m.n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(m3 / (m2 ^ 1.5), 6) AS skewness,
-       round(m4 / (m2 * m2) - 3, 6) AS kurtosis, round(mode, 6) AS mode, round(median, 6) AS median
+SELECT m.Model, m.n, CAST(round(CAST(round(mean, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS mean, CAST(round(CAST(round(sd, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS sd, CAST(round(CAST(round(m3 / (m2 ^ 1.5), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS skewness,
+       CAST(round(CAST(round(m4 / (m2 * m2) - 3, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS kurtosis, CAST(round(CAST(round(mode, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS mode, CAST(round(CAST(round(median, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS median
 FROM m JOIN mo USING (Model) JOIN md USING (Model)
 """
 
@@ -919,7 +919,7 @@ WITH {RATINGS},
   pb AS (SELECT avg((sq - ni) / (ni * (ni - 1))) AS pbar, sum(ni) AS total FROM pi),
   pj AS (SELECT rating, sum(nij) AS nj FROM nij WHERE item IN (SELECT item FROM pi) GROUP BY 1),
   pe AS (SELECT sum((nj / (SELECT total FROM pb)) ^ 2) AS pe FROM pj)
-SELECT round(pbar, 6) AS p_bar, round(pe, 6) AS pe, round((pbar - pe) / (1 - pe), 6) AS kappa FROM pb, pe
+SELECT CAST(round(CAST(round(pbar, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS p_bar, CAST(round(CAST(round(pe, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS pe, CAST(round(CAST(round((pbar - pe) / (1 - pe), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS kappa FROM pb, pe
 """
 
 KRIPP = f"""
@@ -944,9 +944,9 @@ WITH {RATINGS},
                  sum(coalesce(o.o, 0) * d_ord) AS do_ord, sum(nc * nk * d_ord) AS de_ord,
                  sum(coalesce(o.o, 0) * d_int) AS do_int, sum(nc * nk * d_int) AS de_int
           FROM d LEFT JOIN o USING (c, k))
-SELECT 'nominal' AS level, round(1 - (n - 1) * do_nom / de_nom, 6) AS alpha FROM agg
-UNION ALL SELECT 'ordinal', round(1 - (n - 1) * do_ord / de_ord, 6) FROM agg
-UNION ALL SELECT 'interval', round(1 - (n - 1) * do_int / de_int, 6) FROM agg
+SELECT 'nominal' AS level, CAST(round(CAST(round(1 - (n - 1) * do_nom / de_nom, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS alpha FROM agg
+UNION ALL SELECT 'ordinal', CAST(round(CAST(round(1 - (n - 1) * do_ord / de_ord, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) FROM agg
+UNION ALL SELECT 'interval', CAST(round(CAST(round(1 - (n - 1) * do_int / de_int, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) FROM agg
 """
 
 ORACLE["krippendorff_alpha"] = KRIPP
@@ -963,12 +963,12 @@ WITH {RATINGS},
                 (SELECT sum((m - gm) ^ 2) FROM (SELECT avg(x) AS m FROM f GROUP BY rater), g) * (SELECT n FROM g) AS ssc),
   ms AS (SELECT ssr / (n - 1) AS msr, ssc / (k - 1) AS msc, (sst - ssr - ssc) / ((n - 1) * (k - 1)) AS mse,
                 (sst - ssr) / (n * (k - 1)) AS msw, n, k FROM ss, g)
-SELECT 'ICC1' AS type, round((msr - msw) / (msr + (k - 1) * msw), 6) AS icc FROM ms
-UNION ALL SELECT 'ICC2', round((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n), 6) FROM ms
-UNION ALL SELECT 'ICC3', round((msr - mse) / (msr + (k - 1) * mse), 6) FROM ms
-UNION ALL SELECT 'ICC1k', round((msr - msw) / msr, 6) FROM ms
-UNION ALL SELECT 'ICC2k', round((msr - mse) / (msr + (msc - mse) / n), 6) FROM ms
-UNION ALL SELECT 'ICC3k', round((msr - mse) / msr, 6) FROM ms
+SELECT 'ICC1' AS type, CAST(round(CAST(round((msr - msw) / (msr + (k - 1) * msw), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS icc FROM ms
+UNION ALL SELECT 'ICC2', CAST(round(CAST(round((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) FROM ms
+UNION ALL SELECT 'ICC3', CAST(round(CAST(round((msr - mse) / (msr + (k - 1) * mse), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) FROM ms
+UNION ALL SELECT 'ICC1k', CAST(round(CAST(round((msr - msw) / msr, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) FROM ms
+UNION ALL SELECT 'ICC2k', CAST(round(CAST(round((msr - mse) / (msr + (msc - mse) / n), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) FROM ms
+UNION ALL SELECT 'ICC3k', CAST(round(CAST(round((msr - mse) / msr, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) FROM ms
 """
 
 ORACLE["confusion"] = """
@@ -979,11 +979,11 @@ WITH j AS (SELECT CAST(d.n_chars >= 2000 AS INTEGER) AS pred, l.quality AS truth
                sum(CASE WHEN pred <> 1 AND truth = 1 THEN 1 ELSE 0 END) AS fn,
                sum(CASE WHEN pred <> 1 AND truth <> 1 THEN 1 ELSE 0 END) AS tn FROM j)
 SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn,
-       round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy,
-       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision,
-       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall,
-       round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END, 6) AS specificity,
-       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM c
+       CAST(round(CAST(round((tp + tn) / (tp + fp + fn + tn), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS accuracy,
+       CAST(round(CAST(round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS precision,
+       CAST(round(CAST(round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS recall,
+       CAST(round(CAST(round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS specificity,
+       CAST(round(CAST(round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS f1 FROM c
 """
 
 INTRUDER = f"""{TOPTAGS},
@@ -1006,13 +1006,13 @@ WITH {TOPIC_TERMS}, {INTRUDER},
   sc AS (SELECT o.doc_id, o.tag, coalesce(w.weight, 0.0) AS weight FROM opts o JOIN first f USING (doc_id)
          LEFT JOIN w ON w.topic = f.topic AND w.term = o.tag),
   ans AS (SELECT doc_id, arg_min(tag, (weight, tag)) AS answer FROM sc GROUP BY 1)
-SELECT CAST(5 AS BIGINT) AS n_tags, round(avg(CASE WHEN a.answer = t.intruder THEN 1.0 ELSE 0.0 END), 6) AS rate,
+SELECT CAST(5 AS BIGINT) AS n_tags, CAST(round(CAST(round(avg(CASE WHEN a.answer = t.intruder THEN 1.0 ELSE 0.0 END), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS rate,
        count(*) AS tasks FROM tasks t JOIN ans a USING (doc_id)
 """
 
 ORACLE["rating_means"] = f"""
 WITH {RATINGS}
-SELECT model, round(avg(rating), 6) AS mean, count(rating) AS rated, count(*) - count(rating) AS na FROM ratings GROUP BY 1
+SELECT model, CAST(round(CAST(round(avg(rating), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS mean, count(rating) AS rated, count(*) - count(rating) AS na FROM ratings GROUP BY 1
 """
 
 ORACLE["label_agreement"] = f"""
@@ -1023,10 +1023,10 @@ WITH {CENT},
   cnt AS (SELECT topic, label, count(*) AS c FROM j GROUP BY 1, 2),
   maj AS (SELECT topic, arg_max(label, (c, -label)) AS maj, max(c) AS cmax FROM cnt WHERE topic <> -1 GROUP BY 1),
   tot AS (SELECT count(*) AS n FROM j)
-SELECT round((SELECT sum(cmax) FROM maj) / n, 6) AS purity,
-       round((SELECT count(DISTINCT maj) FROM maj) / (SELECT count(DISTINCT label) FROM embeddings), 6) AS topic_recall,
-       round((SELECT count(*) FROM j WHERE topic <> -1) / n, 6) AS coverage,
-       round((SELECT sum(cmax) FROM maj) / n, 6) AS accuracy FROM tot
+SELECT CAST(round(CAST(round((SELECT sum(cmax) FROM maj) / n, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS purity,
+       CAST(round(CAST(round((SELECT count(DISTINCT maj) FROM maj) / (SELECT count(DISTINCT label) FROM embeddings), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS topic_recall,
+       CAST(round(CAST(round((SELECT count(*) FROM j WHERE topic <> -1) / n, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS coverage,
+       CAST(round(CAST(round((SELECT sum(cmax) FROM maj) / n, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS accuracy FROM tot
 """
 
 
@@ -1082,7 +1082,7 @@ WITH s AS ({src}),
   c AS (SELECT CAST(least({bins - 1}, floor((CAST({col} AS DOUBLE) - mn) / w)) AS INTEGER) AS bin, count(*) AS count
         FROM s, ww WHERE {col} IS NOT NULL GROUP BY 1),
   allb AS (SELECT CAST(range AS INTEGER) AS bin FROM range(0, {bins}))
-SELECT CAST(a.bin AS BIGINT) AS bin, round(mn + CAST(a.bin AS DOUBLE) * w, 6) AS "left", coalesce(c.count, 0) AS count
+SELECT CAST(a.bin AS BIGINT) AS bin, CAST(round(CAST(round(mn + CAST(a.bin AS DOUBLE) * w, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS "left", coalesce(c.count, 0) AS count
 FROM allb a CROSS JOIN ww LEFT JOIN c USING (bin)
 """
 
@@ -1113,7 +1113,7 @@ WITH r AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS wor
                   len(regexp_extract_all(lower(text), '[aeiouyàâäéèêëîïôöùûüÿæœáíóúñ]+')) AS v FROM documents)
 SELECT doc_id, CAST(words AS BIGINT) AS words, CAST(sentences AS BIGINT) AS sentences,
        CAST(greatest(words, v) AS BIGINT) AS syllables,
-       round(CASE WHEN words > 0 THEN 206.835 - 1.015 * words / sentences - 84.6 * greatest(words, v) / words END, 6)
+       CAST(round(CAST(round(CASE WHEN words > 0 THEN 206.835 - 1.015 * words / sentences - 84.6 * greatest(words, v) / words END, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE)
        AS ease FROM r
 """
 
@@ -1123,7 +1123,7 @@ ORACLE["knn"] = """
 WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
   d AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS dist FROM p a JOIN p b ON a.id <> b.id),
   r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rank FROM d)
-SELECT a, b, round(dist, 6) AS dist, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5
+SELECT a, b, CAST(round(CAST(round(dist, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS dist, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5
 """
 
 ORACLE["vector_topic_words"] = f"""
@@ -1135,7 +1135,7 @@ WITH {CENT},
   sc AS (SELECT w.term, c.label AS topic, sum(w.m * c.c) / any_value(wn.nrm) AS cosine
          FROM wv w JOIN cn c ON c.i = w.i JOIN wn USING (term) GROUP BY 1, 2),
   r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(cosine, 12) DESC, term) AS rank FROM sc)
-SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, term, round(cosine, 6) AS cosine
+SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, term, CAST(round(CAST(round(cosine, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS cosine
 FROM r WHERE rank <= 10
 """
 
@@ -1157,7 +1157,7 @@ SELECT window_start, event_type, n FROM c, wm WHERE window_start + INTERVAL 1 DA
 ORACLE["stream_assign"] = f"""
 WITH {CENT},
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, topic) AS rn FROM cos)
-SELECT doc_id, CAST(topic AS BIGINT) AS topic, round(cosine, 6) AS cosine FROM r WHERE rn = 1
+SELECT doc_id, CAST(topic AS BIGINT) AS topic, CAST(round(CAST(round(cosine, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS cosine FROM r WHERE rn = 1
 """
 
 ORACLE["stream_dedupe"] = """
@@ -1166,7 +1166,7 @@ SELECT DISTINCT sha256(d.text) AS text_hash FROM documents d JOIN events e ON e.
 
 ORACLE["stream_centroids"] = f"""
 WITH {CENT}
-SELECT CAST(label AS BIGINT) AS topic, CAST(i AS BIGINT) AS i, round(m, 6) AS value FROM cm
+SELECT CAST(label AS BIGINT) AS topic, CAST(i AS BIGINT) AS i, CAST(round(CAST(round(m, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS value FROM cm
 """
 
 ORACLE["tag_pipeline"] = ORACLE["propagate_tags"].replace(
@@ -1174,3 +1174,34 @@ ORACLE["tag_pipeline"] = ORACLE["propagate_tags"].replace(
     "FROM spread e LEFT JOIN tlists l ON l.topic = e.topic AND l.tag = e.tag GROUP BY 1, 2, 3\n"
     "HAVING (coalesce(e.nested_kind, l.listed_kind, 'themes') = 'themes' AND max(e.score) > 0.7)\n"
     "    OR (coalesce(e.nested_kind, l.listed_kind, 'themes') = 'overarching_themes' AND max(e.score) > 0.5)")
+
+# -- remaining inventory items -----------------------------------------------------
+
+ORACLE["document_info"] = f"""
+WITH {TOPIC_TERMS},
+  wl AS (SELECT topic, string_agg(term, '_' ORDER BY rank) FILTER (WHERE rank <= 3) AS lab,
+                string_agg(term, ', ' ORDER BY rank) AS rep FROM ranked WHERE rank <= 10 GROUP BY 1)
+SELECT a.doc_id, CAST(a.topic AS BIGINT) AS topic, CAST(a.topic AS VARCHAR) || '_' || wl.lab AS name,
+       wl.rep AS representation
+FROM assign a LEFT JOIN wl USING (topic)
+"""
+
+ORACLE["term_counts_bigrams"] = f"""
+WITH assign AS (SELECT d.doc_id, CAST(coalesce(e.label, -1) AS INTEGER) AS topic,
+                       list_filter({tok('d.text')}, lambda t: t NOT IN ({STOP})) AS t
+                FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
+  g AS (SELECT topic, list_concat(t, CASE WHEN len(t) >= 2 THEN
+                 list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END) AS grams
+        FROM assign),
+  o AS (SELECT topic, unnest(grams) AS term FROM g)
+SELECT CAST(topic AS BIGINT) AS topic, term, count(*) AS n FROM o GROUP BY 1, 2
+"""
+
+ORACLE["vocabulary"] = f"""
+WITH o AS (SELECT doc_id, unnest(list_filter({tok('text')}, lambda t: t NOT IN ({STOP}))) AS term FROM documents),
+  c AS (SELECT doc_id, term, count(*) AS n FROM o GROUP BY 1, 2)
+SELECT term, sum(n) AS n, count(*) AS docs FROM c GROUP BY 1
+"""
+
+ORACLE["ctfidf_reduce_frequent"] = ORACLE["ctfidf_top_words"].replace("WITH " + TOPIC_TERMS, "WITH " + TOPIC_TERMS.replace(
+    "(c.n / t.total) * ln(aa.A / tf.f + 1) AS weight", "sqrt(c.n / t.total) * ln(aa.A / tf.f + 1) AS weight"))

@@ -1099,3 +1099,58 @@ def q_tag_pipeline(spark, sf):
     ok, _ = _payloads(spark, sf)
     out = PL.run(_docs(spark, sf), T.topic_assignments(spark, sf), ok)
     return _tags_out(out["selected"])
+
+
+# -- remaining inventory items -----------------------------------------------------
+
+@query("document_info")
+def q_document_info(spark, sf):
+    """Each document with its topic's name and representation."""
+    info = TP.topic_info(T.topic_assignments(spark, sf), terms.top_words(_topic_weights(spark, sf), k=10))
+    d = T.topic_assignments(spark, sf).join(info.select("topic", "name", "representation"), "topic", "left")
+    return d.select("doc_id", F.col("topic").cast("bigint").alias("topic"), "name", "representation")
+
+
+@query("term_counts_bigrams")
+def q_term_counts_bigrams(spark, sf):
+    """A1 with n-grams (1, 2) after stop-word removal, per topic."""
+    docs = _docs(spark, sf)
+    c = terms.class_counts(docs, T.topic_assignments(spark, sf), ngram_max=2)
+    return c.select(F.col("topic").cast("bigint").alias("topic"), "term", "n")
+
+
+@query("vocabulary")
+def q_vocabulary(spark, sf):
+    """Corpus vocabulary with occurrence and document counts."""
+    v = terms.vocabulary(terms.term_counts(_docs(spark, sf), "doc_id", "text"))
+    return v.select("term", "n", "docs")
+
+
+@query("ctfidf_reduce_frequent")
+def q_ctfidf_reduce_frequent(spark, sf):
+    """A3 with the square-root damping of frequent words."""
+    docs = _docs(spark, sf)
+    w = terms.ctfidf(terms.class_counts(docs, T.topic_assignments(spark, sf)), reduce_frequent=True)
+    top = terms.top_words(w, k=10)
+    return top.select(F.col("topic").cast("bigint").alias("topic"), "rank", F.col("term").alias("word"),
+                      r6("weight").alias("weight"))
+
+
+@query("nested_tags")
+def q_nested_tags(spark, sf):
+    """Per document {"themes": {tag: score}, "overarching_themes": {...}}."""
+    return SF.nest_tags(_classified(spark, sf).filter(F.col("score").isNotNull()))
+
+
+@query("reassign_outliers_embeddings")
+def q_reassign_outliers_embeddings(spark, sf):
+    """M5 'embeddings' strategy: density-cluster outliers (-1) move to the
+    cluster whose centroid is most similar to their vector."""
+    v = _vectors(spark, sf)
+    clusters = CU.density_clusters(v, min_samples=5, min_cluster_size=5, block_rows=128) \
+        .withColumnRenamed("cluster", "topic")
+    cents = TP.centroids(v.join(clusters.filter("topic != -1"), "doc_id"), cls="topic")
+    outliers = v.join(clusters.filter("topic = -1").select("doc_id"), "doc_id", "left_semi")
+    cand = TP.nearest(outliers, cents, cls="topic").withColumnRenamed("cosine", "score")
+    out = TP.reassign_outliers(clusters, cand, threshold=0.0)
+    return out.select("doc_id", F.col("topic").cast("bigint").alias("topic"))
