@@ -112,14 +112,16 @@ def welch_anova(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -
 
 
 def _pairs(gs: DataFrame, group: str, by: list[str]) -> DataFrame:
-    a = gs.select(*by, *[F.col(c).alias(c + "_a") for c in gs.columns if c not in by])
-    b = gs.select(*by, *[F.col(c).alias(c + "_b") for c in gs.columns if c not in by])
-    # pairs of groups (one row per group on each side), not pairs of rows
-    cond = [a[c] == b[c] for c in by] + [F.col(group + "_a") < F.col(group + "_b")]
-    j = a.join(b, cond)
-    for c in by:
-        j = j.drop(b[c])
-    return j
+    """Every pair of groups (A < B) within each stratum, with both groups'
+    statistics suffixed _a / _b. Built from the stratum's list of groups
+    (one row per group, so bounded by the number of groups) by exploding it
+    twice; no join is involved."""
+    stats = [c for c in gs.columns if c not in by]
+    lst = gs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*stats))).alias("__g"))
+    one = lst.select(*by, F.posexplode("__g").alias("__i", "__x"), "__g")
+    two = one.select(*by, "__i", "__x", F.posexplode("__g").alias("__j", "__y")).filter(F.col("__i") < F.col("__j"))
+    return two.select(*by, *[F.col("__x")[c].alias(c + "_a") for c in stats],
+                      *[F.col("__y")[c].alias(c + "_b") for c in stats])
 
 
 def games_howell(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
@@ -208,8 +210,7 @@ def cliffs_delta(df: DataFrame, value: str, group: str) -> DataFrame:
     delta = (#(a > b) - #(a < b)) / (n_a n_b). No pair of rows is formed."""
     vc = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("cnt"))
     groups = vc.select(group).distinct()
-    pairs = groups.select(F.col(group).alias("A")).join(groups.select(F.col(group).alias("B")),
-                                                        F.col("A") < F.col("B"))
+    pairs = _pairs(groups, group, []).select(F.col(group + "_a").alias("A"), F.col(group + "_b").alias("B"))
     # each group's counts in each pair it belongs to, tagged by side
     a = pairs.join(vc.withColumnRenamed(group, "A"), "A").select("A", "B", value, F.col("cnt").alias("ca"),
                                                                  F.lit(0).alias("cb"))
