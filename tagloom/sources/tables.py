@@ -74,6 +74,15 @@ def topic_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("topic"))
 
 
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, topic): documents with their topic in one left join
+    (the label table is small and is broadcast by AQE when it fits)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return d.join(e, "doc_id", "left").select(
+        "doc_id", "text", F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("topic"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D5 (doc_id, embedding array<float>, label)."""
     return table(spark, sf_dir, "embeddings").select(
