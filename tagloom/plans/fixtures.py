@@ -36,8 +36,11 @@ def topic_model(spark: SparkSession, sf: str):
     docs = T.table(spark, sf, "documents").select("doc_id", "text")
     assign = T.topic_assignments(spark, sf)
     from ..functions.frames import reuse
-    weights = reuse(terms.ctfidf(terms.term_counts(T.labelled_documents(spark, sf), "topic", "text")))
+    # one tokenisation: per-document counts, summed per topic for the model
     doc_counts = reuse(terms.term_counts(docs, "doc_id", "text"))
+    class_counts = (doc_counts.join(assign, "doc_id")
+                              .groupBy("topic", "term").agg(F.sum("n").alias("n")))
+    weights = reuse(terms.ctfidf(class_counts))
     top = terms.top_words(weights, k=10)
     return docs, assign, doc_counts, weights, top
 
