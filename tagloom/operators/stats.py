@@ -119,16 +119,17 @@ def _pairs(gs: DataFrame, group: str, by: list[str]) -> DataFrame:
     stats = [c for c in gs.columns if c not in by]
     lst = gs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*stats))).alias("__g"))
     one = lst.select(*by, F.posexplode("__g").alias("__i", "__x"), "__g")
-    two = one.select(*by, "__i", "__x", F.posexplode("__g").alias("__j", "__y")).filter(F.col("__i") < F.col("__j"))
+    two = one.select(*by, "__i", "__x", F.posexplode("__g").alias("__j", "__y"), F.size("__g").alias("n_groups")) \
+             .filter(F.col("__i") < F.col("__j"))
     return two.select(*by, *[F.col("__x")[c].alias(c + "_a") for c in stats],
-                      *[F.col("__y")[c].alias(c + "_b") for c in stats])
+                      *[F.col("__y")[c].alias(c + "_b") for c in stats], "n_groups")
 
 
 def games_howell(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
     """E5: pairwise mean differences with Welch standard errors, the
-    studentised statistic q = |t| sqrt(2), Welch df and Hedges' g. The
-    studentised-range tail has no closed form; ``p_t`` is the two-sided
-    Welch t p-value of the same pair."""
+    studentised statistic q = |t| sqrt(2), Welch df, Hedges' g, the
+    Games-Howell p-value (studentised range with k groups and the Welch df,
+    by quadrature) and, for reference, the two-sided Welch t p-value."""
     by = list(by)
     p = _pairs(group_stats(df, value, by + [group]), group, by)
     va, vb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
@@ -139,8 +140,26 @@ def games_howell(df: DataFrame, value: str, group: str, by: Sequence[str] = ())
                    (F.col("mean_a") - F.col("mean_b")).alias("diff"), se.alias("se"), t.alias("T"),
                    (F.abs(t) * F.sqrt(F.lit(2.0))).alias("q"), dof.alias("df"),
                    _hedges(F.col("mean_a"), F.col("mean_b"), F.col("var_a"), F.col("var_b"),
-                           F.col("n_a"), F.col("n_b")).alias("hedges"))
-    return out.withColumn("p_t", P.t_pvalue("T", "df"))
+                           F.col("n_a"), F.col("n_b")).alias("hedges"), "n_groups")
+    return out.withColumn("p_t", P.t_pvalue("T", "df")).withColumn("p", P.tukey_pvalue("q", "n_groups", "df"))
+
+
+def tukey_hsd(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
+    """E6 post-hoc: Tukey HSD with the pooled within-group mean square:
+    q = |m_a - m_b| / sqrt(MSE / 2 (1/n_a + 1/n_b)), df = N - k."""
+    by = list(by)
+    means = df.groupBy(*by, group).agg(F.avg(value).alias("m"))
+    gs = (df.join(means, by + [group]).groupBy(*by, group)
+            .agg(F.count(value).alias("n"), F.first("m").alias("m"),
+                 F.sum((F.col(value) - F.col("m")) ** 2).alias("ssw_g")))
+    w = Window.partitionBy(*by)  # one row per group
+    gs = (gs.withColumn("mse", F.sum("ssw_g").over(w) / (F.sum("n").over(w) - F.count(F.lit(1)).over(w)))
+            .withColumn("dfe", (F.sum("n").over(w) - F.count(F.lit(1)).over(w)).cast("double")))
+    p = _pairs(gs.select(*by, group, "n", "m", "mse", "dfe"), group, by)
+    q = F.abs(F.col("m_a") - F.col("m_b")) / F.sqrt(F.col("mse_a") / 2 * (F.lit(1.0) / F.col("n_a") + F.lit(1.0) / F.col("n_b")))
+    out = p.select(*by, F.col(group + "_a").alias("A"), F.col(group + "_b").alias("B"),
+                   (F.col("m_a") - F.col("m_b")).alias("diff"), q.alias("q"), F.col("dfe_a").alias("df"), "n_groups")
+    return out.withColumn("p", P.tukey_pvalue("q", "n_groups", "df"))
 
 
 def _cohen(ma, mb, va, vb, na, nb):

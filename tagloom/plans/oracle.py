@@ -1205,3 +1205,17 @@ SELECT term, sum(n) AS n, count(*) AS docs FROM c GROUP BY 1
 
 ORACLE["ctfidf_reduce_frequent"] = ORACLE["ctfidf_top_words"].replace("WITH " + TOPIC_TERMS, "WITH " + TOPIC_TERMS.replace(
     "(c.n / t.total) * ln(aa.A / tf.f + 1) AS weight", "sqrt(c.n / t.total) * ln(aa.A / tf.f + 1) AS weight"))
+
+ORACLE["tukey_hsd"] = f"""
+WITH {RUNS},
+  gm AS (SELECT nr_topics, Model, avg(npmi) AS m, count(*) AS n FROM runs GROUP BY 1, 2),
+  ss AS (SELECT r.nr_topics, sum((r.npmi - g.m) * (r.npmi - g.m)) AS ssw, count(*) AS nn
+         FROM runs r JOIN gm g USING (nr_topics, Model) GROUP BY 1),
+  k AS (SELECT nr_topics, count(*) AS k FROM gm GROUP BY 1),
+  e AS (SELECT ss.nr_topics, ssw / (nn - k) AS mse, CAST(nn - k AS DOUBLE) AS dfe FROM ss JOIN k USING (nr_topics))
+SELECT CAST(a.nr_topics AS BIGINT) AS nr_topics, a.Model AS A, b.Model AS B,
+       CAST(round(CAST(round(a.m - b.m, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS diff,
+       CAST(round(CAST(round(abs(a.m - b.m) / sqrt(e.mse / 2 * (1.0 / a.n + 1.0 / b.n)), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS q,
+       CAST(round(CAST(round(e.dfe, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS df
+FROM gm a JOIN gm b ON a.nr_topics = b.nr_topics AND a.Model < b.Model JOIN e ON e.nr_topics = a.nr_topics
+"""

@@ -1161,3 +1161,23 @@ def q_reassign_outliers_embeddings(spark, sf):
     cand = TP.nearest(outliers, cents, cls="topic").withColumnRenamed("cosine", "score")
     out = TP.reassign_outliers(clusters, cand, threshold=0.0)
     return out.select("doc_id", F.col("topic").cast("bigint").alias("topic"))
+
+
+@query("tukey_hsd")
+def q_tukey_hsd(spark, sf):
+    t = ST.tukey_hsd(_runs(spark, sf), "npmi", "Model", ["nr_topics"])
+    return _nt(t).select("nr_topics", "A", "B", r6("diff").alias("diff"), r6("q").alias("q"), r6("df").alias("df"))
+
+
+@query("posthoc_pvalues")
+def q_posthoc_pvalues(spark, sf):
+    r = _runs(spark, sf)
+    gh = ST.games_howell(r, "npmi", "Model").select(F.lit("games_howell").alias("test"), "A", "B", "p")
+    tk = ST.tukey_hsd(r, "npmi", "Model").select(F.lit("tukey_hsd").alias("test"), "A", "B", "p")
+    return gh.unionByName(tk).select("test", "A", "B", r6("p").alias("p"))
+
+
+@query("gmm_membership")
+def q_gmm_membership(spark, sf):
+    m = CU.gmm_membership(_vectors(spark, sf), 10)
+    return m.select("doc_id", F.col("topic").cast("bigint").alias("topic"), r6("prob").alias("prob"))

@@ -22,3 +22,11 @@ def test_t_tail():
 def test_normal():
     assert abs(P.norm_sf2(1.959964) - 0.05) < 1e-6
     assert abs(P.norm_cdf(0.0) - 0.5) < 1e-15
+
+
+def test_studentised_range_table_values():
+    # upper 5 % / 1 % points of the studentised range
+    assert abs(P.ptukey_sf(3.877, 3, 10) - 0.05) < 2e-4
+    assert abs(P.ptukey_sf(4.199, 4, 12) - 0.05) < 2e-4
+    assert abs(P.ptukey_sf(5.502, 4, 12) - 0.01) < 2e-4
+    assert abs(P.ptukey_sf(3.314, 3, 1e9) - 0.05) < 2e-4
