@@ -62,27 +62,44 @@ def stream_dedupe(stream: DataFrame, text: str = "text", ts: str = "ts", delay:
                   .dropDuplicatesWithinWatermark(["text_hash"]))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Batch ids of the state versions under ``path`` (Hadoop FS listing, so
+    it works on the shared storage of a cluster)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("v") and name[1:].isdigit() and fs.exists(
+                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name[1:]))
+    return sorted(out)
+
+
 def stream_centroids(stream: DataFrame, state_path: str, key: str = "label", vec: str = "embedding"):
     """T4: running-mean centroids. Each micro-batch adds its per-(key, dim)
-    sums and counts to a state table (a new version per batch, written to
-    the shared folder), so the mean equals the batch mean of all rows seen.
-    Returns the foreachBatch function."""
+    sums and counts to the newest state version written by an earlier batch
+    and writes version ``v<batch_id>``; a retried batch recomputes the same
+    version from the same input, so replays never count twice. Returns the
+    foreachBatch function."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         part = (batch.select(F.col(key), F.posexplode(vec).alias("i", "x"))
                      .groupBy(key, "i").agg(F.sum(F.col("x").cast("double")).alias("s"),
                                             F.count(F.lit(1)).alias("c")))
-        try:
-            prev = spark.read.parquet(f"{state_path}/current")
-            merged = prev.unionByName(part).groupBy(key, "i").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-        except Exception:  # first batch: no state yet
-            merged = part
-        merged.write.mode("overwrite").parquet(f"{state_path}/v{batch_id}")
-        spark.read.parquet(f"{state_path}/v{batch_id}").write.mode("overwrite").parquet(f"{state_path}/current")
+        earlier = [v for v in _versions(spark, state_path) if v < batch_id]
+        if earlier:
+            prev = spark.read.parquet(f"{state_path}/v{earlier[-1]}")
+            part = prev.unionByName(part).groupBy(key, "i").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+        part.write.mode("overwrite").parquet(f"{state_path}/v{batch_id}")
     return merge
 
 
 def read_centroids(spark: SparkSession, state_path: str, key: str = "label") -> DataFrame:
-    """Current running-mean centroids -> (key, i, mean)."""
-    s = spark.read.parquet(f"{state_path}/current")
+    """Current running-mean centroids (newest state version) -> (key, i, mean)."""
+    latest = _versions(spark, state_path)[-1]
+    s = spark.read.parquet(f"{state_path}/v{latest}")
     return s.select(key, "i", (F.col("s") / F.col("c")).alias("mean"))
