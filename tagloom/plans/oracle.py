@@ -1219,3 +1219,15 @@ SELECT CAST(a.nr_topics AS BIGINT) AS nr_topics, a.Model AS A, b.Model AS B,
        CAST(round(CAST(round(e.dfe, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS df
 FROM gm a JOIN gm b ON a.nr_topics = b.nr_topics AND a.Model < b.Model JOIN e ON e.nr_topics = a.nr_topics
 """
+
+# -- source / sink round trips ---------------------------------------------------
+
+ORACLE["csv_round_trip"] = "SELECT doc_id, text FROM documents"
+
+ORACLE["items_round_trip"] = f"""
+SELECT page_id AS dataset_id, url, {html_text_sql('html')} AS scraped_data FROM pages
+"""
+
+ORACLE["run_log_round_trip"] = ORACLE["flatten_runs"]
+
+ORACLE["corpus_round_trip"] = "SELECT replace(text, chr(10), ' ') AS line FROM documents"

@@ -1181,3 +1181,42 @@ def q_posthoc_pvalues(spark, sf):
 def q_gmm_membership(spark, sf):
     m = CU.gmm_membership(_vectors(spark, sf), 10)
     return m.select("doc_id", F.col("topic").cast("bigint").alias("topic"), r6("prob").alias("prob"))
+
+
+# -- source / sink round trips through the shared folder -------------------------
+
+@query("csv_round_trip")
+def q_csv_round_trip(spark, sf):
+    """S3: documents written as CSV (quoted multi-line fields) and read back."""
+    path = scratch_table(spark, "docs_csv")
+    SF.write_docs_csv(_docs(spark, sf), path)
+    return SF.read_docs_csv(spark, path, "doc_id long, text string")
+
+
+@query("items_round_trip")
+def q_items_round_trip(spark, sf):
+    """Scraped items as JSON records (one per page) read with a schema."""
+    path = scratch_table(spark, "items_json")
+    p = T.table(spark, sf, "pages").select(F.col("page_id").alias("dataset_id"), "url",
+                                            CL.html_text("html").alias("scraped_data"))
+    p.write.mode("overwrite").json(path)
+    return SF.read_items(spark, path, "dataset_id long, url string, scraped_data string", multi_line=False)
+
+
+@query("run_log_round_trip")
+def q_run_log_round_trip(spark, sf):
+    """S10 + A24: run records appended as JSON lines, read back, flattened."""
+    path = scratch_table(spark, "runs_log")
+    recs = _run_records(spark, sf)
+    SF.append_records(recs, path)
+    back = spark.read.schema(recs.schema).json(path)
+    f = RU.flatten_runs(back)
+    return f.select("run_id", "Model", F.col("nr_topics").cast("bigint").alias("nr_topics"))
+
+
+@query("corpus_round_trip")
+def q_corpus_round_trip(spark, sf):
+    """One document per line (line breaks inside become spaces)."""
+    path = scratch_table(spark, "corpus_txt")
+    SF.save_corpus(_docs(spark, sf), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
