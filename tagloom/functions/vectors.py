@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Largest matrix (rows x dims) we ship to executors as a broadcast variable.
-MAX_BROADCAST_CELLS = 50_000_000
+MAX_BROADCAST_CELLS = 20_000_000
 
 
 def dot(a, b) -> Column:

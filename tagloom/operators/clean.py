@@ -8,7 +8,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import top_k
 from ..functions.text import clean_newlines_lower, squash_whitespace  # noqa: F401 (re-export)
 
 # -- P9 paragraphs -------------------------------------------------------------
