@@ -311,16 +311,6 @@ def _topic_words(spark, sf, k=10):
     return top.filter(F.col("topic") != -1)
 
 
-def _tokenised(spark, sf):
-    """(doc_id, pos, term) with one row (term null) for documents without
-    tokens, tokenised once and kept for the two readers below."""
-    from ..functions.frames import reuse
-    from ..functions.text import ENGLISH_STOP_WORDS, drop_words, tokens
-    d = _docs(spark, sf)
-    return reuse(d.select("doc_id", F.posexplode_outer(drop_words(tokens("text"), ENGLISH_STOP_WORDS))
-                          .alias("pos", "term")))
-
-
 def _positions(spark, sf):
     return terms.positions(_docs(spark, sf), "doc_id", "text")
 
