@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import top_k
+from ..functions.time import instant, wall_utc
 
 
-def micros(ts) -> Column:
-    """Microseconds since the epoch of a timestamp (with or without zone)."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch (wall times read as UTC)."""
+    return F.unix_micros(instant(df, ts))
 
 
 def bin_edges(df: DataFrame, ts: str):
     """(min, max) of a timestamp column in microseconds (two scalars)."""
-    r = df.agg(F.min(micros(ts)).alias("mn"), F.max(micros(ts)).alias("mx")).first()
+    r = df.agg(F.min(micros(df, ts)).alias("mn"), F.max(micros(df, ts)).alias("mx")).first()
     return float(r["mn"]), float(r["mx"])
 
 
@@ -25,8 +25,8 @@ def equal_bins(df: DataFrame, ts: str, n: int = 10, out: str = "bin") -> DataFra
     is lowered by 0.1 % of the range). Adds ``bin`` (1..n) and ``bin_start``
     (the left edge as a timestamp)."""
     mn, mx = bin_edges(df, ts)
-    return df.withColumn(out, bin_of(micros(ts), mn, mx, n)).withColumn(
-        "bin_start", bin_start(F.col(out), mn, mx, n))
+    return df.withColumn(out, bin_of(micros(df, ts), mn, mx, n)).withColumn(
+        "bin_start", bin_start(df.sparkSession, F.col(out), mn, mx, n))
 
 
 def bin_of(x: Column, mn: float, mx: float, n: int) -> Column:
@@ -36,21 +36,21 @@ def bin_of(x: Column, mn: float, mx: float, n: int) -> Column:
     return F.least(F.lit(n), F.greatest(F.lit(1), F.ceil((x.cast("double") - F.lit(mn)) / F.lit(w)))).cast("int")
 
 
-def bin_start(k: Column, mn: float, mx: float, n: int) -> Column:
+def bin_start(spark, k: Column, mn: float, mx: float, n: int) -> Column:
     w = (mx - mn) / n
     left = F.when(k == 1, F.lit(mn - 0.001 * (mx - mn))).otherwise(F.lit(mn) + (k - 1).cast("double") * F.lit(w))
-    # wall-clock timestamp (no zone), like the input event times
-    return F.timestamp_micros(F.floor(left).cast("bigint")).cast("timestamp_ntz")
+    # UTC wall-clock timestamp (no zone), like the input event times
+    return wall_utc(spark, F.timestamp_micros(F.floor(left).cast("bigint")))
 
 
 def slice_sizes(df: DataFrame, ts: str, n: int = 10) -> DataFrame:
     """Documents per bin, empty bins included (bins come from a
     sequence, not from the data)."""
     mn, mx = bin_edges(df, ts)
-    counts = df.select(bin_of(micros(ts), mn, mx, n).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("size"))
+    counts = df.select(bin_of(micros(df, ts), mn, mx, n).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("size"))
     allb = df.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("bin"))
     return (allb.join(counts, "bin", "left")
-                .select("bin", bin_start(F.col("bin"), mn, mx, n).alias("bin_start"),
+                .select("bin", bin_start(df.sparkSession, F.col("bin"), mn, mx, n).alias("bin_start"),
                         F.coalesce(F.col("size"), F.lit(0)).alias("size")))
 
 

@@ -1043,11 +1043,13 @@ def _events_stream(spark, sf):
 
 @query("stream_counts")
 def q_stream_counts(spark, sf):
-    s = _events_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    from ..functions.time import instant, wall_utc
+    s = _events_stream(spark, sf)
+    s = s.withColumn("ts", instant(s, "ts"))
     path = scratch_table(spark, "stream_counts")
     out = _run_stream(SJ.stream_counts(s, "ts", "event_type", "1 day", "1 hour"), path)
     r = spark.read.parquet(out)
-    return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+    return r.select(wall_utc(spark, F.col("window_start")).alias("window_start"), "event_type", "n")
 
 
 @query("stream_assign")
@@ -1066,7 +1068,9 @@ def q_stream_assign(spark, sf):
 def q_stream_dedupe(spark, sf):
     schema = T.table(spark, sf, "documents").schema
     s = SJ.file_stream(spark, sf, "documents", schema)
-    ev = T.table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
+    from ..functions.time import instant
+    evt = T.table(spark, sf, "events")
+    ev = evt.select(F.col("event_id").alias("doc_id"), instant(evt, "ts").alias("ts"))
     # stream-static join gives each arriving document its event time
     s = s.join(ev, "doc_id")
     path = scratch_table(spark, "stream_dedupe")

@@ -39,13 +39,15 @@ def test_running_centroids_over_batches(spark, tmp_dir):
 def test_window_counts_equal_batch(spark, tmp_dir):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     _split(tmp_dir, "events", "event_id")
-    s = SJ.file_stream(spark, f"{tmp_dir}/in", "events", ev.schema, max_files=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    from tagloom.functions.time import instant
+    s = SJ.file_stream(spark, f"{tmp_dir}/in", "events", ev.schema, max_files=1)
+    s = s.withColumn("ts", instant(s, "ts"))
     q = (SJ.stream_counts(s, "ts", "event_type", "1 day", "3650 days").writeStream.outputMode("update")
            .format("memory").queryName("wc").trigger(availableNow=True).start())
     q.awaitTermination()
     got = {}
     for r in spark.sql("SELECT * FROM wc").collect():  # last update per window wins
         got[(r["window_start"], r["event_type"])] = max(got.get((r["window_start"], r["event_type"]), 0), r["n"])
-    b = (ev.withColumn("ts", F.col("ts").cast("timestamp"))
+    b = (ev.withColumn("ts", instant(ev, "ts"))
            .groupBy(F.window("ts", "1 day").start.alias("w"), "event_type").count().collect())
     assert got == {(r["w"], r["event_type"]): r["count"] for r in b}
