@@ -93,3 +93,38 @@ def test_reduce_topics_reaches_target(spark):
     mapping, new = MO.reduce_topics(terms.class_counts(docs, assign), assign, 4)
     assert new.filter("topic != -1").select("topic").distinct().count() == 4
     assert new.count() == assign.count()
+
+
+def test_greedy_keep_equals_sequential_greedy(spark):
+    """Random graphs: the join-round solution equals the in-order greedy
+    (keep a node unless a smaller kept neighbour exists)."""
+    import random
+    rnd = random.Random(3)
+    for _ in range(3):
+        n = 40
+        edges = {(a, b) for a, b in ((rnd.randrange(n), rnd.randrange(n)) for _ in range(70)) if a < b}
+        got = {r["node"]: r["kept"] for r in DD.greedy_keep(
+            spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+        kept = set()
+        nodes = sorted({x for e in edges for x in e})
+        for v in nodes:
+            if not any((u, v) in edges and u in kept for u in range(v)):
+                kept.add(v)
+        assert {v for v, k in got.items() if k} == kept
+        assert set(got) == set(nodes)
+
+
+def test_tag_pipeline_stages(spark):
+    import __spark_entry__ as E
+    from tagloom.plans import registry as R
+    from tagloom.plans import tag_pipeline as PL
+    ok, _ = R._payloads(spark, SF_SMALL)
+    out = PL.run(R._docs(spark, SF_SMALL), T.topic_assignments(spark, SF_SMALL), ok)
+    prompts = out["prompts"].collect()
+    assert prompts and all("[KEYWORDS]" not in r["prompt"] and "[DOCUMENTS]" not in r["prompt"] for r in prompts)
+    sel = out["selected"].collect()
+    assert all((r["kind"] == "themes" and r["score"] > 0.7) or (r["kind"] == "overarching_themes" and r["score"] > 0.5)
+               for r in sel)
+    assert out["missing"].count() + out["tags"].select("dataset_id").distinct().join(
+        R._docs(spark, SF_SMALL).select(F.col("doc_id").alias("dataset_id")), "dataset_id").count() \
+        == R._docs(spark, SF_SMALL).count()
