@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,8 +41,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``; we read it from there and
-    only set our own (a scratch folder) when it is unset, as in local tests.
+    A cluster names it in ``spark.checkpoint.dir``; we read it from there. Only
+    a session in local mode, where driver and executors are one process, may
+    leave it unset and gets a scratch folder; elsewhere that is an error, as
+    executors would not see each other's files.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -49,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tagloom-ckpt-", dir=os.environ.get("TAGLOOM_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)
     return d
