@@ -4,7 +4,7 @@
 OP1 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host,
                   row_number() OVER () AS rid FROM documents),
-w AS (SELECT rid, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM d),
+w AS (SELECT rid, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
 win AS (SELECT rid, i, list_aggregate(ws[i:i + 4], 'string_agg', ' ') AS g
         FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words
@@ -13,7 +13,7 @@ rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words
         GROUP BY rid),
 lines AS (SELECT rid, doc_id, host, text, raw,
                  list_filter(string_split_regex(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                '[\x20\x09-\x0D]+'), x -> x <> '') AS lw
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw
           FROM (SELECT rid, doc_id, host, text, unnest(string_split(text, chr(10))) AS raw FROM d)),
 full_lines AS (SELECT *, array_to_string(lw, ' ') AS line FROM lines WHERE len(lw) > 0),
 dup AS (SELECT rid, sum(c - 1) AS n_dup_lines
@@ -48,4 +48,20 @@ SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines,
 FROM d LEFT JOIN kept USING (rid)
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op4_line_dedup": OP4}
+OP7 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+s AS (SELECT *, length('<|im_start|>') + length(replace(replace(replace(role, chr(92), repeat(chr(92), 2)), '<|', '<' || chr(92) || '|'),
+                                                        chr(10), chr(92) || chr(10)))
+                + 1 + length(replace(replace(text, chr(92), repeat(chr(92), 2)), '<|', '<' || chr(92) || '|')) + length('<|im_end|>') + 1 AS n,
+             row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS last
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+e AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM s)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(CASE WHEN role = 'assistant' OR i = last THEN upto END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLE = {"op7_chat_format": OP7, "op1_quality_rules": OP1, "op4_line_dedup": OP4}

@@ -145,6 +145,8 @@ def _without(text, removed):
     import pandas as pd
 
     def one(t, drop):
+        if t is None or drop is None:  # nothing to remove
+            return t
         drop = set(drop)
         return b"\n".join(x for x in t.encode().split(b"\n") if not (x.split() and line_hash(x) in drop)).decode()
 
@@ -160,5 +162,4 @@ def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHAR
     keyed = docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")),
                               "_content": F.xxhash64("text")})
     got = keyed.join(verdict.filter("_kept"), ["_host", "_content"])
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(_without("text", "_removed"))
-    return got.withColumn("text", text).select(*docs.columns)
+    return got.withColumn("text", _without("text", "_removed")).select(*docs.columns)
