@@ -57,9 +57,9 @@ def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
 
     A null text has no words. ``lower`` maps A-Z to a-z only.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
+    # a compact copy: Arrow's string kernels must not see a slice's outer bytes
+    raw = [t or b"" for t in texts.cast(pa.large_binary()).to_pylist()]
+    texts = pa.array([t.lower() for t in raw] if lower else raw, pa.large_binary()).cast(pa.large_string())
     lists = pc.ascii_split_whitespace(texts)
     counts = np.diff(np.asarray(lists.offsets))
     flat = lists.flatten()

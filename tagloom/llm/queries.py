@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat_format, language_id, line_dedup, packing, quality_rules, simhash
+from tagloom.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, packing, quality_rules, simhash
 from tagloom.llm.common import fold, table
 
 
@@ -32,6 +32,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.group(table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     rows = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -61,5 +65,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_byte_bpe, op4_line_dedup, op6_best_fit_packing, op7_chat_format,
+    op1_quality_rules, op3_byte_bpe, op4_line_dedup, op5_embedding_dedup, op6_best_fit_packing, op7_chat_format,
     op8_simhash, op10_language_id)}
