@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import components, staged
 
 COSINE = 0.9
-PIVOTS = 64
-SAMPLE = 2048
+#: most pivots (one per ``TILE`` vectors up to this), and vectors drawn per pivot
+PIVOTS = 4096
+DRAWN = 4
 TILE = 4096
 #: pairs this close to the limit are decided again by the plain formula
 EDGE = 1e-9
@@ -200,24 +201,24 @@ def linkable(vectors: DataFrame) -> DataFrame:
     """``vectors`` (vec_id, embedding) with ``ok`` and the content hash ``vec``."""
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
-    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).select(
-        "vec_id", "embedding", F.coalesce(finite & some, F.lit(False)).alias("ok"))
+    return vectors.select("vec_id", "embedding", F.coalesce(finite & some, F.lit(False)).alias("ok"))
 
 
-def group(vectors: DataFrame, least: float = COSINE, pivots: int = PIVOTS, sample: int = SAMPLE,
-          tile: int = TILE) -> DataFrame:
+def group(vectors: DataFrame, least: float = COSINE, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = linkable(vectors)
     classes = rows.filter("ok").groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
     # a class's node is a number of its own, fixed by writing it
     nodes = staged(classes.withColumn("dim", F.size("embedding").cast("int"))
                    .withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    drawn = nodes.select("dim", "embedding").orderBy(F.xxhash64("embedding")).limit(sample).collect()
+    kind = nodes.schema["embedding"].dataType.simpleString()
+    n_pivots = min(pivots, -(-nodes.count() // tile))
+    drawn = nodes.select("dim", "embedding").orderBy(F.xxhash64("embedding")).limit(DRAWN * n_pivots).collect()
     dims = [r["dim"] for r in nodes.select("dim").distinct().collect()]
     seeds = {d: [x["embedding"] for x in drawn if x["dim"] == d] for d in dims}
     for d in dims:  # a length that the sample misses gets one pivot
         seeds[d] = seeds[d] or [nodes.filter(F.col("dim") == d).select("embedding").first()[0]]
-    picked = {d: pick_pivots(units(v), pivots) for d, v in seeds.items()}
+    picked = {d: pick_pivots(units(v), n_pivots) for d, v in seeds.items()}
     r = float(np.sqrt(2 - 2 * least))
     homes = nodes.select("node", "dim", "embedding").mapInArrow(
         _homes(picked), "node long, dim int, cell int, distance double")
@@ -230,7 +231,7 @@ def group(vectors: DataFrame, least: float = COSINE, pivots: int = PIVOTS, sampl
               for c in cells for k in [(c["dim"], c["cell"])]}
     dealt = nodes.select("node", "n", "dim", "embedding").mapInArrow(
         _replicas(picked, radius, blocks, r),
-        "dim int, cell int, mine int, other int, side int, node long, n long, embedding array<double>")
+        f"dim int, cell int, mine int, other int, side int, node long, n long, embedding {kind}")
     found = staged(dealt.groupBy("dim", "cell", "mine", "other").applyInPandas(
         _tile(least), "node long, links long, to long"), "vector-links")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
