@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, packing, quality_rules, simhash
+from tagloom.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, lm_score, packing, quality_rules, simhash, toxicity
 from tagloom.llm.common import fold, table
 
 
@@ -20,6 +20,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "n_removed_lines", "n_removed_words")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 4) == 2
+    grammar = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
+    return toxicity.score(docs, grammar).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", "n_matches")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     got = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), *where), *where)
@@ -56,6 +64,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 5) == 0
@@ -65,5 +77,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_byte_bpe, op4_line_dedup, op5_embedding_dedup, op6_best_fit_packing, op7_chat_format,
-    op8_simhash, op10_language_id)}
+    op1_quality_rules, op2_toxicity, op3_byte_bpe, op4_line_dedup, op5_embedding_dedup, op6_best_fit_packing,
+    op7_chat_format, op8_simhash, op9_lm_score, op10_language_id)}
