@@ -40,7 +40,7 @@ from tagloom.session import scratch_table
 
 ORDER = 4
 BLOCK_BYTES = 16 << 20
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 WORD, GRAM = 0, 1
 
 
