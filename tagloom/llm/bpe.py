@@ -7,8 +7,8 @@ leftmost pair of minimum rank until none is left. Decoding joins ids with the
 vocabulary and puts the bytes together by an ordered aggregation.
 
 Between white space and the next the pattern is free of context, so a text is
-first cut before white space; each distinct cut is encoded once (cache bounded
-by ``CACHE`` cuts) and a text's ids are those of its cuts in order. A word's
+first cut before white space; each distinct cut is encoded once (caches of
+2 * ``CACHE`` cuts and pieces) and a text's ids are those of its cuts in order. A word's
 recursion runs ``ROUNDS`` contractions per query and goes on from there until
 its fixpoint, so a very long word needs time but not memory.
 
@@ -27,10 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tagloom.llm.common import slices
+from tagloom.llm.common import Recent, slices
 
-CACHE = 300_000
-WORDS = 40_000
+CACHE = 200_000
+WORDS = 20_000
 ROUNDS = 48
 
 #: fixed value: the white space of the pattern's \s (Unicode White_Space)
@@ -59,18 +59,22 @@ FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING
 """
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 class Bpe:
     """A rank file as tables of an in-process DuckDB."""
 
     def __init__(self, path: str, pattern: str):
         import duckdb
 
-        with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.rank = read_ranks(path)
         self.pieces = regex.compile(
             pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.cuts = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-        self.known: dict[str, bytes] = {}
+        self.recent_cuts, self.recent_pieces = Recent(CACHE), Recent(CACHE)
         left, right, merged = [], [], []
         for token, rank in self.rank.items():
             for i in range(1, len(token)):
@@ -84,13 +88,7 @@ class Bpe:
                          "merged": pa.array(merged, pa.int32())})
         self.db.register("merge_rows", rows)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
-        # a token's bytes as code points 0 to 255
-        names = pa.table({"tok": pa.array(list(self.rank.values()), pa.int32()),
-                          "bytes": pa.array([t.decode("latin-1") for t in self.rank], pa.string())})
-        self.db.register("token_rows", names)
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM token_rows")
         self.db.unregister("merge_rows")
-        self.db.unregister("token_rows")
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
@@ -116,24 +114,41 @@ class Bpe:
                 word, pos, tok = word[~done], pos[~done], tok[~done]
         return out
 
-    def learn(self, cuts: set[str]) -> None:
-        """Encode cuts that are not known yet."""
-        new = [c for c in cuts if c not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(cuts)
-        split = [[p.encode() for p in self.pieces(c)] for c in new]
-        ids = {p: i for parts in split for p in parts if (i := self.rank.get(p)) is not None}
-        ids = {p: i.to_bytes(4, "little") for p, i in ids.items()}
-        rest = list({p for parts in split for p in parts} - ids.keys())
-        ids.update(zip(rest, self.merge(rest)))
-        for c, parts in zip(new, split):
-            self.known[c] = b"".join([ids[p] for p in parts])
+    def piece_ids(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        known = {p: i.to_bytes(4, "little") for p in pieces if (i := self.rank.get(p)) is not None}
+        known |= {p: v for p in pieces - known.keys() if (v := self.recent_pieces.get(p)) is not None}
+        new = list(pieces - known.keys())
+        for p, v in zip(new, self.merge(new)):
+            known[p] = v
+            self.recent_pieces.put(p, v)
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.cuts(t) for t in texts]
-        self.learn(set().union(*split) if split else set())
-        return [b"".join([self.known[c] for c in cuts]) for cuts in split]
+        known = {c: self.recent_cuts.get(c) for cuts in split for c in cuts}
+        new = [c for c, v in known.items() if v is None]
+        parts = [[p.encode() for p in self.pieces(c)] for c in new]
+        ids = self.piece_ids({p for x in parts for p in x})
+        for c, x in zip(new, parts):
+            known[c] = b"".join([ids[p] for p in x])
+            self.recent_cuts.put(c, known[c])
+        return [b"".join([known[c] for c in cuts]) for cuts in split]
+
+
+class Decoder:
+    """The vocabulary of a rank file as a table of an in-process DuckDB; a
+    token's bytes are kept as code points 0 to 255."""
+
+    def __init__(self, path: str):
+        import duckdb
+
+        rank = read_ranks(path)
+        names = pa.table({"tok": pa.array(list(rank.values()), pa.int32()),
+                          "bytes": pa.array([t.decode("latin-1") for t in rank], pa.string())})
+        self.db = duckdb.connect(":memory:", config={"threads": 1})
+        self.db.register("token_rows", names)
+        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM token_rows")
+        self.db.unregister("token_rows")
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence."""
@@ -149,21 +164,21 @@ class Bpe:
         return out
 
 
-_loaded: dict[tuple[str, str], Bpe] = {}
+_loaded: dict[tuple, object] = {}
 
 
-def load(path: str, pattern: str) -> Bpe:
-    """One per Python worker."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Bpe(path, pattern)
-    return _loaded[path, pattern]
+def load(kind, *args):
+    """One of a kind per Python worker."""
+    if (kind, args) not in _loaded:
+        _loaded[kind, args] = kind(*args)
+    return _loaded[kind, args]
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, ids (little-endian unsigned 32-bit)."""
     def run(batches):
-        bpe = load(path, pattern)
-        for b in slices(batches, "text"):
+        bpe = load(Bpe, path, pattern)
+        for b in slices(batches, "text", 4 << 20):
             ids = bpe.encode([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())],
                                              names=["doc_id", "ids"])
@@ -171,12 +186,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(coded: DataFrame, path: str) -> DataFrame:
     """The rows of (doc_id, ids) and their bytes, ``decoded``."""
     def run(batches):
-        bpe = load(path, pattern)
-        for b in slices(batches, "ids"):
-            out = bpe.decode([x or b"" for x in b.column("ids").to_pylist()])
+        decoder = load(Decoder, path)
+        for b in slices(batches, "ids", 4 << 20):
+            out = decoder.decode([x or b"" for x in b.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.binary())],
                                              names=["doc_id", "ids", "decoded"])
 

@@ -52,6 +52,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str,
             yield b.slice(int(lo), int(hi - lo))
 
 
+class Recent:
+    """A bounded cache: when ``size`` entries are new, those older than them
+    go, so frequent keys stay (2 * ``size`` entries at most)."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every text and the row each stands in.
 

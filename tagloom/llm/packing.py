@@ -9,7 +9,7 @@ independent, so memory and time per task are bounded; each costs at most part
 of one sequence against packing all pieces at once.
 
 Tokens: the vocabulary file splits at white space, so each distinct word is
-encoded once (cache bounded by ``CACHE`` words) and a document's ids are those
+encoded once (a cache of 2 * ``CACHE`` words) and a document's ids are those
 of its words in order.
 
 Defined results: a null or empty text is the single id 0; repeated rows are
@@ -19,20 +19,31 @@ further columns are ignored.
 
 from __future__ import annotations
 
+from array import array
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import slices, staged, words_of
+from tagloom.llm.common import Recent, slices, staged, words_of
 
 CAPACITY = 2048
 GROUP = 4096
-CACHE = 400_000
+CACHE = 300_000
 
 _tokenizers: dict = {}
 
 
+def _parts(word: str) -> tuple[str, ...]:
+    """What is encoded for a word: a plain Latin word is lower-cased, and a
+    full stop or comma at its end set apart, as the vocabulary file does."""
+    core = word[:-1] if word[-1] in ".," else word
+    if core.isalpha() and max(core) < "\u017f" and "\u0130" not in core:
+        return (core.lower(),) if core is word else (core.lower(), word[-1])
+    return (word,)
+
+
 def word_ids(path: str):
     """A function from a list of words to their ids as little-endian bytes."""
     if path not in _tokenizers:
@@ -43,21 +54,19 @@ def word_ids(path: str):
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True  # control strings in a text are ordinary text
-        _tokenizers[path] = (tok, {})
-    tok, known = _tokenizers[path]
+        _tokenizers[path] = (tok, Recent(CACHE))
+    tok, recent = _tokenizers[path]
 
     def ids(words: list[str]) -> list[bytes]:
-        import numpy as np
-
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = words
+        split = [_parts(w) for w in words]
+        known = {p: recent.get(p) for parts in split for p in parts}
+        new = [p for p, v in known.items() if v is None]
         for lo in range(0, len(new), 20_000):
             part = new[lo:lo + 20_000]
-            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [known[w] for w in words]
+            for p, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
+                known[p] = array("I", e.ids).tobytes()
+                recent.put(p, known[p])
+        return [known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]] for x in split]
 
     return ids
 
