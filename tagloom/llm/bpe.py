@@ -7,8 +7,8 @@ leftmost pair of minimum rank until none is left. Decoding joins ids with the
 vocabulary and puts the bytes together by an ordered aggregation.
 
 Between white space and the next the pattern is free of context, so a text is
-first cut before white space; each distinct cut is encoded once (caches of
-2 * ``CACHE`` cuts and pieces) and a text's ids are those of its cuts in order. A word's
+first cut before white space; each distinct cut of a batch is encoded once
+(with a cache of 2 * ``CACHE`` pieces) and a text's ids are those of its cuts. A word's
 recursion runs ``ROUNDS`` contractions per query and goes on from there until
 its fixpoint, so a very long word needs time but not memory.
 
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 
 from tagloom.llm.common import Recent, slices
 
-CACHE = 200_000
-WORDS = 20_000
+CACHE = 300_000
+WORDS = 10_000
 ROUNDS = 48
 
 #: fixed value: the white space of the pattern's \s (Unicode White_Space)
@@ -74,7 +74,7 @@ class Bpe:
         self.pieces = regex.compile(
             pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.cuts = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-        self.recent_cuts, self.recent_pieces = Recent(CACHE), Recent(CACHE)
+        self.recent_pieces = Recent(CACHE)
         left, right, merged = [], [], []
         for token, rank in self.rank.items():
             for i in range(1, len(token)):
@@ -125,13 +125,10 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.cuts(t) for t in texts]
-        known = {c: self.recent_cuts.get(c) for cuts in split for c in cuts}
-        new = [c for c, v in known.items() if v is None]
-        parts = [[p.encode() for p in self.pieces(c)] for c in new]
+        cuts = list(set().union(*split))
+        parts = [[p.encode() for p in self.pieces(c)] for c in cuts]
         ids = self.piece_ids({p for x in parts for p in x})
-        for c, x in zip(new, parts):
-            known[c] = b"".join([ids[p] for p in x])
-            self.recent_cuts.put(c, known[c])
+        known = {c: b"".join([ids[p] for p in x]) for c, x in zip(cuts, parts)}
         return [b"".join([known[c] for c in cuts]) for cuts in split]
 
 
@@ -196,3 +193,16 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
                                              names=["doc_id", "ids", "decoded"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Encode and decode in one pass: doc_id, ids, decoded."""
+    def run(batches):
+        bpe, decoder = load(Bpe, path, pattern), load(Decoder, path)
+        for b in slices(batches, "text", 4 << 20):
+            ids = bpe.encode([t or "" for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(decoder.decode(ids), pa.binary())],
+                names=["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
