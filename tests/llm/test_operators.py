@@ -264,7 +264,7 @@ def test_toxicity_grammar():
 
 
 def test_toxicity_learns(spark, docs, rows, empty):
-    train = [(i, f"word{i} plain text of no harm number {i}" + (f" and{i} vilecreature{i % 3} here" if i % 3 == 0 else ""))
+    train = [(i, f"word{i} plain text of no harm number {i}" + (f" {'abcdefghij'[i // 3 % 10] * 3} vilecreature here" if i % 3 == 0 else ""))
              for i in range(200)]
     df = spark.createDataFrame(train, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)] + [(None, 1), (5, None)], "doc_id long, toxic int")
