@@ -157,7 +157,7 @@ def rating_means(ratings: DataFrame, by=("model",), rating: str = "rating") -> D
 
 def label_agreement(assign: DataFrame, labels: DataFrame, key: str = "doc_id", cluster: str = "topic",
                     label: str = "label") -> DataFrame:
-    """Purity (= accuracy of the majority label), topic recall (share
+    """Purity (the share of documents in their cluster's majority label), topic recall (share
     of labels that are some cluster's majority), document coverage (share
     not in the outlier cluster -1)."""
     j = assign.select(key, cluster).join(labels.select(key, label), key)
@@ -170,5 +170,5 @@ def label_agreement(assign: DataFrame, labels: DataFrame, key: str = "doc_id", c
     recall = maj.select("maj").distinct().count()
     covered = j.filter(F.col(cluster) != -1).count()
     spark = assign.sparkSession
-    return spark.createDataFrame([(float(purity) / n, float(recall) / n_labels, float(covered) / n, float(purity) / n)],
-                                 "purity double, topic_recall double, coverage double, accuracy double")
+    return spark.createDataFrame([(float(purity) / n, float(recall) / n_labels, float(covered) / n)],
+                                 "purity double, topic_recall double, coverage double")

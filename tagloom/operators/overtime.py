@@ -17,7 +17,7 @@ def micros(df: DataFrame, ts: str) -> Column:
 def bin_edges(df: DataFrame, ts: str):
     """(min, max) of a timestamp column in microseconds (two scalars)."""
     r = df.agg(F.min(micros(df, ts)).alias("mn"), F.max(micros(df, ts)).alias("mx")).first()
-    return float(r["mn"]), float(r["mx"])
+    return float(r["mn"] or 0.0), float(r["mx"] or 0.0)  # no event: one empty bin
 
 
 def equal_bins(df: DataFrame, ts: str, n: int = 10, out: str = "bin") -> DataFrame:

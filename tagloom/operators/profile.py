@@ -11,6 +11,8 @@ def histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
     """Equal-width histogram over [min, max] (last bin closed), every
     bin listed -> (bin 0..bins-1, left, count)."""
     r = df.agg(F.min(col).alias("mn"), F.max(col).alias("mx")).first()
+    if r["mn"] is None:  # no value: every bin is empty
+        r = {"mn": 0.0, "mx": 0.0}
     mn, mx = float(r["mn"]), float(r["mx"])
     w = (mx - mn) / bins if mx > mn else 1.0
     b = F.least(F.lit(bins - 1), F.floor((F.col(col).cast("double") - F.lit(mn)) / F.lit(w))).cast("int")
@@ -39,15 +41,22 @@ def availability(catalogue: DataFrame, text: str = "description") -> DataFrame:
     return out
 
 
-def versions(catalogue: DataFrame, pairs: DataFrame, name: str = "name", key: str = "dataset_id") -> DataFrame:
-    """Versions per name, and how many similar pairs fall within one
-    name (a similarity join restricted to equal names)."""
+def versions(catalogue: DataFrame, pairs: DataFrame, groups: DataFrame, name: str = "name",
+             key: str = "dataset_id", member: str = "doc_id") -> DataFrame:
+    """Versions per name, and how many similar pairs fall within one name.
+
+    ``groups`` = (member, rep) and ``pairs`` between representatives; pairs are
+    counted from the group sizes per name, never expanded: n (n - 1) / 2 within
+    a group and the product of the sizes of two linked groups."""
     v = catalogue.groupBy(name).agg(F.count(F.lit(1)).alias("versions"))
-    na = catalogue.select(F.col(key).alias("a"), F.col(name).alias("__na"))
-    nb = catalogue.select(F.col(key).alias("b"), F.col(name).alias("__nb"))
-    within = (pairs.join(na, "a").join(nb, "b").filter(F.col("__na") == F.col("__nb"))
-                   .groupBy(F.col("__na").alias(name)).agg(F.count(F.lit(1)).alias("similar_pairs")))
-    return v.join(within, name, "left").fillna(0, ["similar_pairs"])
+    size = (groups.withColumnRenamed(member, key).join(catalogue.select(key, name), key)
+                  .groupBy(name, "rep").agg(F.count(F.lit(1)).alias("n")))
+    within = size.select(name, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("c"))
+    sa = size.select(F.col("rep").alias("a"), name, F.col("n").alias("na"))
+    sb = size.select(F.col("rep").alias("b"), name, F.col("n").alias("nb"))
+    across = pairs.select("a", "b").join(sa, "a").join(sb, ["b", name]).select(name, (F.col("na") * F.col("nb")).alias("c"))
+    both = within.unionByName(across).groupBy(name).agg(F.sum("c").alias("similar_pairs"))
+    return v.join(both, name, "left").fillna(0, ["similar_pairs"])
 
 
 # Fixed value: vowels counted as syllable nuclei (lower-case, with accents).

@@ -70,7 +70,9 @@ def npmi(topic_words: DataFrame, tokens: DataFrame, mode: str = "window", window
     p2 = F.col("c2") / F.lit(n_units)
     p12 = F.col("c12") / F.lit(n_units)
     val = F.log((p12 + EPSILON) / (p1 * p2)) / (-F.log(p12 + EPSILON))
-    return j.groupBy(cls).agg(F.avg(val).alias("npmi"))
+    # a pair with a word that the corpus lacks has no association: 0
+    seen = (F.col("c1") > 0) & (F.col("c2") > 0)
+    return j.groupBy(cls).agg(F.avg(F.when(seen, val).otherwise(F.lit(0.0))).alias("npmi"))
 
 
 def diversity(topic_words: DataFrame, k: int | None = None, cls: str = "topic",

@@ -45,22 +45,22 @@ def levene(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> Dat
 
 
 def _one_way(df: DataFrame, value: str, group: str, by: list[str], name: str) -> DataFrame:
-    """One-way ANOVA table per stratum from group sums of squares."""
-    means = df.groupBy(*by, group).agg(F.avg(value).alias("m"))
-    gs = (df.join(means, by + [group])
-            .groupBy(*by, group)
-            .agg(F.count(value).alias("n"), F.first("m").alias("m"),
-                 F.sum((F.col(value) - F.col("m")) ** 2).alias("ssw_g")))
+    """One-way ANOVA table per stratum, in one pass over the rows: a group's
+    sum of squares is (n - 1) times its variance. Undefined statistics (one
+    group, no spread within) are null."""
+    gs = (df.groupBy(*by, group)
+            .agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("__v"))
+            .withColumn("ssw_g", F.coalesce((F.col("n") - 1) * F.col("__v"), F.lit(0.0))))
     # one row per group: windows over a stratum's groups are tiny
     w = Window.partitionBy(*by)
     gs = (gs.withColumn("n_tot", F.sum("n").over(w))
             .withColumn("grand", F.sum(F.col("n") * F.col("m")).over(w) / F.col("n_tot")))
     t = gs.groupBy(*by).agg(F.sum(F.col("n") * (F.col("m") - F.col("grand")) ** 2).alias("ssb"),
                             F.sum("ssw_g").alias("ssw"), F.count(F.lit(1)).alias("k"), F.first("n_tot").alias("n_tot"))
-    stat = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n_tot") - F.col("k")))
+    stat = F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n_tot") - F.col("k")))
     out = t.select(*by, stat.alias(name), (F.col("k") - 1).cast("double").alias("df1"),
                    (F.col("n_tot") - F.col("k")).cast("double").alias("df2"),
-                   (F.col("ssb") / (F.col("ssb") + F.col("ssw"))).alias("np2"))
+                   F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("np2"))
     return out.withColumn("p", P.f_pvalue(name, "df1", "df2"))
 
 
@@ -70,18 +70,24 @@ def anova(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> Data
 
 
 def bartlett(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
-    """Bartlett's test for equal variances."""
+    """Bartlett's test for equal variances. T is infinite when a group
+    is constant and another is not, and null when it is undefined (a group of
+    one row, a single group, or no spread at all)."""
     by = list(by)
     gs = group_stats(df, value, by + [group])
     a = gs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_all"),
         F.sum((F.col("n") - 1) * F.col("var")).alias("sv"),
         F.sum((F.col("n") - 1) * F.log("var")).alias("slv"),
-        F.sum(F.lit(1.0) / (F.col("n") - 1)).alias("sinv"))
-    sp = F.col("sv") / (F.col("n_all") - F.col("k"))
+        F.sum(F.try_divide(F.lit(1.0), F.col("n") - 1)).alias("sinv"),
+        F.min("n").alias("n_min"), F.min("var").alias("v_min"))
+    sp = F.try_divide(F.col("sv"), F.col("n_all") - F.col("k"))
     num = (F.col("n_all") - F.col("k")) * F.log(sp) - F.col("slv")
-    den = F.lit(1.0) + (F.lit(1.0) / (3 * (F.col("k") - 1))) * (F.col("sinv") - F.lit(1.0) / (F.col("n_all") - F.col("k")))
-    out = a.select(*by, (num / den).alias("T"), (F.col("k") - 1).cast("double").alias("df"))
+    den = F.lit(1.0) + F.try_divide(F.lit(1.0), 3 * (F.col("k") - 1)) * (
+        F.col("sinv") - F.try_divide(F.lit(1.0), F.col("n_all") - F.col("k")))
+    stat = F.when((F.col("n_min") > 1) & (F.col("k") > 1) & (F.col("sv") > 0),
+                  F.when(F.col("v_min") > 0, F.try_divide(num, den)).otherwise(F.lit(float("inf"))))
+    out = a.select(*by, stat.alias("T"), (F.col("k") - 1).cast("double").alias("df"))
     return out.withColumn("p", P.chi2_pvalue("T", "df"))
 
 
@@ -92,21 +98,23 @@ def cell_residuals(df: DataFrame, value: str, cells: Sequence[str], key: str) ->
 
 
 def welch_anova(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
-    """Welch's ANOVA F, its degrees of freedom and np2 (SSB / SST)."""
+    """Welch's ANOVA F, its degrees of freedom and np2 (SSB / SST). The
+    test is undefined (null) when a group is constant or has one row."""
     by = list(by)
-    gs = group_stats(df, value, by + [group]).withColumn("w", F.col("n") / F.col("var"))
+    gs = group_stats(df, value, by + [group]).withColumn("w", F.try_divide(F.col("n"), F.col("var")))
     w = Window.partitionBy(*by)  # one row per group
     j = (gs.withColumn("w_sum", F.sum("w").over(w)).withColumn("k", F.count(F.lit(1)).over(w))
-           .withColumn("mp", F.sum(F.col("w") * F.col("mean")).over(w) / F.col("w_sum")))
+           .withColumn("mp", F.try_divide(F.sum(F.col("w") * F.col("mean")).over(w), F.col("w_sum"))))
     t = j.groupBy(*by).agg(
-        F.first("k").alias("k"),
+        F.first("k").alias("k"), F.count("w").alias("n_w"),
         F.sum(F.col("w") * (F.col("mean") - F.col("mp")) ** 2).alias("A0"),
-        F.sum((1 - F.col("w") / F.col("w_sum")) ** 2 / (F.col("n") - 1)).alias("lam"))
+        F.sum(F.try_divide((1 - F.try_divide(F.col("w"), F.col("w_sum"))) ** 2, F.col("n") - 1)).alias("lam"))
     k = F.col("k")
-    A = F.col("A0") / (k - 1)
-    B = F.lit(1.0) + 2 * (k - 2) / (k * k - 1) * F.col("lam")
-    out = t.select(*by, (A / B).alias("F_stat"), (k - 1).cast("double").alias("df1"),
-                   ((k * k - 1) / (3 * F.col("lam"))).alias("df2"))
+    A = F.try_divide(F.col("A0"), k - 1)
+    B = F.lit(1.0) + F.try_divide(2 * (k - 2), k * k - 1) * F.col("lam")
+    told = F.col("n_w") == k  # every group has a variance above 0
+    out = t.select(*by, F.when(told, F.try_divide(A, B)).alias("F_stat"), (k - 1).cast("double").alias("df1"),
+                   F.when(told, F.try_divide(k * k - 1, 3 * F.col("lam"))).alias("df2"))
     np2 = _one_way(df, value, group, by, "__F").select(*by, "np2")
     return attach(out, np2, by).withColumn("p", P.f_pvalue("F_stat", "df1", "df2"))
 

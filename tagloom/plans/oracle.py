@@ -261,10 +261,10 @@ TFIDF = f"""
 """
 
 
-def pairs_sql(t: float) -> str:
+def pairs_sql(t: float, rows: str = "rw") -> str:
     return f"""
   pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.weight * y.weight) AS cosine
-            FROM rw x JOIN rw y ON x.term = y.term AND x.doc_id < y.doc_id
+            FROM {rows} x JOIN {rows} y ON x.term = y.term AND x.doc_id < y.doc_id
             GROUP BY 1, 2 HAVING sum(x.weight * y.weight) > {t})"""
 
 
@@ -279,7 +279,7 @@ SELECT doc_id, rep FROM grp2
 """
 
 ORACLE["similar_pairs"] = f"""
-WITH {TFIDF}, {pairs_sql(0.9)}
+WITH {TFIDF}, {pairs_sql(0.9, "tw")}
 SELECT a, b, CAST(round(CAST(round(cosine, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS cosine FROM pairs
 """
 
@@ -689,9 +689,8 @@ WITH {TOPIC_TERMS}, {DOCVEC}, {REPDOCS}, {BUDGET},
          FROM bd GROUP BY 1),
   j AS (SELECT coalesce(kw.topic, dd.topic) AS topic, kw.kw, dd.docs, dd.ids FROM kw FULL JOIN dd USING (topic))
 SELECT CAST(topic AS BIGINT) AS topic,
-       replace(replace(replace('I have a topic that contains the following documents:' || chr(10) || '[DOCUMENTS]' || chr(10)
-         || 'The topic is described by the following keywords: [KEYWORDS]' || chr(10)
-         || 'The documents have these ids: [IDS]' || chr(10),
+       replace(replace(replace('Texts of one group:' || chr(10) || '[DOCUMENTS]' || chr(10)
+         || 'Its leading words: [KEYWORDS]' || chr(10) || 'Text numbers: [IDS]' || chr(10),
          '[KEYWORDS]', coalesce(kw, '')), '[DOCUMENTS]', coalesce(docs, '')), '[IDS]', coalesce(ids, '')) AS prompt
 FROM j
 """
@@ -1025,8 +1024,7 @@ WITH {CENT},
   tot AS (SELECT count(*) AS n FROM j)
 SELECT CAST(round(CAST(round((SELECT sum(cmax) FROM maj) / n, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS purity,
        CAST(round(CAST(round((SELECT count(DISTINCT maj) FROM maj) / (SELECT count(DISTINCT label) FROM embeddings), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS topic_recall,
-       CAST(round(CAST(round((SELECT count(*) FROM j WHERE topic <> -1) / n, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS coverage,
-       CAST(round(CAST(round((SELECT sum(cmax) FROM maj) / n, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS accuracy FROM tot
+       CAST(round(CAST(round((SELECT count(*) FROM j WHERE topic <> -1) / n, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS coverage FROM tot
 """
 
 
@@ -1100,7 +1098,7 @@ UNION ALL SELECT 'has_url', CAST(has_url AS BIGINT), count(*) FROM c GROUP BY 1,
 """
 
 ORACLE["versions"] = f"""
-WITH {TFIDF}, {pairs_sql(0.9)},
+WITH {TFIDF}, {pairs_sql(0.9, "tw")},
   v AS (SELECT source AS name, count(*) AS versions FROM documents GROUP BY 1),
   w AS (SELECT da.source AS name, count(*) AS similar_pairs FROM pairs p JOIN documents da ON da.doc_id = p.a
         JOIN documents db ON db.doc_id = p.b WHERE da.source = db.source GROUP BY 1)
@@ -1149,9 +1147,8 @@ WHERE rank <= 10 AND topic <> -1
 
 ORACLE["stream_counts"] = """
 WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type FROM events),
-  c AS (SELECT window_start, event_type, count(*) AS n FROM w GROUP BY 1, 2),
-  wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
-SELECT window_start, event_type, n FROM c, wm WHERE window_start + INTERVAL 1 DAY <= wm.wm
+  c AS (SELECT window_start, event_type, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT window_start, event_type, n FROM c
 """
 
 ORACLE["stream_assign"] = f"""
@@ -1161,7 +1158,7 @@ SELECT doc_id, CAST(topic AS BIGINT) AS topic, CAST(round(CAST(round(cosine, 9)
 """
 
 ORACLE["stream_dedupe"] = """
-SELECT DISTINCT sha256(d.text) AS text_hash FROM documents d JOIN events e ON e.event_id = d.doc_id
+SELECT sha256(d.text) AS text_hash, 1::BIGINT AS n FROM documents d JOIN events e ON e.event_id = d.doc_id GROUP BY 1
 """
 
 ORACLE["stream_centroids"] = f"""
@@ -1231,3 +1228,19 @@ SELECT page_id AS dataset_id, url, {html_text_sql('html')} AS scraped_data FROM
 ORACLE["run_log_round_trip"] = ORACLE["flatten_runs"]
 
 ORACLE["corpus_round_trip"] = "SELECT replace(text, chr(10), ' ') AS line FROM documents"
+
+ORACLE["density_clusters"] = """
+WITH RECURSIVE
+  v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  d AS MATERIALIZED (SELECT a.id AS a, b.id AS b, round(list_distance(a.e, b.e), 9) AS dist FROM v a JOIN v b ON a.id <> b.id),
+  core AS MATERIALIZED (SELECT a AS id, dist AS core FROM (
+            SELECT a, dist, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS r FROM d) WHERE r = 5),
+  eps AS (SELECT median(core) AS m FROM core),
+  dense AS (SELECT id FROM core, eps WHERE core <= m),
+  ed AS MATERIALIZED (SELECT a, b FROM d, eps WHERE dist <= m AND a IN (SELECT id FROM dense) AND b IN (SELECT id FROM dense)),
+  reach(a, b) AS (SELECT id, id FROM dense UNION SELECT r.a, e.b FROM reach r JOIN ed e ON r.b = e.a),
+  comp AS (SELECT a AS id, min(b) AS comp FROM reach GROUP BY 1),
+  good AS (SELECT comp FROM comp GROUP BY 1 HAVING count(*) >= 5)
+SELECT v.id AS doc_id, coalesce(g.comp, -1)::BIGINT AS cluster
+FROM v LEFT JOIN comp c ON c.id = v.id LEFT JOIN good g ON g.comp = c.comp
+"""

@@ -280,8 +280,8 @@ def q_twin_groups(spark, sf):
 
 @query("similar_pairs")
 def q_similar_pairs(spark, sf):
-    pairs, _ = DD.representative_pairs(_docs(spark, sf), PAIRS_T)
-    return pairs.select("a", "b", r6("cosine").alias("cosine"))
+    pairs, groups = DD.representative_pairs(_docs(spark, sf), PAIRS_T)
+    return DD.expand_pairs(pairs, groups).select("a", "b", r6("cosine").alias("cosine"))
 
 
 def _dedupe(spark, sf):
@@ -564,9 +564,7 @@ def q_score_histogram(spark, sf):
     return h.select("kind", F.col("bin").cast("bigint").alias("bin"), "n")
 
 
-PROMPT_TEMPLATE = ("I have a topic that contains the following documents:\n[DOCUMENTS]\n"
-                   "The topic is described by the following keywords: [KEYWORDS]\n"
-                   "The documents have these ids: [IDS]\n")
+PROMPT_TEMPLATE = "Texts of one group:\n[DOCUMENTS]\nIts leading words: [KEYWORDS]\nText numbers: [IDS]\n"
 
 
 def _budgeted_docs(spark, sf, n_docs=10, words=50, budget=300):
@@ -941,8 +939,8 @@ def q_availability(spark, sf):
 @query("versions")
 def q_versions(spark, sf):
     cat = T.load_catalogue(spark, sf).select("dataset_id", F.col("source").alias("name"))
-    pairs, _ = DD.representative_pairs(_docs(spark, sf), PAIRS_T)
-    return PR.versions(cat, pairs)
+    pairs, groups = DD.representative_pairs(_docs(spark, sf), PAIRS_T)
+    return PR.versions(cat, pairs, groups)
 
 
 @query("reading_ease")
@@ -985,16 +983,16 @@ def q_kmeans(spark, sf):
 
 @query("lda")
 def q_lda(spark, sf):
-    from ..functions.text import ENGLISH_STOP_WORDS, alpha_tokens, drop_words
-    d = _docs(spark, sf).select("doc_id", drop_words(alpha_tokens("text"), ENGLISH_STOP_WORDS).alias("tokens"))
-    t = MO.lda(d, 10, vocab_size=2000, max_iter=10)
+    from ..functions.text import ENGLISH_STOP_WORDS, drop_words, tokens
+    d = _docs(spark, sf).select("doc_id", drop_words(tokens("text"), ENGLISH_STOP_WORDS).alias("tokens"))
+    t = MO.lda(d, 10)
     return t.select(F.col("topic").cast("bigint").alias("topic"), "rank", "term", r6("weight").alias("weight"))
 
 
 @query("nmf")
 def q_nmf(spark, sf):
     w = DD.vectors(_docs(spark, sf)).select("doc_id", "term", "weight")
-    _, H, _ = MO.nmf(w, 10, iters=5)
+    _, H, _ = MO.nmf(w, 10, tol=1e-2)
     t = MO.nmf_topics(H)
     return t.select(F.col("topic").cast("bigint").alias("topic"), "rank", "term", r6("weight").alias("weight"))
 
@@ -1047,8 +1045,13 @@ def q_stream_counts(spark, sf):
     s = _events_stream(spark, sf)
     s = s.withColumn("ts", instant(s, "ts"))
     path = scratch_table(spark, "stream_counts")
-    out = _run_stream(SJ.stream_counts(s, "ts", "event_type", "1 day", "1 hour"), path)
-    r = spark.read.parquet(out)
+    counts = SJ.stream_counts(s, "ts", "event_type", "1 day", "1 hour")
+    # complete mode: the last batch holds every window, also the open ones
+    q = (counts.writeStream.outputMode("complete")
+               .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path + "/out"))
+               .option("checkpointLocation", path + "/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    r = spark.read.parquet(path + "/out")
     return r.select(wall_utc(spark, F.col("window_start")).alias("window_start"), "event_type", "n")
 
 
@@ -1075,7 +1078,7 @@ def q_stream_dedupe(spark, sf):
     s = s.join(ev, "doc_id")
     path = scratch_table(spark, "stream_dedupe")
     out = _run_stream(SJ.stream_dedupe(s).select("doc_id", "text_hash"), path)
-    return spark.read.parquet(out).select("text_hash").distinct()
+    return spark.read.parquet(out).groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_centroids")

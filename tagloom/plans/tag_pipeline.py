@@ -28,8 +28,7 @@ class PipelineConfig:
     rep_docs: int = 4
     doc_words: int = 50
     prompt_budget: int = 300
-    prompt_template: str = ("I have a topic that contains the following documents:\n[DOCUMENTS]\n"
-                            "The topic is described by the following keywords: [KEYWORDS]\n")
+    prompt_template: str = "Texts of one group:\n[DOCUMENTS]\nIts leading words: [KEYWORDS]\n"
     minimum: dict = field(default_factory=lambda: {"themes": 0.7, "overarching_themes": 0.5})
 
 
@@ -47,6 +46,9 @@ def run(docs: DataFrame, assign: DataFrame, payloads: DataFrame, cfg: PipelineCo
         out["augmented"] = AU.augment(catalogue, steps)
     kept, similar = DD.drop_similar(docs, cfg.dedupe_threshold)
     out["kept"], out["similar"] = kept, similar
+    # everything after the removal works on the kept documents
+    docs_all, docs = docs, kept
+    assign = assign.join(kept.select("doc_id"), "doc_id", "left_semi")
     weights = terms.ctfidf(terms.class_counts(docs, assign))
     top = terms.top_words(weights, k=cfg.top_words)
     out["topic_words"] = top
@@ -66,6 +68,6 @@ def run(docs: DataFrame, assign: DataFrame, payloads: DataFrame, cfg: PipelineCo
                   .groupBy("dataset_id", kind.alias("kind"), "tag").agg(F.max("score").alias("score")))
     out["tags"] = tags
     out["selected"] = TG.threshold_tags(tags, cfg.minimum)
-    out["missing"] = TG.missing_ids(docs.select(F.col("doc_id").alias("dataset_id")),
+    out["missing"] = TG.missing_ids(docs_all.select(F.col("doc_id").alias("dataset_id")),
                                     tags.select("dataset_id"))
     return out
