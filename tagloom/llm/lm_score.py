@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import staged, words_of
+from tagloom.llm.common import slices, staged, words_of
 from tagloom.session import scratch_table
 
 ORDER = 4
@@ -66,44 +66,55 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[at].view(np.int64), row
 
 
-def parts(texts: list[bytes]):
-    """(first, last) of runs of texts of about ``PART_BYTES``."""
-    size = np.cumsum([len(t) for t in texts]) // PART_BYTES
-    cuts = np.flatnonzero(np.diff(size)) + 1
-    return zip(np.r_[0, cuts], np.r_[cuts, len(texts)])
+class Sums:
+    """Counts by key. New keys wait until they outnumber the summed ones, so a
+    block costs a few times the memory of its distinct keys."""
 
+    def __init__(self):
+        self.key = self.n = np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(back, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.append((key, n))
+        if sum(len(k) for k, _ in self.waiting) > max(len(self.key), 1 << 16):
+            self.merge()
+
+    def merge(self) -> None:
+        key = np.concatenate([self.key, *(k for k, _ in self.waiting)])
+        n = np.concatenate([self.n, *(c for _, c in self.waiting)])
+        self.waiting = []
+        if len(key):
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            self.key, self.n = key[first], np.add.reduceat(n[order], first)
+
+
+def raw_texts(column: pa.Array) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
 def _needs(block: pa.Table) -> pa.Table:
     """The block's distinct keys with their counts in training documents."""
-    column = block.column("text").combine_chunks()
-    held = np.asarray(block.column("held_out"))
-    words, row = words_of(column, lower=True)
-    coded = words.dictionary_encode()
-    n = np.bincount(np.asarray(coded.indices)[~held[row]], minlength=len(coded.dictionary))
-    word, word_n = _summed([word_keys(coded.dictionary)], [n])
-    texts = [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
-    keys, counts = [], []
-    for lo, hi in parts(texts):
-        code, doc = grams(texts[lo:hi])
-        out = held[lo:hi][doc]
-        key, n = np.unique(code[~out], return_counts=True)
-        keys.append(key)
-        counts.append(n)
+    word, gram = Sums(), Sums()
+    for part in slices(block.to_batches(), "text", PART_BYTES):
+        held = np.asarray(part.column("held_out"))
+        words, row = words_of(part.column("text"), lower=True)
+        coded = words.dictionary_encode()
+        word.add(word_keys(coded.dictionary),
+                 np.bincount(np.asarray(coded.indices)[~held[row]], minlength=len(coded.dictionary)))
+        code, row = grams(raw_texts(part.column("text")))
+        out = held[row]
+        gram.add(*np.unique(code[~out], return_counts=True))
         key = np.unique(code[out])
-        keys.append(key)
-        counts.append(np.zeros(len(key), np.int64))
-    gram, gram_n = _summed(keys, counts)
-    size = len(word) + len(gram)
+        gram.add(key, np.zeros(len(key), np.int64))
+    word.merge()
+    gram.merge()
+    size = len(word.key) + len(gram.key)
     which = block.column("block")[0].as_py()
-    return pa.table({"block": np.full(size, which, np.int32), "kind": np.repeat([WORD, GRAM], [len(word), len(gram)]).astype(np.int32),
-                     "key": np.concatenate([word, gram]), "n": np.concatenate([word_n, gram_n])})
+    return pa.table({"block": np.full(size, which, np.int32),
+                     "kind": np.repeat([WORD, GRAM], [len(word.key), len(gram.key)]).astype(np.int32),
+                     "key": np.concatenate([word.key, gram.key]), "n": np.concatenate([word.n, gram.n])})
 
 
 def trie_logs(key: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -165,7 +176,7 @@ class Lookup:
     """Open-addressing table from int64 keys to doubles, all in numpy."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys) + 1).bit_length())
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros(1 << self.bits)
         left, slot = np.arange(len(keys)), self._slot(keys)
@@ -192,29 +203,29 @@ class Lookup:
 
 def _scored(known_end: int):
     def run(block: pa.Table, values: pa.Table) -> pa.Table:
-        n = block.num_rows
-        schema = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
-                  "logs": pa.float64(), "score": pa.float64()}
-        if n == 0:
-            return pa.table({k: pa.array([], t) for k, t in schema.items()})
-        column = block.column("text").combine_chunks()
         kind, key, value = (np.asarray(values.column(c)) for c in ("kind", "key", "value"))
-        words, row = words_of(column, lower=True)
-        coded = words.dictionary_encode()
-        order = np.argsort(key[kind == WORD])
-        ids, counts = key[kind == WORD][order], value[kind == WORD][order]
-        asked = word_keys(coded.dictionary)
-        c = counts[np.searchsorted(ids, asked)] if len(asked) else np.zeros(0)
-        c = c[np.asarray(coded.indices)]
-        tokens = np.bincount(row, minlength=n) + 1
-        known = np.bincount(row[c > 0], minlength=n) + (known_end > 0)
-        logs = np.bincount(row, weights=np.log10(c + 1), minlength=n) + np.log10(known_end + 1)
+        at = np.flatnonzero(kind == WORD)
+        at = at[np.argsort(key[at])]
+        ids, counts = key[at], value[at]
         find = Lookup(key[kind == GRAM], value[kind == GRAM])
-        texts = [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
-        score = np.concatenate([np.bincount(doc, weights=find(code), minlength=hi - lo)
-                                for lo, hi in parts(texts) for code, doc in [grams(texts[lo:hi])]])
-        return pa.table({"doc_id": block.column("doc_id").combine_chunks(), "held_out": block.column("held_out").combine_chunks(),
-                         "n_tokens": tokens, "n_known": known, "logs": logs, "score": score}, schema=pa.schema(schema))
+        schema = pa.schema({"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
+                            "logs": pa.float64(), "score": pa.float64()})
+        done = [schema.empty_table()]
+        for part in slices(block.to_batches(), "text", PART_BYTES):
+            n = part.num_rows
+            words, row = words_of(part.column("text"), lower=True)
+            coded = words.dictionary_encode()
+            asked = word_keys(coded.dictionary)
+            c = counts[np.searchsorted(ids, asked)] if len(asked) else np.zeros(0)
+            c = c[np.asarray(coded.indices)]
+            code, doc = grams(raw_texts(part.column("text")))
+            done.append(pa.table({
+                "doc_id": part.column("doc_id"), "held_out": part.column("held_out"),
+                "n_tokens": np.bincount(row, minlength=n) + 1,
+                "n_known": np.bincount(row[c > 0], minlength=n) + (known_end > 0),
+                "logs": np.bincount(row, weights=np.log10(c + 1), minlength=n) + np.log10(known_end + 1),
+                "score": np.bincount(doc, weights=find(code), minlength=n)}, schema=schema))
+        return pa.concat_tables(done)
     return run
 
 

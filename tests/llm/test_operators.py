@@ -7,6 +7,7 @@ import random
 import brute as B
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,20 @@ def test_every_query_is_registered():
     names = set(E.queries())
     assert set(QUERIES) <= names and "pipeline" in names
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_lm_needs_in_parts(monkeypatch):
+    texts = ["ab ab c", None, "", "xyz " * 50, "ab c"] * 7
+    block = pa.table({"block": pa.array([3] * len(texts), pa.int32()), "text": texts,
+                      "held_out": [i % 3 == 0 for i in range(len(texts))]})
+    whole = lm_score._needs(block)
+    monkeypatch.setattr(lm_score, "PART_BYTES", 16)
+    assert lm_score._needs(block).equals(whole)
+    sums = lm_score.Sums()
+    rng = np.random.default_rng(1)
+    key = rng.integers(0, 50_000, 400_000)
+    for k in np.array_split(key, 40):
+        sums.add(*np.unique(k, return_counts=True))
+    sums.merge()
+    want, n = np.unique(key, return_counts=True)
+    assert (sums.key == want).all() and (sums.n == n).all()
