@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import cumulative_counts
+
 
 def one_rating(ratings: DataFrame, rater: str = "rater", item: str = "item", rating: str = "rating",
                order: str = "event_id") -> DataFrame:
@@ -33,61 +35,50 @@ def fleiss_kappa(ratings: DataFrame, item: str = "item", rating: str = "rating")
                      ((F.lit(tot["pbar"]) - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
 
 
-MAX_CATEGORIES = 10_000
-
-
 def krippendorff_alpha(ratings: DataFrame, level: str = "nominal", item: str = "item",
                        rating: str = "rating") -> DataFrame:
-    """Krippendorff's alpha (nominal, ordinal or interval); missing
-    ratings are allowed, units with fewer than two values are not pairable.
-
-    The coincidence table o_ck = sum over units of n_uc (n_uk - [c = k]) /
-    (m_u - 1) is built from (unit, category) counts on the cluster; it has
-    one row per pair of categories, so it is read to the driver (size
-    checked) to finish alpha = 1 - (n - 1) sum o_ck d2 / sum n_c n_k d2.
+    """Krippendorff's alpha (nominal, ordinal or interval; the latter two
+    need numbers); missing ratings are allowed, units with fewer than two
+    values are not pairable. NaN if the values do not vary.
+
+    No pair of categories is formed. With counts n_uc per unit u of m_u values,
+    the observed disagreement of a unit is (m^2 - sum n^2) / (m - 1) on the
+    nominal level and 2 (m sum n v^2 - (sum n v)^2) / (m - 1) for squared
+    differences of v; the expected one is the same sum over all units together.
+    The ordinal distance is a difference of mid-ranks, so v is the rating
+    itself (interval) or its mid-rank among all pairable values (ordinal).
     """
-    import numpy as np
-
-    r = ratings.filter(F.col(rating).isNotNull())
-    nuc = r.groupBy(item, rating).agg(F.count(F.lit(1)).alias("nuc"))
-    mu = nuc.groupBy(item).agg(F.sum("nuc").alias("mu")).filter(F.col("mu") >= 2)
-    u = nuc.join(mu, item)
-    a = u.select(item, F.col(rating).alias("c"), F.col("nuc").alias("nc"), "mu")
-    b = u.select(item, F.col(rating).alias("k"), F.col("nuc").alias("nk"))
-    # category pairs within each unit: at most categories^2 rows per unit
-    o = (a.join(b, item)
-          .select("c", "k", (F.col("nc") * (F.col("nk") - F.when(F.col("c") == F.col("k"), 1).otherwise(0))
-                             / (F.col("mu") - 1)).alias("o"))
-          .groupBy("c", "k").agg(F.sum("o").alias("o")))
-    if o.count() > MAX_CATEGORIES:
-        raise ValueError("too many category pairs for the coincidence table")
-    rows = o.collect()
-    cats = sorted({row["c"] for row in rows} | {row["k"] for row in rows})
-    idx = {c: i for i, c in enumerate(cats)}
-    om = np.zeros((len(cats), len(cats)))
-    for row in rows:
-        om[idx[row["c"]], idx[row["k"]]] = row["o"]
-    nc = om.sum(axis=1)
-    n = nc.sum()
-    cv = np.array(cats, dtype=float) if level == "interval" else None
-    d2 = np.zeros_like(om)
-    for i in range(len(cats)):
-        for j in range(len(cats)):
-            if i == j:
-                continue
-            if level == "nominal":
-                d2[i, j] = 1.0
-            elif level == "interval":
-                d2[i, j] = (cv[i] - cv[j]) ** 2
-            elif level == "ordinal":
-                lo, hi = min(i, j), max(i, j)
-                d2[i, j] = (nc[lo:hi + 1].sum() - (nc[i] + nc[j]) / 2.0) ** 2
-            else:
-                raise ValueError("level is nominal, ordinal or interval")
-    do = (om * d2).sum()
-    de = (np.outer(nc, nc) * d2).sum()
-    alpha = 1.0 - (n - 1) * do / de if de > 0 else float("nan")
-    return ratings.sparkSession.createDataFrame([(level, float(alpha))], "level string, alpha double")
+    if level not in ("nominal", "ordinal", "interval"):
+        raise ValueError("level is nominal, ordinal or interval")
+    nuc = ratings.filter(F.col(rating).isNotNull()).groupBy(item, rating).agg(F.count(F.lit(1)).alias("n"))
+    mu = nuc.groupBy(item).agg(F.sum("n").alias("m")).filter(F.col("m") >= 2)
+    u = nuc.join(mu.select(item), item, "left_semi")
+    marg = u.groupBy(rating).agg(F.sum("n").alias("cnt"))
+    m, n = F.sum("n"), F.col("n").cast("double")
+    if level == "nominal":
+        units = u.groupBy(item).agg(((m * m - F.sum(n * n)) / (m - 1)).alias("do"), m.alias("n"))
+        both = units.select("do", "n", F.lit(0.0).alias("sq")).unionByName(
+            marg.select(F.lit(0.0).alias("do"), F.lit(0).cast("bigint").alias("n"),
+                        (F.col("cnt").cast("double") * F.col("cnt")).alias("sq")))
+        total = both.agg(F.sum("do").alias("do"), F.sum("n").alias("n"), F.sum("sq").alias("sq"))
+        de = F.col("n").cast("double") * F.col("n") - F.col("sq")
+    else:
+        if level == "ordinal":
+            places = cumulative_counts(marg, [], rating).select(
+                rating, (F.col("before") + F.col("cnt") / 2.0).alias("v"))
+            u = u.join(places, rating)
+        else:
+            u = u.withColumn("v", F.col(rating).cast("double"))
+        # differences do not change by a shift; around the mean the sums of squares stay exact
+        mean = u.agg(F.sum(F.col("n") * F.col("v")) / F.sum("n")).first()[0] or 0.0
+        v = F.col("v") - F.lit(mean)
+        s1, s2 = F.sum(n * v), F.sum(n * v * v)
+        units = u.groupBy(item).agg((2 * (m * s2 - s1 * s1) / (m - 1)).alias("do"), m.alias("n"),
+                                    s1.alias("s1"), s2.alias("s2"))
+        total = units.agg(F.sum("do").alias("do"), F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+        de = 2 * (F.col("n") * F.col("s2") - F.col("s1") * F.col("s1"))
+    alpha = F.when(de > 0, 1 - (F.col("n") - 1) * F.col("do") / de).otherwise(F.lit(float("nan")))
+    return total.select(F.lit(level).alias("level"), alpha.alias("alpha"))
 
 
 def icc(ratings: DataFrame, rater: str = "rater", item: str = "item", rating: str = "rating") -> DataFrame:

@@ -502,6 +502,27 @@ SELECT a.doc_id, CAST(CASE WHEN a.topic = -1 AND b.topic IS NOT NULL THEN b.topi
 FROM assign a LEFT JOIN best b USING (doc_id)
 """
 
+ORACLE["reassigned_words"] = f"""
+WITH {TOPIC_TERMS}, {DOCVEC},
+  sims AS (SELECT a.doc_id, w.topic, sum(dv.weight * w.weight) / (any_value(dn.dn) * any_value(tn.tn)) AS score
+           FROM assign a JOIN dv USING (doc_id) JOIN w ON w.term = dv.term AND w.topic <> -1
+           JOIN dn ON dn.doc_id = a.doc_id JOIN tn ON tn.topic = w.topic WHERE a.topic = -1 GROUP BY 1, 2),
+  best AS (SELECT doc_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic) AS rn
+                                      FROM sims) WHERE rn = 1 AND score > 0),
+  moved AS (SELECT a.doc_id, CASE WHEN a.topic = -1 THEN coalesce(b.topic, -1) ELSE a.topic END AS topic
+            FROM assign a LEFT JOIN best b USING (doc_id)),
+  cnt2 AS (SELECT m.topic, c.term, CAST(sum(c.n) AS BIGINT) AS n FROM moved m JOIN dcnt c USING (doc_id) GROUP BY 1, 2),
+  tot2 AS (SELECT topic, sum(n) AS total FROM cnt2 GROUP BY 1),
+  aa2 AS (SELECT floor(avg(total)) AS A FROM tot2),
+  tf2 AS (SELECT term, sum(n) AS f FROM cnt2 GROUP BY 1),
+  w2 AS (SELECT c.topic, c.term, (c.n / t.total) * ln(aa2.A / tf2.f + 1) AS weight
+         FROM cnt2 c JOIN tot2 t USING (topic) JOIN tf2 USING (term) CROSS JOIN aa2),
+  r2 AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM w2)
+SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, term AS word,
+       CAST(round(CAST(round(weight, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS weight
+FROM r2 WHERE rank <= 10
+"""
+
 ORACLE["topic_similarity"] = f"""
 WITH {TOPIC_TERMS},
   tn AS (SELECT topic, sqrt(sum(weight * weight)) AS tn FROM w GROUP BY 1),

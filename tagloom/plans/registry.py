@@ -439,6 +439,18 @@ def q_reassign_outliers(spark, sf):
     return out.select("doc_id", F.col("topic").cast("bigint").alias("topic"))
 
 
+@query("reassigned_words")
+def q_reassigned_words(spark, sf):
+    """M5 then A3: top words recomputed once the outliers have moved."""
+    assign = T.topic_assignments(spark, sf)
+    weights = _topic_weights(spark, sf)
+    cand = TP.ctfidf_candidates(_doc_vec(spark, sf), weights, assign.filter("topic = -1"))
+    moved = _docs(spark, sf).join(TP.reassign_outliers(assign, cand), "doc_id")
+    top = terms.top_words(terms.ctfidf(terms.term_counts(moved, "topic", "text")), k=10)
+    return top.select(F.col("topic").cast("bigint").alias("topic"), "rank", F.col("term").alias("word"),
+                      r6("weight").alias("weight"))
+
+
 @query("topic_similarity")
 def q_topic_similarity(spark, sf):
     s = TP.topic_similarity(_topic_weights(spark, sf))

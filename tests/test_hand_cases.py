@@ -1,7 +1,9 @@
 """Hand-made cases (FIXTURES.md section 4) and small exact checks."""
 
+import math
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import augment as AU
@@ -142,3 +144,39 @@ def test_krippendorff_missing_allowed(spark):
     # units 0,1 agree, unit 3 disagrees, unit 2 is not pairable
     # o: (1,1)=2,(2,2)=2,(1,2)=1,(2,1)=1 ; n=6, n1=3, n2=3 -> alpha = 1 - 5*2/(2*9) = 0.4444
     assert abs(a - (1 - 5 * 2 / 18)) < 1e-9
+
+
+@pytest.mark.parametrize("level", ["nominal", "ordinal", "interval"])
+def test_krippendorff_missing_ratings(spark, level):
+    raters = ["1233214 1   ", "12332 2412 3", " 3332 34251 "]
+    rows = [(u, i, float(c)) for u, r in enumerate(raters) for i, c in enumerate(r) if c != " "]
+    df = spark.createDataFrame(rows, "rater int, item int, rating double")
+    got = AG.krippendorff_alpha(df, level).first()
+    assert got["level"] == level and got["alpha"] == pytest.approx(_alpha(rows, level), abs=1e-9)
+
+
+def _alpha(rows, level):
+    """Straight from pairs of values within and over units."""
+    units = {}
+    for _, item, v in rows:
+        units.setdefault(item, []).append(v)
+    units = [x for x in units.values() if len(x) > 1]
+    every = [v for x in units for v in x]
+
+    def d2(a, b):
+        if level == "nominal":
+            return float(a != b)
+        if level == "interval":
+            return (a - b) ** 2
+        lo, hi = min(a, b), max(a, b)
+        return 0.0 if a == b else (sum(lo <= v <= hi for v in every) - (every.count(a) + every.count(b)) / 2) ** 2
+    seen = sum(d2(a, b) / (len(x) - 1) for x in units for a in x for b in x) / len(every)
+    due = sum(d2(a, b) for a in every for b in every) / (len(every) * (len(every) - 1))
+    return 1 - seen / due
+
+
+def test_krippendorff_without_variation(spark):
+    same = spark.createDataFrame([(1, 1, 2.0), (2, 1, 2.0)], "rater int, item int, rating double")
+    for level in ("nominal", "ordinal", "interval"):
+        assert math.isnan(AG.krippendorff_alpha(same, level).first()["alpha"])
+        assert math.isnan(AG.krippendorff_alpha(same.limit(0), level).first()["alpha"])
