@@ -6,6 +6,7 @@ prunes columns and pushes filters to the parquet scan.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkAttributeError, PySparkNotImplementedError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def spread(df: DataFrame) -> DataFrame:
         par = df.sparkSession.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < par:
             return df.repartition(par)
-    except Exception:  # sessions without the RDD API: leave the scan as is
+    except (PySparkAttributeError, PySparkNotImplementedError):  # sessions without the RDD API: leave the scan as is
         pass
     return df
 
