@@ -2,19 +2,22 @@
 
 The model is a byte-context trie of ``ORDER`` context bytes, trained on all
 training documents (pretrained code lengths): counts of (context, symbol)
-with escape method C and symbol exclusion. A symbol seen in the full context
-costs n / (T + d); otherwise an escape d / (T + d) is paid and the next shorter
-context is asked, without the symbols of the longer one, down to the uniform
-choice among the bytes never seen. A document begins after ``ORDER`` zero
-bytes and ends with a zero byte, whose prediction is part of its probability.
+with escape method D, symbol exclusion and update exclusion. A symbol seen n
+times in the full context has (n - 1/2) / T; otherwise an escape d / 2T over
+its d distinct symbols is paid and the next shorter context is asked, without
+the symbols of the longer one, down to the uniform choice among the bytes
+never seen. A shorter context counts in how many contexts one byte longer a
+symbol was seen, not how often. A document begins after ``ORDER`` zero bytes
+and ends with a zero byte, whose prediction is part of its probability.
 
 How it is spread: documents are dealt into blocks of bounded size (a bucketed
 table in the shared folder). Each block lists its distinct words and its
 distinct (context, symbol) strings with their training counts; these are summed
-over the corpus, the trie's probabilities are worked out in groups that share
-two context bytes (at most 2^24 rows each, whatever the corpus), and each block
-gets back the values of its own list. Neither vocabulary nor trie is ever
-broadcast; only the table of single-byte contexts (65,536 counts) is.
+over the corpus, the trie's probabilities are worked out in groups of contexts
+that share their last ``SHARED`` bytes (at most 2^24 rows for each, whatever the
+corpus; a group has about ``GROUP`` rows), cogrouped with the symbol counts of
+the last two bytes, and each block gets back the values of its own list. Neither vocabulary nor trie is ever broadcast; only
+the table of single-byte contexts (65,536 counts) is.
 
 The base score is a word unigram with add-one counts over the same documents.
 
@@ -38,8 +41,12 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import slices, staged, words_of
 from tagloom.session import scratch_table
 
-ORDER = 4
-BLOCK_BYTES = 16 << 20
+ORDER = 5
+SHARED = 3
+HALF = 0.5
+BLOCK_BYTES = 32 << 20
+GROUP = 1 << 19
+CONTEXTS = 1024
 PART_BYTES = 1 << 20
 WORD, GRAM = 0, 1
 
@@ -117,61 +124,85 @@ def _needs(block: pa.Table) -> pa.Table:
                      "key": np.concatenate([word.key, gram.key]), "n": np.concatenate([word.n, gram.n])})
 
 
-def trie_logs(key: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def _escape(log, found, symbol, count, total, kinds):
+    """Add one order's share: hits pay their count less the half that a symbol
+    gives to the escape, misses the escape. All per row, without the symbols
+    of longer contexts."""
+    hit = ~found & (count > 0)
+    log[hit] += np.log10((count[hit] - HALF) / total[hit])
+    miss = ~found & (count == 0) & (total > 0)
+    log[miss] += np.log10(HALF * kinds[miss] / total[miss])
+    found |= hit
+
+
+def trie_logs(key: np.ndarray, n: np.ndarray, two: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """log10 probability of each (context, symbol) code.
 
-    ``key`` holds all codes that share the last two context bytes, ``n`` their
-    training counts (0: asked for only); ``pairs[c, s]`` counts symbol s after
-    byte c over the whole corpus.
+    ``key`` holds all codes of some contexts of ``SHARED`` bytes, ``n`` their
+    training counts (0: asked for only). ``two[i, s]`` counts the contexts one
+    byte longer in which symbol s followed the last two bytes of the i-th of
+    those contexts (in ascending order), ``pairs[c, s]`` those in which it
+    followed byte c.
     """
-    symbol = key & 0xFF
-    context = key >> 8
-    last = int(context[0] & 0xFF)
-    found = np.full(len(key), -2)  # the order in which the symbol is found
-    log = np.zeros(len(key))
-    before_n, before_d = np.zeros(len(key)), np.zeros(len(key))  # counts and kinds excluded by longer contexts
-    seen_above = np.zeros(len(key), bool)  # was (longer context, symbol) seen in training
-    longer = context
-    for order in range(ORDER, -1, -1):
-        if order >= 2:
-            _, group = np.unique((context & ((1 << 8 * order) - 1)) << 8 | symbol, return_inverse=True)
-            count = np.bincount(group, weights=n)[group]
-            _, ctx = np.unique(context & ((1 << 8 * order) - 1), return_inverse=True)
-            one = np.zeros(len(key), bool)  # one row per (context, symbol)
-            one[np.unique(group, return_index=True)[1]] = True
-            total = np.bincount(ctx[one], weights=count[one])[ctx]
-            kinds = np.bincount(ctx[one], weights=count[one] > 0)[ctx]
-        else:
-            row = pairs[last] if order == 1 else pairs.sum(axis=0)
-            count = row[symbol].astype(float)
-            total, kinds = np.full(len(key), float(row.sum())), np.full(len(key), float((row > 0).sum()))
-        if order == 0:  # what the last byte has been followed by is excluded
-            after = pairs[last] > 0
-            before_n, before_d = float(row[after].sum()), float(after.sum())
-        elif order < ORDER:  # what the next longer context has seen is excluded
-            above = np.unique(longer, return_inverse=True)[1]
-            first = np.zeros(len(key), bool)
-            first[np.unique(above.astype(np.int64) << 8 | symbol, return_index=True)[1]] = True
-            pick = first & seen_above
-            before_n = np.bincount(above[pick], weights=count[pick], minlength=above.max() + 1)[above]
-            before_d = np.bincount(above[pick], minlength=above.max() + 1)[above]
-        free_n, free_d = total - before_n, kinds - before_d
-        room = free_n + free_d
-        todo = found == -2
-        hit = todo & (count > 0)
-        log[hit] += np.log10(count[hit] / room[hit])
-        found[hit] = order
-        miss = todo & (count == 0) & (room > 0)
-        log[miss] += np.log10(free_d[miss] / room[miss])
-        seen_above = count > 0
-        longer = context & ((1 << 8 * order) - 1)
-        if not (found == -2).any():
-            break
-    never = found == -2
-    log[never] -= np.log10(256 - (pairs.sum(axis=0) > 0).sum())
+    symbol, context = key & 0xFF, key >> 8
+    log, found = np.zeros(len(key)), np.zeros(len(key), bool)
+    code, count = np.unique(key), None  # the (context, symbol) pairs of this order and their counts
+    row = np.searchsorted(code, key)
+    count = np.bincount(row, weights=n)
+    for order in range(ORDER, SHARED - 1, -1):
+        contexts, at = np.unique(code >> 8, return_inverse=True)
+        total, kinds = np.bincount(at, weights=count), np.bincount(at, weights=count > 0)
+        if order == ORDER:
+            free, free_kinds = total[at][row], kinds[at][row]
+        else:  # what the next longer context has seen is excluded
+            longer, above = np.unique(last >> 8, return_inverse=True)
+            seen = last_count > 0
+            less = np.bincount(above, weights=np.where(seen, count[up], 0))
+            fewer = np.bincount(above, weights=seen)
+            mine = np.searchsorted(longer, context & ((1 << 8 * (order + 1)) - 1))
+            free, free_kinds = total[at][row] - less[mine], kinds[at][row] - fewer[mine]
+        _escape(log, found, symbol, count[row], free, free_kinds)
+        if order > SHARED:
+            last, last_count = code, count
+            shorter = ((last >> 8) & ((1 << 8 * (order - 1)) - 1)) << 8 | (last & 0xFF)
+            code, up = np.unique(shorter, return_inverse=True)
+            count = np.bincount(up, weights=last_count > 0)
+            row = np.searchsorted(code, (context & ((1 << 8 * (order - 1)) - 1)) << 8 | symbol)
+    # from here on tables of (SHARED-byte context, symbol)
+    mine = np.searchsorted(contexts, context & ((1 << 8 * SHARED) - 1))
+    seen = np.zeros((len(contexts), 256), bool)
+    seen[at, code & 0xFF] = count > 0
+    for table in (two, pairs[contexts & 0xFF], (pairs > 0).sum(axis=0)[None]):
+        free = (table * ~seen).astype(float)
+        _escape(log, found, symbol, free[mine, symbol], free.sum(axis=1)[mine], (free > 0).sum(axis=1)[mine])
+        seen |= table > 0
+    never = ~found
+    log[never] -= np.log10(256 - seen.sum(axis=1)[mine[never]])
     return log
 
 
+def _logs(pairs: np.ndarray):
+    def run(rows: pd.DataFrame, below: pd.DataFrame) -> pd.DataFrame:
+        key, n = (rows[c].to_numpy(np.int64) for c in ("key", "n"))
+        near = key >> 8 & ((1 << 8 * SHARED) - 1)
+        order = np.argsort(near, kind="stable")
+        key, n, near = key[order], n[order], near[order]
+        of, symbol, count = below.near.to_numpy(np.int64) >> 8, below.k.to_numpy(np.int64) & 0xFF, below.n.to_numpy(np.int64)
+        order = np.argsort(of, kind="stable")
+        of, symbol, count = of[order], symbol[order], count[order]
+        value = np.zeros(len(key))
+        contexts = np.unique(near)
+        for lo in range(0, len(contexts), CONTEXTS):
+            some = contexts[lo:lo + CONTEXTS]
+            a, b = np.searchsorted(near, some[0]), np.searchsorted(near, some[-1], "right")
+            c, d = np.searchsorted(of, some[0]), np.searchsorted(of, some[-1], "right")
+            two = np.zeros((len(some), 256), np.int64)
+            two[np.searchsorted(some, of[c:d]), symbol[c:d]] = count[c:d]
+            value[a:b] = trie_logs(key[a:b], n[a:b], two, pairs)
+        return pd.DataFrame({"key": key, "value": value})
+    return run
+
+
 class Lookup:
     """Open-addressing table from int64 keys to doubles, all in numpy."""
 
@@ -254,15 +285,21 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
     tokens, kinds = total["n"] + ends, total["v"] + (ends > 0)
 
     per_gram = staged(needs.filter(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), "lm-grams")
+    # in how many contexts one byte longer each (two bytes, symbol) was seen; at most 2^24 rows
+    low = staged(per_gram.filter("n > 0").select(F.col("key").bitwiseAND((1 << 8 * (SHARED + 1)) - 1).alias("k")).distinct()
+                 .groupBy(F.col("k").bitwiseAND(0xFFFFFF).alias("k")).agg(F.count("*").alias("n")), "lm-low")
     pairs = np.zeros((256, 256), np.int64)
-    for r in per_gram.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("p")).agg(F.sum("n").alias("n")).collect():
+    for r in low.groupBy(F.col("k").bitwiseAND(0xFFFF).alias("p")).agg(F.count("*").alias("n")).collect():
         pairs[r["p"] >> 8, r["p"] & 0xFF] = r["n"]  # at most 65,536 rows
 
-    def logs(df: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": df.key, "value": trie_logs(df.key.to_numpy(), df.n.to_numpy(), pairs)})
-
-    near = F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("near")
-    trie = per_gram.select("key", "n", near).groupBy("near").applyInPandas(logs, "key long, value double")
+    near = F.col("key").bitwiseAND((1 << 8 * (SHARED + 1)) - 256)  # the last SHARED context bytes
+    n_groups = max(1, -(-per_gram.count() // GROUP))
+    by_near = per_gram.select("key", "n", F.pmod(F.xxhash64(near), F.lit(n_groups)).alias("part"))
+    two = F.col("near").bitwiseAND(0xFFFF00)
+    below = per_gram.select(near.alias("near")).distinct().withColumn("two", two) \
+        .join(low.withColumn("two", F.col("k").bitwiseAND(0xFFFF00)), "two") \
+        .select("near", "k", "n", F.pmod(F.xxhash64("near"), F.lit(n_groups)).alias("part"))
+    trie = by_near.groupBy("part").cogroup(below.groupBy("part")).applyInPandas(_logs(pairs), "key long, value double")
     model = per_word.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")) \
         .unionByName(trie.select(F.lit(GRAM).alias("kind"), "key", "value"))
     values = needs.select("block", "kind", "key").join(model, ["kind", "key"]).select("block", "kind", "key", "value")

@@ -141,25 +141,29 @@ def unigram(rows, held):
              float(sum(np.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in d))) for d, h in zip(docs, flags)]
 
 
-def ppm(rows, held, order=4):
-    """Scores of all rows by a plain recursion over context dictionaries."""
+def ppm(rows, held, order=5):
+    """Scores of all rows by a plain recursion over context dictionaries
+    (escape method D; shorter contexts count the contexts one byte longer)."""
     seen = [defaultdict(Counter) for _ in range(order + 1)]
     coded = [bytes(order) + (t or "").encode() + b"\0" for _, t in rows]
     for (i, _), text in zip(rows, coded):
         if fold(i, 7) != held:
             for k in range(order, len(text)):
-                for n in range(order + 1):
-                    seen[n][text[k - n:k]][text[k]] += 1
+                for n in range(order, -1, -1):
+                    counts = seen[n][text[k - n:k]]
+                    counts[text[k]] += 1
+                    if counts[text[k]] > 1:  # the shorter contexts know of this one
+                        break
 
     def log(context, symbol):
         out, gone = 0.0, set()
         for n in range(order, -1, -1):
             counts = {s: c for s, c in seen[n].get(context[order - n:], {}).items() if s not in gone}
-            room = sum(counts.values()) + len(counts)
+            total = sum(counts.values())
             if symbol in counts:
-                return out + np.log10(counts[symbol] / room)
-            if room:
-                out += np.log10(len(counts) / room)
+                return out + np.log10((counts[symbol] - 0.5) / total)
+            if total:
+                out += np.log10(0.5 * len(counts) / total)
             gone |= set(counts)
         return out - np.log10(256 - len(gone))
 
