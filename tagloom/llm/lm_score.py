@@ -34,6 +34,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,42 +204,16 @@ def _logs(pairs: np.ndarray):
     return run
 
 
-class Lookup:
-    """Open-addressing table from int64 keys to doubles, all in numpy."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.zeros(1 << self.bits)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = self.keys[slot] == -1
-            take = left[free]
-            self.keys[slot[free]] = keys[take]  # of several the last stays
-            won = self.keys[slot] == keys[left]
-            self.values[slot[won]] = values[left[won]]
-            left, slot = left[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Values; every key must be there."""
-        slot = self._slot(keys)
-        off = np.flatnonzero(self.keys[slot] != keys)
-        while len(off):
-            slot[off] = (slot[off] + 1) & ((1 << self.bits) - 1)
-            off = off[self.keys[slot[off]] != keys[off]]
-        return self.values[slot]
-
-
 def _scored(known_end: int):
     def run(block: pa.Table, values: pa.Table) -> pa.Table:
-        kind, key, value = (np.asarray(values.column(c)) for c in ("kind", "key", "value"))
-        at = np.flatnonzero(kind == WORD)
-        at = at[np.argsort(key[at])]
-        ids, counts = key[at], value[at]
-        find = Lookup(key[kind == GRAM], value[kind == GRAM])
+        def sorted_of(which: int) -> tuple[np.ndarray, np.ndarray]:
+            part = values.select(["key", "value"]).filter(pc.equal(values.column("kind"), which))
+            key, value = (np.asarray(part.column(c)) for c in ("key", "value"))
+            order = np.argsort(key)
+            return key[order], value[order]
+
+        ids, counts = sorted_of(WORD)
+        codes, logs = sorted_of(GRAM)
         schema = pa.schema({"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
                             "logs": pa.float64(), "score": pa.float64()})
         done = [schema.empty_table()]
@@ -250,12 +225,13 @@ def _scored(known_end: int):
             c = counts[np.searchsorted(ids, asked)] if len(asked) else np.zeros(0)
             c = c[np.asarray(coded.indices)]
             code, doc = grams(raw_texts(part.column("text")))
+            code, back = np.unique(code, return_inverse=True)
             done.append(pa.table({
                 "doc_id": part.column("doc_id"), "held_out": part.column("held_out"),
                 "n_tokens": np.bincount(row, minlength=n) + 1,
                 "n_known": np.bincount(row[c > 0], minlength=n) + (known_end > 0),
                 "logs": np.bincount(row, weights=np.log10(c + 1), minlength=n) + np.log10(known_end + 1),
-                "score": np.bincount(doc, weights=find(code), minlength=n)}, schema=schema))
+                "score": np.bincount(doc, weights=logs[np.searchsorted(codes, code)][back], minlength=n)}, schema=schema))
         return pa.concat_tables(done)
     return run
 
