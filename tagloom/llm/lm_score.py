@@ -30,6 +30,7 @@ log10(256); an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,7 @@ BLOCK_BYTES = 32 << 20
 GROUP = 1 << 19
 CONTEXTS = 1024
 PART_BYTES = 1 << 20
+RUN = 1 << 20
 WORD, GRAM = 0, 1
 
 
@@ -58,20 +60,22 @@ def word_keys(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in raw), np.uint64, len(raw)).view(np.int64)
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(context, symbol) codes of every position of every text, the last byte
-    being the symbol, and the text each belongs to."""
-    size = np.array([len(t) + 1 for t in texts], np.int64)
+    being the symbol, and the text each belongs to, in runs of ``RUN``."""
     pad = bytes(ORDER)
     flat = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8)
-    code = np.zeros(len(flat) - ORDER, np.uint64)
-    for j in range(ORDER + 1):
-        code <<= np.uint64(8)
-        code |= flat[j:len(flat) - ORDER + j]
-    row = np.repeat(np.arange(len(texts)), size)
-    first = np.cumsum(size + ORDER) - (size + ORDER)
-    at = np.arange(len(row)) - (np.cumsum(size) - size)[row] + first[row]
-    return code[at].view(np.int64), row
+    ends = np.cumsum([len(t) + 1 + ORDER for t in texts])
+    for lo in range(0, len(flat) - ORDER, RUN):
+        hi = min(lo + RUN, len(flat) - ORDER)
+        code = np.zeros(hi - lo, np.int64)
+        for j in range(ORDER + 1):
+            code <<= 8
+            code |= flat[lo + j:hi + j]
+        at = np.arange(lo + ORDER, hi + ORDER)
+        row = np.searchsorted(ends, at, "right")
+        own = at - np.concatenate([[0], ends])[row] >= ORDER  # not the padding before a text
+        yield code[own], row[own]
 
 
 class Sums:
@@ -111,11 +115,11 @@ def _needs(block: pa.Table) -> pa.Table:
         coded = words.dictionary_encode()
         word.add(word_keys(coded.dictionary),
                  np.bincount(np.asarray(coded.indices)[~held[row]], minlength=len(coded.dictionary)))
-        code, row = grams(raw_texts(part.column("text")))
-        out = held[row]
-        gram.add(*np.unique(code[~out], return_counts=True))
-        key = np.unique(code[out])
-        gram.add(key, np.zeros(len(key), np.int64))
+        for code, row in grams(raw_texts(part.column("text"))):
+            out = held[row]
+            gram.add(*np.unique(code[~out], return_counts=True))
+            key = np.unique(code[out])
+            gram.add(key, np.zeros(len(key), np.int64))
     word.merge()
     gram.merge()
     size = len(word.key) + len(gram.key)
@@ -224,14 +228,16 @@ def _scored(known_end: int):
             asked = word_keys(coded.dictionary)
             c = counts[np.searchsorted(ids, asked)] if len(asked) else np.zeros(0)
             c = c[np.asarray(coded.indices)]
-            code, doc = grams(raw_texts(part.column("text")))
-            code, back = np.unique(code, return_inverse=True)
+            score = np.zeros(n)
+            for code, doc in grams(raw_texts(part.column("text"))):
+                code, back = np.unique(code, return_inverse=True)
+                score += np.bincount(doc, weights=logs[np.searchsorted(codes, code)][back], minlength=n)
             done.append(pa.table({
                 "doc_id": part.column("doc_id"), "held_out": part.column("held_out"),
                 "n_tokens": np.bincount(row, minlength=n) + 1,
                 "n_known": np.bincount(row[c > 0], minlength=n) + (known_end > 0),
                 "logs": np.bincount(row, weights=np.log10(c + 1), minlength=n) + np.log10(known_end + 1),
-                "score": np.bincount(doc, weights=logs[np.searchsorted(codes, code)][back], minlength=n)}, schema=schema))
+                "score": score}, schema=schema))
         return pa.concat_tables(done)
     return run
 
