@@ -46,7 +46,7 @@ from tagloom.session import scratch_table
 ORDER = 5
 SHARED = 3
 HALF = 0.5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 GROUP = 1 << 19
 CONTEXTS = 1024
 PART_BYTES = 1 << 20
@@ -72,9 +72,13 @@ def grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for j in range(ORDER + 1):
             code <<= 8
             code |= flat[lo + j:hi + j]
-        at = np.arange(lo + ORDER, hi + ORDER)
-        row = np.searchsorted(ends, at, "right")
-        own = at - np.concatenate([[0], ends])[row] >= ORDER  # not the padding before a text
+        first, last = np.searchsorted(ends, [lo + ORDER, hi + ORDER - 1], "right")
+        cuts = np.concatenate([[0], np.minimum(ends[first:last + 1], hi + ORDER) - lo - ORDER])
+        row = np.repeat(np.arange(first, last + 1), np.diff(cuts))
+        starts = np.concatenate([[0], ends])[first:last + 1] - lo - ORDER
+        padding = (starts[:, None] + np.arange(ORDER)).ravel()
+        own = np.ones(hi - lo, bool)
+        own[padding[(padding >= 0) & (padding < hi - lo)]] = False
         yield code[own], row[own]
 
 
@@ -251,7 +255,7 @@ def blocks(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFra
                        F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
     name = f"lm_blocks_{uuid.uuid4().hex}"
     rows.repartition(n, "block").write.bucketBy(n, "block").format("parquet") \
-        .option("path", scratch_table(spark, name)).saveAsTable(name)
+        .option("compression", "zstd").option("path", scratch_table(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 
@@ -260,13 +264,13 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
     base_score, score. ``held_out``: a column expression; those are not learned
     from."""
     dealt = blocks(docs, held_out, block_bytes)
-    needs = staged(dealt.groupBy("block").applyInArrow(_needs, "block int, kind int, key long, n long"), "lm-needs")
+    needs = staged(dealt.groupBy("block").applyInArrow(_needs, "block int, kind int, key long, n long"), "lm-needs", "zstd")
     ends = dealt.filter("not held_out").count()
     per_word = needs.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n"))
     total = per_word.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     tokens, kinds = total["n"] + ends, total["v"] + (ends > 0)
 
-    per_gram = staged(needs.filter(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), "lm-grams")
+    per_gram = staged(needs.filter(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), "lm-grams", "zstd")
     # in how many contexts one byte longer each (two bytes, symbol) was seen; at most 2^24 rows
     low = staged(per_gram.filter("n > 0").select(F.col("key").bitwiseAND((1 << 8 * (SHARED + 1)) - 1).alias("k")).distinct()
                  .groupBy(F.col("k").bitwiseAND(0xFFFFFF).alias("k")).agg(F.count("*").alias("n")), "lm-low")
