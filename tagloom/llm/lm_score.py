@@ -35,7 +35,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,13 +50,13 @@ GROUP = 1 << 19
 CONTEXTS = 1024
 PART_BYTES = 1 << 20
 RUN = 1 << 20
-WORD, GRAM = 0, 1
 
 
 def word_keys(words: pa.Array) -> np.ndarray:
-    """Signed 64-bit hashes of words."""
+    """63-bit hashes of words as negative numbers; (context, symbol) codes
+    are never negative."""
     raw = words.cast(pa.large_binary()).to_pylist()
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in raw), np.uint64, len(raw)).view(np.int64)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) | 1 << 63 for w in raw), np.uint64, len(raw)).view(np.int64)
 
 
 def grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -129,7 +128,6 @@ def _needs(block: pa.Table) -> pa.Table:
     size = len(word.key) + len(gram.key)
     which = block.column("block")[0].as_py()
     return pa.table({"block": np.full(size, which, np.int32),
-                     "kind": np.repeat([WORD, GRAM], [len(word.key), len(gram.key)]).astype(np.int32),
                      "key": np.concatenate([word.key, gram.key]), "n": np.concatenate([word.n, gram.n])})
 
 
@@ -214,14 +212,12 @@ def _logs(pairs: np.ndarray):
 
 def _scored(known_end: int):
     def run(block: pa.Table, values: pa.Table) -> pa.Table:
-        def sorted_of(which: int) -> tuple[np.ndarray, np.ndarray]:
-            part = values.select(["key", "value"]).filter(pc.equal(values.column("kind"), which))
-            key, value = (np.asarray(part.column(c)) for c in ("key", "value"))
-            order = np.argsort(key)
-            return key[order], value[order]
-
-        ids, counts = sorted_of(WORD)
-        codes, logs = sorted_of(GRAM)
+        key, value = (np.asarray(values.column(c)) for c in ("key", "value"))
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        del order
+        word = np.searchsorted(key, 0)
+        (ids, codes), (counts, logs) = np.split(key, [word]), np.split(value, [word])
         schema = pa.schema({"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
                             "logs": pa.float64(), "score": pa.float64()})
         done = [schema.empty_table()]
@@ -264,13 +260,13 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
     base_score, score. ``held_out``: a column expression; those are not learned
     from."""
     dealt = blocks(docs, held_out, block_bytes)
-    needs = staged(dealt.groupBy("block").applyInArrow(_needs, "block int, kind int, key long, n long"), "lm-needs", "zstd")
+    needs = staged(dealt.groupBy("block").applyInArrow(_needs, "block int, key long, n long"), "lm-needs", "zstd")
     ends = dealt.filter("not held_out").count()
-    per_word = needs.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n"))
+    per_word = needs.filter("key < 0").groupBy("key").agg(F.sum("n").alias("n"))
     total = per_word.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     tokens, kinds = total["n"] + ends, total["v"] + (ends > 0)
 
-    per_gram = staged(needs.filter(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), "lm-grams", "zstd")
+    per_gram = staged(needs.filter("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), "lm-grams", "zstd")
     # in how many contexts one byte longer each (two bytes, symbol) was seen; at most 2^24 rows
     low = staged(per_gram.filter("n > 0").select(F.col("key").bitwiseAND((1 << 8 * (SHARED + 1)) - 1).alias("k")).distinct()
                  .groupBy(F.col("k").bitwiseAND(0xFFFFFF).alias("k")).agg(F.count("*").alias("n")), "lm-low")
@@ -286,9 +282,8 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
         .join(low.withColumn("two", F.col("k").bitwiseAND(0xFFFF00)), "two") \
         .select("near", "k", "n", F.pmod(F.xxhash64("near"), F.lit(n_groups)).alias("part"))
     trie = by_near.groupBy("part").cogroup(below.groupBy("part")).applyInPandas(_logs(pairs), "key long, value double")
-    model = per_word.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")) \
-        .unionByName(trie.select(F.lit(GRAM).alias("kind"), "key", "value"))
-    values = needs.select("block", "kind", "key").join(model, ["kind", "key"]).select("block", "kind", "key", "value")
+    model = per_word.select("key", F.col("n").cast("double").alias("value")).unionByName(trie)
+    values = needs.select("block", "key").join(model, "key").select("block", "key", "value")
     got = dealt.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
         _scored(ends), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     base = F.col("logs") - F.col("n_tokens") * float(np.log10(tokens + (kinds + 1)))
