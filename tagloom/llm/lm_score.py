@@ -49,7 +49,7 @@ BLOCK_BYTES = 16 << 20
 GROUP = 1 << 19
 CONTEXTS = 1024
 PART_BYTES = 1 << 20
-RUN = 1 << 20
+RUN = 1 << 18
 
 
 def word_keys(words: pa.Array) -> np.ndarray:
@@ -127,6 +127,7 @@ def _needs(block: pa.Table) -> pa.Table:
     gram.merge()
     size = len(word.key) + len(gram.key)
     which = block.column("block")[0].as_py()
+    pa.default_memory_pool().release_unused()
     return pa.table({"block": np.full(size, which, np.int32),
                      "key": np.concatenate([word.key, gram.key]), "n": np.concatenate([word.n, gram.n])})
 
@@ -238,6 +239,7 @@ def _scored(known_end: int):
                 "n_known": np.bincount(row[c > 0], minlength=n) + (known_end > 0),
                 "logs": np.bincount(row, weights=np.log10(c + 1), minlength=n) + np.log10(known_end + 1),
                 "score": score}, schema=schema))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(done)
     return run
 
