@@ -2,11 +2,13 @@
 
 Documents become token ids (each followed by id 0); only documents longer
 than a sequence are cut, into full pieces and a rest. Pieces are dealt at
-random into groups of about ``GROUP`` pieces; in each group best-fit
-decreasing runs with a segment tree over the remaining capacities, which finds
-the tightest open sequence in logarithmic time per piece. Groups are
-independent, so memory and time per task are bounded; each costs at most part
-of one sequence against packing all pieces at once.
+random into groups of about ``GROUP`` full sequences of tokens (and of
+``MOST_PIECES`` pieces at most); in each group best-fit decreasing runs with a
+segment tree over the remaining capacities, which finds the tightest open
+sequence in logarithmic time per piece. Groups are independent, so memory and
+time per task are bounded; each costs at most part of one sequence against
+packing all pieces at once: one in ``GROUP``, or for documents of 16 tokens and
+less one in as many sequences as ``MOST_PIECES`` of them fill.
 
 Tokens: the vocabulary file splits at white space, so each distinct word is
 encoded once (a cache of 2 * ``CACHE`` words) and a document's ids are those
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 from array import array
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import Recent, slices, staged, words_of
 
 CAPACITY = 2048
-GROUP = 4096
+GROUP = 2048
+MOST_PIECES = 1 << 18
 CACHE = 300_000
 
 _tokenizers: dict = {}
@@ -73,8 +76,6 @@ def word_ids(path: str):
 
 def _pieces(path: str, capacity: int):
     def run(batches):
-        import numpy as np
-
         encode = word_ids(path)
         for b in slices(batches, "text"):
             words, row = words_of(b.column("text"), lower=False)
@@ -159,19 +160,24 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``rows`` (any columns with ``length`` <= capacity) plus sequence_id and
-    offset (the place in the sequence, gapless from 0)."""
+    offset (the place in the sequence, gapless from 0); ``group`` is the number
+    of full sequences whose tokens make a group."""
     kept = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    n_groups = max(1, -(-kept.count() // group))
+    n, tokens = kept.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    n_groups = max(1, -(-tokens // (capacity * group)), -(-n // MOST_PIECES))
     dealt = kept.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(n_groups)))
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
-        sequence, offset = best_fit(df["length"].tolist(), capacity)
-        base = int(df["_group"].iloc[0]) << 32
-        return df.assign(sequence_id=[base + s for s in sequence], offset=offset).drop(columns=["_row", "_group"])
+    def run(t: pa.Table) -> pa.Table:
+        length = t.column("length").to_numpy()
+        order = np.lexsort((t.column("_row").to_numpy(), -length))
+        sequence, offset = np.empty((2, len(order)), np.int64)
+        sequence[order], offset[order] = best_fit(length[order].tolist(), capacity)
+        sequence += t.column("_group")[0].as_py() << 32
+        return t.drop_columns(["_row", "_group"]).append_column("sequence_id", pa.array(sequence)) \
+            .append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return dealt.groupBy("_group").applyInPandas(run, f"{schema}, sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

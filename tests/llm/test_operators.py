@@ -142,6 +142,11 @@ def test_packing(docs, rows, empty):
     assert packing.pack(packing.pieces(empty, path).drop("ids")).count() == 0
 
 
+def test_packing_joins_short_pieces_of_all_groups(spark):
+    short = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(20).cast("long").alias("length"))
+    assert packing.pack(short).select("sequence_id").distinct().count() == -(-60_000 // (2048 // 20))  # the least there can be
+
+
 def test_best_fit_takes_the_tightest_sequence():
     rng = random.Random(0)
     lengths = sorted((rng.randint(1, 100) for _ in range(500)), reverse=True)
