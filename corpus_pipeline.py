@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's ``docs``. All but the last return
-the columns of documents; the last returns one row per packed piece.
+the columns of documents; the last returns one row per packed piece, with its
+token ids.
 
 Documents rejected by the quality rules go, and common lines of a host leave
 the text of the others; documents whose language is not told go; lines common
@@ -39,7 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(cut).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -1,9 +1,13 @@
 """Each stage of the pipeline on its own input, against a restatement."""
 
+import zlib
+
 import brute as B
+import public_tokenizers as P
 from conftest import SF_SMALL
 
 import corpus_pipeline
+from tagloom.llm import packing
 from tagloom.llm.common import staged, table
 
 
@@ -41,3 +45,16 @@ def test_run_and_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = staged(stage(spark, docs, SF_SMALL), f"empty-{name}")
     assert docs.count() == 0
+
+
+def test_packed_rows_make_whole_sequences(spark):
+    docs = table(spark, SF_SMALL, "documents")
+    got = staged(corpus_pipeline.packing_stage(spark, docs, SF_SMALL), "test-sequences")
+    ids = {(r["doc_id"], r["piece"]): bytes(r["ids"]) for r in packing.pieces(docs, P.path("word_bpe_49k.json")).collect()}
+    exp = {}
+    for r in sorted(got.collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+        part = ids.pop((r["doc_id"], r["piece"]))
+        assert bytes(r["ids"]) == part and r["ids_crc32"] == zlib.crc32(part) and len(part) == 4 * r["length"]
+        exp[r["sequence_id"]] = exp.get(r["sequence_id"], b"") + part
+    assert not ids
+    assert {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(got).collect()} == exp
