@@ -4,8 +4,8 @@ The network reads a text as segments of ``SPAN`` bytes (all of them), labels
 every byte position from the states of both directions, and pools the
 position probabilities over the document. It is trained in numpy by
 backpropagation through time on a bounded sample of labelled rows:
-``FIT_DOCS`` documents of each language (the smallest by a hash of the id) and
-up to ``FIT_SPANS`` segments of each.
+``FIT_DOCS`` distinct documents of each language (the smallest by a hash of id
+and text) and up to ``FIT_SPANS`` segments of each, drawn over its whole text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0,
 as is every text if there is no labelled row to learn from; a null lang is
@@ -192,28 +192,36 @@ class ByteGru:
         return losses
 
 
+def _draw(batches):
+    """Up to ``FIT_SPANS`` segments of each text, from anywhere in it."""
+    for b in slices(batches, "text"):
+        parts = []
+        for key, t in zip(b.column("key").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist()):
+            n = -(-len(t) // SPAN)
+            at = np.random.default_rng([SEED, key % (1 << 64)]).choice(n, min(n, FIT_SPANS), replace=False)
+            parts.append([t[k * SPAN:(k + 1) * SPAN] for k in sorted(at.tolist())])
+        yield pa.RecordBatch.from_arrays([b.column("lang").cast(pa.string()), b.column("n"), pa.array(parts, pa.list_(pa.binary()))],
+                                         names=["lang", "n", "parts"])
+
+
 def train(labelled: DataFrame, fit_docs: int = FIT_DOCS, steps: int = STEPS) -> ByteGru | None:
     """Fit on a bounded sample of (text, lang) rows; None without any. The
-    sample is at most ``fit_docs`` documents of a language, each cut to its
-    first 64 kB before it is sent here."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
-    rows = labelled.select("doc_id", "text", "lang").filter("lang is not null and text rlike '\\\\p{L}'") \
-        .withColumn("text", F.substring("text", 1, 1 << 16)) \
-        .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= fit_docs) \
-        .select("lang", "n", "text").orderBy("lang", "n").collect()
+    sample is at most ``fit_docs`` documents of a language; of each, segments
+    drawn over its whole text are sent here."""
+    keyed = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    order = Window.partitionBy("lang").orderBy("key")
+    drawn = keyed.filter("lang is not null and text rlike '\\\\p{L}'").select("lang", "key").distinct() \
+        .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= fit_docs)
+    rows = keyed.join(F.broadcast(drawn), ["lang", "key"]).select("lang", "n", "key", "text") \
+        .mapInArrow(_draw, "lang string, n int, parts array<binary>").dropDuplicates(["lang", "n"]) \
+        .orderBy("lang", "n").collect()
     if not rows:
         return None
     langs = sorted({r["lang"] for r in rows})
-    parts, sizes, labels = [], [], []
-    rng = np.random.default_rng(SEED)
-    for r in rows:
-        x, n, _ = spans([r["text"].encode()])
-        at = np.sort(rng.permutation(len(x))[:FIT_SPANS])
-        parts.append(x[at])
-        sizes.append(n[at])
-        labels += [langs.index(r["lang"])] * len(at)
+    x, sizes, _ = spans([bytes(p) for r in rows for p in r["parts"]])
+    labels = np.repeat([langs.index(r["lang"]) for r in rows], [len(r["parts"]) for r in rows])
     net = ByteGru(langs)
-    net.fit(np.concatenate(parts), np.concatenate(sizes), np.array(labels), steps)
+    net.fit(x, sizes, labels, steps)
     return net
 
 

@@ -18,8 +18,12 @@ The insult lexicon is learned: whole words and word beginnings (of ``STEM``
 letters and more) that mark toxic training documents, with a count of distinct
 left neighbours as support, so that copies of one document count once. It and
 the weights are fitted on a bounded sample (``FIT_ROWS`` labelled documents of
-each class, the smallest by a hash of the id, ``FIT_CHARS`` characters of each);
-scoring reads all texts whole.
+each class, the smallest by a hash of the id; equal rows are one document).
+Fitting and scoring read the texts whole; tasks reduce the sample to counts of
+words and matches before anything is collected.
+
+A word contracted with "not" (don't, aren't) is one word, a negation; other
+apostrophes part words (he's, l'idiot).
 
 Defined results: a null or empty text has no match and gets the score of a text
 without evidence; labels with a null id or mark are not learned from; of several
@@ -38,15 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import slices
+from tagloom.llm.common import slices, staged
 
 FIT_ROWS = 2500
-FIT_CHARS = 50_000
 SCOPE = 3
 STEM = 4
 LONGEST_STEM = 9
 LIMIT = 0.3
 CACHE = 300_000
+PAIRS = 500_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -60,7 +64,8 @@ behauptet dit disait écrit prétend dijo dice escribió afirma""".split()
 THREATS = """kill hurt destroy murder beat punch stab shoot attack töten schlagen umbringen tuer frapper
 détruire matar golpear destruir""".split()
 
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n]")
+TOKEN = re.compile(r"[^\W\d_]+(?:(?<=n)['’]t(?![^\W\d_]))?|[.!?;:,\n]")
+CONTRACTED = ("n't", "n’t")
 PUNCTUATION = frozenset(".!?;:,\n")
 
 #: the kinds of match that the grammar outputs
@@ -152,7 +157,7 @@ class Lexicon(dict):
 
     def __missing__(self, word: str) -> int:
         found = word in self.words or any(word[:i] in self.stems for i in range(STEM, min(len(word), LONGEST_STEM) + 1))
-        kind = INSULT if found else self.closed.get(word, OTHER)
+        kind = NEGATION if word.endswith(CONTRACTED) else INSULT if found else self.closed.get(word, OTHER)
         if len(self) >= CACHE:
             self.clear()
         self[word] = kind
@@ -201,37 +206,65 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(self.features(evidence) @ self.weights, -30, 30)))
 
 
-def learn_lexicon(toxic: list[str], clean: list[str], prior: float) -> Lexicon:
-    """Words and beginnings whose documents are toxic with probability 0.8 or
-    more at the base rate ``prior``, with enough distinct left neighbours."""
+def _marks(batches):
+    """Rows (pattern, before, n_toxic, n_clean) to be summed: documents by
+    pattern (``before`` null), and left neighbours in toxic documents."""
     def patterns(word: str):
         yield word + "$"
         for i in range(STEM, min(len(word), LONGEST_STEM) + 1):
             yield word[:i]
 
-    left, n_toxic, n_clean = defaultdict(set), defaultdict(int), defaultdict(int)
-    for texts, count in ((toxic, n_toxic), (clean, n_clean)):
-        for text in texts:
-            words = [w for w in TOKEN.findall(text.lower()) if w not in PUNCTUATION]
-            here = set()
-            for before, word in zip([""] + words, words):
-                if len(word) < STEM:
+    count, left = (defaultdict(int), defaultdict(int)), set()
+
+    def flush():
+        keys = sorted(count[0].keys() | count[1].keys())
+        pairs = sorted(left)
+        zeros = [0] * len(pairs)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(keys + [p for p, _ in pairs], pa.string()),
+            pa.array([None] * len(keys) + [w for _, w in pairs], pa.string()),
+            pa.array([count[1].get(k, 0) for k in keys] + zeros, pa.int64()),
+            pa.array([count[0].get(k, 0) for k in keys] + zeros, pa.int64())],
+            names=["pattern", "before", "n_toxic", "n_clean"])
+        for c in (*count, left):
+            c.clear()
+
+    for b in slices(batches, "text"):
+        for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist()):
+            here, before = set(), ""
+            for m in TOKEN.finditer((text or "").lower()):
+                word = m.group()
+                if word in PUNCTUATION:
                     continue
-                for p in patterns(word):
-                    here.add(p)
-                    if count is n_toxic:
-                        left[p].add(before)
+                if len(word) >= STEM and not word.endswith(CONTRACTED):
+                    found = [*patterns(word)]
+                    here.update(found)
+                    if toxic:
+                        left.update((p, before) for p in found)
+                        if len(left) > PAIRS:
+                            yield from flush()
+                before = word
             for p in here:
-                count[p] += 1
-    least = max(3, 0.004 * len(toxic))
-    good = {}
-    for p, n in n_toxic.items():
-        if n < least or len(left[p]) < least:
-            continue
-        t, c = n / len(toxic) * prior, (n_clean.get(p, 0) + 0.25) / len(clean) * (1 - prior)
-        if t / (t + c) >= 0.8:
-            good[p] = n
-    stems = sorted((p for p in good if not p.endswith("$")), key=len)
+                count[1 if toxic else 0][p] += 1
+            if len(count[0]) + len(count[1]) > PAIRS:
+                yield from flush()
+    yield from flush()
+
+
+def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, prior: float) -> Lexicon:
+    """Words and beginnings whose documents are toxic with probability 0.8 or
+    more at the base rate ``prior``, with enough distinct left neighbours.
+    ``sample`` has ``n_toxic`` and ``n_clean`` rows of the classes."""
+    least = max(3, 0.004 * n_toxic)
+    t = F.col("t") / n_toxic * prior
+    c = (F.col("c") + 0.25) / n_clean * (1 - prior)
+    found = sample.select("toxic", "text") \
+        .mapInArrow(_marks, "pattern string, before string, n_toxic long, n_clean long") \
+        .groupBy("pattern", "before").agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c")) \
+        .groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("before").alias("n_left")) \
+        .filter((F.col("t") >= least) & (F.col("n_left") >= least) & (t / (t + c) >= 0.8))
+    good = {r["pattern"] for r in found.select("pattern").collect()}
+    stems = sorted((p for p in good if not p.endswith("$")), key=lambda p: (len(p), p))
     kept: set[str] = set()
     for p in stems:
         if not any(p[:i] in kept for i in range(STEM, len(p))):
@@ -240,17 +273,29 @@ def learn_lexicon(toxic: list[str], clean: list[str], prior: float) -> Lexicon:
     return Lexicon([w for w in words if not any(w[:i] in kept for i in range(STEM, len(w) + 1))], sorted(kept))
 
 
-def fit(sample: list[tuple[str, int]], n_toxic: int, n_clean: int) -> Grammar | None:
-    """Grammar from (text, toxic) rows; the class sizes are those of all
-    labelled training rows."""
-    toxic, clean = [t for t, y in sample if y], [t for t, y in sample if not y]
-    if not toxic or not clean:
+def _evidence(grammar: Grammar):
+    def run(batches):
+        for b in slices(batches, "text"):
+            found = [grammar.evidence(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("key"), b.column("toxic"), pa.array(found, pa.list_(pa.float64()))],
+                names=["doc_id", "key", "toxic", "evidence"])
+    return run
+
+
+def fit(sample: DataFrame, n_toxic: int, n_clean: int) -> Grammar | None:
+    """Grammar from rows (doc_id, key, toxic, text); the class sizes are those
+    of all labelled training rows."""
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not n.get(True) or not n.get(False):
         return None
     prior = n_toxic / (n_toxic + n_clean)
-    grammar = Grammar(learn_lexicon(toxic, clean, prior))
-    x = grammar.features(np.array([grammar.evidence(t) for t in toxic + clean]))
-    y = np.repeat([1.0, 0.0], [len(toxic), len(clean)])
-    w = np.repeat([prior / len(toxic), (1 - prior) / len(clean)], [len(toxic), len(clean)])
+    grammar = Grammar(learn_lexicon(sample, n[True], n[False], prior))
+    rows = sample.mapInArrow(_evidence(grammar), "doc_id long, key long, toxic boolean, evidence array<double>") \
+        .orderBy("doc_id", "key").collect()
+    y = np.array([float(r["toxic"]) for r in rows])
+    x = grammar.features(np.array([r["evidence"] for r in rows]))
+    w = np.where(y == 1, prior / n[True], (1 - prior) / n[False])
     beta, ridge = np.zeros(x.shape[1]), 1e-4 * np.eye(x.shape[1])
     for _ in range(50):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -269,9 +314,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Gramm
     size = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     drawn = marks.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= fit_rows).select("doc_id", "toxic")
-    rows = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")) \
-        .join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "text").collect()  # 2 * fit_rows ids
-    return fit([(r["text"] or "", r["toxic"]) for r in rows], size.get(1, 0), size.get(0, 0))
+    # repeated ids: at most fit_rows distinct texts of a class, ranked without them
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    rank = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "key")
+    chosen = keyed.select("doc_id", "key").join(F.broadcast(drawn), "doc_id").distinct() \
+        .withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= fit_rows).drop("n")
+    sample = keyed.join(F.broadcast(chosen), ["doc_id", "key"]).groupBy("doc_id", "key", "toxic") \
+        .agg(F.first("text").alias("text")).withColumn("toxic", F.col("toxic") != 0)
+    return fit(staged(sample, "toxicity-sample"), size.get(1, 0), size.get(0, 0))
 
 
 def score(docs: DataFrame, grammar: Grammar | None) -> DataFrame:

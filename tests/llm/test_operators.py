@@ -283,6 +283,30 @@ def test_toxicity_learns(spark, docs, rows, empty):
     assert told[200] == told[201] < 0.3
 
 
+def test_toxicity_reads_contracted_negations():
+    g = toxicity.Grammar(toxicity.Lexicon(["idiot"], []))
+    kinds = lambda text: {toxicity.KINDS[i]: n for i, n in enumerate(g.evidence(text)[:-1]) if n}
+    for text in ("you aren't an idiot", "you aren’t an idiot", "you WASN'T an idiot"):
+        assert kinds(text) == {"negated insult": 1}
+    assert kinds("he's an idiot") == kinds("you're an idiot") == {"aimed insult": 1} and kinds("l'idiot") == {"insult": 1}
+
+
+def test_toxicity_learns_from_whole_texts_once(spark):
+    rows = [(i, "plain word text " * 4000 + f" name{'abcdefghij'[i // 2 % 10] * 3} " + ("vilecreature" if i % 2 else "friend")) for i in range(40)]
+    rows += [(1, "copied idea " * 3)] * 50  # an id of many equal rows is one document
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    g = toxicity.train(df, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert g.lexicon["vilecreature"] == toxicity.INSULT and g.lexicon["copied"] == toxicity.OTHER
+
+
+def test_language_id_draws_from_the_whole_text(spark):
+    key, text = 5, "a" * 70_000 + "b" * 700_000
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([1], pa.int32()), pa.array([key]), pa.array([text])],
+                                       names=["lang", "n", "key", "text"])
+    parts = next(language_id._draw([batch])).column("parts").to_pylist()[0]
+    assert len(parts) == language_id.FIT_SPANS and any(b"b" in p for p in parts)
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as E
 
