@@ -5,7 +5,8 @@ Per host (``source``) the number of distinct documents holding a line is
 counted; identical texts are one document here, since whole copies are the
 work of deduplication. A line found in more than ``max_docs`` documents of a
 host is removed there, except in the first document (smallest doc_id) that
-holds it, so that no line vanishes from the host. A document is rejected when
+holds it and in the copies of that document's text, so that no line vanishes
+from the host. A document is rejected when
 the base rules fail or when less than ``min_share`` of its words remain.
 
 Defined results: a null text has no words and fails the base rules; a null
