@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, lm_score, packing, quality_rules, simhash, toxicity
+from tagloom.llm import (bpe, chat_format, embedding_dedup, fill_middle, filter_audit, language_id, line_dedup, lm_score, mixing,
+                         packing, quality_rules, simhash, toxicity)
 from tagloom.llm.common import fold, table
 
 
@@ -76,6 +77,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mix(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(counts)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fill_middle.transform(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restore("output", "form"), 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_toxicity, op3_byte_bpe, op4_line_dedup, op5_embedding_dedup, op6_best_fit_packing,
-    op7_chat_format, op8_simhash, op9_lm_score, op10_language_id)}
+    op7_chat_format, op8_simhash, op9_lm_score, op10_language_id, op11_source_mix, op12_filter_audit, op13_fill_middle)}

@@ -168,3 +168,70 @@ def ppm(rows, held, order=5):
         return out - np.log10(256 - len(gone))
 
     return [sum(log(text[k - order:k], text[k]) for k in range(order, len(text))) for text in coded]
+
+
+def source_sizes_and_targets(rows):
+    """rows: (doc_id, text, source) -> {source: (size, target)}."""
+    size = defaultdict(int)
+    for _, text, source in rows:
+        size[source] += len(WORD.findall(text or ""))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, left, open_ = dict.fromkeys(order, 0.0), 1.5 * sum(size.values()), set(order)
+    while open_ and left > 1e-9:  # hand out by weight, take back what is above a limit, again
+        total = sum(weight[s] for s in open_)
+        share = {s: left * weight[s] / total for s in open_}
+        left = 0.0
+        for s in list(open_):
+            target[s] += share[s]
+            if target[s] >= 2 * size[s]:
+                left += target[s] - 2 * size[s]
+                target[s] = 2.0 * size[s]
+                open_.discard(s)
+    return {s: (size[s], target[s]) for s in order}
+
+
+def audit(rows, labels):
+    """rows: (doc_id, text, lang); labels: {doc_id: (good, toxic)} -> a row
+    per part, order and step, by applying the filters one after another."""
+    from itertools import permutations
+
+    first = {}
+    for i, t, _ in rows:
+        if i is not None:
+            first[t or ""] = min(i, first.get(t or "", i))
+
+    def fails(f, i, t):
+        words = WORD.findall(t)
+        return {"A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words),
+                "C": 100 * sum("A" <= c <= "Z" for c in t) > 3 * len(t), "D": any(c in "#$%&*|" for c in t),
+                "E": i is not None and i > first[t]}[f]
+
+    docs = [(p or "", {f: fails(f, i, t or "") for f in "ABCDE"}, *labels.get(i, (0, 0))) for i, t, p in rows]
+    out, removed_by = [], Counter()
+    for order in permutations("ABCDE"):
+        left = docs
+        for step, f in enumerate(order, 1):
+            gone = [d for d in left if d[1][f]]
+            left = [d for d in left if not d[1][f]]
+            for part in {d[0] for d in docs}:
+                n = lambda ds: sum(d[0] == part for d in ds)
+                removed_by[part, f] += n(gone)
+                out.append([part, "".join(order), step, n(left), n(gone), n([d for d in docs if d[1][f]]) - n(gone),
+                            n([d for d in docs if d[1][f] and sum(d[1].values()) == 1]),
+                            sum(d[2] for d in gone if d[0] == part), sum(d[3] for d in gone if d[0] == part)])
+    return [(*r, removed_by[r[0], r[1][r[2] - 1]]) for r in out]
+
+
+def fill_middle(doc_id, text):
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = sha(f"7:{'' if doc_id is None else doc_id}")
+    h = [int(digest[8 * i:8 * i + 8], 16) for i in range(4)]
+    lo, hi = sorted(x % (len(units) + 1) for x in h[:2])
+    pre, mid, suf = "".join(units[:lo]), "".join(units[lo:hi]), "".join(units[hi:])
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")):
+        return len(units), "plain", None, None, text
+    if h[3] % 100 < 50:
+        return len(units), "spm", len(pre), len(mid), f"<S>{suf}<P>{pre}<M>{mid}"
+    return len(units), "psm", len(pre), len(mid), f"<P>{pre}<S>{suf}<M>{mid}"

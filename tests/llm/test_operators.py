@@ -312,7 +312,7 @@ def test_every_query_is_registered():
 
     names = set(E.queries())
     assert set(QUERIES) <= names and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_lm_needs_in_parts(monkeypatch):
