@@ -966,6 +966,7 @@ def q_reading_ease(spark, sf):
 # -- clustering and topic models ------------------------------------------------
 
 from ..operators import cluster as CU  # noqa: E402
+from ..operators import lda as LDA  # noqa: E402
 from ..operators import models as MO  # noqa: E402
 
 
@@ -993,14 +994,23 @@ def q_kmeans(spark, sf):
     return CU.kmeans(_vectors(spark, sf), 10).select("doc_id", F.col("cluster").cast("bigint").alias("cluster"))
 
 
+def _lda(spark, sf, k=10):
+    return LDA.lda(terms.term_counts(_docs(spark, sf), "doc_id", "text"), k)
+
+
 @query("lda")
 def q_lda(spark, sf):
-    from ..functions.text import ENGLISH_STOP_WORDS, drop_words, tokens
-    d = _docs(spark, sf).select("doc_id", drop_words(tokens("text"), ENGLISH_STOP_WORDS).alias("tokens"))
-    t = MO.lda(d, 10)
+    t, _, _ = _lda(spark, sf)
     return t.select(F.col("topic").cast("bigint").alias("topic"), "rank", "term", r6("weight").alias("weight"))
 
 
+@query("lda_documents")
+def q_lda_documents(spark, sf):
+    """M6: the topic shares of every document."""
+    _, d, _ = _lda(spark, sf)
+    return d.select("doc_id", F.col("topic").cast("bigint").alias("topic"), r6("prob").alias("prob"))
+
+
 @query("nmf")
 def q_nmf(spark, sf):
     w = DD.vectors(_docs(spark, sf)).select("doc_id", "term", "weight")

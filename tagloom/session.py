@@ -70,3 +70,13 @@ def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def dropped(spark: SparkSession, tables: list[str] = (), paths: list[str] = ()) -> None:
+    """Drop catalogue tables and delete folders of ``scratch_table`` that
+    nothing reads any more."""
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
