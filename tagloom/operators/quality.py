@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tiles import matrix, scored
+
 EPSILON = 1e-12
 
 
@@ -173,27 +175,18 @@ def silhouette(points: DataFrame, **kw) -> DataFrame:
 def simplified_silhouette(points: DataFrame, centroids: DataFrame, key: str = "doc_id",
                           vec: str = "embedding", label: str = "label") -> DataFrame:
     """A7 centroid form: a = distance to own centroid, b = nearest other
-    centroid; O(n * topics). Centroids are a size-checked broadcast."""
-    from ..functions.vectors import collect_matrix
-    keys, mat = collect_matrix(centroids, label, "centroid")
-    spark = points.sparkSession
-    bc = spark.sparkContext.broadcast((np.array(keys), mat))
-
-    def score(it):
-        ks, m = bc.value
-        for pdf in it:
-            if pdf.empty:
-                yield pdf.assign(s=pd.Series(dtype="float64"))[[key, label, "s"]]
-                continue
-            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            d = np.sqrt(np.clip((x * x).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * x @ m.T, 0, None))
-            own = pdf[label].to_numpy()[:, None] == ks[None, :]
-            a = np.where(own, d, np.inf).min(1)
-            b = np.where(own, np.inf, d).min(1)
-            mx = np.maximum(a, b)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = np.where(np.isfinite(b) & (mx > 0), (b - a) / mx, 0.0)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), label: pdf[label].to_numpy(), "s": s})
-
-    p = points.filter(F.col(label) != -1).select(key, label, vec)
-    return p.mapInPandas(score, f"{key} long, {label} int, s double")
+    centroid; O(n * topics), at any number of centroids (operators/tiles.py)."""
+    def score(pdf, ks, m):
+        x = matrix(pdf[vec])
+        d = np.sqrt(np.clip((x * x).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * x @ m.T, 0, None))
+        own = pdf[label].to_numpy()[:, None] == ks[None, :]
+        return pd.DataFrame({key: pdf[key].to_numpy(), label: pdf[label].to_numpy(),
+                             "a": np.where(own, d, np.inf).min(1), "b": np.where(own, np.inf, d).min(1)})
+
+    got, tiled = scored(points.filter(F.col(label) != -1).select(key, F.col(label).cast("int").alias(label), vec), centroids, label, score,
+                        f"{key} long, {label} int, a double, b double")
+    if tiled:
+        got = got.groupBy(key, label).agg(F.min("a").alias("a"), F.min("b").alias("b"))
+    most, none = F.greatest("a", "b"), float("inf")
+    s = F.when((F.col("b") < none) & (most > 0), F.when(F.col("a") < none, (F.col("b") - F.col("a")) / most)).otherwise(0.0)
+    return got.select(key, label, s.alias("s"))

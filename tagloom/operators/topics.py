@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import reuse, top_k
-from ..functions.vectors import collect_matrix
+from .tiles import matrix, scored, unit
 
 
 def centroids(points: DataFrame, cls: str = "topic", vec: str = "embedding",
@@ -29,44 +29,32 @@ def centroids(points: DataFrame, cls: str = "topic", vec: str = "embedding",
                 .select(cls, F.transform("__c", lambda s: s["m"]).alias("centroid")))
 
 
-def _score_against(points: DataFrame, cents: DataFrame, cls: str, key: str, vec: str, fn, schema: str):
-    keys, mat = collect_matrix(cents, cls, "centroid")
-    mnorm = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-    bc = points.sparkSession.sparkContext.broadcast((np.array(keys), mnorm))
-
-    def run(it):
-        ks, m = bc.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            xn = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            yield fn(pdf[key].to_numpy(), xn @ m.T, ks)
-
-    return points.select(key, vec).mapInPandas(run, schema)
-
-
 def nearest(points: DataFrame, cents: DataFrame, cls: str = "topic", key: str = "doc_id",
             vec: str = "embedding") -> DataFrame:
     """(key, cls, cosine) of the most similar centroid (ties: smaller
-    class). Centroids are a size-checked broadcast; scoring is one numpy
-    product per Arrow batch."""
-    def fn(ids, sims, ks):
-        order = np.argsort(ks, kind="stable")
-        j = order[np.argmax(sims[:, order], axis=1)]
-        return pd.DataFrame({key: ids, cls: ks[j].astype(np.int32), "cosine": sims[np.arange(len(ids)), j]})
-    return _score_against(points, cents, cls, key, vec, fn, f"{key} long, {cls} int, cosine double")
+    class), at any number of centroids (operators/tiles.py)."""
+    def score(pdf, ks, m):
+        sims = unit(matrix(pdf[vec])) @ unit(m).T
+        j = np.argmax(sims, axis=1)
+        return pd.DataFrame({key: pdf[key].to_numpy(), cls: ks[j].astype(np.int32), "cosine": sims[np.arange(len(pdf)), j]})
+
+    got, tiled = scored(points.select(key, vec), cents, cls, score, f"{key} long, {cls} int, cosine double")
+    return top_k(got, [key], [F.col("cosine").desc(), F.col(cls).asc()], 1).drop("rank") if tiled else got
 
 
 def membership(points: DataFrame, cents: DataFrame, cls: str = "topic", key: str = "doc_id",
                vec: str = "embedding") -> DataFrame:
-    """M4: (key, cls, prob) = softmax of cosine to each centroid."""
-    def fn(ids, sims, ks):
-        e = np.exp(sims - sims.max(axis=1, keepdims=True))
-        p = e / e.sum(axis=1, keepdims=True)
-        return pd.DataFrame({key: np.repeat(ids, len(ks)), cls: np.tile(ks, len(ids)).astype(np.int32),
-                             "prob": p.reshape(-1)})
-    return _score_against(points, cents, cls, key, vec, fn, f"{key} long, {cls} int, prob double")
+    """M4: (key, cls, prob) = softmax of cosine to each centroid, at any number
+    of centroids. A cosine is 1 at most, so exp(cosine - 1) never overflows."""
+    def score(pdf, ks, m):
+        e = np.exp(unit(matrix(pdf[vec])) @ unit(m).T - 1)
+        return pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), len(ks)), cls: np.tile(ks, len(pdf)).astype(np.int32),
+                             "share": e.ravel(), "total": np.repeat(e.sum(axis=1), len(ks))})
+
+    got, tiled = scored(points.select(key, vec), cents, cls, score, f"{key} long, {cls} int, share double, total double")
+    # one point's row per centroid
+    total = F.sum("share").over(Window.partitionBy(key)) if tiled else F.col("total")
+    return got.select(key, cls, (F.col("share") / total).alias("prob"))
 
 
 def top_topics(probs: DataFrame, k: int = 2, cls: str = "topic", key: str = "doc_id",

@@ -7,12 +7,12 @@ results survive restarts (checkpoints hold the offsets and state).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.topics import nearest
+
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
     """A parquet file stream over ``<folder>/<name>.parquet`` files."""
@@ -31,27 +31,13 @@ def stream_counts(stream: DataFrame, ts: str = "ts", key: str = "topic", window:
                   .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n"))
 
 
-def stream_assign(stream: DataFrame, centroid_keys, centroid_matrix: np.ndarray, key: str = "doc_id",
-                  vec: str = "embedding", cls: str = "topic") -> DataFrame:
-    """Nearest frozen topic for each arriving vector (cosine). The
-    centroids are a small numpy matrix shipped once as a broadcast."""
-    m = centroid_matrix / np.maximum(np.linalg.norm(centroid_matrix, axis=1, keepdims=True), 1e-300)
-    bc = stream.sparkSession.sparkContext.broadcast((np.asarray(centroid_keys), m))
-
-    def run(it):
-        ks, mm = bc.value
-        order = np.argsort(ks, kind="stable")
-        for pdf in it:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = x @ mm.T
-            j = order[np.argmax(s[:, order], axis=1)]
-            yield pd.DataFrame({key: pdf[key].to_numpy(), cls: ks[j].astype(np.int32),
-                                "cosine": s[np.arange(len(pdf)), j]})
-
-    return stream.select(key, vec).mapInPandas(run, f"{key} long, {cls} int, cosine double")
+def stream_assign(cents: DataFrame, path: str, key: str = "doc_id", vec: str = "embedding", cls: str = "topic"):
+    """Nearest frozen topic of each arriving vector (cosine), at any number
+    of topics. Batch b is written to ``path``/b=<b>; a retried batch overwrites
+    its own folder. Returns the foreachBatch function."""
+    def assign(batch: DataFrame, batch_id: int) -> None:
+        nearest(batch, cents, cls, key, vec).write.mode("overwrite").parquet(f"{path}/b={batch_id}")
+    return assign
 
 
 def stream_dedupe(stream: DataFrame, text: str = "text", ts: str = "ts", delay: str = "3650 days") -> DataFrame:
