@@ -1265,3 +1265,42 @@ WITH RECURSIVE
 SELECT v.id AS doc_id, coalesce(g.comp, -1)::BIGINT AS cluster
 FROM v LEFT JOIN comp c ON c.id = v.id LEFT JOIN good g ON g.comp = c.comp
 """
+
+
+# -- outliers by token windows and by given probabilities ----------------------------
+
+WINDOWS = f"""
+  ts AS (SELECT doc_id, {tok('text')} AS t FROM documents),
+  st AS (SELECT doc_id, t, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 4 THEN [1] ELSE range(1, len(t) - 2) END) AS s FROM ts),
+  wc AS (SELECT doc_id, s, term, count(*) AS n FROM (SELECT doc_id, s, unnest(t[s:s + 3]) AS term FROM st) GROUP BY ALL),
+  widf AS (SELECT term, ln(aa.A / tf.f + 1) AS idf FROM tf CROSS JOIN aa),
+  wn AS (SELECT doc_id, s, sqrt(sum(n * n * idf * idf)) AS nn FROM wc JOIN widf USING (term) GROUP BY ALL),
+  wtn AS (SELECT topic, sqrt(sum(weight * weight)) AS tn FROM w WHERE topic <> -1 GROUP BY 1),
+  wsim AS (SELECT wc.doc_id, wc.s, w.topic, sum(wc.n * widf.idf * w.weight) / (any_value(wn.nn) * any_value(wtn.tn)) AS c
+           FROM wc JOIN widf USING (term) JOIN w ON w.term = wc.term AND w.topic <> -1
+           JOIN wn ON wn.doc_id = wc.doc_id AND wn.s = wc.s JOIN wtn ON wtn.topic = w.topic GROUP BY ALL),
+  wsum AS (SELECT doc_id, topic, sum(c) AS c FROM wsim WHERE round(c, 9) >= 0.1 GROUP BY 1, 2),
+  wprob AS (SELECT doc_id, topic, c / sum(c) OVER (PARTITION BY doc_id) AS prob FROM wsum)
+"""
+
+ORACLE["topic_distributions"] = f"""
+WITH {TOPIC_TERMS}, {WINDOWS}
+SELECT doc_id, CAST(topic AS BIGINT) AS topic, CAST(round(CAST(round(prob, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS prob FROM wprob
+"""
+
+ORACLE["reassign_outliers_distributions"] = f"""
+WITH {TOPIC_TERMS}, {WINDOWS},
+  best AS (SELECT doc_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(prob, 9) DESC, topic) AS rn
+                                      FROM wprob) WHERE rn = 1)
+SELECT a.doc_id, CAST(CASE WHEN a.topic = -1 THEN coalesce(b.topic, -1) ELSE a.topic END AS BIGINT) AS topic
+FROM assign a LEFT JOIN best b USING (doc_id)
+"""
+
+ORACLE["reassign_outliers_probabilities"] = f"""
+WITH {MEMB},
+  near AS (SELECT doc_id, topic, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, topic) AS rn FROM cos) WHERE rn = 1),
+  best AS (SELECT doc_id, topic, round(prob, 9) AS p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(prob, 9) DESC, topic) AS rn
+                                                           FROM memb WHERE topic <> -1) WHERE rn = 1)
+SELECT n.doc_id, CAST(CASE WHEN round(n.cosine, 9) >= 0.25 THEN n.topic WHEN b.p > 0.105 THEN b.topic ELSE -1 END AS BIGINT) AS topic
+FROM near n JOIN best b USING (doc_id)
+"""

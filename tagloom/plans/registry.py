@@ -967,6 +967,7 @@ def q_reading_ease(spark, sf):
 
 from ..operators import ann as ANN  # noqa: E402
 from ..operators import cluster as CU  # noqa: E402
+from ..operators import density as DN  # noqa: E402
 from ..operators import lda as LDA  # noqa: E402
 from ..operators import models as MO  # noqa: E402
 
@@ -991,6 +992,36 @@ def q_density_clusters(spark, sf):
     return c.select("doc_id", F.col("cluster").cast("bigint").alias("cluster"))
 
 
+@query("density_hierarchy")
+def q_density_hierarchy(spark, sf):
+    """M2 "eom": cluster and strength of every vector."""
+    t = DN.DensityTree(_vectors(spark, sf), min_samples=5, min_size=5)
+    return t.labels.select("doc_id", "cluster", r6("strength").alias("strength"))
+
+
+@query("density_membership")
+def q_density_membership(spark, sf):
+    """M5 "probabilities": outliers of the density hierarchy move to their most
+    probable cluster if the probability is above 0.01."""
+    t = DN.DensityTree(_vectors(spark, sf), min_samples=5, min_size=5)
+    probs = t.membership(outliers_only=True).select("doc_id", F.col("cluster").alias("topic"), F.col("prob").alias("score"))
+    out = TP.reassign_outliers(t.labels.select("doc_id", F.col("cluster").alias("topic")), probs, threshold=0.01)
+    return out.select("doc_id", "topic")
+
+
+@query("reassign_outliers_probabilities")
+def q_reassign_outliers_probabilities(spark, sf):
+    """M5 "probabilities" on a given table: vectors at a cosine below 0.25 from
+    their nearest topic are outliers; they move to the topic of the largest
+    membership if that is above 0.105."""
+    cents = _centroids(spark, sf)
+    near = TP.nearest(_vectors(spark, sf), cents, cls="label")
+    assign = near.select("doc_id", F.when(F.round("cosine", 9) < 0.25, -1).otherwise(F.col("label")).cast("int").alias("topic"))
+    probs = _membership(spark, sf).select("doc_id", "topic", F.round("prob", 9).alias("score"))
+    out = TP.reassign_outliers(assign, probs, threshold=0.105)
+    return out.select("doc_id", F.col("topic").cast("bigint").alias("topic"))
+
+
 @query("reduce_dims")
 def q_reduce_dims(spark, sf):
     r = CU.reduce_dims(_vectors(spark, sf), 5)
@@ -1249,3 +1280,60 @@ def q_corpus_round_trip(spark, sf):
     path = scratch_table(spark, "corpus_txt")
     SF.save_corpus(_docs(spark, sf), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+# -- outliers by token windows, topics as vectors -----------------------------------
+
+from ..operators import distributions as DI  # noqa: E402
+from ..operators import vector_topics as VT  # noqa: E402
+
+
+@query("topic_distributions")
+def q_topic_distributions(spark, sf):
+    """M5: the topic shares of every document, by windows of four tokens."""
+    d = DI.topic_distributions(_docs(spark, sf), _topic_weights(spark, sf))
+    return d.select("doc_id", F.col("topic").cast("bigint").alias("topic"), r6("prob").alias("prob"))
+
+
+@query("reassign_outliers_distributions")
+def q_reassign_outliers_distributions(spark, sf):
+    """M5 "distributions": outliers move to the topic of their largest share."""
+    assign = T.topic_assignments(spark, sf)
+    docs = _docs(spark, sf).join(assign.filter("topic = -1").select("doc_id"), "doc_id", "left_semi")
+    cand = DI.topic_distributions(docs, _topic_weights(spark, sf)).select("doc_id", "topic", F.round("prob", 9).alias("score"))
+    out = TP.reassign_outliers(assign, cand)
+    return out.select("doc_id", F.col("topic").cast("bigint").alias("topic"))
+
+
+@query("topic_hierarchy")
+def q_topic_hierarchy(spark, sf):
+    """The merge table of the topics by c-TF-IDF cosine."""
+    w = _topic_weights(spark, sf).filter("topic <> -1")
+    h = VT.agglomerate(TP.topic_similarity(w), w.select("topic"))
+    return h.select("step", "left", "right", r6("distance").alias("distance"), "size")
+
+
+def _split_topics(spark, sf):
+    """Vectors, twice as many topics as labels, and their centroids."""
+    v = _vectors(spark, sf).withColumn("topic", (F.col("label") * 2 + F.col("doc_id") % 2).cast("int"))
+    sizes = v.groupBy("topic").agg(F.count(F.lit(1)).alias("size"))
+    return v.select("doc_id", "embedding", "topic"), TP.centroids(v).join(sizes, "topic")
+
+
+@query("merge_close_topics")
+def q_merge_close_topics(spark, sf):
+    """M8: close topics merge; documents of merged topics are assigned anew;
+    topics are numbered by size."""
+    v, cents = _split_topics(spark, sf)
+    new, names = VT.merge_close(cents, 0.2)
+    own = VT.reassign_merged(v, v, new, names)
+    ranked = TP.rank_topics(TP.topic_sizes(own)).select("topic", F.col("new_topic").alias("rank"), F.col("count").alias("size"))
+    return own.join(ranked, "topic").select("doc_id", "topic", F.col("rank").cast("bigint").alias("rank"), "size")
+
+
+@query("reduce_by_vectors")
+def q_reduce_by_vectors(spark, sf):
+    """M8: topics reduced to five by their vectors."""
+    v, cents = _split_topics(spark, sf)
+    own, _ = VT.reduce_by_vectors(v, v, cents, 5)
+    return own.select("doc_id", "topic")

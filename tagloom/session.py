@@ -60,10 +60,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of executors, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and read it back. It
+    survives the loss of executors, is computed once, and its size is known
+    (a checkpointed plan would keep an estimate that grows in every round)."""
+    path = scratch_table(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables of a loop: ``keep`` writes one, ``drop`` deletes all of them
+    once the result is stored elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.append(scratch_table(self.spark, "round"))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        dropped(self.spark, paths=self.paths)
+        self.paths = []
 
 
 def scratch_table(spark: SparkSession, name: str) -> str:
