@@ -19,8 +19,8 @@ def doc_terms(df: DataFrame, key: str, text: str, stop_words=ENGLISH_STOP_WORDS,
     """(key, term) one row per occurrence, after stop words, then n-grams.
     ``tokenizer`` (text column -> array column) overrides ``pattern``."""
     toks = tokenizer(text) if tokenizer is not None else tokens(text, pattern)
-    arr = ngrams(drop_words(toks, stop_words), ngram_max)
-    return df.select(F.col(key), F.explode(arr).alias("term"))
+    words = df.select(F.col(key), drop_words(toks, stop_words).alias("__words"))  # worked out once a text, not once a pair
+    return words.select(F.col(key), F.explode(ngrams("__words", ngram_max)).alias("term"))
 
 
 def term_counts(df: DataFrame, key: str, text: str, stop_words=ENGLISH_STOP_WORDS,

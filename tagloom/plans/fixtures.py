@@ -3,7 +3,7 @@ from the driver tables (FIXTURES.md section 3).
 
 Tag payloads: for each topic (not -1) a JSON object with the topic's
 c-TF-IDF words as themes (ranks 1-7) and overarching themes (8-10), and for
-each of its representative documents a score per tag = min(1, n / 10) where
+each of its documents a score per tag = min(1, n / 10) where
 n counts the tag word in the document. A few hand-made dirty payloads are
 added (FIXTURES.md section 4).
 """
@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..operators import terms
-from ..operators import topics as TP
 from ..sources import tables as T
 
 # Hand-made dirty payloads (topic_id, raw JSON).
@@ -28,7 +28,8 @@ DIRTY_PAYLOADS = (
     (904, '{"topic": {"themes": ["alpha"], "overarching_themes": []}, "texts": {"3": {"alpha": 0.9}}}'),
 )
 
-REP_DOCS = 4
+#: documents of one payload row: ids that share this quotient
+PAYLOAD_DOCS = 100
 
 
 def topic_model(spark: SparkSession, sf: str):
@@ -43,35 +44,29 @@ def topic_model(spark: SparkSession, sf: str):
 
 
 def payload_texts(spark: SparkSession, sf: str, with_dirty: bool = True) -> DataFrame:
-    """(topic_id, raw) one JSON text per topic."""
-    docs, assign, doc_counts, weights, top = topic_model(spark, sf)
-    doc_vec = TP.doc_class_vectors(doc_counts, weights)
-    rep = TP.representative_docs(doc_vec, weights, assign, n=REP_DOCS).filter(F.col("topic") != -1) \
-            .select("topic", F.col("rank").alias("drank"), "doc_id")
-    tt = top.filter(F.col("topic") != -1).select("topic", "term", F.col("rank").alias("trank"))
-    sc = (rep.join(tt, "topic")
-             .join(doc_counts, ["doc_id", "term"], "left")
-             .withColumn("score", F.least(F.lit(1.0), F.coalesce(F.col("n"), F.lit(0)) / F.lit(10.0))))
+    """(topic_id, raw): JSON texts with the scores of all documents of a topic,
+    as many payloads a topic as its documents need (``PAYLOAD_DOCS`` ids in
+    each at most). A text is read once; the topic's words go to its documents."""
+    docs = T.labelled_documents(spark, sf).filter(F.col("topic") != -1)
+    top = terms.top_words(terms.ctfidf(terms.term_counts(T.labelled_documents(spark, sf), "topic", "text")), k=10)
+    words = (top.filter(F.col("topic") != -1).groupBy("topic")  # ten rows a topic
+                .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("w")))
     q = F.lit('"')
-    per_doc = (sc.groupBy("topic", "drank", "doc_id")
-                 .agg(F.array_sort(F.collect_list(F.struct("trank", F.concat(
-                      q, F.col("term"), q, F.lit(": "), F.format_string("%.1f", F.col("score"))).alias("e")))).alias("__e"))
-                 .select("topic", "drank",
-                         F.concat(q, F.col("doc_id").cast("string"), q, F.lit(": {"),
-                                  F.array_join(F.transform("__e", lambda s: s["e"]), ", "),
-                                  F.lit("}")).alias("dj")))
-    texts = (per_doc.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("drank", "dj"))).alias("__d"))
-                    .select("topic", F.array_join(F.transform("__d", lambda s: s["dj"]), ", ").alias("tx")))
-    lists = (tt.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("trank", "term"))).alias("__w"))
-               .select("topic",
-                       F.array_join(F.transform(F.filter("__w", lambda s: s["trank"] <= 7),
-                                                lambda s: F.concat(q, s["term"], q)), ", ").alias("th"),
-                       F.array_join(F.transform(F.filter("__w", lambda s: s["trank"] > 7),
-                                                lambda s: F.concat(q, s["term"], q)), ", ").alias("ov")))
-    raw = lists.join(texts, "topic").select(
-        F.col("topic").cast("int").alias("topic_id"),
-        F.concat(F.lit('{"topic": {"themes": ['), F.col("th"), F.lit('], "overarching_themes": ['), F.col("ov"),
-                 F.lit(']}, "texts": {'), F.col("tx"), F.lit("}}")).alias("raw"))
+
+    def score(s):
+        n = F.size(F.filter("tokens", lambda t: t == s["term"]))
+        return F.concat(q, s["term"], q, F.lit(": "), F.format_string("%.1f", F.least(F.lit(1.0), n / F.lit(10.0))))
+
+    per_doc = (docs.select("doc_id", "topic", tokens("text").alias("tokens")).join(words, "topic")
+                   .select("topic", "w", F.floor(F.col("doc_id") / PAYLOAD_DOCS).alias("part"), "doc_id",
+                           F.concat(q, F.col("doc_id").cast("string"), q, F.lit(": {"),
+                                    F.array_join(F.transform("w", score), ", "), F.lit("}")).alias("dj")))
+    listed = lambda keep: F.array_join(F.transform(F.filter("w", keep), lambda s: F.concat(q, s["term"], q)), ", ")
+    raw = (per_doc.groupBy("topic", "part", "w").agg(F.array_sort(F.collect_list(F.struct("doc_id", "dj"))).alias("d"))
+                  .select(F.col("topic").cast("int").alias("topic_id"),
+                          F.concat(F.lit('{"topic": {"themes": ['), listed(lambda s: s["rank"] <= 7),
+                                   F.lit('], "overarching_themes": ['), listed(lambda s: s["rank"] > 7), F.lit(']}, "texts": {'),
+                                   F.array_join(F.transform("d", lambda s: s["dj"]), ", "), F.lit("}}")).alias("raw")))
     if with_dirty:
         dirty = spark.createDataFrame(list(DIRTY_PAYLOADS), "topic_id int, raw string")
         raw = raw.unionByName(dirty)

@@ -59,7 +59,7 @@ def html_text_sql(h: str) -> str:
 CATALOGUE = """catalogue AS (
     SELECT doc_id AS dataset_id, source || '-' || CAST(doc_id AS VARCHAR) AS name,
            coalesce(text, '') AS description, lang, source,
-           string_split(coalesce(text, ''), ' ')[1:12] AS feature_names
+           string_split(coalesce(text, ''), ' ') AS feature_names
     FROM documents)"""
 
 SCRAPED = f"""scraped AS (
@@ -215,24 +215,28 @@ WITH {DOC_TOKENS},
 SELECT doc_id, count(*) AS n_tokens FROM doc_tokens WHERE term IN (SELECT term FROM top) GROUP BY 1
 """
 
+WORD_TOKENS = f"""word_tokens AS (
+    SELECT doc_id, term FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents)
+    WHERE term NOT IN ({STOP}))"""
+
 ORACLE["min_count"] = f"""
-WITH {DOC_TOKENS}
-SELECT term, count(*) AS n FROM doc_tokens GROUP BY 1 HAVING count(*) > 50
+WITH {WORD_TOKENS}
+SELECT term, count(*) AS n FROM word_tokens GROUP BY 1 HAVING count(*) > 50
 """
 
 ORACLE["remove_stopwords"] = f"""
-WITH {DOC_TOKENS}
-SELECT doc_id, count(*) AS n_tokens FROM doc_tokens GROUP BY 1
+WITH {WORD_TOKENS}
+SELECT doc_id, count(*) AS n_tokens FROM word_tokens GROUP BY 1
 """
 
+# topic words are words and pairs of words; the vocabulary has words only
 ORACLE["fill_oov"] = f"""
-WITH {TOPIC_TERMS}, {DOC_TOKENS},
-  vocab AS (SELECT term FROM doc_tokens GROUP BY 1 HAVING count(*) > 50),
-  firstw AS (
-    SELECT t AS term FROM (
-      SELECT doc_id, unnest(list_filter({ALPHA_TOKENS}, lambda x: x NOT IN ({STOP}))) AS t,
-             generate_subscripts(list_filter({ALPHA_TOKENS}, lambda x: x NOT IN ({STOP})), 1) AS i
-      FROM documents) ORDER BY doc_id, i LIMIT 1)
+WITH {TOPIC_TERMS.replace("occ AS (SELECT topic, unnest(" + tok('text') + ") AS term FROM assign)",
+    "occ AS (SELECT topic, unnest(list_concat(t, CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), "
+    "lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM (SELECT topic, list_filter(" + tok('text')
+    + f", lambda x: x NOT IN ({STOP})) AS t FROM assign))")},
+  vocab AS (SELECT DISTINCT unnest({tok('text')}) AS term FROM documents),
+  firstw AS (SELECT {tok('text')}[1] AS term FROM documents WHERE len({tok('text')}) > 0 ORDER BY doc_id LIMIT 1)
 SELECT CAST(r.topic AS BIGINT) AS topic, CAST(r.rank AS BIGINT) AS rank,
        CASE WHEN r.term IN (SELECT term FROM vocab) THEN r.term ELSE (SELECT term FROM firstw) END AS term
 FROM ranked r WHERE r.rank <= 10
@@ -546,14 +550,14 @@ REPDOCS = f"""
 """
 
 PAYLOAD = f"""
-  rep AS (SELECT topic, rank AS drank, doc_id FROM rep_all WHERE rank <= 4 AND topic <> -1),
+  rep AS (SELECT topic, doc_id // 100 AS part, doc_id FROM assign WHERE topic <> -1),
   tt AS (SELECT topic, term, rank AS trank FROM ranked WHERE rank <= 10 AND topic <> -1),
-  sc AS (SELECT r.topic, r.drank, r.doc_id, t.term, t.trank, least(1.0, coalesce(c.n, 0) / 10.0) AS score
+  sc AS (SELECT r.topic, r.part, r.doc_id, t.term, t.trank, least(1.0, coalesce(c.n, 0) / 10.0) AS score
          FROM rep r JOIN tt t ON t.topic = r.topic LEFT JOIN dcnt c ON c.doc_id = r.doc_id AND c.term = t.term),
-  dj AS (SELECT topic, drank, '"' || CAST(doc_id AS VARCHAR) || '": {{' ||
+  dj AS (SELECT topic, part, doc_id, '"' || CAST(doc_id AS VARCHAR) || '": {{' ||
                 string_agg('"' || term || '": ' || printf('%.1f', score), ', ' ORDER BY trank) || '}}' AS dj
-         FROM sc GROUP BY topic, drank, doc_id),
-  tx AS (SELECT topic, string_agg(dj, ', ' ORDER BY drank) AS tx FROM dj GROUP BY 1),
+         FROM sc GROUP BY topic, part, doc_id),
+  tx AS (SELECT topic, part, string_agg(dj, ', ' ORDER BY doc_id) AS tx FROM dj GROUP BY 1, 2),
   lists AS (SELECT topic,
                    coalesce(string_agg('"' || term || '"', ', ' ORDER BY trank) FILTER (WHERE trank <= 7), '') AS th,
                    coalesce(string_agg('"' || term || '"', ', ' ORDER BY trank) FILTER (WHERE trank > 7), '') AS ov
@@ -1111,7 +1115,7 @@ ORACLE["histogram_words"] = hist_sql(
     r"SELECT len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words FROM documents", "words")
 
 ORACLE["availability"] = r"""
-WITH c AS (SELECT 2 AS n_tags, len(string_split(coalesce(text, ''), ' ')[1:12]) AS n_features,
+WITH c AS (SELECT 2 AS n_tags, len(string_split(coalesce(text, ''), ' ')) AS n_features,
                   CAST(contains(coalesce(text, ''), 'http') AS INTEGER) AS has_url FROM documents)
 SELECT 'n_tags' AS measure, CAST(n_tags AS BIGINT) AS value, count(*) AS count FROM c GROUP BY 1, 2
 UNION ALL SELECT 'n_features', CAST(n_features AS BIGINT), count(*) FROM c GROUP BY 1, 2

@@ -221,31 +221,33 @@ def q_limit_vocabulary(spark, sf):
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
+def _word_tokens(spark, sf, stop=True):
+    from ..functions.text import ENGLISH_STOP_WORDS
+    return terms.doc_terms(_docs(spark, sf), "doc_id", "text", ENGLISH_STOP_WORDS if stop else ())
+
+
 @query("min_count")
 def q_min_count(spark, sf):
-    t = CL.min_count(_doc_tokens(spark, sf), 50)
+    t = CL.min_count(_word_tokens(spark, sf), 50)
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("remove_stopwords")
 def q_remove_stopwords(spark, sf):
     from ..functions.text import ENGLISH_STOP_WORDS
-    raw = _doc_tokens(spark, sf, stop=False)
     sw = spark.createDataFrame([(w,) for w in ENGLISH_STOP_WORDS], "term string")
-    return CL.remove_stopwords(raw, sw).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    return CL.remove_stopwords(_word_tokens(spark, sf, stop=False), sw).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
 @query("fill_oov")
 def q_fill_oov(spark, sf):
-    from ..functions.text import ENGLISH_STOP_WORDS
-    top = terms.top_words(_topic_weights(spark, sf), k=10)
-    vocab = CL.min_count(_doc_tokens(spark, sf), 50).select("term").distinct()
-    d = T.table(spark, sf, "documents").select("doc_id", "text")
-    from ..functions.text import alpha_tokens, drop_words
-    first = (d.select("doc_id", F.posexplode(drop_words(alpha_tokens("text"), ENGLISH_STOP_WORDS))
-                       .alias("pos", "term"))
-              .transform(CL.first_token).first()[0])
-    out = CL.fill_oov(top, vocab, first)
+    """topic words and pairs of words against the words of the corpus."""
+    from ..functions.text import tokens
+    counts = terms.class_counts(_docs(spark, sf), T.topic_assignments(spark, sf), ngram_max=2)
+    top = terms.top_words(terms.ctfidf(counts), k=10)
+    words = _docs(spark, sf).select("doc_id", F.posexplode(tokens("text")).alias("pos", "term"))
+    first = words.transform(CL.first_token).first()[0]
+    out = CL.fill_oov(top, words.select("term"), first)
     return out.select(F.col("topic").cast("bigint").alias("topic"), "rank", "term")
 
 

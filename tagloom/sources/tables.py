@@ -37,11 +37,11 @@ def load_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 on the driver tables: dataset catalogue rows (schema D1).
 
     dataset_id=doc_id, description=text (null -> ''), name=source-doc_id,
-    tag=[lang, source], features = first 12 space-separated words as
+    tag=[lang, source], features = all space-separated words as
     (idx, name) structs in order.
     """
     d = table(spark, sf_dir, "documents")
-    words = F.slice(F.split(F.coalesce(F.col("text"), F.lit("")), " "), 1, 12)
+    words = F.split(F.coalesce(F.col("text"), F.lit("")), " ")
     return d.select(
         F.col("doc_id").alias("dataset_id"),
         F.concat(F.col("source"), F.lit("-"), F.col("doc_id").cast("string")).alias("name"),
