@@ -11,8 +11,8 @@ packing all pieces at once: one in ``GROUP``, or for documents of 16 tokens and
 less one in as many sequences as ``MOST_PIECES`` of them fill.
 
 Tokens: the vocabulary file splits at white space, so each distinct word is
-encoded once (a cache of 2 * ``CACHE`` words) and a document's ids are those
-of its words in order.
+encoded once (about 2 * ``CACHE`` words are kept) and a document's ids are
+those of its words in order, gathered in numpy.
 
 Defined results: a null or empty text is the single id 0; repeated rows are
 packed each; ties in length go by row; an empty table gives an empty result;
@@ -28,75 +28,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import Recent, slices, staged, words_of
+from tagloom.llm.common import slices, staged, words_of
 
 CAPACITY = 2048
 GROUP = 2048
 MOST_PIECES = 1 << 18
 CACHE = 300_000
+SLICE = 16 << 20
 
-_tokenizers: dict = {}
+_loaded: dict = {}
 
 
 def _parts(word: str) -> tuple[str, ...]:
     """What is encoded for a word: a plain Latin word is lower-cased, and a
     full stop or comma at its end set apart, as the vocabulary file does."""
     core = word[:-1] if word[-1] in ".," else word
-    if core.isalpha() and max(core) < "\u017f" and "\u0130" not in core:
+    if core.isalpha() and (core.isascii() or max(core) < "\u017f" and "\u0130" not in core):
         return (core.lower(),) if core is word else (core.lower(), word[-1])
     return (word,)
 
 
-def word_ids(path: str):
-    """A function from a list of words to their ids as little-endian bytes."""
-    if path not in _tokenizers:
+class WordIds:
+    """Ids of words as little-endian bytes. Words are kept until there are more
+    than 2 * ``CACHE``; then only those of the last call stay."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # control strings in a text are ordinary text
-        _tokenizers[path] = (tok, Recent(CACHE))
-    tok, recent = _tokenizers[path]
-
-    def ids(words: list[str]) -> list[bytes]:
-        split = [_parts(w) for w in words]
-        known = {p: recent.get(p) for parts in split for p in parts}
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True  # control strings in a text are ordinary text
+        self.known: dict[str, bytes] = {}
+        told = ["Word,", "ÉTÉ.", "plain"]
+        # whether the file lower-cases and parts words as _parts does
+        self.parted = self._encoded(told) == [b"".join(self._encoded(list(_parts(w)))) for w in told]
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        out = list(map(self.known.get, words))
+        missing = [i for i, v in enumerate(out) if v is None]
+        split = [_parts(words[i]) if self.parted else (words[i],) for i in missing]
+        known = {p: self.known.get(p) for x in split for p in x}
         new = [p for p, v in known.items() if v is None]
         for lo in range(0, len(new), 20_000):
             part = new[lo:lo + 20_000]
-            for p, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = array("I", e.ids).tobytes()
-                recent.put(p, known[p])
-        return [known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]] for x in split]
-
-    return ids
+            known.update(zip(part, self._encoded(part)))
+        for i, x in zip(missing, split):
+            out[i] = known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]]
+        if len(self.known) > 2 * CACHE:
+            self.known = dict(zip(words, out))
+        self.known.update(known)
+        self.known.update((words[i], out[i]) for i in missing)
+        return out
+
+
+def word_ids(path: str) -> WordIds:
+    """One for each vocabulary file and Python worker."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    return _loaded[path]
+
+
+def document_ids(texts: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, each followed by id 0, and where each begins."""
+    words, row = words_of(texts, lower=False)
+    coded = words.dictionary_encode()
+    ids = encode(coded.dictionary.to_pylist())
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    code = np.asarray(coded.indices)
+    n = size[code]
+    at = np.repeat((np.cumsum(size) - size)[code] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    total = np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64) + 1
+    start = np.concatenate([[0], np.cumsum(total)])
+    out = np.zeros(start[-1], "<u4")
+    word = np.ones(start[-1], bool)
+    word[start[1:] - 1] = False  # the zero after each document
+    out[word] = flat[at]
+    return out, start
 
 
 def _pieces(path: str, capacity: int):
     def run(batches):
         encode = word_ids(path)
-        for b in slices(batches, "text"):
-            words, row = words_of(b.column("text"), lower=False)
-            coded = words.dictionary_encode()
-            ids = encode(coded.dictionary.to_pylist())
-            at = np.searchsorted(row, np.arange(b.num_rows + 1))
-            code = np.asarray(coded.indices).tolist()
-            doc, piece, start, length, out = [], [], [], [], []
-            for i in range(b.num_rows):
-                whole = b"".join([ids[c] for c in code[at[i]:at[i + 1]]]) + bytes(4)
-                for k, lo in enumerate(range(0, len(whole), 4 * capacity)):
-                    part = whole[lo:lo + 4 * capacity]
-                    doc.append(i)
-                    piece.append(k)
-                    start.append(lo // 4)
-                    length.append(len(part) // 4)
-                    out.append(part)
+        for b in slices(batches, "text", SLICE):
+            ids, begin = document_ids(b.column("text"), encode)
+            size = np.diff(begin)
+            n = -(-size // capacity)
+            doc = np.repeat(np.arange(b.num_rows), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            at = np.append(begin[doc] + start, begin[-1])
+            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * at), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()),
-                 pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(out, pa.binary())],
-                names=["doc_id", "piece", "start", "length", "ids"])
+                [b.column("doc_id").cast(pa.int64()).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start),
+                 pa.array(np.diff(at)), out.cast(pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
     return run
 
 
