@@ -48,6 +48,7 @@ HALF = 0.5
 BLOCK_BYTES = 16 << 20
 GROUP = 1 << 19
 CONTEXTS = 1024
+UNIT = float(1 << 35)
 PART_BYTES = 1 << 20
 RUN = 1 << 18
 
@@ -207,7 +208,7 @@ def _logs(pairs: np.ndarray):
             two = np.zeros((len(some), 256), np.int64)
             two[np.searchsorted(some, of[c:d]), symbol[c:d]] = count[c:d]
             value[a:b] = trie_logs(key[a:b], n[a:b], two, pairs)
-        return pd.DataFrame({"key": key, "value": value})
+        return pd.DataFrame({"key": key, "value": np.rint(value * -UNIT).astype(np.int64)})
     return run
 
 
@@ -219,6 +220,7 @@ def _scored(known_end: int):
         del order
         word = np.searchsorted(key, 0)
         (ids, codes), (counts, logs) = np.split(key, [word]), np.split(value, [word])
+        logs = logs / -UNIT
         schema = pa.schema({"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
                             "logs": pa.float64(), "score": pa.float64()})
         done = [schema.empty_table()]
@@ -283,8 +285,9 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
     below = per_gram.select(near.alias("near")).distinct().withColumn("two", two) \
         .join(low.withColumn("two", F.col("k").bitwiseAND(0xFFFF00)), "two") \
         .select("near", "k", "n", F.pmod(F.xxhash64("near"), F.lit(n_groups)).alias("part"))
-    trie = by_near.groupBy("part").cogroup(below.groupBy("part")).applyInPandas(_logs(pairs), "key long, value double")
-    model = per_word.select("key", F.col("n").cast("double").alias("value")).unionByName(trie)
+    trie = by_near.groupBy("part").cogroup(below.groupBy("part")).applyInPandas(_logs(pairs), "key long, value long")
+    # counts of words, and code lengths as multiples of 1 / UNIT: mostly 5 bytes, which the shuffle's compression sees
+    model = per_word.select("key", F.col("n").alias("value")).unionByName(trie)
     values = needs.select("block", "key").join(model, "key").select("block", "key", "value")
     got = dealt.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
         _scored(ends), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
