@@ -33,6 +33,18 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole(columns: list[str], name: str = "whole") -> Column:
+    """All given columns as one struct with names of its own, so that no name
+    of theirs can clash with one that an operator uses."""
+    return F.struct(F.lit(True).alias("any"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias(name)
+
+
+def parted(columns: list[str], name: str = "whole", instead: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of a ``whole`` struct again; ``instead`` has new values."""
+    new = instead or {}
+    return [new.get(c, F.col(name).getField(f"c{i}")).alias(c) for i, c in enumerate(columns)]
+
+
 def fold(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % n

@@ -14,7 +14,8 @@ empty keys are never dropped.
 
 Defined results: a null or empty text is one empty line; repeated rows count
 as documents of their own and get equal results; an empty table gives an
-empty result; further columns are kept by ``clean`` and ignored by ``apply``.
+empty result; further columns, whatever their names, are kept by ``clean`` and
+ignored by ``apply``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import slices, staged
+from tagloom.llm.common import parted, slices, staged, whole
 from tagloom.session import scratch_table
 
 MIN_DOCS = 10
@@ -145,23 +146,27 @@ def _cut(batches):
              pa.array(kept, pa.binary()).cast(pa.string())], names=["all", "n_lines", "n_dropped", "kept_text"])
 
 
-def apply(docs: DataFrame, columns: list[str], min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """One row per document: ``columns`` of it, n_lines, n_dropped, kept_text."""
+def _applied(docs: DataFrame, columns: list[str], min_docs: int, batches: int) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_table(spark, "line-keys")
     line_keys(docs, batches).write.partitionBy("batch").parquet(path)
     keys = spark.read.schema("row long, h long, batch int").parquet(path)
     drops = keys.join(common_keys(keys, min_docs, batches), "h").groupBy("row").agg(F.collect_set("h").alias("drop"))
-    rows = docs.select(F.struct(*columns).alias("all"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = docs.select(whole(columns, "all"), "text", F.xxhash64("doc_id", "text").alias("row"))
     got = rows.join(drops, "row", "left").select("all", "text", "drop")
     kind = got.schema["all"].dataType.simpleString()
-    out = got.mapInArrow(_cut, f"all {kind}, n_lines long, n_dropped long, kept_text string")
-    return out.select(*[F.col("all").getField(c).alias(c) for c in columns], "n_lines", "n_dropped", "kept_text")
+    return got.mapInArrow(_cut, f"all {kind}, n_lines long, n_dropped long, kept_text string")
+
+
+def apply(docs: DataFrame, columns: list[str], min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    """One row per document: ``columns`` of it, n_lines, n_dropped, kept_text."""
+    return _applied(docs, columns, min_docs, batches).select(*parted(columns, "all"), "n_lines", "n_dropped", "kept_text")
 
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with all their columns, their text without common lines.
     A document keeps its row even if no line is left."""
     other = [c for c in docs.columns if c != "text"]
-    got = apply(docs, other, min_docs)
-    return got.withColumn("text", F.col("kept_text")).select(*docs.columns)
+    got = _applied(docs, other, min_docs, BATCHES)
+    at = {c: x for c, x in zip(other, parted(other, "all"))} | {"text": F.col("kept_text").alias("text")}
+    return got.select(*[at[c] for c in docs.columns])

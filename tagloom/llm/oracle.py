@@ -18,10 +18,10 @@ lines AS (SELECT rid, doc_id, host, text, raw,
 full_lines AS (SELECT *, array_to_string(lw, ' ') AS line FROM lines WHERE len(lw) > 0),
 dup AS (SELECT rid, sum(c - 1) AS n_dup_lines
         FROM (SELECT rid, raw, count(*) AS c FROM full_lines GROUP BY ALL) GROUP BY rid),
-common AS (SELECT host, line, arg_min(text, doc_id) AS keeper FROM full_lines
-           GROUP BY host, line HAVING count(DISTINCT text) > 20),
+common AS (SELECT host, line, min(doc_id) AS first FROM full_lines
+           GROUP BY host, line HAVING count(DISTINCT (doc_id, text)) > 20),
 gone AS (SELECT rid, count(DISTINCT line) AS n_removed_lines, sum(len(lw)) AS n_removed_words
-         FROM full_lines JOIN common USING (host, line) WHERE text <> keeper GROUP BY rid)
+         FROM full_lines JOIN common USING (host, line) WHERE doc_id IS DISTINCT FROM first GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND n_words - n_removed_words >= n_words * 0.3 AS kept, n_removed_lines, n_removed_words
 FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed

@@ -1,18 +1,19 @@
 """Operator 1, quality rules: cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, words joined by one space) and hashed.
-Per host (``source``) the number of distinct documents holding a line is
-counted; identical texts are one document here, since whole copies are the
-work of deduplication. A line found in more than ``max_docs`` documents of a
-host is removed there, except in the first document (smallest doc_id) that
-holds it and in the copies of that document's text, so that no line vanishes
-from the host. A document is rejected when
-the base rules fail or when less than ``min_share`` of its words remain.
+Per host (``source``) the distinct documents (by doc_id and text) holding a
+line are counted, copies of a text like any others. A line found in more than
+``max_docs`` documents of a host is removed there from all of them but the
+first (smallest doc_id), so that no line vanishes from the host. A document is
+rejected when the base rules fail or when less than ``min_share`` of its words
+remain.
 
 Defined results: a null text has no words and fails the base rules; a null
-source is a host of its own; repeated rows get the same verdict each; ties
-for the first document go to the smaller text hash; an empty table gives an
-empty result; further columns are ignored (``decide``) or kept (``clean``).
+source is a host of its own; repeated rows are one document and get the same
+verdict each; rows of one doc_id with several texts are documents of their own,
+all first if the doc_id is; a null doc_id is first only among null ones; an
+empty table gives an empty result; further columns, whatever their names, are
+ignored (``decide``) or kept (``clean``).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import slices, staged, words_of
+from tagloom.llm.common import parted, slices, staged, whole, words_of
 
 #: fixed values: the symbols that the base rules count
 SYMBOLS = b"#*$%&|<>"
@@ -35,7 +36,7 @@ WINDOW = 5
 MAX_DOCS = 20
 MIN_SHARE = 0.3
 
-_FACTS = ("doc_id long, host string, content long, n_words long, word_chars long, n_symbols long, "
+_FACTS = ("doc_id long, host string, doc long, n_words long, word_chars long, n_symbols long, "
           "n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<long>")
 
 
@@ -93,48 +94,45 @@ def _facts(batches):
             hashes.append(list(lines))
             counts.append(list(lines.values()))
         yield pa.RecordBatch.from_arrays([
-            b.column("doc_id").cast(pa.int64()), b.column("host").cast(pa.string()), b.column("content"),
+            b.column("doc_id").cast(pa.int64()), b.column("host").cast(pa.string()), b.column("doc"),
             pa.array(np.bincount(row, minlength=n)),
             pa.array(np.bincount(row, weights=chars, minlength=n).astype(np.int64)),
             pa.array(symbols, pa.int64()), pa.array(dups, pa.int64()),
             pa.array(_repeated(codes, row, n)),
             pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64())),
-        ], names=["doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        ], names=["doc_id", "host", "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                   "n_repeat_words", "line_hash", "line_words"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
-                       F.xxhash64("text").alias("content"))
+def _host(source: str = "source"):
+    return F.coalesce(F.col(source).cast("string"), F.lit(""))
 
 
 def facts(docs: DataFrame) -> DataFrame:
     """One row per document: the base counts and its distinct line hashes."""
-    return staged(_keyed(docs).mapInArrow(_facts, _FACTS), "quality-facts")
+    keyed = docs.select("doc_id", "text", _host().alias("host"), F.xxhash64("doc_id", "text").alias("doc"))
+    return staged(keyed.mapInArrow(_facts, _FACTS), "quality-facts")
 
 
 def removed_lines(known: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, content, line, words): the lines that each content loses."""
-    once = known.groupBy("host", "content").agg(
-        F.min("doc_id").alias("first_doc"), F.first("line_hash").alias("line_hash"),
-        F.first("line_words").alias("line_words"))
-    lines = once.select("host", "content", "first_doc", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")) \
-        .select("host", "content", "first_doc", F.col("l.line_hash").alias("line"),
-                F.col("l.line_words").alias("words"))
-    common = lines.groupBy("host", "line").agg(
-        F.count("*").alias("n_docs"), F.min(F.struct("first_doc", "content")).alias("keeper")) \
-        .filter(F.col("n_docs") > max_docs).select("host", "line", F.col("keeper.content").alias("keeper"))
-    return lines.join(common, ["host", "line"]).filter("content <> keeper").select("host", "content", "line", "words")
+    """(host, doc, line, words): the lines that each document loses."""
+    once = known.groupBy("host", "doc").agg(
+        F.min("doc_id").alias("id"), F.first("line_hash").alias("line_hash"), F.first("line_words").alias("line_words"))
+    lines = once.select("host", "doc", "id", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")) \
+        .select("host", "doc", "id", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
+    common = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("id").alias("first")) \
+        .filter(F.col("n_docs") > max_docs).select("host", "line", "first")
+    return lines.join(common, ["host", "line"]).filter(~F.col("id").eqNullSafe(F.col("first"))).select("host", "doc", "line", "words")
 
 
 def decide(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per document: base counts, base_failed, kept and what the line
     limit removed (n_removed_lines, n_removed_words, removed: line hashes)."""
     known = facts(docs)
-    gone = removed_lines(known, max_docs).groupBy("host", "content").agg(
+    gone = removed_lines(known, max_docs).groupBy("host", "doc").agg(
         F.count("*").alias("n_removed_lines"), F.sum("words").alias("n_removed_words"),
         F.collect_list("line").alias("removed"))
-    out = known.drop("line_hash", "line_words").join(gone, ["host", "content"], "left") \
+    out = known.drop("line_hash", "line_words").join(gone, ["host", "doc"], "left") \
         .fillna(0, ["n_removed_lines", "n_removed_words"])
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     left = F.col("n_words") - F.col("n_removed_words") >= F.col("n_words") * min_share
@@ -157,10 +155,7 @@ def _without(text, removed):
 def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """The documents that are kept, with all their columns, their text
     without the removed lines."""
-    verdict = decide(docs, max_docs, min_share).groupBy(
-        F.col("host").alias("_host"), F.col("content").alias("_content")).agg(
-        F.first("kept").alias("_kept"), F.first("removed").alias("_removed"))
-    keyed = docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")),
-                              "_content": F.xxhash64("text")})
-    got = keyed.join(verdict.filter("_kept"), ["_host", "_content"])
-    return got.withColumn("text", _without("text", "_removed")).select(*docs.columns)
+    verdict = decide(docs, max_docs, min_share).filter("kept").groupBy("host", "doc").agg(F.first("removed").alias("removed"))
+    rows = docs.select(whole(docs.columns), F.col("text").alias("t"), _host().alias("host"), F.xxhash64("doc_id", "text").alias("doc"))
+    got = rows.join(verdict, ["host", "doc"]).select("whole", _without("t", "removed").alias("t"))
+    return got.select(*parted(docs.columns, instead={"text": F.col("t")}))

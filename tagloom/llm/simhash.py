@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import components, slices, staged, words_of
+from tagloom.llm.common import components, parted, slices, staged, whole, words_of
 
 SHINGLE = 3
 RADIUS = 2
@@ -114,8 +114,7 @@ def group(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, one of each group: the smallest
     by (doc_id, content); of its repeated rows, one."""
-    best = group(docs).filter("first").select("doc_id", "content").distinct() \
-        .select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    got = keyed.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_content")), "left_semi")
-    return got.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    best = group(docs).filter("first").select("doc_id", "content").distinct().toDF("id", "key")
+    rows = docs.select(whole(docs.columns), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
+    got = rows.join(best, F.col("d").eqNullSafe(F.col("id")) & (F.col("t") == F.col("key")), "left_semi")
+    return got.dropDuplicates(["d", "t"]).select(*parted(docs.columns))

@@ -39,18 +39,18 @@ def base_rules(text):
 
 def quality(rows, max_docs, min_share):
     """rows: (doc_id, text, source) -> list of (base..., kept, removed words)."""
-    holders = defaultdict(lambda: defaultdict(list))
+    holders = defaultdict(set)
     for doc_id, text, source in rows:
         for line in set(norm_lines(text)):
-            holders[source or "", line][text].append(doc_id)
-    common = {}
-    for key, texts in holders.items():
-        if len(texts) > max_docs:
-            common[key] = min(texts, key=lambda t: min(texts[t]))
+            holders[source or "", line].add((doc_id, text))
+    first = {}
+    for key, docs in holders.items():
+        if len(docs) > max_docs:
+            first[key] = min((i for i, _ in docs if i is not None), default=None)
     out = []
-    for _, text, source in rows:
+    for doc_id, text, source in rows:
         b = base_rules(text)
-        gone = sum(len(x.split(" ")) for x in norm_lines(text) if common.get((source or "", x), text) != text)
+        gone = sum(len(x.split(" ")) for x in norm_lines(text) if first.get((source or "", x), doc_id) != doc_id)
         out.append((*b, not b[-1] and b[0] - gone >= b[0] * min_share, gone))
     return out
 
