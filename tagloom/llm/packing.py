@@ -33,8 +33,8 @@ from tagloom.llm.common import slices, staged, words_of
 CAPACITY = 2048
 GROUP = 2048
 MOST_PIECES = 1 << 18
-CACHE = 300_000
-SLICE = 16 << 20
+CACHE = 250_000
+SLICE = 8 << 20
 
 _loaded: dict = {}
 
@@ -49,8 +49,8 @@ def _parts(word: str) -> tuple[str, ...]:
 
 
 class WordIds:
-    """Ids of words as little-endian bytes. Words are kept until there are more
-    than 2 * ``CACHE``; then only those of the last call stay."""
+    """Ids of words as little-endian bytes; at most 2 * ``CACHE`` words and
+    parts of words are kept."""
 
     def __init__(self, path: str):
         import os
@@ -79,10 +79,11 @@ class WordIds:
             known.update(zip(part, self._encoded(part)))
         for i, x in zip(missing, split):
             out[i] = known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]]
-        if len(self.known) > 2 * CACHE:
-            self.known = dict(zip(words, out))
-        self.known.update(known)
-        self.known.update((words[i], out[i]) for i in missing)
+        if len(self.known) + len(known) + len(missing) > 2 * CACHE:
+            self.known = {}
+        if len(known) + len(missing) <= 2 * CACHE:
+            self.known.update(known)
+            self.known.update((words[i], out[i]) for i in missing)
         return out
 
 
@@ -128,6 +129,8 @@ def _pieces(path: str, capacity: int):
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start),
                  pa.array(np.diff(at)), out.cast(pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+            del ids, out
+            pa.default_memory_pool().release_unused()
     return run
 
 
