@@ -49,8 +49,8 @@ def _parts(word: str) -> tuple[str, ...]:
 
 
 class WordIds:
-    """Ids of words as little-endian bytes; at most 2 * ``CACHE`` words and
-    parts of words are kept."""
+    """Ids of words as little-endian bytes. Words and their parts are kept
+    until there are more than 2 * ``CACHE``; then only those of the last call."""
 
     def __init__(self, path: str):
         import os
@@ -79,11 +79,10 @@ class WordIds:
             known.update(zip(part, self._encoded(part)))
         for i, x in zip(missing, split):
             out[i] = known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]]
-        if len(self.known) + len(known) + len(missing) > 2 * CACHE:
-            self.known = {}
-        if len(known) + len(missing) <= 2 * CACHE:
-            self.known.update(known)
-            self.known.update((words[i], out[i]) for i in missing)
+        if len(self.known) > 2 * CACHE:
+            self.known = dict(zip(words, out))
+        self.known.update(known)
+        self.known.update((words[i], out[i]) for i in missing)
         return out
 
 
