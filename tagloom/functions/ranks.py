@@ -2,9 +2,9 @@
 
 Values are first reduced to (group, value, count) with map-side partial
 aggregation, so a hot group with few distinct values is a few rows. Global
-positions come from value buckets cut at approximate quantiles: running
-counts within each (group, bucket) plus the totals of the group's earlier
-buckets. No step holds a whole group in one task.
+positions come from buckets by range of (group, value): running counts within
+each bucket plus the totals of the group's earlier buckets. No step holds a
+whole group in one task, and the number of buckets grows with the rows.
 """
 
 from __future__ import annotations
@@ -14,41 +14,42 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-MAX_BUCKETS = 256
+ROWS = 1 << 20  # rows of a bucket, about
 
 
-def _bucket_of(v, bounds, lo, hi):
-    """Number of bounds <= v, as a balanced CASE tree (log2 comparisons)."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(v >= F.lit(bounds[mid]), _bucket_of(v, bounds, mid + 1, hi)).otherwise(_bucket_of(v, bounds, lo, mid))
+def dealt(df: DataFrame, keys: Sequence[str], bucket: str, rows: int = ROWS) -> DataFrame:
+    """``df`` with its bucket by range of ``keys``: rows of equal keys share a
+    bucket, and buckets follow the order of the keys. There are as many as the
+    row count needs. The table is written, so that a task that runs again
+    reads the same buckets."""
+    df = cut_lineage(df)
+    n = -(-df.count() // rows)
+    if n <= 1:
+        return df.withColumn(bucket, F.lit(0))
+    return cut_lineage(df.repartitionByRange(n, *keys).withColumn(bucket, F.spark_partition_id()))
 
 
-def cumulative_counts(vc: DataFrame, group: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
+def cumulative_counts(vc: DataFrame, group: Sequence[str], value: str, rows: int = ROWS) -> DataFrame:
     """Add ``before`` = number of rows of the same group with a smaller value.
 
-    ``vc`` = (group..., value, cnt) with a numeric value. Values are cut into
-    buckets at approximate quantiles (a short list of numbers read to the
-    driver), so one group spans many buckets; running counts are taken
-    within (group, bucket) and offset by the totals of the group's earlier
-    buckets (a table of one row per group and bucket).
+    ``vc`` = (group..., value, cnt). Rows are dealt to buckets by range of
+    (group, value), so one group spans as many buckets as it needs; running
+    counts are taken within (group, bucket) and offset by the totals of the
+    group's earlier buckets (a table of one row per group and bucket).
     """
-    spark = vc.sparkSession
-    nb = buckets or min(MAX_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(vc.approxQuantile(value, [i / nb for i in range(1, nb)], 0.001))) if nb > 1 else []
-    bucket = _bucket_of(F.col(value).cast("double"), [float(b) for b in bounds], 0, len(bounds))
-    r = vc.withColumn("__b", bucket)
+    r = dealt(vc, [*group, value], "__b", rows)
     w_local = Window.partitionBy(*group, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("__local", F.coalesce(F.sum("cnt").over(w_local), F.lit(0)))
-    tot = vc.withColumn("__b", bucket).groupBy(*group, "__b").agg(F.sum("cnt").alias("__tot"))
+    tot = r.groupBy(*group, "__b").agg(F.sum("cnt").alias("__tot"))
     w_off = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.withColumn("__off", F.coalesce(F.sum("__tot").over(w_off), F.lit(0))).drop("__tot")
+    r = r.withColumn("__local", F.coalesce(F.sum("cnt").over(w_local), F.lit(0)))
     return (r.join(off, [*group, "__b"])
              .withColumn("before", F.col("__off") + F.col("__local"))
              .drop("__b", "__local", "__off"))

@@ -1176,6 +1176,17 @@ WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type FR
 SELECT window_start, event_type, n FROM c
 """
 
+ORACLE["stream_closed_windows"] = """
+WITH e AS (SELECT event_type, ts, time_bucket(INTERVAL 1 DAY, ts) AS window_start,
+                  (CAST(floor(epoch(ts) / 86400) AS BIGINT) + user_id % 10) // 8 AS arrival FROM events),
+  a AS (SELECT arrival, max(ts) AS m FROM e GROUP BY 1),
+  wm AS (SELECT arrival, max(m) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                         - INTERVAL 2 DAY AS mark FROM a),
+  j AS (SELECT e.*, coalesce(window_start + INTERVAL 1 DAY <= mark, false) AS is_late FROM e JOIN wm USING (arrival))
+SELECT window_start, event_type, count(*) FILTER (NOT is_late) AS n, count(*) FILTER (is_late) AS late
+FROM j GROUP BY 1, 2
+"""
+
 ORACLE["stream_assign"] = f"""
 WITH {CENT},
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, topic) AS rn FROM cos)

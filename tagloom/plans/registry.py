@@ -1119,6 +1119,28 @@ def q_stream_counts(spark, sf):
     return r.select(wall_utc(spark, F.col("window_start")).alias("window_start"), "event_type", "n")
 
 
+@query("stream_closed_windows")
+def q_stream_closed_windows(spark, sf):
+    """T1 in append mode over several arrivals: each lands and is counted by a
+    run that goes on from the last one's state; windows leave the state when
+    the watermark passes them, events of windows gone are late; a closing row
+    ends the last windows."""
+    from ..functions.time import wall_utc
+    path = scratch_table(spark, "stream_closed")
+    T.event_arrivals(spark, sf).write.partitionBy("arrival").parquet(path + "/arrivals")
+    arrived = spark.read.parquet(path + "/arrivals")
+    events = arrived.drop("arrival")
+    days = dict(ts="ts", window="1 day", delay="2 days")
+    # one short run an arrival, their number is that of the log's weeks
+    arrivals = [r[0] for r in arrived.select("arrival").distinct().orderBy("arrival").collect()]
+    for rows in [*[arrived.filter(F.col("arrival") == a).drop("arrival") for a in arrivals],
+                 SJ.closing_row(events, **days)]:
+        SJ.land(rows, path + "/in")
+        SJ.close_windows(spark, path + "/in", events.schema, path + "/out", path + "/_checkpoint", key="event_type", **days)
+    r = SJ.late_counts(events, spark.read.parquet(path + "/out"), "ts", "event_type", "1 day")
+    return r.select(wall_utc(spark, F.col("window_start")).alias("window_start"), "event_type", "n", "late")
+
+
 @query("stream_assign")
 def q_stream_assign(spark, sf):
     schema = T.table(spark, sf, "embeddings").schema

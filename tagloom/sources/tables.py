@@ -125,3 +125,13 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1) + F.floor(F.col("value")) % 5).cast("int").alias("rating"),
         F.col("event_id"),
     )
+
+
+def event_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as they arrive: users send their events of some days together,
+    up to nine days late; ``arrival`` numbers periods of eight days."""
+    from ..functions.time import instant
+    e = table(spark, sf_dir, "events")
+    e = e.withColumn("ts", instant(e, "ts"))
+    day = F.floor(F.unix_seconds("ts") / 86400)
+    return e.withColumn("arrival", F.floor((day + F.col("user_id") % 10) / 8))

@@ -31,6 +31,52 @@ def stream_counts(stream: DataFrame, ts: str = "ts", key: str = "topic", window:
                   .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n"))
 
 
+def land(rows: DataFrame, folder: str) -> None:
+    """Add the files of one arrival to the folder that a stream reads."""
+    rows.write.mode("append").parquet(folder)
+
+
+def close_windows(spark: SparkSession, folder: str, schema: T.StructType, out: str, checkpoint: str,
+                  ts: str = "ts", key: str = "topic", window: str = "1 day", delay: str = "1 hour") -> tuple[int, int]:
+    """T1 over what has landed in ``folder`` since the last run: windows that
+    the watermark has passed are appended to ``out`` and leave the state, rows
+    of such windows are dropped as late. Offsets and state are in
+    ``checkpoint``, so a run goes on where the last one ended. Returns the rows
+    of state left and the rows dropped (Spark counts these after its partial
+    aggregation; ``late_counts`` gives events)."""
+    stream = spark.readStream.schema(schema).parquet(folder)
+    q = (stream_counts(stream, ts, key, window, delay).writeStream.outputMode("append").format("parquet")
+         .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    states = [s for p in q.recentProgress for s in p.stateOperators]
+    return (states[-1].numRowsTotal if states else 0), sum(s.numRowsDroppedByWatermark for s in states)
+
+
+def closing_row(arrived: DataFrame, ts: str = "ts", window: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """One row, null but for a time so late that the watermark passes the end
+    of every window of ``arrived``. Its own window stays open. No row if no
+    row has a time."""
+    at = arrived.agg((F.max(ts) + F.expr(f"interval {window}") + F.expr(f"interval {delay}")).alias(ts)).dropna()
+    return at.select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in arrived.schema])
+
+
+def late_counts(arrived: DataFrame, closed: DataFrame, ts: str = "ts", key: str = "topic",
+                window: str = "1 day") -> DataFrame:
+    """(window_start, window_end, key, n, late): the counts of closed windows
+    beside the events that arrived for them too late to be counted, by
+    comparing what landed with what the stream emitted. A window that got only
+    late events has n = 0; events without a time belong to no window."""
+    landed = (arrived.filter(F.col(ts).isNotNull())
+                     .groupBy(F.window(ts, window).alias("w"), F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("all"))
+                     .select("w.start", "w.end", "k", "all"))
+    c = closed.select(F.col("window_start").alias("s"), F.col(key).alias("c"), "n")
+    j = landed.join(c, (F.col("start") == F.col("s")) & F.col("k").eqNullSafe(F.col("c")), "left")
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    return j.select(F.col("start").alias("window_start"), F.col("end").alias("window_end"), F.col("k").alias(key),
+                    n.alias("n"), (F.col("all") - n).alias("late"))
+
+
 def stream_assign(cents: DataFrame, path: str, key: str = "doc_id", vec: str = "embedding", cls: str = "topic"):
     """Nearest frozen topic of each arriving vector (cosine), at any number
     of topics. Batch b is written to ``path``/b=<b>; a retried batch overwrites

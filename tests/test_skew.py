@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tagloom.functions.ranks import medians, midranks
+from tagloom.functions.ranks import cumulative_counts, dealt, medians, midranks
 from tagloom.operators import terms
 
 
@@ -50,3 +50,26 @@ def test_ctfidf_top_words_hot_topic(spark):
         w = sorted(((n / tot[c]) * np.log(A / f[t] + 1), t) for t, n in words.items())
         best = sorted(w, key=lambda x: (-x[0], x[1]))[:2]
         assert [got[(c, 1)], got[(c, 2)]] == [b[1] for b in best]
+
+
+def test_buckets_of_one_hot_group_are_even_and_grow_with_rows(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit("hot").alias("g"), (F.xxhash64("id") / F.lit(1e6)).alias("v"), F.lit(1).alias("cnt"))
+    for rows in (5_000, 20_000):
+        sizes = sorted(r["count"] for r in dealt(df, ["g", "v"], "b", rows).groupBy("b").count().collect())
+        assert len(sizes) >= 0.8 * n / rows and sizes[-1] <= 2 * sizes[len(sizes) // 2], sizes
+
+
+def test_counts_before_a_value_over_many_buckets(spark):
+    rng = np.random.default_rng(3)
+    data = [("hot", float(v), int(c)) for v, c in enumerate(rng.integers(1, 5, 500))] + \
+           [("cold", None, 2), ("cold", 1.0, 1), ("cold", float("nan"), 3)]
+    vc = spark.createDataFrame(data, "g string, v double, cnt long")
+    got = {(r["g"], str(r["v"])): r["before"] for r in cumulative_counts(vc, ["g"], "v", rows=20).collect()}
+    run = 0
+    for _, v, c in data[:500]:
+        assert got["hot", str(v)] == run
+        run += c
+    assert [got["cold", x] for x in ("None", "1.0", "nan")] == [0, 2, 3]
+    empty = spark.createDataFrame([], "g string, v double, cnt long")
+    assert cumulative_counts(empty, ["g"], "v").count() == 0

@@ -51,3 +51,35 @@ def test_window_counts_equal_batch(spark, tmp_dir):
     b = (ev.withColumn("ts", instant(ev, "ts"))
            .groupBy(F.window("ts", "1 day").start.alias("w"), "event_type").count().collect())
     assert got == {(r["w"], r["event_type"]): r["count"] for r in b}
+
+
+def test_closed_windows_drop_late_events_and_their_state(spark, tmp_dir):
+    schema = "ts timestamp, topic string"
+    day = "2024-03-%02d 12:00:00"
+    arrivals = [[(1, "a"), (1, "a"), (2, "b")], [(3, "a"), (2, "b"), (9, "a")],
+                [(1, "a"), (1, "c"), (9, "a"), (10, "b")], [(10, None), (8, "a")]]
+    left, dropped, landed = [], 0, None
+    go = dict(ts="ts", window="1 day", delay="1 day")
+
+    def run(rows):
+        SJ.land(rows, f"{tmp_dir}/in")
+        n, d = SJ.close_windows(spark, f"{tmp_dir}/in", rows.schema, f"{tmp_dir}/out", f"{tmp_dir}/ck", key="topic", **go)
+        left.append(n)
+        return d
+    for batch in arrivals:
+        rows = spark.createDataFrame([(day % d, t) for d, t in batch], "ts string, topic string") \
+            .select(F.to_timestamp("ts").alias("ts"), "topic")
+        landed = rows if landed is None else landed.unionByName(rows)
+        dropped += run(rows)
+    dropped += run(SJ.closing_row(landed, **go))
+    got = {(r["window_start"].day, r["topic"]): (r["n"], r["late"]) for r in
+           SJ.late_counts(landed, spark.read.parquet(f"{tmp_dir}/out"), key="topic").collect()}
+    # the watermark is noon of the 8th after the second arrival and noon of the 9th after the third
+    assert got == {(1, "a"): (2, 1), (1, "c"): (0, 1), (2, "b"): (2, 0), (3, "a"): (1, 0), (8, "a"): (0, 1),
+                   (9, "a"): (2, 0), (10, "b"): (1, 0), (10, None): (1, 0)}
+    assert dropped == 3
+    assert left[1] < left[0] + 2 and left[-1] == 1, left  # only the closing row's window is kept
+
+
+def test_closing_row_of_nothing(spark):
+    assert SJ.closing_row(spark.createDataFrame([], "ts timestamp, topic string")).count() == 0
