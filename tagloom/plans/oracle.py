@@ -1319,3 +1319,32 @@ WITH {MEMB},
 SELECT n.doc_id, CAST(CASE WHEN round(n.cosine, 9) >= 0.25 THEN n.topic WHEN b.p > 0.105 THEN b.topic ELSE -1 END AS BIGINT) AS topic
 FROM near n JOIN best b USING (doc_id)
 """
+
+# -- hooks ------------------------------------------------------------------------
+
+HOOKED = f"""
+  top40 AS (SELECT topic, rank, term, weight FROM ranked WHERE rank <= 40),
+  seen AS (SELECT topic, term, count(DISTINCT doc_id) AS docs
+           FROM (SELECT doc_id, topic, unnest({tok('text')}) AS term FROM assign) GROUP BY 1, 2),
+  sizes AS (SELECT topic, count(*) AS size FROM assign GROUP BY 1),
+  spread AS (SELECT t.* FROM top40 t JOIN seen USING (topic, term) JOIN sizes USING (topic) WHERE docs >= size * 0.05::DOUBLE),
+  own AS (SELECT * FROM spread WHERE term NOT IN (SELECT term FROM spread GROUP BY 1 HAVING count(*) > 3)),
+  hooked AS (SELECT * FROM (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORDER BY rank) AS rank FROM own)
+             WHERE rank <= 10)
+"""
+
+ORACLE["hooked_words"] = f"""
+WITH {TOPIC_TERMS}, {HOOKED}
+SELECT CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank, term,
+       CAST(round(CAST(round(weight, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS weight FROM hooked
+"""
+
+ORACLE["hooked_scores"] = f"""
+WITH {TOPIC_TERMS}, {HOOKED}, {QUALITY.replace("FROM ranked WHERE rank <= 10 AND topic <> -1", "FROM hooked WHERE topic <> -1")
+                               .replace("len(t) AS L FROM ptoks", "len(t) AS L FROM ptoks WHERE len(t) > 0")},
+  {npmi_sql('document')},
+  v AS (SELECT 'npmi' AS metric, avg(npmi) AS value FROM per_topic
+        UNION ALL SELECT 'diversity', count(DISTINCT term) / count(*) FROM tw
+        UNION ALL SELECT 'coverage', (SELECT count(DISTINCT doc_id) FROM occw) / (SELECT count(*) FROM lens))
+SELECT metric, CAST(round(CAST(round(value, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS value FROM v
+"""

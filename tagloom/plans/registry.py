@@ -1361,3 +1361,30 @@ def q_reduce_by_vectors(spark, sf):
     v, cents = _split_topics(spark, sf)
     own, _ = VT.reduce_by_vectors(v, v, cents, 5)
     return own.select("doc_id", "topic")
+
+
+# -- hooks -------------------------------------------------------------------------
+
+from ..operators import hooks as HK  # noqa: E402
+
+
+def _hooked(spark, sf):
+    return HK.evaluate(
+        _docs(spark, sf), lambda docs: T.topic_assignments(spark, sf),
+        [HK.spread_words(0.05), HK.own_words(3), HK.first_words(10)],
+        {"diversity": HK.diversity, "npmi": HK.coherence, "coverage": HK.coverage}, k=40)
+
+
+@query("hooked_words")
+def q_hooked_words(spark, sf):
+    """2.12: a model, a UDTF tokenizer and a chain of three representations."""
+    words, _ = _hooked(spark, sf)
+    return words.select(F.col("topic").cast("bigint").alias("topic"), F.col("rank").cast("bigint").alias("rank"), "term",
+                        r6("weight").alias("weight"))
+
+
+@query("hooked_scores")
+def q_hooked_scores(spark, sf):
+    """2.12: three metrics of the hooked topics."""
+    _, scores = _hooked(spark, sf)
+    return scores.select("metric", r6("value").alias("value"))
