@@ -32,6 +32,7 @@ from tagloom.llm.common import components, parted, slices, staged, whole, words_
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
+RUN = 1 << 16  # shingles hashed at a time
 
 
 def _prints(texts: pa.Array) -> np.ndarray:
@@ -44,6 +45,7 @@ def _prints(texts: pa.Array) -> np.ndarray:
         joined = pc.binary_join_element_wise(
             *[words.slice(j, len(words) - SHINGLE + 1) for j in range(SHINGLE)], pa.scalar(" ", words.type)).take(pa.array(whole))
         parts.append(joined)
+        del joined
         rows.append(row[whole])
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
     if len(short):
@@ -54,8 +56,10 @@ def _prints(texts: pa.Array) -> np.ndarray:
     if not parts:
         return out
     digest = xxhash.xxh64_intdigest
-    hashes = np.concatenate([np.fromiter((digest(s, SEED) for s in p.cast(pa.large_binary()).to_pylist()),
-                                         np.uint64, len(p)) for p in parts])
+    # few shingles at a time are Python objects
+    hashes = np.concatenate([np.fromiter((digest(s, SEED) for s in p.slice(lo, RUN).cast(pa.large_binary()).to_pylist()),
+                                         np.uint64, min(RUN, len(p) - lo)) for p in parts for lo in range(0, len(p), RUN)])
+    del parts
     rows = np.concatenate(rows)
     order = np.argsort(rows, kind="stable")
     hashes, rows = hashes[order], rows[order]
@@ -74,6 +78,7 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id").cast(pa.int64()), b.column("content"),
              pa.array(_prints(b.column("text")).view(np.int64))], names=["doc_id", "content", "fp"])
+        pa.default_memory_pool().release_unused()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
