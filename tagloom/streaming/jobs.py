@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.topics import nearest
+from ..session import dropped
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
@@ -94,9 +95,9 @@ def stream_dedupe(stream: DataFrame, text: str = "text", ts: str = "ts", delay:
                   .dropDuplicatesWithinWatermark(["text_hash"]))
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Batch ids of the state versions under ``path`` (Hadoop FS listing, so
-    it works on the shared storage of a cluster)."""
+def _versions(spark: SparkSession, path: str, prefix: str = "v") -> list[int]:
+    """Batch ids of the tables named ``prefix<id>`` under ``path`` (Hadoop FS
+    listing, so it works on the shared storage of a cluster)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -105,33 +106,48 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(
+        if name.startswith(prefix) and name[len(prefix):].isdigit() and fs.exists(
                 jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[1:]))
+            out.append(int(name[len(prefix):]))
     return sorted(out)
 
 
-def stream_centroids(stream: DataFrame, state_path: str, key: str = "label", vec: str = "embedding"):
-    """T4: running-mean centroids. Each micro-batch adds its per-(key, dim)
-    sums and counts to the newest state version written by an earlier batch
-    and writes version ``v<batch_id>``; a retried batch recomputes the same
-    version from the same input, so replays never count twice. Returns the
-    foreachBatch function."""
+def _state(spark: SparkSession, path: str, key: str, upto: int | None = None, before: int | None = None) -> DataFrame:
+    """(key, i, s, c): the newest base older than batch ``before`` and the
+    batches after it, up to ``upto``."""
+    bases = [b for b in _versions(spark, path, "base") if before is None or b < before]
+    base = bases[-1] if bases else -1
+    parts = [f"{path}/base{base}"] if bases else []
+    parts += [f"{path}/v{v}" for v in _versions(spark, path) if v > base and (upto is None or v <= upto)]
+    if not parts:
+        raise ValueError(f"no batch has been written under {path}")
+    return spark.read.parquet(*parts).groupBy(key, "i").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+
+
+def stream_centroids(stream: DataFrame, state_path: str, key: str = "label", vec: str = "embedding", every: int = 16):
+    """T4: running-mean centroids. Micro-batch b writes only its own sums and
+    counts per (key, dim), as ``v<b>``; every ``every``-th one also adds the
+    batches since the last base to it and writes ``base<b>``, so the whole
+    state is rewritten once in ``every`` batches. Then all that the base
+    before covers is deleted: two bases and the batches after the older one
+    stay. A retried batch writes the same tables from the same input, so
+    replays never count twice. Returns the foreachBatch function."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        part = (batch.select(F.col(key), F.posexplode(vec).alias("i", "x"))
-                     .groupBy(key, "i").agg(F.sum(F.col("x").cast("double")).alias("s"),
-                                            F.count(F.lit(1)).alias("c")))
-        earlier = [v for v in _versions(spark, state_path) if v < batch_id]
+        (batch.select(F.col(key), F.posexplode(vec).alias("i", "x"))
+              .groupBy(key, "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count(F.lit(1)).alias("c"))
+              .write.mode("overwrite").parquet(f"{state_path}/v{batch_id}"))
+        if (batch_id + 1) % every:
+            return
+        _state(spark, state_path, key, upto=batch_id, before=batch_id) \
+            .write.mode("overwrite").parquet(f"{state_path}/base{batch_id}")
+        earlier = [b for b in _versions(spark, state_path, "base") if b < batch_id]
         if earlier:
-            prev = spark.read.parquet(f"{state_path}/v{earlier[-1]}")
-            part = prev.unionByName(part).groupBy(key, "i").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-        part.write.mode("overwrite").parquet(f"{state_path}/v{batch_id}")
+            dropped(spark, paths=[f"{state_path}/base{b}" for b in earlier[:-1]]
+                    + [f"{state_path}/v{v}" for v in _versions(spark, state_path) if v <= earlier[-1]])
     return merge
 
 
 def read_centroids(spark: SparkSession, state_path: str, key: str = "label") -> DataFrame:
-    """Current running-mean centroids (newest state version) -> (key, i, mean)."""
-    latest = _versions(spark, state_path)[-1]
-    s = spark.read.parquet(f"{state_path}/v{latest}")
-    return s.select(key, "i", (F.col("s") / F.col("c")).alias("mean"))
+    """Current running-mean centroids -> (key, i, mean)."""
+    return _state(spark, state_path, key).select(key, "i", (F.col("s") / F.col("c")).alias("mean"))

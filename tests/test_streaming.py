@@ -36,6 +36,29 @@ def test_running_centroids_over_batches(spark, tmp_dir):
         assert abs(got[(r["label"], r["i"])] - r["m"]) < 1e-9
 
 
+def test_centroid_state_is_compacted_and_replays_count_once(spark, tmp_dir):
+    rows = [(b, label, [float(b + label), float(b * label)]) for b in range(9) for label in (0, 1, b % 5)]
+    df = spark.createDataFrame(rows, "b int, label int, embedding array<double>")
+    merge = SJ.stream_centroids(df, f"{tmp_dir}/state", every=2)
+    for b in [0, 1, 1, 2, 3, 4, 5, 5, 5, 6, 7, 8, 8]:  # a batch may run again after its tables were written
+        merge(df.filter(F.col("b") == b).drop("b"), b)
+        got = {(r["label"], r["i"]): r["mean"] for r in SJ.read_centroids(spark, f"{tmp_dir}/state").collect()}
+        want = {}
+        for _, label, vec in [r for r in rows if r[0] <= b]:
+            for i, x in enumerate(vec):
+                want.setdefault((label, i), []).append(x)
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - sum(v) / len(v)) < 1e-12 for k, v in want.items()), b
+    assert SJ._versions(spark, f"{tmp_dir}/state", "base") == [5, 7]
+    assert SJ._versions(spark, f"{tmp_dir}/state") == [6, 7, 8]
+
+
+def test_centroids_of_no_batch(spark, tmp_dir):
+    import pytest
+    with pytest.raises(ValueError):
+        SJ.read_centroids(spark, f"{tmp_dir}/none")
+
+
 def test_window_counts_equal_batch(spark, tmp_dir):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     _split(tmp_dir, "events", "event_id")
