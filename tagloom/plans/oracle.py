@@ -283,10 +283,17 @@ SELECT doc_id, rep FROM grp2
 """
 
 ORACLE["similar_pairs"] = f"""
-WITH {TFIDF}, {pairs_sql(0.9, "tw")}
+WITH {TFIDF}, {pairs_sql(0.9)}
 SELECT a, b, CAST(round(CAST(round(cosine, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS cosine FROM pairs
 """
 
+ORACLE["similar_documents"] = f"""
+WITH {TFIDF}, {pairs_sql(0.9, "tw")},
+  l AS (SELECT doc_id, count(*) AS n FROM (SELECT a AS doc_id FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY 1)
+SELECT d.doc_id, coalesce(g.rep, d.doc_id) AS rep, coalesce(l.n, 0) AS n_links
+FROM documents d LEFT JOIN grp2 g USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
 GREEDY = f"""
 WITH RECURSIVE {TFIDF}, {pairs_sql(0.99)},
   nodes AS (SELECT a AS node FROM pairs UNION SELECT b FROM pairs),
@@ -1263,6 +1270,26 @@ SELECT page_id AS dataset_id, url, {html_text_sql('html')} AS scraped_data FROM
 
 ORACLE["run_log_round_trip"] = ORACLE["flatten_runs"]
 
+ORACLE["text_by_id_round_trip"] = f"""
+SELECT page_id AS dataset_id, {html_text_sql('html')} AS prompt_description FROM pages
+"""
+
+ORACLE["run_files_round_trip"] = f"""
+WITH {RUNS}, f AS (SELECT *, run_id // 500 AS part FROM runs),
+  g AS (SELECT *, dense_rank() OVER (ORDER BY part) - 1 AS fi, row_number() OVER (PARTITION BY part ORDER BY run_id) - 1 AS pos FROM f)
+SELECT 'run-' || lpad(CAST(part AS VARCHAR), 12, '0') || '.json' AS file, fi AS file_index, pos, Dataset,
+       Model || '_' || CAST(fi AS VARCHAR) AS Model, CAST(nr_topics AS BIGINT) AS nr_topics,
+       CAST(round(CAST(round(npmi, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS npmi
+FROM g
+"""
+
+ORACLE["timings_round_trip"] = f"""
+WITH {RUNS}
+SELECT Model, CAST(nr_topics AS BIGINT) AS nr_topics, count(*) AS n,
+       CAST(round(CAST(round(avg(npmi), 9) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS seconds
+FROM runs GROUP BY 1, 2
+"""
+
 ORACLE["corpus_round_trip"] = "SELECT replace(text, chr(10), ' ') AS line FROM documents"
 
 ORACLE["density_clusters"] = """

@@ -282,8 +282,17 @@ def q_twin_groups(spark, sf):
 
 @query("similar_pairs")
 def q_similar_pairs(spark, sf):
-    pairs, groups = DD.representative_pairs(_docs(spark, sf), PAIRS_T)
-    return DD.expand_pairs(pairs, groups).select("a", "b", r6("cosine").alias("cosine"))
+    """Pairs between representatives; ``twin_groups`` is the membership."""
+    pairs, _ = DD.representative_pairs(_docs(spark, sf), PAIRS_T)
+    return pairs.select("a", "b", r6("cosine").alias("cosine"))
+
+
+@query("similar_documents")
+def q_similar_documents(spark, sf):
+    """One row per document with its class and its number of links."""
+    docs = _docs(spark, sf)
+    pairs, groups = DD.representative_pairs(docs, PAIRS_T)
+    return DD.similar_documents(docs, cut_lineage(pairs), groups)
 
 
 def _dedupe(spark, sf):
@@ -1298,6 +1307,40 @@ def q_run_log_round_trip(spark, sf):
     return f.select("run_id", "Model", F.col("nr_topics").cast("bigint").alias("nr_topics"))
 
 
+@query("text_by_id_round_trip")
+def q_text_by_id_round_trip(spark, sf):
+    """The text of every page in a file of its own, the id in its path."""
+    path = scratch_table(spark, "text_by_id")
+    pages = T.table(spark, sf, "pages").select(F.col("page_id").alias("dataset_id"),
+                                               CL.html_text("html").alias("prompt_description"))
+    SF.write_text_by_id(pages, path)
+    return SF.read_text_partitioned(spark, path)
+
+
+@query("run_files_round_trip")
+def q_run_files_round_trip(spark, sf):
+    """S9 + A24: run records in files of one array each, read back with the
+    file's index and the record's place, flattened."""
+    path = scratch_table(spark, "run_files")
+    recs = _run_records(spark, sf).join(_runs(spark, sf).select("run_id", "npmi", "diversity"), "run_id")
+    SF.write_runs(recs.select(
+        F.format_string("run-%012d.json", F.floor(F.col("run_id") / 500)).alias("file"), F.col("run_id").alias("pos"),
+        "Dataset", "Model", "Params", F.to_json(F.struct("npmi", "diversity")).alias("Scores")), path)
+    f = RU.flatten_runs(SF.read_runs(spark, path))
+    npmi = F.get_json_object("Scores", "$.npmi").cast("double")
+    return f.select("file", F.col("file_index").cast("bigint").alias("file_index"), F.col("pos").cast("bigint").alias("pos"),
+                    "Dataset", "Model", F.col("nr_topics").cast("bigint").alias("nr_topics"), r6(npmi).alias("npmi"))
+
+
+@query("timings_round_trip")
+def q_timings_round_trip(spark, sf):
+    """Timing CSVs of one model each, read back and averaged."""
+    path = scratch_table(spark, "timings")
+    SF.write_timings(_runs(spark, sf).select("Model", "nr_topics", F.col("npmi").alias("seconds")), path)
+    t = SF.read_timings(spark, path).groupBy("Model", F.col("nr_topics").cast("bigint").alias("nr_topics"))
+    return t.agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("seconds").cast("double"))).alias("seconds"))
+
+
 @query("corpus_round_trip")
 def q_corpus_round_trip(spark, sf):
     """One document per line (line breaks inside become spaces)."""

@@ -39,15 +39,20 @@ def read_text_by_id(spark: SparkSession, path_glob: str, id_col: str = "dataset_
 
 def write_text_by_id(df: DataFrame, path: str, id_col: str = "dataset_id",
                      text: str = "prompt_description") -> None:
-    """Write texts partitioned by id (one folder per id; Spark's layout)."""
+    """Write one file per text in a folder named by its id (Spark's layout).
+
+    Ids are unique; a null text is written as an empty one."""
     df.select(F.col(id_col), F.col(text).alias("value")).write.mode("overwrite") \
       .partitionBy(id_col).text(path)
 
 
 def read_text_partitioned(spark: SparkSession, path: str, id_col: str = "dataset_id",
                           text: str = "prompt_description") -> DataFrame:
+    """Read the files of ``write_text_by_id``: whole texts, without the line
+    break that ends each file."""
     df = spark.read.text(path, wholetext=True)
-    return df.select(F.col(id_col).cast("bigint").alias(id_col), F.col("value").alias(text))
+    return df.select(F.col(id_col).cast("bigint").alias(id_col),
+                     F.regexp_replace("value", r"\n\z", "").alias(text))
 
 
 # S5 ---------------------------------------------------------------------------
@@ -142,12 +147,26 @@ RUN_SCHEMA = T.ArrayType(T.StructType([
 ]))
 
 
+def write_runs(df: DataFrame, path: str, file: str = "file", order: str = "pos") -> None:
+    """One array of run records per value of ``file``, in the order of
+    ``order``, in a folder named ``file=<value>``. Values end in ``.json``; a
+    file's records form one row, so the caller bounds them. Fields of
+    ``RUN_SCHEMA`` that ``df`` lacks are left out."""
+    rec = F.struct(*[F.col(f"`{f.name}`") for f in RUN_SCHEMA.elementType if f.name in df.columns])
+    in_order = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.to_json(rec).alias("r"))))
+    arrays = df.groupBy(F.col(file).alias("file")).agg(in_order.alias("rs"))
+    arrays.select("file", F.concat(F.lit("["), F.array_join("rs.r", ","), F.lit("]")).alias("value")) \
+          .write.mode("overwrite").partitionBy("file").text(path)
+
+
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every *.json in the folder whose name lacks 'metadata'; each holds one
-    array of run records. file_index = dense rank of the file name."""
-    raw = (spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-                .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
-                .filter(~F.col("file").contains("metadata")))
+    """Every *.json in the folder whose name lacks 'metadata', or every folder
+    that ``write_runs`` wrote; each holds one array of run records.
+    file_index = dense rank of the file name."""
+    raw = spark.read.option("pathGlobFilter", "*.{json,txt}").text(folder, wholetext=True)
+    name = F.col("file").cast("string") if "file" in raw.columns else F.col("_metadata.file_name")
+    raw = (raw.select(name.alias("file"), F.col("value").alias("raw"))
+              .filter(F.col("file").endswith(".json") & ~F.col("file").contains("metadata")))
     runs = raw.select("file", F.posexplode(F.from_json("raw", RUN_SCHEMA)).alias("pos", "r"))
     # one row per file: the ordering window is bounded by the file count
     idx = raw.select("file").distinct().withColumn("file_index", F.row_number().over(Window.orderBy("file")) - 1)
@@ -163,9 +182,17 @@ def append_records(df: DataFrame, path: str) -> None:
 
 # S11 --------------------------------------------------------------------------
 
+def write_timings(df: DataFrame, path: str) -> None:
+    """Timing CSVs in one folder per ``Model``."""
+    df.write.mode("overwrite").partitionBy("Model").option("header", True).csv(path)
+
+
 def read_timings(spark: SparkSession, folder: str) -> DataFrame:
-    """All timing CSVs unioned; the model name is the file stem."""
+    """All timing CSVs unioned; the model name is the file stem, or that of the
+    folder that ``write_timings`` made."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(folder)
+    if "Model" in df.columns:
+        return df.withColumn("Model", F.col("Model").cast("string"))
     return df.withColumn("Model", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1))
 
 

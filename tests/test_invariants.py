@@ -97,6 +97,66 @@ def test_same_result_any_partitioning(spark):
     assert one == many
 
 
+def _reduced(counts, sizes, n):
+    """The rule of reduce_topics on dicts: {topic: {term: n}}, {topic: size} -> {old: new}."""
+    import math
+    counts, sizes, new = {t: dict(c) for t, c in counts.items()}, dict(sizes), {t: t for t in sizes}
+    while len(sizes) > n:
+        small = min(sizes, key=lambda t: (sizes[t], t))
+        f = {}
+        for c in counts.values():
+            for w, x in c.items():
+                f[w] = f.get(w, 0) + x
+        a = sum(f.values()) // max(len(counts), 1)
+        wt = {t: {w: x * math.log(a / f[w] + 1) for w, x in c.items()} for t, c in counts.items()}
+        sim = {t: sum(x * wt[small][w] for w, x in v.items() if w in wt[small]) / math.sqrt(sum(x * x for x in v.values()))
+               for t, v in wt.items() if t != small and small in wt and set(v) & set(wt[small])}
+        others = [t for t in sizes if t != small]
+        into = min(sim, key=lambda t: (-sim[t], t)) if sim else min(others, key=lambda t: (-sizes[t], t))
+        for w, x in counts.pop(small, {}).items():
+            counts.setdefault(into, {})[w] = counts.get(into, {}).get(w, 0) + x
+        sizes[into] += sizes.pop(small)
+        new = {o: into if t == small else t for o, t in new.items()}
+    return new
+
+
+def test_reduce_topics_equals_brute_force(spark, monkeypatch):
+    import random
+    monkeypatch.setattr(MO, "COMPACT", 3)
+    rnd = random.Random(5)
+    counts = {t: {f"w{rnd.randrange(30)}": rnd.randint(1, 9) for _ in range(rnd.randint(1, 8))} for t in range(12)}
+    counts[3] = {"alone": 4}   # shares no word with another
+    del counts[7]              # has documents and no word
+    sizes = {t: rnd.randint(1, 6) for t in range(12)}
+    sizes[3] = sizes[7] = 1
+    rows = [(t, w, x) for t, c in counts.items() for w, x in c.items()] + [(-1, "w1", 50)]
+    docs = [(100 * t + i, t) for t, s in [*sizes.items(), (-1, 3)] for i in range(s)]
+    mapping, new = MO.reduce_topics(spark.createDataFrame(rows, "topic int, term string, n long"),
+                                    spark.createDataFrame(docs, "doc_id long, topic int"), 3)
+    want = _reduced(counts, sizes, 3) | {-1: -1}
+    assert {r["old"]: r["new"] for r in mapping.collect()} == want
+    assert {r["doc_id"]: r["topic"] for r in new.collect()} == {d: want[t] for d, t in docs}
+
+
+def test_reduce_topics_keeps_one(spark):
+    """Topics of one size without a common word, and a target of none."""
+    counts = spark.createDataFrame([(0, "a", 1), (1, "b", 1), (2, "c", 1)], "topic int, term string, n long")
+    assign = spark.createDataFrame([(i, i) for i in range(3)], "doc_id long, topic int")
+    mapping, _ = MO.reduce_topics(counts, assign, 0)
+    assert len({r["new"] for r in mapping.collect()}) == 1
+    mapping, new = MO.reduce_topics(counts.limit(0), assign.limit(0), 2)
+    assert mapping.count() == 0 and new.count() == 0
+
+
+def test_similar_documents_counts_links(spark):
+    """Copies, a near copy, a text without terms, repeated ids of none."""
+    docs = spark.createDataFrame([(1, "red fox jumps"), (2, "jumps red fox"), (3, "red fox jumps"), (4, "red fox jumps high"),
+                                  (5, ""), (6, None), (7, "unrelated words")], "doc_id long, text string")
+    pairs, groups = DD.representative_pairs(docs, 0.5)
+    got = {r["doc_id"]: (r["rep"], r["n_links"]) for r in DD.similar_documents(docs, pairs, groups).collect()}
+    assert got == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (4, 3), 5: (5, 0), 6: (6, 0), 7: (7, 0)}
+
+
 def test_reduce_topics_reaches_target(spark):
     docs = T.table(spark, SF_SMALL, "documents").select("doc_id", "text")
     assign = T.topic_assignments(spark, SF_SMALL)

@@ -79,3 +79,18 @@ def test_route_by_domain(spark, tmp_dir):
     SF.write_by_site(r, f"{tmp_dir}/sites")
     back = spark.read.json(f"{tmp_dir}/sites").filter(F.col("site") == "uci")
     assert [x["dataset_id"] for x in back.collect()] == [1]
+
+
+def test_written_files_are_read_back(spark, tmp_dir):
+    texts = [(1, "two\nlines\n"), (2, ""), (30, "caf\u00e9 \r\n end"), (4, None)]
+    SF.write_text_by_id(spark.createDataFrame(texts, "dataset_id long, prompt_description string"), f"{tmp_dir}/texts")
+    back = {tuple(r) for r in SF.read_text_partitioned(spark, f"{tmp_dir}/texts").collect()}
+    assert back == {(i, t or "") for i, t in texts}
+    recs = [("b.json", 2, "d", "m2"), ("b.json", 1, "d", "m1"), ("a.json", 9, "e", None), ("metadata.json", 1, "d", "no")]
+    SF.write_runs(spark.createDataFrame(recs, "file string, pos int, Dataset string, Model string"), f"{tmp_dir}/runs")
+    runs = SF.read_runs(spark, f"{tmp_dir}/runs").select("file", "file_index", "pos", "Dataset", "Model").collect()
+    assert sorted(map(tuple, runs), key=str) == [("a.json", 0, 0, "e", None), ("b.json", 1, 0, "d", "m1"), ("b.json", 1, 1, "d", "m2")]
+    times = [("a b", 10, 1.5), ("7", 20, 2.5), ("7", 30, None)]
+    SF.write_timings(spark.createDataFrame(times, "Model string, nr_topics int, seconds double"), f"{tmp_dir}/times")
+    t = SF.read_timings(spark, f"{tmp_dir}/times").select("Model", "nr_topics", "seconds").collect()
+    assert {tuple(r) for r in t} == {("a b", "10", "1.5"), ("7", "20", "2.5"), ("7", "30", None)}
