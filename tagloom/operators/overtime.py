@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import top_k
+from ..functions.text import ENGLISH_STOP_WORDS, drop_words, tokens
 from ..functions.time import instant, wall_utc
 
 
@@ -54,21 +55,34 @@ def slice_sizes(df: DataFrame, ts: str, n: int = 10) -> DataFrame:
                         F.coalesce(F.col("size"), F.lit(0)).alias("size")))
 
 
+def bin_counts(docs: DataFrame, stop_words=ENGLISH_STOP_WORDS, cls: str = "topic", binc: str = "bin",
+               text: str = "text") -> DataFrame:
+    """(bin, topic, term, n) of documents with bin and topic: occurrences of
+    each term, and under the empty term the documents with a term. One pass
+    and one shuffle: rows are summed by bin and topic in each task first."""
+    toks = docs.select(binc, cls, drop_words(tokens(text), stop_words).alias("__t")).filter(F.size("__t") > 0)
+    return (toks.select(binc, cls, F.explode(F.concat("__t", F.array(F.lit("")))).alias("term"))
+                .groupBy(binc, cls, "term").agg(F.count(F.lit(1)).alias("n")))
+
+
 def topics_over_time(counts: DataFrame, idf: DataFrame, top: int = 5, cls: str = "topic",
                      binc: str = "bin") -> DataFrame:
     """Per (bin, topic): frequency and top words.
 
-    ``counts`` = (bin, topic, doc_id, term, n) occurrences; ``idf`` = (term,
-    idf) of the fitted topic model (bins are scored with the global idf).
-    The outlier topic is dropped.
+    ``counts`` = (bin, topic, doc_id, term, n) occurrences, or the table of
+    ``bin_counts``; ``idf`` = (term, idf) of the fitted topic model (bins are
+    scored with the global idf). The outlier topic is dropped.
     """
     c = counts.filter(F.col(cls) != -1)
-    freq = c.select(binc, cls, "doc_id").distinct().groupBy(binc, cls).agg(F.count(F.lit(1)).alias("frequency"))
     tc = c.groupBy(binc, cls, "term").agg(F.sum("n").alias("n"))
-    tot = tc.groupBy(binc, cls).agg(F.sum("n").alias("__tot"))
-    w = tc.join(tot, [binc, cls]).join(idf, "term").select(
+    if "doc_id" in c.columns:
+        docs = c.select(binc, cls, "doc_id").distinct().groupBy(binc, cls).agg(F.count(F.lit(1)).alias("n"))
+        tc = tc.unionByName(docs.withColumn("term", F.lit("")))
+    per = tc.groupBy(binc, cls).agg(F.sum(F.when(F.col("term") != "", F.col("n"))).alias("__tot"),
+                                    F.sum(F.when(F.col("term") == "", F.col("n"))).alias("frequency"))
+    w = tc.join(per, [binc, cls]).join(idf, "term").select(
         binc, cls, "term", (F.col("n") / F.col("__tot") * F.col("idf")).alias("weight"))
     words = top_k(w, [binc, cls], [F.col("weight").desc(), F.col("term").asc()], top)
     wl = (words.groupBy(binc, cls).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("__w"))
                .select(binc, cls, F.array_join(F.transform("__w", lambda s: s["term"]), ", ").alias("words")))
-    return freq.join(wl, [binc, cls], "left")
+    return per.select(binc, cls, "frequency").join(wl, [binc, cls], "left")

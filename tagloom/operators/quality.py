@@ -27,47 +27,50 @@ def npmi(topic_words: DataFrame, tokens: DataFrame, mode: str = "window", window
     """A5: per-topic NPMI -> (cls, npmi); mean over topics = coherence.
 
     ``tokens`` = (key, pos, term), positions 0.. in each document after
-    preprocessing. mode 'document': a unit is a document. mode 'window': a
+    preprocessing; with the column L of ``positions`` no lengths are joined. mode 'document': a unit is a document. mode 'window': a
     unit is each run of ``window`` consecutive tokens (a document not longer
     than the window is one unit). For word pairs (w1, w2) of one topic:
     npmi = ln((p12 + eps) / (p1 p2)) / -ln(p12 + eps), eps = 1e-12.
     Only topic words are expanded into units, so the work is bounded by the
-    topic words' occurrences, not by the corpus. ``lengths`` = (key, L) for
-    every document, also empty ones (each empty document is one unit); by
+    topic words' occurrences, not by the corpus: the words of one unit
+    become one sorted set (in a document one per topic, so that it stays
+    small), equal sets are counted before they cross the network, and words
+    and pairs are counted from them. ``lengths`` = (key, L)
+    for every document, also empty ones (each empty document is one unit); by
     default it is derived from ``tokens``.
     """
     from ..functions.frames import reuse
-    words = topic_words.select(F.col(term).alias("term")).distinct()
+    by = [cls] if mode == "document" else []
+    words = topic_words.select(*by, F.col(term).alias("term")).distinct()
     if lengths is None:
         tokens = reuse(tokens)  # read twice only when lengths come from it
         lengths = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("L"))
+    occ = tokens.join(words, "term")
     if mode == "document":
         n_units = lengths.agg(F.count(F.lit(1)).alias("N")).first()["N"]
-        units = tokens.join(words, "term", "left_semi").select(key, F.lit(0).alias("u"), "term").distinct()
+        units = occ.select(key, F.lit(0).alias("u"), *by, "term")
     elif mode == "window":
         n_units = lengths.agg(F.sum(F.when(F.col("L") > window, F.col("L") - window + 1)
                                      .otherwise(F.lit(1))).alias("N")).first()["N"]
-        occ = tokens.join(words, "term", "left_semi").join(lengths, key)
         lo = F.when(F.col("L") > window, F.greatest(F.lit(0), F.col(pos) - (window - 1))).otherwise(F.lit(0))
         hi = F.when(F.col("L") > window, F.least(F.col(pos), F.col("L") - window)).otherwise(F.lit(0))
-        units = occ.select(key, F.explode(F.sequence(lo, hi)).alias("u"), "term").distinct()
+        # dealt by document first: its windows are then formed where it lies
+        occ = occ if "L" in tokens.columns else occ.join(lengths, key)
+        units = (occ.repartition(key)
+                    .select(key, F.explode(F.sequence(lo, hi)).alias("u"), "term"))
     else:
         raise ValueError("mode is 'document' or 'window'")
-    units = reuse(units)
     n_units = float(n_units or 0)
-    word_counts = units.groupBy("term").agg(F.count(F.lit(1)).alias("c"))
-    ua = units.select(key, "u", F.col("term").alias("w1"))
-    ub = units.select(key, "u", F.col("term").alias("w2"))
-    pairs = _topic_pairs(topic_words, cls, term)
-    wanted = pairs.select("w1", "w2").distinct()
-    # co-occurrence only for pairs some topic needs; units hold <= window words
-    pair_counts = (ua.join(ub, [key, "u"]).filter(F.col("w1") < F.col("w2"))
-                     .join(wanted, ["w1", "w2"], "left_semi")
-                     .groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12")))
-    c1 = word_counts.select(F.col("term").alias("w1"), F.col("c").alias("c1"))
-    c2 = word_counts.select(F.col("term").alias("w2"), F.col("c").alias("c2"))
-    j = (pairs.join(c1, "w1", "left").join(c2, "w2", "left").join(pair_counts, ["w1", "w2"], "left")
-              .fillna(0, ["c1", "c2", "c12"]))
+    sets = reuse(units.groupBy(key, "u", *by).agg(F.array_sort(F.collect_set("term")).alias("ws"))
+                      .groupBy(*by, "ws").agg(F.count(F.lit(1)).alias("c")))
+    c1 = sets.select(*by, F.explode("ws").alias("w1"), "c").groupBy(*by, "w1").agg(F.sum("c").alias("c1"))
+    c2 = c1.select(*by, F.col("w1").alias("w2"), F.col("c1").alias("c2"))
+    later = F.transform("ws", lambda w, i: F.transform(F.slice("ws", i + 2, F.size("ws")),
+                                                       lambda v: F.struct(w.alias("w1"), v.alias("w2"))))
+    c12 = (sets.filter(F.size("ws") > 1).select(*by, F.explode(F.flatten(later)).alias("p"), "c")
+               .groupBy(*by, "p.w1", "p.w2").agg(F.sum("c").alias("c12")))
+    j = (_topic_pairs(topic_words, cls, term).join(c1, [*by, "w1"], "left").join(c2, [*by, "w2"], "left")
+         .join(c12, [*by, "w1", "w2"], "left").fillna(0, ["c1", "c2", "c12"]))
     p1 = F.col("c1") / F.lit(n_units)
     p2 = F.col("c2") / F.lit(n_units)
     p12 = F.col("c12") / F.lit(n_units)

@@ -82,10 +82,12 @@ def top_words(weights: DataFrame, cls: str = "topic", k: int = 10,
 
 
 def positions(df: DataFrame, key: str, text: str, stop_words=ENGLISH_STOP_WORDS,
-              pattern: str = TOKEN_PATTERN) -> DataFrame:
-    """(key, pos, term): token positions (from 0) after stop-word removal."""
-    arr = drop_words(tokens(text, pattern), stop_words)
-    return df.select(F.col(key), F.posexplode(arr).alias("pos", "term"))
+              pattern: str = TOKEN_PATTERN, length: bool = False) -> DataFrame:
+    """(key, pos, term): token positions (from 0) after stop-word removal;
+    with ``length`` also L, the number of the document's tokens."""
+    words = df.select(F.col(key), drop_words(tokens(text, pattern), stop_words).alias("__words"))
+    L = [F.size("__words").alias("L")] if length else []
+    return words.select(F.col(key), *L, F.posexplode("__words").alias("pos", "term"))
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:

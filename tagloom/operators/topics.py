@@ -117,6 +117,25 @@ def representative_docs(doc_vec: DataFrame, ctfidf_w: DataFrame, assign: DataFra
     return top_k(sims, [cls], [F.round("cosine", 12).desc(), F.col(key).asc()], n)
 
 
+def representative_members(doc_counts: DataFrame, ctfidf_w: DataFrame, assign: DataFrame, n: int = 4,
+                           cls: str = "topic", key: str = "doc_id") -> DataFrame:
+    """A13 for documents that the class table was counted from: the same rows
+    as ``representative_docs`` of their ``doc_class_vectors``.
+
+    A topic's table then holds every term of its documents, so one join on
+    (cls, term) brings both idf and class weight, and one aggregate gives dot
+    product and norm; a document's length cancels in the cosine.
+    """
+    counts = doc_counts.join(assign.select(key, cls), key)
+    tv = ctfidf_w.select(cls, "term", "idf", F.col("weight").alias("tw"))
+    x = F.col("n") * F.col("idf")
+    sims = (counts.join(tv, [cls, "term"]).groupBy(key, cls)
+                  .agg(F.sum(x * F.col("tw")).alias("dot"), F.sqrt(F.sum(x * x)).alias("dn")))
+    tn = tv.groupBy(cls).agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
+    sims = sims.join(tn, cls).select(key, cls, (F.col("dot") / (F.col("dn") * F.col("tn"))).alias("cosine"))
+    return top_k(sims, [cls], [F.round("cosine", 12).desc(), F.col(key).asc()], n)
+
+
 def reassign_outliers(assign: DataFrame, candidates: DataFrame, threshold: float = 0.0,
                       cls: str = "topic", key: str = "doc_id", score: str = "score") -> DataFrame:
     """M5: only outlier rows (-1) move, to their best candidate topic when its

@@ -323,7 +323,7 @@ def _topic_words(spark, sf, k=10):
 
 
 def _positions(spark, sf):
-    return terms.positions(_docs(spark, sf), "doc_id", "text")
+    return terms.positions(_docs(spark, sf), "doc_id", "text", length=True)
 
 
 def _lengths(spark, sf):
@@ -438,7 +438,8 @@ def _doc_vec(spark, sf):
 
 @query("representative_docs")
 def q_representative_docs(spark, sf):
-    r = TP.representative_docs(_doc_vec(spark, sf), _topic_weights(spark, sf), T.topic_assignments(spark, sf), n=4)
+    counts = terms.term_counts(_docs(spark, sf), "doc_id", "text")
+    r = TP.representative_members(counts, _topic_weights(spark, sf), T.topic_assignments(spark, sf), n=4)
     return r.select(F.col("topic").cast("bigint").alias("topic"), "rank", "doc_id", r6("cosine").alias("cosine"))
 
 
@@ -932,9 +933,7 @@ def q_topics_over_time(spark, sf):
     ev = T.table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts")
     timed = OT.equal_bins(docs.join(ev, "doc_id"), "ts", 10)
     assign = T.topic_assignments(spark, sf)
-    occ = terms.doc_terms(timed.select("doc_id", "text"), "doc_id", "text")
-    counts = (occ.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-                 .join(timed.select("doc_id", "bin"), "doc_id").join(assign, "doc_id"))
+    counts = OT.bin_counts(timed.select("doc_id", "bin", "text").join(assign, "doc_id"))
     idf = _topic_weights(spark, sf).select("term", "idf").distinct()
     t = OT.topics_over_time(counts, idf, top=5)
     return t.select(F.col("bin").cast("bigint").alias("bin"), F.col("topic").cast("bigint").alias("topic"),

@@ -97,6 +97,55 @@ def test_same_result_any_partitioning(spark):
     assert one == many
 
 
+def test_members_and_bins_equal_the_general_forms(spark):
+    """The one-join forms give the rows of the general ones, texts without terms and outliers included."""
+    from tagloom.operators import overtime as OT
+    from tagloom.operators import topics as TP
+    docs = T.table(spark, SF_SMALL, "documents").select("doc_id", "text") \
+        .unionByName(spark.createDataFrame([(-5, ""), (-6, None)], "doc_id long, text string"))
+    assign = docs.select("doc_id", (F.pmod("doc_id", F.lit(4)) - 1).cast("int").alias("topic"))
+    counts, w = terms.term_counts(docs, "doc_id", "text"), terms.ctfidf(terms.class_counts(docs, assign))
+    a = TP.representative_docs(TP.doc_class_vectors(counts, w), w, assign).collect()
+    b = TP.representative_members(counts, w, assign).collect()
+    assert {(r["topic"], r["rank"], r["doc_id"]) for r in a} == {(r["topic"], r["rank"], r["doc_id"]) for r in b}
+    timed = docs.join(assign, "doc_id").withColumn("bin", F.pmod("doc_id", F.lit(3)))
+    idf = w.select("term", "idf").distinct()
+    old = OT.topics_over_time(counts.join(timed.drop("text"), "doc_id"), idf).collect()
+    new = OT.topics_over_time(OT.bin_counts(timed), idf).collect()
+    key = ["bin", "topic", "frequency", "words"]
+    assert sorted(tuple(r[k] for k in key) for r in old) == sorted(tuple(r[k] for k in key) for r in new)
+    assert len(new) == 9
+
+
+def _npmi(texts, topics, window):
+    """NPMI by units as lists of sets; ``window`` None: a unit is a document."""
+    import math
+    units = [set(t[i:i + (window or len(t) + 1)]) for t in texts for i in range(max(len(t) - (window or len(t)), 0) + 1)]
+    p = lambda *ws: sum(all(w in u for w in ws) for u in units) / len(units)
+    out = {}
+    for t, words in topics.items():
+        v = [math.log((p(a, b) + 1e-12) / (p(a) * p(b))) / -math.log(p(a, b) + 1e-12) if p(a) and p(b) else 0.0
+             for a, b in itertools.combinations(words, 2)]
+        out[t] = sum(v) / len(v)
+    return out
+
+
+def test_npmi_equals_brute_force(spark):
+    import random
+    rnd = random.Random(3)
+    texts = [[rnd.choice(["ant", "bee", "cat", "dog", "elk", "fox"]) for _ in range(rnd.choice([0, 1, 4, 25]))] for _ in range(30)]
+    topics = {0: ["ant", "bee", "cat"], 1: ["cat", "dog", "absent"], 2: ["fox", "bee"]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    top = spark.createDataFrame([(t, w) for t, ws in topics.items() for w in ws], "topic int, term string")
+    lengths = spark.createDataFrame([(i, len(t)) for i, t in enumerate(texts)], "doc_id long, L int")
+    for mode, window in (("window", 4), ("document", None)):
+        for length in (True, False):
+            pos = terms.positions(docs, "doc_id", "text", stop_words=[], length=length)
+            got = {r["topic"]: r["npmi"] for r in QU.npmi(top, pos, mode, window or 10, lengths=lengths).collect()}
+            want = _npmi(texts, topics, window)
+            assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want), (mode, length, got, want)
+
+
 def _reduced(counts, sizes, n):
     """The rule of reduce_topics on dicts: {topic: {term: n}}, {topic: size} -> {old: new}."""
     import math
