@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .tiles import matrix, scored
 
 EPSILON = 1e-12
@@ -40,6 +41,9 @@ def npmi(topic_words: DataFrame, tokens: DataFrame, mode: str = "window", window
     default it is derived from ``tokens``.
     """
     from ..functions.frames import reuse
+    # worked out once; a written table's size is known, so that Spark sends it to
+    # the tokens only below its broadcast bound, and joins by term above it
+    topic_words = cut_lineage(topic_words.select(cls, term))
     by = [cls] if mode == "document" else []
     words = topic_words.select(*by, F.col(term).alias("term")).distinct()
     if lengths is None:
