@@ -16,9 +16,10 @@ from ..session import dropped
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
-    """A parquet file stream over ``<folder>/<name>.parquet`` files."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-                 .option("maxFilesPerTrigger", max_files).parquet(folder))
+    """A parquet file stream over ``<folder>/<name>*.parquet``: files, or
+    folders of files as Spark writes a table."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+                 .parquet(f"{folder.rstrip('/')}/{name}*.parquet"))
 
 
 def stream_counts(stream: DataFrame, ts: str = "ts", key: str = "topic", window: str = "1 day",

@@ -36,6 +36,20 @@ def test_running_centroids_over_batches(spark, tmp_dir):
         assert abs(got[(r["label"], r["i"])] - r["m"]) < 1e-9
 
 
+def test_file_stream_reads_files_and_tables_written_as_folders(spark, tmp_dir):
+    rows = spark.range(30).select(F.col("id"), (F.col("id") % 3).alias("x"))
+    rows.filter("id < 20").repartition(3).write.parquet(f"{tmp_dir}/in/points.parquet")
+    spark.range(5).write.parquet(f"{tmp_dir}/in/others.parquet")
+    import pyarrow.parquet as pq
+    pq.write_table(rows.filter("id >= 20").toArrow(), f"{tmp_dir}/in/points2.parquet")
+    for folder in (f"{tmp_dir}/in", f"{tmp_dir}/in/"):
+        out = f"{tmp_dir}/out{len(folder)}"
+        q = (SJ.file_stream(spark, folder, "points", rows.schema).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", out + "-ck").trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_centroid_state_is_compacted_and_replays_count_once(spark, tmp_dir):
     rows = [(b, label, [float(b + label), float(b * label)]) for b in range(9) for label in (0, 1, b % 5)]
     df = spark.createDataFrame(rows, "b int, label int, embedding array<double>")
