@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .tiles import matrix, scored
+from .tiles import BLOCK_ROWS, block_count, matrix, scored, sums_by_label
 
 EPSILON = 1e-12
 
@@ -118,25 +118,13 @@ def _tile_distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if left.empty or right.empty:
         return pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int32"),
                              "sum_d": pd.Series(dtype="float64"), "cnt": pd.Series(dtype="int64")})
-    xa = np.stack(left["vec"].to_numpy()).astype(np.float64)
-    xb = np.stack(right["vec"].to_numpy()).astype(np.float64)
-    # direct differences (no |a|^2+|b|^2-2ab cancellation), in row chunks
-    step = max(1, int(4_000_000 // max(1, xb.shape[0] * xb.shape[1])))
-    d = np.empty((xa.shape[0], xb.shape[0]))
-    for i in range(0, xa.shape[0], step):
-        diff = xa[i:i + step, None, :] - xb[None, :, :]
-        d[i:i + step] = np.sqrt((diff * diff).sum(-1))
-    labels = right["label"].to_numpy()
-    out = []
-    for lab in np.unique(labels):
-        m = labels == lab
-        out.append(pd.DataFrame({"id": left["id"].to_numpy(), "other": np.int32(lab),
-                                 "sum_d": d[:, m].sum(1), "cnt": np.int64(m.sum())}))
-    return pd.concat(out, ignore_index=True)
+    names, counts, sums = sums_by_label(matrix(left["vec"]), matrix(right["vec"]), right["label"].to_numpy())
+    return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), len(names)), "other": np.tile(names, len(left)).astype(np.int32),
+                         "sum_d": sums.ravel(), "cnt": np.tile(counts, len(left)).astype(np.int64)})
 
 
 def silhouette_samples(points: DataFrame, key: str = "doc_id", vec: str = "embedding",
-                       label: str = "label", block_rows: int = 2048) -> DataFrame:
+                       label: str = "label", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A7 exact: per-point silhouette with Euclidean distance, outliers (-1)
     excluded -> (key, label, s).
 
@@ -149,7 +137,7 @@ def silhouette_samples(points: DataFrame, key: str = "doc_id", vec: str = "embed
                                                    F.col(label).cast("int").alias("label"),
                                                    F.col(vec).alias("vec"))
     n = p.count()
-    blocks = max(1, math.ceil(n / block_rows))
+    blocks = block_count(n, block_rows)
     p = p.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = p.select(F.col("blk").alias("bl"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("br"),
                     "id", "label", "vec")
