@@ -2,6 +2,9 @@
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -72,6 +75,40 @@ def test_nmf_of_nothing_and_of_weights_that_are_no_number(spark):
     assert {r["doc_id"] for r in W.collect()} == {4} and {r["term"] for r in H.collect()} == {"d", "e"} and losses[-1] < 0.1
 
 
+def test_nmf_by_blocks_is_the_dense_fit_and_sends_no_row_per_value(spark):
+    """Blocks give what one dense fit gives, null keys included, and what is
+    sent in a step is summed by column within a block."""
+    rng = np.random.default_rng(3)
+    rows = [(d, f"t{t}", float(rng.random())) for d in range(300) for t in rng.choice(12, 6, replace=False)]
+    rows += [(None, "t1", 0.5), (7, None, 0.25)]
+    df = spark.createDataFrame(rows, "doc_id long, term string, weight double").repartition(3)
+    W, H, losses = MO.nmf(df, 2, tol=1e-2, block_cells=400)
+    hashed = {(kind, r["id"]): np.array(r["v"]) for kind, key, salt in (("w", "doc_id", "w"), ("h", "term", "h")) for r in
+              df.select(key).distinct().select(F.col(key).alias("id"), F.array(*MO._init(key, 2, salt)).alias("v")).collect()}
+    wk, hk = sorted({d for d, _, _ in rows if d is not None}) + [None], sorted({t for _, t, _ in rows if t}) + [None]
+    w, h = np.array([hashed["w", d] for d in wk]), np.array([hashed["h", t] for t in hk])
+    v = np.zeros((len(wk), len(hk)))
+    for d, t, x in rows:
+        if d is not None and t is not None:
+            v[wk.index(d), hk.index(t)] += x
+    vv, want = sum(x * x for _, _, x in rows), []
+    by_col = v.copy()
+    by_col[wk.index(7), -1] = 0
+    for _ in losses:
+        h = h * (by_col.T @ w) / (h @ (w.T @ w) + 1e-9)
+        w = w * (by_col @ h) / (w @ (h.T @ h) + 1e-9)
+        want.append(vv - 2 * (by_col * (w @ h.T)).sum() + np.trace(w.T @ w @ h.T @ h))
+    assert losses == pytest.approx(want, rel=1e-9)
+    got = {r["doc_id"]: r["v"] for r in W.collect()}
+    assert len(got) == 301 and all(got[d] == pytest.approx(list(x), abs=1e-9) for d, x in zip(wk, w))
+    got = {r["term"]: r["v"] for r in H.collect()}
+    assert len(got) == 13 and all(got[t] == pytest.approx(list(x), abs=1e-9) for t, x in zip(hk, h))
+    cells = pa.table({"block": pa.array([0] * 4, pa.int32()), "r": ["1", "2", "1", "3"], "c": ["a", "a", "b", "a"], "x": [1.0, 2, 3, 4]})
+    given = pa.table({"kind": list("hhwww"), "block": [0] * 5, "at": [0, 1, 0, 1, 2], "s0": [1.0] * 5})
+    sent = MO._block_step(1, np.ones((1, 1)), 1e-9)(MO._packed(cells), given).to_pylist()
+    assert sorted(r["name"] for r in sent if r["kind"] == "h") == ["a", "b"] and len(sent) == 2 + 3 + 1 + 1
+
+
 def test_density_clusters_partition_ids(spark):
     v = T.vectors(spark, SF_SMALL)
     c = CU.density_clusters(v, min_samples=4, min_cluster_size=3, block_rows=64)
