@@ -3,14 +3,14 @@
 A task splits its texts by the vocabulary's pattern and sends the pieces that
 are not tokens themselves to an in-process DuckDB: rows (word, position,
 token) join the merge table, and a recursive query contracts each word's
-leftmost pair of minimum rank until none is left. Decoding joins ids with the
-vocabulary and puts the bytes together by an ordered aggregation.
+leftmost pair of minimum rank until none is left.
 
 Between white space and the next the pattern is free of context, so a text is
 first cut before white space; each distinct cut of a batch is encoded once
 (with a cache of 2 * ``CACHE`` pieces) and a text's ids are those of its cuts. A word's
 recursion runs ``ROUNDS`` contractions per query and goes on from there until
-its fixpoint, so a very long word needs time but not memory.
+its fixpoint, so a very long word needs time but not memory. Decoding joins a
+batch's distinct ids with the vocabulary; its texts are put together from those.
 
 Defined results: a null or empty text has no ids and decodes to no bytes;
 control strings are ordinary text; repeated rows get equal results; an empty
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from tagloom.llm.common import Recent, slices
 
 CACHE = 300_000
-WORDS = 10_000
+WORDS = 30_000
 ROUNDS = 48
 
 #: fixed value: the white space of the pattern's \s (Unicode White_Space)
@@ -150,15 +150,14 @@ class Decoder:
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence."""
         size = np.array([len(x) // 4 for x in ids], np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        rows = pa.table({"doc": np.repeat(np.arange(len(ids)), size), "pos": np.arange(len(flat)), "tok": flat})
-        self.db.register("coded", rows)
-        got = self.db.execute("SELECT doc, string_agg(bytes, '' ORDER BY pos) AS text "
-                              "FROM coded JOIN vocabulary USING (tok) GROUP BY doc").fetchall()
-        out = [b""] * len(ids)
-        for doc, text in got:
-            out[doc] = text.encode("latin-1")
-        return out
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+        tokens = np.flatnonzero(np.bincount(flat))
+        self.db.register("coded", pa.table({"tok": tokens}))
+        got = self.db.execute("SELECT tok, bytes FROM coded JOIN vocabulary USING (tok)").fetchnumpy()
+        names = np.full(len(tokens) and tokens[-1] + 1, b"", object)
+        names[got["tok"].astype(np.int64)] = [t.encode("latin-1") for t in got["bytes"]]
+        pieces, ends = names[flat].tolist(), np.cumsum(size).tolist()
+        return [b"".join(pieces[lo:hi]) for lo, hi in zip([0, *ends], ends)]
 
 
 _loaded: dict[tuple, object] = {}

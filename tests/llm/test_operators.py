@@ -330,3 +330,27 @@ def test_lm_needs_in_parts(monkeypatch):
     sums.merge()
     want, n = np.unique(key, return_counts=True)
     assert (sums.key == want).all() and (sums.n == n).all()
+
+
+def test_byte_bpe_decoder_asks_for_distinct_ids_only():
+    """Texts are put together from a batch's distinct tokens, empty ones too."""
+    import public_tokenizers
+
+    from tagloom.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    texts = ["", "one one one é\U0001f600", "", "one\n"]
+    decoder, asked = bpe.Decoder(path), []
+
+    class Db:
+        def register(self, name, rows):
+            asked.append(rows.num_rows)
+            decoder_db.register(name, rows)
+
+        def execute(self, sql):
+            return decoder_db.execute(sql)
+
+    decoder_db, decoder.db = decoder.db, Db()
+    ids = bpe.Bpe(path, public_tokenizers.PATTERN).encode(texts)
+    assert [x.decode() for x in decoder.decode(ids)] == texts and decoder.decode([]) == []
+    assert asked[0] < sum(len(x) // 4 for x in ids)
