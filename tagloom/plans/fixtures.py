@@ -38,7 +38,7 @@ def topic_model(spark: SparkSession, sf: str):
     assign = T.topic_assignments(spark, sf)
     from ..functions.frames import reuse
     weights = reuse(terms.ctfidf(terms.term_counts(T.labelled_documents(spark, sf), "topic", "text")))
-    doc_counts = reuse(terms.term_counts(docs, "doc_id", "text"))
+    doc_counts = reuse(terms.document_counts(docs, "doc_id", "text"))
     top = terms.top_words(weights, k=10)
     return docs, assign, doc_counts, weights, top
 

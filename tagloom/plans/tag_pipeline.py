@@ -52,7 +52,7 @@ def run(docs: DataFrame, assign: DataFrame, payloads: DataFrame, cfg: PipelineCo
     weights = terms.ctfidf(terms.class_counts(docs, assign))
     top = terms.top_words(weights, k=cfg.top_words)
     out["topic_words"] = top
-    doc_counts = terms.term_counts(docs, "doc_id", "text")
+    doc_counts = terms.document_counts(docs, "doc_id", "text")
     rep = TP.representative_docs(TP.doc_class_vectors(doc_counts, weights), weights, assign, n=cfg.rep_docs)
     rep_docs = rep.join(docs, "doc_id").select(
         "topic", "rank", "doc_id",
