@@ -264,7 +264,9 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
     base_score, score. ``held_out``: a column expression; those are not learned
     from."""
     dealt = blocks(docs, held_out, block_bytes)
-    needs = staged(dealt.groupBy("block").applyInArrow(_needs, "block int, key long, n long"), "lm-needs", "zstd")
+    # a block's keys ascend: the second Parquet format stores their differences
+    needs = staged(dealt.groupBy("block").applyInArrow(_needs, "block int, key long, n long"), "lm-needs", "zstd",
+                   **{"parquet.writer.version": "PARQUET_2_0"})
     ends = dealt.filter("not held_out").count()
     per_word = needs.filter("key < 0").groupBy("key").agg(F.sum("n").alias("n"))
     total = per_word.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
