@@ -31,6 +31,9 @@ def test_text_files_are_dealt_to_tasks(spark, tmp_dir, monkeypatch):
     files = [f for _, _, names in os.walk(f"{tmp_dir}/texts") for f in names if f.startswith("part-")]
     assert len(files) == 200 and len({f[:10] for f in files}) == 10
     assert SF.read_text_partitioned(spark, f"{tmp_dir}/texts").count() == 200
+    twice = texts.filter("dataset_id < 3").union(texts.filter("dataset_id < 2")).coalesce(1)
+    SF.write_text_by_id(twice, f"{tmp_dir}/twice")
+    assert SF.read_text_partitioned(spark, f"{tmp_dir}/twice").count() == 5
 
 
 def test_items_and_runs(spark, tmp_dir):
