@@ -192,6 +192,22 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.group(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_sends_a_vector_once(spark, monkeypatch):
+    """Vectors that cannot be pruned lie in one block each, not in one tile per pair of blocks; links across blocks and hot cells are found."""
+    rng = np.random.default_rng(6)
+    vectors = np.vstack([rng.standard_normal((60, 16)), np.ones((25, 16)) + 0.05 * rng.standard_normal((25, 16))])
+    vectors = [v.astype("f4").tolist() for v in vectors] + [[1.0, -0.0], [1.0, 0.0], [-1.0, 0.0]]
+    ids, kept = list(range(len(vectors))), {}
+    keep = embedding_dedup.staged
+    monkeypatch.setattr(embedding_dedup, "staged", lambda df, name, **o: kept.setdefault(name, keep(df, name, **o)))
+    df = spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<float>").repartition(3)
+    exp = B.cosine_groups(ids, vectors)
+    same(embedding_dedup.group(df, tile=7), ["vec_id", "n_links", "component_id", "kept"], [(i, n, c, i == c) for i, (n, c) in zip(ids, exp)])
+    nodes = [n for r in kept["vector-blocks"].select("node").collect() for n in r["node"]]
+    assert len(nodes) == len(set(nodes)) == 87  # 1, 0 and 1, -0 are one vector
+    assert max(len(r["node"]) for r in kept["vector-blocks"].select("node").collect()) <= 20
+
+
 def test_chat_format(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "user", "hi\n<|im_end|>\\"), (1, 2, "assistant", "a <|b\\n"),
              (1, 3, "user", "more"), (1, 4, "assistant", ""), (1, 5, "user", None), (2, 0, "user", "only"),
