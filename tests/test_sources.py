@@ -107,3 +107,15 @@ def test_written_files_are_read_back(spark, tmp_dir):
     SF.write_timings(spark.createDataFrame(times, "Model string, nr_topics int, seconds double"), f"{tmp_dir}/times")
     t = SF.read_timings(spark, f"{tmp_dir}/times").select("Model", "nr_topics", "seconds").collect()
     assert {tuple(r) for r in t} == {("a b", "10", "1.5"), ("7", "20", "2.5"), ("7", "30", None)}
+
+
+def test_texts_by_id_are_read_in_few_tasks(spark, tmp_dir):
+    """A task reads and lists many of the small files; settings of the caller's session stay."""
+    rows = [(i, f"text {i}\nof two lines") for i in range(300)]
+    SF.write_text_by_id(spark.createDataFrame(rows, "dataset_id long, prompt_description string"), f"{tmp_dir}/texts")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    back = SF.read_text_partitioned(spark, f"{tmp_dir}/texts")
+    assert back.rdd.getNumPartitions() <= 8  # 4 files of 4 MB made a task, or 32 of them
+    assert sorted(map(tuple, back.collect())) == rows and spark.conf.get("spark.sql.files.openCostInBytes") == before
+    joined = spark.createDataFrame([(7,)], "dataset_id long").join(back, "dataset_id").collect()
+    assert [tuple(r) for r in joined] == [(7, "text 7\nof two lines")]
