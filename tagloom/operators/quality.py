@@ -115,12 +115,17 @@ def _tile_schema():
 
 
 def _tile_distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Sums of a tile by point and label of the other side: of the left points
+    and, if the tile is of two blocks, of the right ones."""
     if left.empty or right.empty:
         return pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int32"),
                              "sum_d": pd.Series(dtype="float64"), "cnt": pd.Series(dtype="int64")})
-    names, counts, sums = sums_by_label(matrix(left["vec"]), matrix(right["vec"]), right["label"].to_numpy())
-    return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), len(names)), "other": np.tile(names, len(left)).astype(np.int32),
-                         "sum_d": sums.ravel(), "cnt": np.tile(counts, len(left)).astype(np.int64)})
+    two = left["bl"].iat[0] != left["br"].iat[0]
+    x, y, labels = matrix(left["vec"]), matrix(right["vec"]), right["label"].to_numpy()
+    got = sums_by_label(x, y, labels, left["label"].to_numpy()) if two else (sums_by_label(x, y, labels),)
+    return pd.concat([pd.DataFrame({"id": np.repeat(side["id"].to_numpy(), len(names)), "other": np.tile(names, len(side)).astype(np.int32),
+                                    "sum_d": sums.ravel(), "cnt": np.tile(counts, len(side)).astype(np.int64)})
+                      for side, (names, counts, sums) in zip((left, right), got)])
 
 
 def silhouette_samples(points: DataFrame, key: str = "doc_id", vec: str = "embedding",
@@ -128,9 +133,9 @@ def silhouette_samples(points: DataFrame, key: str = "doc_id", vec: str = "embed
     """A7 exact: per-point silhouette with Euclidean distance, outliers (-1)
     excluded -> (key, label, s).
 
-    Points are hashed into B blocks; every (left block, right block) tile is
-    one pandas task that computes the distance block in numpy and sums it per
-    right-hand cluster. No pair is ever a row. Cost is n^2 distances by
+    Points are hashed into B blocks; every two blocks are a tile, one pandas
+    task that computes the distances in numpy, once, and sums them for either
+    side per cluster of the other. No pair is ever a row. Cost is n^2 distances by
     definition; use ``simplified_silhouette`` when that is too much.
     """
     p = points.filter(F.col(label) != -1).select(F.col(key).cast("long").alias("id"),
@@ -140,14 +145,14 @@ def silhouette_samples(points: DataFrame, key: str = "doc_id", vec: str = "embed
     blocks = block_count(n, block_rows)
     p = p.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = p.select(F.col("blk").alias("bl"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("br"),
-                    "id", "label", "vec")
+                    "id", "label", "vec").filter("bl <= br")
     right = p.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bl"), F.col("blk").alias("br"),
-                     "id", "label", "vec")
+                     "id", "label", "vec").filter("bl <= br")
     tiles = (left.groupBy("bl", "br")
                  .cogroup(right.groupBy("bl", "br"))
-                 .applyInPandas(lambda a, b: _tile_distances(a[["id", "label", "vec"]], b[["id", "label", "vec"]]),
-                                _tile_schema()))
-    per = tiles.groupBy("id", "other").agg(F.sum("sum_d").alias("sum_d"), F.sum("cnt").alias("cnt"))
+                 .applyInPandas(lambda a, b: _tile_distances(a, b), _tile_schema()))
+    # stored: both sides of the join below read it, and the distances are worked out once
+    per = cut_lineage(tiles.groupBy("id", "other").agg(F.sum("sum_d").alias("sum_d"), F.sum("cnt").alias("cnt")))
     own = p.select("id", "label")
     j = per.join(own, "id")
     a = (j.filter(F.col("other") == F.col("label"))

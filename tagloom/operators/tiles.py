@@ -92,11 +92,17 @@ def pairs_within(x: np.ndarray, y: np.ndarray, eps: float, digits: int = 9):
         yield s + i[near], j[near]
 
 
-def sums_by_label(x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> tuple:
-    """(labels, their counts, per x the sum of distances to the y of each)."""
+def sums_by_label(x: np.ndarray, y: np.ndarray, labels: np.ndarray, back: np.ndarray | None = None) -> tuple:
+    """(labels, their counts, per x the sum of distances to the y of each);
+    with ``back``, the labels of x, also the same per y, from the same
+    distances."""
     order = np.argsort(labels, kind="stable")
     y, (names, starts, counts) = y[order], np.unique(labels[order], return_index=True, return_counts=True)
     out = np.empty((len(x), len(names)))
+    if back is not None:
+        own = np.argsort(back, kind="stable")
+        x, (names_x, starts_x, counts_x) = x[own], np.unique(back[own], return_index=True, return_counts=True)
+        turned = np.zeros((len(names_x), len(y)))
     for s, d2, most in squares(x, y):
         # short distances lose digits in products: differences give those
         i, j = np.nonzero(~(d2 > 1e-6 * most[:, None]))
@@ -104,7 +110,13 @@ def sums_by_label(x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> tuple:
         d = np.sqrt(d2, out=d2)
         d[i, j] = distances(x, y, s + i, j)
         out[s:s + len(d)] = np.add.reduceat(d, starts, axis=1)
-    return names, counts, out
+        if back is not None:
+            lo, hi = np.searchsorted(starts_x, s, "right") - 1, np.searchsorted(starts_x, s + len(d))
+            turned[lo:hi] += np.add.reduceat(d, np.maximum(starts_x[lo:hi] - s, 0), axis=0)
+    if back is None:
+        return names, counts, out
+    put = lambda rows, at: rows[np.argsort(at, kind="stable")]
+    return (names, counts, put(out, own)), (names_x, counts_x, put(turned.T, order))
 
 
 def scored(points: DataFrame, cents: DataFrame, cls: str, score, kind: str, centre: str = "centroid",

@@ -44,3 +44,14 @@ def test_pairs_within_and_sums_by_label_are_exact(points):
 def test_copies_of_a_point_grow_slowly():
     assert TI.block_count(10) == 1 and TI.block_count(10_000) == 8
     assert TI.block_count(615_000) < 40  # 4,805 blocks of 128 rows before
+
+
+def test_sums_of_either_side_come_from_one_distance(points, monkeypatch):
+    ids, x, d = points
+    labels, seen = ids % 7, []
+    monkeypatch.setattr(TI, "squares", lambda a, b, keep=TI.squares: seen.append(len(a) * len(b)) or keep(a, b))
+    one, two = TI.sums_by_label(x[:200], x[200:], labels[200:], labels[:200])
+    for (names, counts, sums), full, of in ((one, d[:200, 200:], labels[200:]), (two, d[:200, 200:].T, labels[:200])):
+        assert counts.tolist() == [(of == n).sum() for n in names]
+        assert np.allclose(sums, np.stack([full[:, of == n].sum(1) for n in names], 1), rtol=1e-10, atol=0)
+    assert seen == [200 * 100]
