@@ -72,3 +72,17 @@ def test_queries_of_topic_vectors_shuffle_no_row_per_document_and_word(spark, tm
     monkeypatch.setattr(terms, "document_counts", lambda *a, **k: pytest.fail("counts as rows"))
     for name, n in (("reassign_outliers", 40), ("reassigned_words", 40), ("fit_budget", 1), ("build_prompts", 1)):
         assert E.queries()[name](spark, tmp_dir).count() >= min(n, 3)
+
+
+def test_nmf_reads_weights_from_blocks_and_stores_values_once(spark, tmp_dir, monkeypatch):
+    """No long counts, and no table of values as rows beside the blocks."""
+    import __spark_entry__ as E
+    from tagloom.session import Rounds
+
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 20)), "en", "s", 0) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_dir}/documents.parquet")
+    monkeypatch.setattr(terms, "document_counts", lambda *a, **k: pytest.fail("counts as rows"))
+    kept, keep = [], Rounds.keep
+    monkeypatch.setattr(Rounds, "keep", lambda self, df: kept.append(df.columns) or keep(self, df))
+    assert E.queries()["nmf"](spark, tmp_dir).count() == 100
+    assert kept and ["r", "c", "x"] not in kept
